@@ -6,12 +6,60 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe
+from palimpsest.llm import bpe, quality_rules
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-first quality rules over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_words", "n_unfinished_words"]
+    return quality_rules.judge(docs).select(*columns)
+
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ 	-]+') AS ws FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
+      FROM w, unnest(range(1, greatest(len(ws) - 1, 1))) AS u(i)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+        FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) AS x,
+             unnest([i, i + 1, i + 2]) AS v(p)
+        WHERE n > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, line, regexp_extract_all(line, '[^ 	-]+') AS ws
+      FROM d, unnest(string_split(text, chr(10))) AS u(line)
+      WHERE regexp_matches(line, '[^ 	-]')),
+j AS (SELECT doc_id, line, len(ws) AS n,
+        regexp_matches(line, '{quality_rules.NAVIGATION}')
+        OR regexp_matches(line, '{quality_rules.BOILERPLATE}')
+        OR (len(regexp_extract_all(line, '{quality_rules.SYMBOLS}|!!')) > 0
+            AND 2 * len(regexp_extract_all(line, '{quality_rules.SYMBOLS}|!!')) >= len(ws))
+        OR (len(ws) >= 3 AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}'))
+        OR (len(ws) >= 5 AND 2 * len(list_distinct(ws)) <= len(ws)) AS fails,
+        len(ws) >= 8 AND NOT regexp_matches(line, '[.!?…:;"”»)\]][ 	-]*$') AS unfinished
+      FROM l),
+s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+        sum(CASE WHEN fails THEN n ELSE 0 END) AS n_failed_words,
+        sum(CASE WHEN unfinished THEN n ELSE 0 END) AS n_unfinished_words
+      FROM j GROUP BY doc_id),
+a AS (SELECT w.doc_id, len(ws) AS n_words,
+        len(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+        len(regexp_extract_all(text, '{quality_rules.SYMBOLS}')) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+        coalesce(n_failed_words, 0) AS n_failed_words, coalesce(n_unfinished_words, 0) AS n_unfinished_words
+      FROM w LEFT JOIN s ON w.doc_id = s.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND n_failed_words <= {quality_rules.MAX_LOSS} * n_words AND 10 * n_unfinished_words <= 9 * n_words AS kept,
+  CAST(n_failed_words AS BIGINT) AS n_failed_words, CAST(n_unfinished_words AS BIGINT) AS n_unfinished_words
+FROM b
+"""
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all documents; digests of ids and of decoded bytes. Null texts count as empty."""
     path, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
@@ -27,7 +75,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_bpe_round_trip": op3_bpe_round_trip,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_quality_rules": OP1_SQL,
+}
