@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, quality_rules
+from palimpsest.llm import bpe, quality_rules, suffix
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,16 +21,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ 	-]+') AS ws FROM d),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ 	-
+]+') AS ws FROM d),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
       FROM w, unnest(range(1, greatest(len(ws) - 1, 1))) AS u(i)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
         FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) AS x,
              unnest([i, i + 1, i + 2]) AS v(p)
         WHERE n > 1 GROUP BY doc_id),
-l AS (SELECT doc_id, line, regexp_extract_all(line, '[^ 	-]+') AS ws
+l AS (SELECT doc_id, line, regexp_extract_all(line, '[^ 	-
+]+') AS ws
       FROM d, unnest(string_split(text, chr(10))) AS u(line)
-      WHERE regexp_matches(line, '[^ 	-]')),
+      WHERE regexp_matches(line, '[^ 	-
+]')),
 j AS (SELECT doc_id, line, len(ws) AS n,
         regexp_matches(line, '{quality_rules.NAVIGATION}')
         OR regexp_matches(line, '{quality_rules.BOILERPLATE}')
@@ -38,14 +41,16 @@ j AS (SELECT doc_id, line, len(ws) AS n,
             AND 2 * len(regexp_extract_all(line, '{quality_rules.SYMBOLS}|!!')) >= len(ws))
         OR (len(ws) >= 3 AND NOT regexp_matches(line, '\p{{Ll}}') AND regexp_matches(line, '\p{{Lu}}'))
         OR (len(ws) >= 5 AND 2 * len(list_distinct(ws)) <= len(ws)) AS fails,
-        len(ws) >= 8 AND NOT regexp_matches(line, '[.!?…:;"”»)\]][ 	-]*$') AS unfinished
+        len(ws) >= 8 AND NOT regexp_matches(line, '[.!?…:;"”»)\]][ 	-
+]*$') AS unfinished
       FROM l),
 s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
         sum(CASE WHEN fails THEN n ELSE 0 END) AS n_failed_words,
         sum(CASE WHEN unfinished THEN n ELSE 0 END) AS n_unfinished_words
       FROM j GROUP BY doc_id),
 a AS (SELECT w.doc_id, len(ws) AS n_words,
-        len(regexp_replace(text, '[ 	-]', '', 'g')) AS word_chars,
+        len(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars,
         len(regexp_extract_all(text, '{quality_rules.SYMBOLS}')) AS n_symbols,
         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
         coalesce(n_failed_words, 0) AS n_failed_words, coalesce(n_unfinished_words, 0) AS n_unfinished_words
@@ -74,11 +79,39 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents without 50-byte strings that start in a document with a smaller id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.remove_repeats(docs, length=50).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, hex(b) AS x, octet_length(b) AS n FROM d),
+p AS (SELECT doc_id, i, md5(x[2 * i + 1 : 2 * i + 100]) AS s
+      FROM h, unnest(range(0, n - 49)) AS u(i) WHERE n >= 50),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS low FROM p),
+r AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM m WHERE low < doc_id),
+runs AS (SELECT doc_id, i, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS e FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, max(e) AS last_e FROM spans GROUP BY doc_id),
+t AS (SELECT g.doc_id, string_agg(x[2 * before + 1 : 2 * a], '' ORDER BY a) AS kept
+      FROM gaps g JOIN h ON g.doc_id = h.doc_id GROUP BY g.doc_id)
+SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN k.doc_id IS NULL THEN x ELSE kept || x[2 * last_e + 1 :] END)) AS kept_sha256
+FROM h LEFT JOIN k ON h.doc_id = k.doc_id LEFT JOIN t ON h.doc_id = t.doc_id
+"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }
