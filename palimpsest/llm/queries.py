@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, quality_rules, suffix
+from palimpsest.llm import bpe, quality_rules, simhash, suffix
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -65,6 +65,13 @@ FROM b
 """
 
 
+def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents and the groups that near fingerprints form."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs, words=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all documents; digests of ids and of decoded bytes. Null texts count as empty."""
     path, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
@@ -107,6 +114,7 @@ FROM h LEFT JOIN k ON h.doc_id = k.doc_id LEFT JOIN t ON h.doc_id = t.doc_id
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash_groups": op2_simhash_groups,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
