@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, quality_rules, simhash, suffix
+from palimpsest.llm import bpe, mixing, quality_rules, simhash, suffix
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -86,6 +86,12 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 5, 2, 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents without 50-byte strings that start in a document with a smaller id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -116,6 +122,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op7_mix_sources": op7_mix_sources,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
