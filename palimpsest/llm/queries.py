@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, mixing, quality_rules, simhash, suffix
+from palimpsest.llm import bpe, mixing, planes, quality_rules, simhash, suffix
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -86,6 +86,14 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written to plane files and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = planes.new_folder(spark)
+    manifest = planes.write(docs, public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=0)
+    return planes.read_checksums(manifest, folder)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -122,6 +130,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_plane_files": op5_plane_files,
     "op7_mix_sources": op7_mix_sources,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
