@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, mixing, planes, quality_rules, simhash, suffix
+from palimpsest.llm import bpe, knn_quality, mixing, planes, quality_rules, simhash, suffix
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -86,6 +86,19 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> knn_quality.Model:
+    """The quality model, learnt from labelled documents that are not held out."""
+    return knn_quality.fit(docs, labels.where(~knn_quality.held_out(F.col("doc_id"))))
+
+
+def op4_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", knn_quality.held_out(F.col("doc_id")).alias("held_out"), knn_quality.score(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written to plane files and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -130,6 +143,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_knn_quality": op4_knn_quality,
     "op5_plane_files": op5_plane_files,
     "op7_mix_sources": op7_mix_sources,
     "op10_suffix_dedup": op10_suffix_dedup,
