@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, knn_quality, mixing, planes, quality_rules, simhash, suffix
+from palimpsest.llm import bpe, crf_language, knn_quality, mixing, planes, quality_rules, simhash, suffix
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -113,6 +113,15 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = knn_quality.held_out(F.col("doc_id"))
+    field = crf_language.fit(docs.where(~out))
+    found = docs.select("doc_id", out.alias("held_out"), crf_language.language(F.col("text"), field, spark).alias("x"))
+    return found.select("doc_id", "held_out", F.col("x.lang").alias("lang_pred"), F.col("x.score").alias("score"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents without 50-byte strings that start in a document with a smaller id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -146,6 +155,7 @@ QUERIES = {
     "op4_knn_quality": op4_knn_quality,
     "op5_plane_files": op5_plane_files,
     "op7_mix_sources": op7_mix_sources,
+    "op9_crf_language": op9_crf_language,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
