@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, crf_language, knn_quality, mixing, planes, quality_rules, simhash, suffix
+from palimpsest.llm import bpe, crf_language, knn_quality, masked_lm, mixing, planes, quality_rules, simhash, suffix
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -107,6 +107,14 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.read_checksums(manifest, folder)
 
 
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihoods of all documents under a network trained on all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = masked_lm.fit(docs)
+    found = docs.select("doc_id", masked_lm.score(F.col("text"), net, spark).alias("x")).select("doc_id", "x.n_tokens", "x.log_prob")
+    return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 5, 2, 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -154,6 +162,7 @@ QUERIES = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_knn_quality": op4_knn_quality,
     "op5_plane_files": op5_plane_files,
+    "op6_masked_lm": op6_masked_lm,
     "op7_mix_sources": op7_mix_sources,
     "op9_crf_language": op9_crf_language,
     "op10_suffix_dedup": op10_suffix_dedup,
