@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, crf_language, knn_quality, masked_lm, mixing, planes, quality_rules, simhash, suffix
+from palimpsest.llm import bpe, crf_language, knn_quality, masked_lm, media, mixing, planes, quality_rules, simhash, suffix
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -121,6 +121,14 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op8_media_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as images in archives and read back by the archive source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = media.new_folder(spark)
+    manifest = media.write_archives(docs, folder)
+    return media.features(media.read_archives(spark, folder, manifest))
+
+
 def op9_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -164,6 +172,7 @@ QUERIES = {
     "op5_plane_files": op5_plane_files,
     "op6_masked_lm": op6_masked_lm,
     "op7_mix_sources": op7_mix_sources,
+    "op8_media_archives": op8_media_archives,
     "op9_crf_language": op9_crf_language,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
