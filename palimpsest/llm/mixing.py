@@ -18,7 +18,7 @@ Everything is built from DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, word_parts
@@ -44,8 +44,6 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: fl
     sources by weight, until none is above. The level that does so is found without iterating: sources stop
     in order of size to weight. Expects one row for each source.
     """
-    from pyspark.sql import Window
-
     # ranks and running sums over sources; a row is a source, so the single partition holds no documents
     by_name = Window.orderBy(F.col("source").isNull(), F.encode("source", "utf-8"))
     place = F.row_number().over(by_name) - 1
@@ -74,10 +72,9 @@ def solve(histogram: DataFrame, wanted: DataFrame, max_rate: float = MAX_RATE, s
 
     ``histogram``: ``source``, ``size``, ``n``. ``unit`` is the largest size of the source.
     """
-    spark = wanted.sparkSession
     x = F.col("size") / F.col("unit")
     state = wanted.withColumns({"lam": F.lit(0.0), "low": F.lit(-1000.0), "high": F.lit(1000.0)})
-    for step in range(steps):
+    for _ in range(steps):
         rate = F.least(F.exp(F.least(F.col("lam") * x, F.lit(50.0))), F.lit(max_rate))
         mass = F.col("n") * F.col("size")
         sums = (
@@ -104,71 +101,85 @@ def solve(histogram: DataFrame, wanted: DataFrame, max_rate: float = MAX_RATE, s
     return state.select("source", "source_size", "target", "unit", "lam")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
-    """(``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``), a row for each row of ``docs``.
+def _sources(df: DataFrame, by_source: DataFrame) -> DataFrame:
+    """``df`` with the columns of the row of its ``source``; null matches null."""
+    return df.withColumnRenamed("source", "_source").join(by_source, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
 
-    ``size`` counts words, ``taken`` is ``copies * size``. Null texts have size 0 and one copy, as have all
-    texts without words. A null source is a source of its own, last in order. Repeated rows are documents of
-    their own, with equal results. A source without words has target 0.
-    """
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")), "sizes")
-    counts = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
-    totals = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.max("size").cast("double").alias("unit"))
-    wanted = cut(targets(totals.select("source", "source_size"), weights, max_rate).join(totals.select(F.col("source").alias("t_source"), "unit"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source"), "targets")
-    histogram = counts.where("size > 0").withColumnRenamed("source", "h_source")
-    duals = cut(solve(histogram, wanted, max_rate), "duals")
 
+def _rated(sized: DataFrame, duals: DataFrame, max_rate: float) -> DataFrame:
+    """``whole`` copies of each document and the ``threshold`` in [0, 1) below which it gets one more."""
+    x = F.col("size") / F.col("unit")
     # a full target leaves no choice: every document is taken max_rate times
     full = F.col("target") >= max_rate * F.col("source_size")
-    rate = F.when(full, F.lit(max_rate)).otherwise(F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("unit"), F.lit(50.0))), F.lit(max_rate)))
+    rate = F.when(full, F.lit(max_rate)).otherwise(F.least(F.exp(F.least(F.col("lam") * x, F.lit(50.0))), F.lit(max_rate)))
+    whole = F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(max_rate)))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 11) / F.lit(float(1 << 53))
-    rated = (
-        sized.withColumnRenamed("source", "d_source")
-        .join(duals, F.col("d_source").eqNullSafe(F.col("source")))
-        .where("size > 0")
-        .withColumn("rate", rate)
-        .withColumn("whole", F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(max_rate))))
-        .withColumn("threshold", F.when(F.col("whole") >= max_rate, F.lit(2.0)).otherwise((1 - (F.col("rate") - F.col("whole")) - u + 1) / 2))
-    )
-    # words by threshold: docs of whole = max_rate never get another copy
-    rated = cut(rated.select("doc_id", "source", "size", "source_size", "target", "whole", "threshold"), "rates")
+    open_ = (F.col("size") > 0) & (F.col("whole") < max_rate)
+    joined = _sources(sized, duals).withColumn("rate", rate).withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(1))
+    return joined.withColumn("threshold", F.when(open_, (2 - (F.col("rate") - F.col("whole")) - u) / 2))
+
+
+def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
+    """A row for each source: ``source``, ``source_size``, ``target``, ``unit``, ``lam`` and ``cut``.
+
+    ``sized``: ``doc_id``, ``source``, ``size`` of all documents.
+    """
+    counts = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
+    totals = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.max("size").cast("double").alias("unit"))
+    goals = targets(totals.select("source", "source_size"), weights, max_rate)
+    wanted = cut(_sources(goals, totals.select("source", "unit")), "targets")
+    duals = cut(solve(counts.where("size > 0").withColumnRenamed("source", "h_source"), wanted, max_rate), "duals")
+
+    rated = cut(_rated(sized, duals, max_rate).select("source", "target", "size", "whole", "threshold"), "rates")
     base = rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("base"), F.first("target").alias("target"))
-    cuts = cut(base.select(F.col("source"), (F.col("target") - F.col("base")).alias("need"), F.lit(0.0).alias("at"), F.lit(1.0).alias("width")), "cuts")
-    open_docs = rated.where("threshold < 1").select(F.col("source").alias("r_source"), "size", "threshold")
-    from pyspark.sql import Window
-
-    for _ in range(ROUNDS):
-        bin_ = F.least(F.floor((F.col("threshold") - F.col("at")) / F.col("width") * BINS), F.lit(BINS - 1))
-        inside = open_docs.join(cuts, F.col("r_source").eqNullSafe(F.col("source"))).where("threshold >= at and threshold < at + width")
-        bins = inside.groupBy("source", "need", "at", "width", bin_.alias("bin")).agg(F.sum("size").alias("words"))
-        # at most BINS rows a source
-        so_far = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-        crossing = (
-            bins.withColumn("sum", so_far)
-            .where("sum - words / 2 > need" if _ == ROUNDS - 1 else "sum > need")
-            .groupBy("source")
-            .agg(F.min(F.struct("bin", "sum", "words")).alias("c"))
-            .select(F.col("source").alias("c_source"), F.col("c.bin").alias("bin"), (F.col("c.sum") - F.col("c.words")).alias("before"))
-        )
-        joined = cuts.join(crossing, F.col("source").eqNullSafe(F.col("c_source")), "left")
-        # without a crossing all remaining documents are taken: the cut moves to the end
+    cuts = cut(base.select("source", (F.col("target") - F.col("base")).alias("need"), F.lit(0.0).alias("at"), F.lit(1.0).alias("width")), "cuts")
+    undecided = rated.where("threshold is not null").select("source", "size", "threshold")
+    for turn in range(ROUNDS):
+        place = F.least(F.floor((F.col("threshold") - F.col("at")) / F.col("width") * BINS), F.lit(BINS - 1))
+        inside = _sources(undecided, cuts).where("threshold >= at and threshold < at + width")
+        bins = inside.groupBy("source", "need", place.alias("bin")).agg(F.sum("size").alias("words"))
+        # a source has BINS rows here at most
+        summed = bins.withColumn("sum", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
+        passed = "sum - words / 2 > need" if turn == ROUNDS - 1 else "sum > need"
+        crossing = summed.where(passed).groupBy("source").agg(F.min(F.struct("bin", "sum", "words")).alias("c"))
+        crossing = crossing.select(F.col("source").alias("c_source"), F.col("c.bin").alias("bin"), (F.col("c.sum") - F.col("c.words")).alias("before"))
+        # a source whose bins all fit takes them all: its cut moves to their end
+        every = F.col("bin").isNull()
         cuts = cut(
-            joined.select(
+            cuts.join(crossing, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
                 "source",
-                F.when(F.col("bin").isNull(), F.col("need")).otherwise(F.col("need") - F.col("before")).alias("need"),
-                F.when(F.col("bin").isNull(), F.col("at") + F.col("width")).otherwise(F.col("at") + F.col("bin") * F.col("width") / BINS).alias("at"),
-                F.when(F.col("bin").isNull(), F.lit(0.0)).otherwise(F.col("width") / BINS).alias("width"),
+                F.when(every, F.col("need")).otherwise(F.col("need") - F.col("before")).alias("need"),
+                F.when(every, F.col("at") + F.col("width")).otherwise(F.col("at") + F.col("bin") * F.col("width") / BINS).alias("at"),
+                F.when(every, F.lit(0.0)).otherwise(F.col("width") / BINS).alias("width"),
             ),
             "cuts",
         )
-    limits = cuts.select(F.col("source").alias("l_source"), F.col("at").alias("cut"))
-    taken = rated.join(limits, F.col("source").eqNullSafe(F.col("l_source")), "left")
-    copies = (F.col("whole") + F.when(F.col("threshold") < F.col("cut"), 1).otherwise(0)).cast("long")
-    mixed = taken.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
-    empty = (
-        sized.where("size = 0")
-        .withColumnRenamed("source", "d_source")
-        .join(duals, F.col("d_source").eqNullSafe(F.col("source")))
-        .select("doc_id", "source", "size", "source_size", "target", F.lit(1).cast("long").alias("copies"))
-    )
-    return mixed.unionByName(empty).withColumn("taken", F.col("copies") * F.col("size"))
+    return cut(_sources(duals, cuts.select("source", F.col("at").alias("cut"))), "plan")
+
+
+def copies(sized: DataFrame, by_source: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
+    """``sized``, with any further columns, and ``source_size``, ``target``, ``copies`` and ``taken``."""
+    more = F.coalesce(F.col("threshold") < F.col("cut"), F.lit(False)).cast("long")
+    found = _rated(sized, by_source, max_rate).withColumn("copies", F.col("whole").cast("long") + more)
+    return found.withColumn("taken", F.col("copies") * F.col("size")).drop("unit", "lam", "cut", "rate", "whole", "threshold")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
+    """(``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``), a row for each row of ``docs``.
+
+    ``size`` counts words, ``taken`` is ``copies * size``. Null texts have size 0 and one copy, as have all
+    texts without words. A null source is a source of its own, last in order. Repeated rows are documents of
+    their own, with equal results. A source without words has target 0. No documents give no rows.
+    """
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
+    sized = cut(sized, "sizes")
+    return copies(sized, plan(sized, weights, max_rate), max_rate)
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
+    """The mix itself: each row of ``docs`` (``doc_id``, ``source``, ``text``, ...) as often as its copies say."""
+    columns = docs.columns
+    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "sizes")
+    own = docs.select(F.struct(*columns).alias("_row"), "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    found = copies(own, plan(sized, weights, max_rate), max_rate)
+    return found.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

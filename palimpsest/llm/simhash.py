@@ -185,6 +185,18 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return cells.repartition("shard").sortWithinPartitions("shard").mapInArrow(_forests(radius), "hi long, lo long")
 
 
+def groups(fingerprints: DataFrame, radius: int = 4) -> DataFrame:
+    """(``fingerprint``, ``root``, ``component_id``) for each fingerprint of ``doc_id``, ``fingerprint`` rows.
+
+    ``root`` names the group, ``component_id`` is its smallest id, null if no row of it has one.
+    """
+    fps = fingerprints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"))
+    roots = components(links(fps.select("fp"), radius))
+    rooted = cut(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(named, "root").select(F.col("fp").alias("fingerprint"), "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """(``doc_id``, ``fingerprint``, ``component_id``), a row for each row of ``docs``.
 
@@ -193,9 +205,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of their fingerprint but name none. Texts are hashed whole; equal fingerprints are searched once.
     """
     own = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fingerprint")), "fingerprints")
-    fps = own.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"))
-    roots = components(links(fps.select("fp"), radius))
-    rooted = cut(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = rooted.join(named, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return own.join(final, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return own.join(groups(own, radius), "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """The document of the smallest id of each group, with all columns of ``docs``.
+
+    Where ids are null or repeated, ties go to the first text in order, and one row of equal rows stays.
+    """
+    own = cut(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fingerprint")), "fingerprints")
+    found = cut(groups(own, radius), "groups")
+    plain = own.where("doc_id is null").isEmpty() and own.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if plain:
+        first = found.select(F.col("component_id").alias("doc_id")).distinct()
+        return docs.join(first, "doc_id", "left_semi")
+    named = docs.select(F.struct(*docs.columns).alias("_row"), fingerprint(F.col("text"), words).alias("fingerprint")).join(found, "fingerprint")
+    order = Window.partitionBy("root").orderBy(F.col("_row.doc_id").asc_nulls_last(), F.col("_row.text"))
+    return named.withColumn("_place", F.row_number().over(order)).where("_place = 1").select("_row.*")

@@ -298,3 +298,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return found.withColumns(
         {"n_bytes": F.octet_length("_text").cast("long"), "kept": F.col("_out.kept"), "n_removed": F.col("_out.n_removed"), "n_spans": F.col("_out.n_spans")}
     ).drop("_doc", "_text", "_t", "_spans", "_out")
+
+
+def valid_text(kept: Column) -> Column:
+    """Column ``string``: the characters of UTF-8 bytes; bytes that a cut left without their character go."""
+
+    def decoded(batch: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else x.decode(errors="ignore") for x in batch.to_pylist()], pa.string())
+
+    return F.arrow_udf(decoded, "string")(kept)
