@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
@@ -42,19 +41,6 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-@contextlib.contextmanager
-def _session_conf(spark: SparkSession, **values: str):
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def cut(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -66,7 +52,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     before = spark.conf.get(_CLEAN_SHUFFLES)
     try:
         spark.conf.set(_CLEAN_SHUFFLES, "true")
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,8 @@ Rank rounds, each a sort by Spark of (rank, position) pairs in which unique rank
 
 Most repeats end in round 1: where all documents agree on every string of an anchor, the smallest id keeps
 its bytes and the others lose them. Rounds 2 and 3 see the edges of repeats only. Ranks are 64-bit hashes of
-content; the decisive pairs are 128 bits wide.
+content, or 48-bit where they only tell strings of one anchor apart; the decisive pairs are 112 bits wide or
+more.
 
 Hot passages: rows of one rank go through a sort and a spilling window, never into memory at once.
 """
@@ -159,7 +160,7 @@ def _positions(length: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashes.of(a, a + s.k).view(np.int64)),
-                        pa.array(mixed(whole).view(np.int64)),
+                        pa.array((mixed(whole) >> np.uint64(16)).view(np.int64)),
                         pa.array(doc[rows[a]]),
                         pa.array(t[rows[a]]),
                         pa.array(((a + shift[a]) * s.w + left) * s.w + extra),
@@ -173,33 +174,46 @@ def _positions(length: int):
 def _contexts(length: int):
     """Rows for rounds 2 and 3: per anchor and side, the rank beside it and the ranks of its strings."""
     s = Scheme(length)
-    kind = pa.list_(pa.struct([("d", pa.int32()), ("h", pa.int64())]))
+    wide = length + s.w - 1
+    powers = Hashes(np.zeros(wide, np.uint8))
+    up, down = powers._up[: wide + 1].copy(), powers._down[: wide + 1].copy()
+
+    def of(sums: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+        rows = np.arange(len(sums))
+        return mixed((sums[rows, start + size] - sums[rows, start]) * up[start]).view(np.int64)
+
+    def side(number: int, own: np.ndarray, beside: np.ndarray, rows: dict[str, np.ndarray], d: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(own.any(axis=1))
+        sizes = own[some].sum(axis=1)
+        strings = pa.StructArray.from_arrays([pa.array(d[some][own[some]].astype(np.int32)), pa.array(h[some][own[some]])], ["d", "h"])
+        columns = [pa.array(rows[x][some]) for x in ("g", "c", "doc")]
+        columns += [pa.array(np.full(len(some), number, np.int32)), pa.array(beside[some])]
+        columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), strings))
+        return pa.RecordBatch.from_arrays(columns, ["g", "c", "doc", "side", "h", "strings"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            texts = _utf8(batch.column("text"))
-            for doc, text, wanted in zip(batch.column("doc").to_pylist(), texts, batch.column("wanted").to_pylist()):
-                for x in wanted:
-                    a, rest = divmod(x["at"], s.w * s.w)
-                    left, extra = divmod(rest, s.w)
-                    start = a - left
-                    data = np.frombuffer(text, np.uint8, extra + length, start)
-                    hashes = Hashes(data)
-                    every = hashes.all(length).view(np.int64).tolist()
-                    sides = ([], [])
-                    for j, h in enumerate(every):
-                        d = left - j
-                        sides[d < s.half].append({"d": d, "h": h})
-                    if sides[0]:
-                        beside = hashes.of(np.array([left - s.half]), np.array([left]))
-                        out.append((x["g"], x["c"], doc, 0, int(beside.view(np.int64)[0]), sides[0]))
-                    if sides[1]:
-                        beside = hashes.of(np.array([left + s.k]), np.array([left + s.k + s.w - s.half]))
-                        out.append((x["g"], x["c"], doc, 1, int(beside.view(np.int64)[0]), sides[1]))
-            columns = list(zip(*out)) if out else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), kind]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], ["g", "c", "doc", "side", "h", "strings"])
+        for whole in batches:
+            for k in range(0, len(whole), 500):
+                batch = whole.slice(k, 500)
+                texts, wanted = _utf8(batch.column("text")), batch.column("wanted")
+                data = np.frombuffer(b"".join(texts) + bytes(wide), np.uint8)
+                sizes = wanted.value_lengths().to_numpy()
+                base = np.repeat(np.cumsum([0, *map(len, texts[:-1])]), sizes)
+                flat = wanted.flatten()
+                rows = {x: flat.field(x).to_numpy() for x in ("g", "c", "at")}
+                rows["doc"] = np.repeat(batch.column("doc").to_numpy(), sizes)
+                a, rest = np.divmod(rows["at"], s.w * s.w)
+                left, extra = np.divmod(rest, s.w)
+                bytes_ = data[(base + a - left)[:, None] + np.arange(wide)]
+                sums = np.zeros((len(a), wide + 1), np.uint64)
+                np.cumsum(_BYTE[bytes_] * down[:wide], axis=1, out=sums[:, 1:])
+                j = np.arange(s.w)
+                h = mixed((sums[:, length:] - sums[:, : s.w]) * up[: s.w]).view(np.int64)
+                d = left[:, None] - j
+                valid = j <= extra[:, None]
+                before, behind = valid & (d >= s.half), valid & (d < s.half)
+                yield side(0, before, of(sums, np.maximum(left - s.half, 0), s.half), rows, d, h)
+                yield side(1, behind, of(sums, np.minimum(left + s.k, wide - s.w + s.half), s.w - s.half), rows, d, h)
 
     return run
 
@@ -260,21 +274,22 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
 
 def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
     kept, removed, runs = [], [], []
-    for data, own in zip(_utf8(text), spans.to_pylist()):
-        out, stop, gone, n = [], 0, 0, 0
-        for x in sorted((y["start"], y["end"]) for y in own or ()):
-            if x[0] > stop or not n:
-                out.append(data[stop : x[0]])
-                n += 1
-                gone += x[1] - x[0]
-                stop = x[1]
-            elif x[1] > stop:
-                gone += x[1] - stop
-                stop = x[1]
-        out.append(data[stop:])
-        kept.append(b"".join(out))
-        removed.append(gone)
-        runs.append(n)
+    flat = spans.flatten()
+    starts, ends = flat.field("start").to_numpy(), flat.field("end").to_numpy()
+    stops = np.cumsum(spans.value_lengths().fill_null(0).to_numpy()).tolist()
+    for data, a, b in zip(_utf8(text), [0, *stops], stops):
+        if a == b:
+            kept.append(data)
+            removed.append(0)
+            runs.append(0)
+            continue
+        order = np.argsort(starts[a:b], kind="stable")
+        first, last = starts[a:b][order], np.maximum.accumulate(ends[a:b][order])
+        new = np.flatnonzero(np.append(True, first[1:] > last[:-1]))
+        first, last = first[new].tolist(), last[np.append(new[1:] - 1, len(last) - 1)].tolist()
+        kept.append(b"".join(data[x:y] for x, y in zip([0, *last], [*first, len(data)])))
+        removed.append(len(data) - len(kept[-1]))
+        runs.append(len(first))
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["kept", "n_removed", "n_spans"])
 
 
