@@ -1,0 +1,496 @@
+"""Queries over the driver's tables, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.functions.columns import digits_only, html_escaped, log_safe, normalized
+from palimpsest.operators import contextual, evaluate, glyphs, ledger, report
+from palimpsest.operators.detect import detect, exploded
+from palimpsest.operators.merge import merge
+from palimpsest.operators.placeholders import malformed_count, masked, placeholder_spans
+from palimpsest.operators.policy import DEFAULT, POLICIES
+from palimpsest.operators.verify import residual_count
+from palimpsest.plans.process import find, process
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+
+
+# SQL fragments. RE2 has no look-around: a guard behind the value is part of the match, the value its group 1.
+_W = r"[\p{L}\p{N}_]"
+EMAIL = rf"((?:{_W}|[.+-])+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}})(?:[^\p{{L}}\p{{N}}_-]|$)"
+PHONE = r"((?:\+?1[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]\d{3}[ .-]\d{4})(?:\D|$)"
+CARD = r"((?:\d[ -]?){12,18}\d)(?:\D|$)"
+IPV4 = r"((?:\d{1,3}\.){3}\d{1,3})(?:[^\d.]|$|\.(?:\s|$))"
+TOKEN = r"(?i)\b(?:api[_ -]?key|api\s+token|token)\s*[:=]\s*(\"[^\"\r\n]+\"|'[^'\r\n]+'|[^\s,;]+)"
+
+
+def span_sql(name: str, pattern: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """Rows (``key``, ``pos``, ``value``, ``before``) of group 1 of a pattern, ``before`` being the character in front."""
+    p = pattern.replace("'", "''")
+    return rf"""
+{name}_h AS (SELECT {key}, {text} AS t, regexp_extract_all({text}, '{p}') AS hits, regexp_split_to_array({text}, '{p}') AS gaps
+  FROM {table} WHERE regexp_matches({text}, '{p}')),
+{name}_m AS (SELECT {key}, t, hits[i] AS hit, regexp_extract(hits[i], '{p}', 1) AS value,
+    list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0) AS head
+  FROM {name}_h, unnest(range(1, len(hits) + 1)) AS u(i)),
+{name} AS (SELECT {key}, value, CAST(head + strpos(hit, value) - 1 AS BIGINT) AS pos,
+    CASE WHEN head + strpos(hit, value) > 1 THEN substring(t, CAST(head + strpos(hit, value) - 1 AS BIGINT), 1) ELSE '' END AS before
+  FROM {name}_m)"""
+
+
+LUHN = """(len(d) BETWEEN 13 AND 19 AND len(list_distinct(string_split(d, ''))) > 1 AND
+  list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS INT)
+    WHEN 2 * CAST(d[i] AS INT) > 9 THEN 2 * CAST(d[i] AS INT) - 9 ELSE 2 * CAST(d[i] AS INT) END)) % 10 = 0)"""
+
+FOUND = (
+    "WITH "
+    + ",".join(span_sql(n, p) for n, p in (("em", EMAIL), ("ph", PHONE), ("ca", CARD), ("ip", IPV4), ("tk", TOKEN)))
+    + rf""",
+cd AS (SELECT *, regexp_replace(value, '\D', '', 'g') AS d FROM ca WHERE NOT regexp_matches(before, '\d')),
+found AS (
+  SELECT doc_id, pos AS s, pos + len(value) AS e, 'EMAIL' AS category, value, 0 AS risk FROM em
+  UNION ALL SELECT doc_id, pos, pos + len(value), 'PHONE', value, 0 FROM ph WHERE NOT regexp_matches(before, '\d')
+  UNION ALL SELECT doc_id, pos, pos + len(value), 'CREDIT_CARD', value, 95 FROM cd WHERE {LUHN}
+  UNION ALL SELECT doc_id, pos, pos + len(value), 'IP_ADDRESS', value, 0 FROM ip WHERE NOT regexp_matches(before, '[\d.]')
+    AND regexp_matches(value, '^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.|$)){{4}}$')
+  UNION ALL SELECT doc_id, CASE WHEN q THEN pos + 1 ELSE pos END, CASE WHEN q THEN pos + len(value) - 1 ELSE pos + len(value) END, 'API_KEY',
+      CASE WHEN q THEN value[2:len(value) - 1] ELSE value END, 100
+    FROM (SELECT *, regexp_matches(value, '^("[^"\r\n]+"|''[^''\r\n]+'')$') AS q FROM tk))
+"""
+)
+#: The greedy merge as a fold: an accepted finding bars all that overlap it.
+MERGED = (
+    FOUND
+    + """,
+ranked AS (SELECT doc_id, list({'s': s, 'e': e, 'c': category, 'v': value} ORDER BY risk DESC, e - s DESC, s, category) AS r FROM found GROUP BY doc_id),
+folded AS (SELECT doc_id, r, list_reduce(list_prepend([]::STRUCT(s BIGINT, e BIGINT, c VARCHAR, v VARCHAR)[], list_transform(r, lambda x: [x])),
+    lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN a ELSE list_concat(a, x) END) AS acc FROM ranked),
+merged AS (SELECT doc_id, x.s AS s, x.e AS e, x.c AS category, x.v AS value FROM folded, unnest(acc) AS u(x))
+"""
+)
+
+
+def _detected(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = exploded(detect(docs(spark, sf_dir), names=(name,)))
+        return rows.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "category", F.sha2("value", 256).alias("value_hash"))
+
+    run.__name__ = f"detect_{name}"
+    return run
+
+
+for _name, _category in (("email", "EMAIL"), ("phone", "PHONE"), ("ipv4", "IP_ADDRESS"), ("card", "CREDIT_CARD"), ("token", "API_KEY")):
+    query(FOUND + f" SELECT doc_id, s AS start_at, CAST(e AS BIGINT) AS end_at, category, sha256(value) AS value_hash FROM found WHERE category = '{_category}'")(_detected(_name))
+
+
+@query(FOUND + " SELECT category, count(*) AS n FROM found GROUP BY category")
+def findings_by_category(spark, sf_dir):
+    return report.by_category(detect(docs(spark, sf_dir)), "findings")
+
+
+@query(FOUND + " SELECT 'regex' AS source, count(*) AS n FROM found HAVING count(*) > 0")
+def findings_by_source(spark, sf_dir):
+    return report.by_source(detect(docs(spark, sf_dir)), "findings")
+
+
+@query(FOUND + " SELECT lang, category, count(*) AS n FROM found JOIN documents USING (doc_id) GROUP BY lang, category")
+def findings_by_lang(spark, sf_dir):
+    return exploded(detect(docs(spark, sf_dir)), keys=("lang",)).groupBy("lang", "category").agg(F.count("*").alias("n"))
+
+
+@query(MERGED + " SELECT doc_id, s AS start_at, CAST(e AS BIGINT) AS end_at, category, sha256(value) AS value_hash FROM merged")
+def merge_findings(spark, sf_dir):
+    rows = exploded(merge(detect(docs(spark, sf_dir))), "merged")
+    return rows.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "category", F.sha2("value", 256).alias("value_hash"))
+
+
+@query(
+    MERGED
+    + """ SELECT f.doc_id, f.category, f.s AS start_at, CAST(f.e AS BIGINT) AS end_at FROM found f
+  WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.doc_id = f.doc_id AND m.s = f.s AND m.e = f.e AND m.category = f.category)"""
+)
+def merge_ambiguous(spark, sf_dir):
+    rows = merge(detect(docs(spark, sf_dir))).select("doc_id", F.explode("ambiguous").alias("a"))
+    return rows.select("doc_id", "a.category", F.col("a.start").cast("long").alias("start_at"), F.col("a.end").cast("long").alias("end_at"))
+
+
+def _policy_values() -> str:
+    rows = [f"('{p.name}', '{c}', '{p.action(c)}', '{p.label(c)}', {p.threshold(c)}, {str(p.replaced(c)).lower()})" for p in POLICIES.values() for c in ("EMAIL", "PHONE", "CREDIT_CARD", "IP_ADDRESS", "API_KEY")]
+    return "(VALUES " + ", ".join(rows) + ") AS pol(policy, category, action, label, threshold, replaced)"
+
+
+@query(MERGED + f" SELECT policy, action, replaced, count(*) AS n FROM merged JOIN {_policy_values()} USING (category) WHERE 1.0 >= threshold GROUP BY policy, action, replaced")
+def policy_actions(spark, sf_dir):
+    merged = exploded(merge(detect(docs(spark, sf_dir))), "merged")
+    rules = None
+    for policy in POLICIES.values():
+        rows = policy.dimension(spark)
+        rules = rows if rules is None else rules.unionByName(rows)
+    # twenty rows a policy
+    joined = merged.join(F.broadcast(rules), "category").where("confidence >= threshold")
+    return joined.groupBy("policy", "action", "replaced").agg(F.count("*").alias("n"))
+
+
+_SANITIZED = (
+    MERGED
+    + f""",
+pol AS (SELECT * FROM {_policy_values()} WHERE policy = 'default' AND replaced),
+keyed AS (SELECT m.*, p.action, p.label, category || '/' || lower(regexp_replace(trim(value), '\\s+', ' ', 'g')) AS k FROM merged m JOIN pol p USING (category)),
+firsts AS (SELECT doc_id, label, k, row_number() OVER (PARTITION BY doc_id, label ORDER BY min(s)) AS number FROM keyed WHERE action <> 'redact' GROUP BY doc_id, label, k),
+placed AS (SELECT keyed.*, CASE WHEN action = 'redact' THEN '[REDACTED_' || keyed.label || ']' ELSE '[' || keyed.label || '_' || number || ']' END AS ph,
+    lag(e, 1, 0) OVER (PARTITION BY keyed.doc_id ORDER BY s) AS prior
+  FROM keyed LEFT JOIN firsts ON keyed.doc_id = firsts.doc_id AND keyed.label = firsts.label AND keyed.k = firsts.k),
+parts AS (SELECT p.doc_id, string_agg(substring(text, CAST(prior + 1 AS BIGINT), CAST(s - prior AS BIGINT)) || ph, '' ORDER BY s) AS head, max(e) AS last_e, count(*) AS n
+  FROM placed p JOIN documents d USING (doc_id) GROUP BY p.doc_id),
+clean AS (SELECT d.doc_id, CASE WHEN n IS NULL THEN text ELSE head || substring(text, CAST(last_e + 1 AS BIGINT)) END AS sanitized, coalesce(n, 0) AS n
+  FROM documents d LEFT JOIN parts USING (doc_id))
+"""
+)
+
+
+@query(_SANITIZED + " SELECT doc_id, sha256(sanitized) AS sanitized_hash, CAST(n AS BIGINT) AS replacements FROM clean")
+def sanitize_documents(spark, sf_dir):
+    done = process(docs(spark, sf_dir))
+    return done.select("doc_id", F.sha2("sanitized", 256).alias("sanitized_hash"), F.size("planned").cast("long").alias("replacements"))
+
+
+@query(
+    _SANITIZED
+    + r""", vis AS (SELECT doc_id, regexp_replace(sanitized, '\[(?:REDACTED_)?[A-Z_]+(?:_[0-9]+)?\]', ' ', 'g') AS t FROM clean)
+  SELECT k.doc_id, count(*) FILTER (WHERE contains(t, value) OR (category IN ('PHONE', 'CREDIT_CARD') AND len(regexp_replace(value, '\D', '', 'g')) >= 7
+      AND contains(regexp_replace(t, '\D', '', 'g'), regexp_replace(value, '\D', '', 'g')))) AS originals_left
+  FROM keyed k JOIN vis USING (doc_id) GROUP BY k.doc_id"""
+)
+def verify_residual(spark, sf_dir):
+    done = process(docs(spark, sf_dir)).where(F.size("planned") > 0)
+    return done.select("doc_id", "originals_left")
+
+
+@query(_SANITIZED + " SELECT 'completed' AS status, 'release' AS route, true AS passed, count(*) AS n FROM clean")
+def release_route(spark, sf_dir):
+    return process(docs(spark, sf_dir)).groupBy("status", "route", "passed").agg(F.count("*").alias("n"))
+
+
+@query(
+    _SANITIZED
+    + """ SELECT d.doc_id, sha256(d.text) AS source_hash, 'completed' AS status, coalesce(n, 0) AS findings_count, true AS passed
+  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM merged GROUP BY doc_id) USING (doc_id)"""
+)
+def verify_report(spark, sf_dir):
+    audited = report.audit(process(docs(spark, sf_dir)), DEFAULT)
+    return audited.select("doc_id", "source_hash", "status", "findings_count", F.col("verification.passed").alias("passed"))
+
+
+@query()
+def audit_report_json(spark, sf_dir):
+    return report.as_json(report.audit(process(docs(spark, sf_dir)), DEFAULT))
+
+
+@query(
+    _SANITIZED
+    + r""", per AS (SELECT doc_id, category, count(*) AS n FROM merged GROUP BY doc_id, category),
+lines AS (SELECT doc_id, string_agg('- ' || category || ': ' || n, chr(10) ORDER BY category) AS l, sum(n) AS total FROM per GROUP BY doc_id)
+SELECT c.doc_id, '# Sanitization report' || chr(10) || chr(10) || 'Status: Completed' || chr(10) || 'Policy: default v1' || chr(10) || 'Replacements: ' || c.n || chr(10) || chr(10)
+  || '## Findings by category' || chr(10) || chr(10) || coalesce(l, '- None') || chr(10) || chr(10) || '## Findings by source' || chr(10) || chr(10)
+  || coalesce('- regex: ' || CAST(total AS BIGINT), '- None') || chr(10) || chr(10) || '## Verification' || chr(10) || chr(10) || '- Originals left: 0' || chr(10)
+  || '- Findings left: 0' || chr(10) || '- Malformed placeholders: 0' || chr(10) || '- Result: Passed' || chr(10) || chr(10) || 'Nothing to do.' || chr(10) AS report
+FROM clean c LEFT JOIN lines USING (doc_id)"""
+)
+def audit_markdown(spark, sf_dir):
+    return report.as_markdown(report.audit(process(docs(spark, sf_dir)), DEFAULT))
+
+
+# Texts made from documents, so that placeholders and all categories occur.
+_MARKED = """'Note [EMAIL_' || (doc_id % 3) || '] and [REDACTED_SSN] by [REDACTED_EMAIL], [PHONE_2] [X] [PERSON_1' || CASE WHEN doc_id % 2 = 0 THEN ']' ELSE ' open' END"""
+
+
+@query(
+    rf"""WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents)
+SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END + 2 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS valid,
+  CAST(1 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS BIGINT) AS malformed, CAST(len(t) AS BIGINT) AS masked_length FROM m"""
+)
+def placeholder_parse(spark, sf_dir):
+    marked = docs(spark, sf_dir).select("doc_id", F.expr(_MARKED).alias("t")).withColumn("found", placeholder_spans(F.col("t"), DEFAULT))
+    return marked.select("doc_id", F.size("found").cast("long").alias("valid"), malformed_count(F.col("t"), DEFAULT).alias("malformed"), F.length(masked(F.col("t"), F.col("found"))).cast("long").alias("masked_length"))
+
+
+@query(
+    """WITH h AS (SELECT doc_id, sha256(text) AS source_hash, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id FROM documents)
+SELECT doc_id, source_hash, first_id FROM h WHERE r > 1"""
+)
+def duplicate_docs(spark, sf_dir):
+    from pyspark.sql import Window
+
+    hashed = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("source_hash"))
+    by = Window.partitionBy("source_hash")
+    ranked = hashed.withColumns({"r": F.row_number().over(by.orderBy("doc_id")), "first_id": F.min("doc_id").over(by)})
+    return ranked.where("r > 1").select("doc_id", "source_hash", "first_id")
+
+
+_STATUS_SQL = "CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 11 = 0 THEN 'interrupted' WHEN doc_id % 5 = 0 THEN 'quarantined' WHEN doc_id % 13 = 0 THEN 'verifying' ELSE 'completed' END"
+_JOBS = f"WITH jobs AS (SELECT doc_id AS id, sha256(text) AS source_hash, {_STATUS_SQL} AS status FROM documents)"
+
+
+def _jobs(spark, sf_dir) -> DataFrame:
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("source_hash"), F.expr(_STATUS_SQL).alias("status"), F.timestamp_seconds("doc_id").alias("created_at"))
+
+
+@query(_JOBS + " SELECT id, source_hash, status FROM jobs ORDER BY id DESC LIMIT 50 OFFSET 20")
+def job_ledger_recent(spark, sf_dir):
+    return ledger.recent(_jobs(spark, sf_dir), 50, 20).select("id", "source_hash", "status")
+
+
+@query(_JOBS + " SELECT status, count(*) AS n FROM jobs GROUP BY status")
+def job_status_counts(spark, sf_dir):
+    return ledger.status_counts(_jobs(spark, sf_dir))
+
+
+@query(_JOBS + " SELECT id, status FROM jobs WHERE status IN ('failed', 'interrupted')")
+def retry_eligible(spark, sf_dir):
+    return ledger.retryable(_jobs(spark, sf_dir)).select("id", "status")
+
+
+@query(_JOBS + " SELECT id, CASE WHEN status = 'verifying' THEN 'interrupted' ELSE status END AS status FROM jobs")
+def job_recover(spark, sf_dir):
+    return ledger.recovered(_jobs(spark, sf_dir)).select("id", "status")
+
+
+@query(_JOBS + " SELECT source_hash, max(id) AS id, arg_max(status, id) AS status FROM jobs GROUP BY source_hash")
+def job_latest(spark, sf_dir):
+    return ledger.latest(_jobs(spark, sf_dir)).select("source_hash", "id", "status")
+
+
+@query(
+    _JOBS
+    + """, last AS (SELECT source_hash, arg_max(status, id) AS status FROM jobs WHERE id % 2 = 0 GROUP BY source_hash),
+first AS (SELECT source_hash, min(id) AS id FROM jobs GROUP BY source_hash)
+SELECT f.id, f.source_hash FROM first f LEFT JOIN last l USING (source_hash) WHERE l.status IS NULL OR l.status IN ('failed', 'interrupted')"""
+)
+def duplicate_skip(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir)
+    return ledger.not_done(jobs, jobs.where("id % 2 = 0"), "id").select("id", "source_hash")
+
+
+# Expected findings: the merged ones, one in three moved by a character, one in five of another category.
+_EXPECTED = (
+    MERGED
+    + """, fnd AS (SELECT doc_id AS case_id, category, s, CAST(e AS BIGINT) AS e FROM merged),
+expd AS (SELECT case_id, CASE WHEN (case_id + s) % 5 = 0 THEN 'OTHER' ELSE category END AS category, CASE WHEN (case_id + s) % 3 = 0 THEN s + 1 ELSE s END AS s, e, (case_id + s) % 2 = 0 AS required FROM fnd)"""
+)
+
+
+def _evaluated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    found = exploded(merge(detect(docs(spark, sf_dir))), "merged").select(F.col("doc_id").alias("case_id"), "category", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    at = F.col("case_id") + F.col("start")
+    expected = found.select(
+        "case_id", F.when(at % 5 == 0, "OTHER").otherwise(F.col("category")).alias("category"), F.when(at % 3 == 0, F.col("start") + 1).otherwise(F.col("start")).alias("start"), "end", (at % 2 == 0).alias("required")
+    )
+    return found, expected
+
+
+@query(_EXPECTED + " SELECT f.case_id, f.category, f.s AS start_at, f.e AS end_at FROM fnd f JOIN expd x ON f.case_id = x.case_id AND f.category = x.category AND f.s = x.s AND f.e = x.e")
+def eval_exact(spark, sf_dir):
+    return evaluate.hits(*_evaluated(spark, sf_dir)).select("case_id", "category", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+@query(
+    _EXPECTED
+    + """ SELECT 'fp' AS kind, f.case_id, f.category, f.s AS start_at, f.e AS end_at FROM fnd f ANTI JOIN expd x ON f.case_id = x.case_id AND f.category = x.category AND f.s = x.s AND f.e = x.e
+UNION ALL SELECT 'fn', x.case_id, x.category, x.s, x.e FROM (SELECT * FROM expd WHERE required) x ANTI JOIN fnd f ON f.case_id = x.case_id AND f.category = x.category AND f.s = x.s AND f.e = x.e"""
+)
+def eval_misses(spark, sf_dir):
+    found, expected = _evaluated(spark, sf_dir)
+    columns = ["case_id", "category", F.col("start").alias("start_at"), F.col("end").alias("end_at")]
+    wrong = evaluate.false_positives(found, expected).select(F.lit("fp").alias("kind"), *columns)
+    return wrong.unionByName(evaluate.false_negatives(found, expected).select(F.lit("fn").alias("kind"), *columns))
+
+
+_OVERLAPS = "f.case_id = x.case_id AND f.s < x.e AND x.s < f.e"
+
+
+@query(
+    _EXPECTED
+    + f""" SELECT 'overlap' AS kind, case_id, category, s AS start_at FROM expd x WHERE EXISTS (SELECT 1 FROM fnd f WHERE {_OVERLAPS})
+UNION ALL SELECT 'category', case_id, category, s FROM expd x WHERE EXISTS (SELECT 1 FROM fnd f WHERE {_OVERLAPS} AND f.category = x.category)"""
+)
+def eval_overlap(spark, sf_dir):
+    found, expected = _evaluated(spark, sf_dir)
+    near = evaluate.overlap_hits(found, expected).select(F.lit("overlap").alias("kind"), "case_id", "category", F.col("start").alias("start_at"))
+    return near.unionByName(evaluate.category_hits(found, expected).select(F.lit("category").alias("kind"), "case_id", "category", F.col("start").alias("start_at")))
+
+
+_METRICS = (
+    _EXPECTED
+    + f""", n AS (SELECT (SELECT count(*) FROM fnd f JOIN expd x ON f.case_id = x.case_id AND f.category = x.category AND f.s = x.s AND f.e = x.e) AS tp,
+  (SELECT count(*) FROM fnd) AS found, (SELECT count(*) FROM expd) AS expected_total, (SELECT count(*) FROM expd WHERE required) AS required_total,
+  (SELECT count(*) FROM expd x WHERE required AND EXISTS (SELECT 1 FROM fnd f WHERE f.case_id = x.case_id AND f.category = x.category AND f.s = x.s AND f.e = x.e)) AS required_hit,
+  (SELECT count(*) FROM expd x WHERE EXISTS (SELECT 1 FROM fnd f WHERE {_OVERLAPS})) AS overlap,
+  (SELECT count(*) FROM expd x WHERE EXISTS (SELECT 1 FROM fnd f WHERE {_OVERLAPS} AND f.category = x.category)) AS category),
+q AS (SELECT tp, found - tp AS fp, required_total - required_hit AS fn, CASE WHEN found > 0 THEN tp / found ELSE 1 END AS p, CASE WHEN expected_total > 0 THEN tp / expected_total ELSE 1 END AS r,
+  CASE WHEN required_total > 0 THEN required_hit / required_total ELSE 1 END AS rr, overlap / expected_total AS oa, category / expected_total AS ca FROM n)"""
+)
+
+
+@query(
+    _METRICS
+    + """ SELECT tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1, round(rr, 9) AS required_recall,
+  round(oa, 9) AS overlap_accuracy, round(ca, 9) AS category_accuracy FROM q"""
+)
+def eval_metrics(spark, sf_dir):
+    summary = evaluate.metrics(evaluate.counts(*_evaluated(spark, sf_dir)))
+    return summary.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "required_recall", "overlap_accuracy", "category_accuracy")])
+
+
+@query(
+    _METRICS
+    + """ SELECT array_to_string(list_filter([CASE WHEN p < 0.7 THEN 'PRECISION_BELOW_MINIMUM' END, CASE WHEN rr < 0.95 THEN 'REQUIRED_RECALL_BELOW_MINIMUM' END,
+  CASE WHEN r < 0.95 THEN 'EXACT_SPAN_ACCURACY_BELOW_MINIMUM' END], lambda x: x IS NOT NULL), ',') AS failures FROM q"""
+)
+def eval_gates(spark, sf_dir):
+    summary = evaluate.metrics(evaluate.counts(*_evaluated(spark, sf_dir))).withColumns({"verification_pass_rate": F.lit(1.0), "invalid_findings": F.lit(0)})
+    return evaluate.gate(summary).select(F.array_join("failures", ",").alias("failures"))
+
+
+@query(
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(max(CASE WHEN r = floor((n - 1) * 0.95::DOUBLE) THEN value END), 6) AS p95 FROM r GROUP BY event_type"""
+)
+def latency_percentiles(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value")
+    found = evaluate.latencies(events, "value", ["event_type"])
+    return found.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p95")])
+
+
+@query(
+    r"""WITH RECURSIVE d AS (SELECT doc_id, text, CAST(len(text) AS BIGINT) AS n FROM documents),
+c AS (
+  SELECT doc_id, 0 AS i, CAST(0 AS BIGINT) AS a, least(900, n) AS target FROM d WHERE n > 0
+  UNION ALL
+  SELECT b.doc_id, i + 1, greatest(b.a + 1, b.e - 60), least(greatest(b.a + 1, b.e - 60) + 900, b.n)
+  FROM (SELECT c.doc_id, c.i, c.a, d.n, CASE WHEN target = n THEN n ELSE a + coalesce(
+      CASE WHEN strpos(rev, chr(10) || chr(10)) > 0 THEN w - strpos(rev, chr(10) || chr(10)) + 1 END, CASE WHEN strpos(rev, ' .') > 0 THEN w - strpos(rev, ' .') + 1 END,
+      CASE WHEN strpos(rev, ' !') > 0 THEN w - strpos(rev, ' !') + 1 END, CASE WHEN strpos(rev, ' ?') > 0 THEN w - strpos(rev, ' ?') + 1 END,
+      CASE WHEN strpos(rev, chr(10)) > 0 THEN w - strpos(rev, chr(10)) + 1 END, 900) END AS e
+    FROM c JOIN d USING (doc_id), LATERAL (SELECT least(target + 1, n) - a AS w) AS x, LATERAL (SELECT reverse(substring(text, a + 451, w - 450)) AS rev) AS y) AS b
+  WHERE b.e < b.n)
+SELECT doc_id, CAST(i AS BIGINT) AS chunk, a AS start_at FROM c"""
+)
+def chunk_documents(spark, sf_dir):
+    rows = contextual.chunked(docs(spark, sf_dir), max_chars=900, overlap=60, max_chunks=100_000)
+    return rows.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", F.col("c.index").cast("long").alias("chunk"), F.col("c.start").cast("long").alias("start_at"))
+
+
+_TERMS = [("the", "OTHER", 0.5), ("token", "INDIRECT_IDENTIFIER", 0.8), ("is", "PROJECT_NAME", 0.7)]
+
+
+def _terms_sql(table: str, key: str, text: str) -> str:
+    parts = [f"SELECT {key}, '{c}' AS category, CAST((len({text}) - len(replace({text}, '{t}', ''))) / {len(t)} AS BIGINT) AS n FROM {table}" for t, c, _ in _TERMS]
+    return f"SELECT {key}, category, n FROM ({' UNION ALL '.join(parts)}) WHERE n > 0"
+
+
+@query(_terms_sql("pages", "page_id", "html"))
+def dictionary_locate(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    found = pages.select("page_id", F.explode(contextual.dictionary_findings(F.col("html"), _TERMS)).alias("f"))
+    return found.groupBy("page_id", "f.category").agg(F.count("*").alias("n"))
+
+
+@query(
+    "WITH "
+    + span_sql("em", EMAIL, "pages", "page_id", "html")
+    + ","
+    + span_sql("ph", PHONE, "pages", "page_id", "html")
+    + r""" SELECT page_id, category, count(*) AS n FROM (SELECT page_id, 'EMAIL' AS category FROM em UNION ALL SELECT page_id, 'PHONE' FROM ph WHERE NOT regexp_matches(before, '\d')) GROUP BY page_id, category"""
+)
+def pages_detect(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return exploded(detect(pages, "html", ("email", "phone")), keys=("page_id",)).groupBy("page_id", "category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT role, count(*) AS turns, CAST(0 AS BIGINT) AS findings FROM conversations GROUP BY role")
+def conversation_detect(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", "text")
+    return detect(turns).groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.size("findings")).alias("findings"))
+
+
+@query(
+    r"""SELECT doc_id, sha256(lower(regexp_replace(trim(text, ' ' || chr(10) || chr(9)), '\s+', ' ', 'g'))) AS normal_hash, CAST(len(regexp_replace(text, '\D', '', 'g')) AS BIGINT) AS digits,
+  sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS html_hash FROM documents"""
+)
+def scalar_functions(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return d.select("doc_id", F.sha2(normalized(F.col("text")), 256).alias("normal_hash"), F.length(digits_only(F.col("text"))).cast("long").alias("digits"), F.sha2(html_escaped(F.col("text")), 256).alias("html_hash"))
+
+
+_GLYPHS = "SELECT doc_id, CAST(doc_id % 4 AS INT) AS page, 1 AS block, CAST(p // 40 AS INT) AS line, 1 AS span, p AS char, p % 40 * 6.0 AS x0, p // 40 * 12.0 AS y0, p % 40 * 6.0 + 6.0 AS x1, p // 40 * 12.0 + 10.0 AS y1"
+
+
+def _glyph_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Findings of the documents, and a glyph of fixed size for each of their characters, forty a line."""
+    found = exploded(merge(detect(docs(spark, sf_dir), names=("email", "phone"))), "merged").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "category")
+    at = found.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("p"))
+    column, row = F.pmod("p", F.lit(40)) * 6.0, F.floor(F.col("p") / 40)
+    rows = at.select(
+        "doc_id", F.pmod("doc_id", F.lit(4)).cast("int").alias("page"), F.lit(1).alias("block"), row.cast("int").alias("line"), F.lit(1).alias("span"), F.col("p").alias("offset"),
+        column.alias("x0"), (row * 12.0).alias("y0"), (column + 6.0).alias("x1"), (row * 12.0 + 10.0).alias("y1"),
+    )
+    return found, rows
+
+
+_BOXES = (
+    MERGED
+    + """, em2 AS (SELECT * FROM merged WHERE category IN ('EMAIL', 'PHONE')),
+g AS (SELECT doc_id, s, category, p, p // 40 AS line FROM em2, unnest(range(s, CAST(e AS BIGINT))) AS u(p)),
+box AS (SELECT doc_id, s, category, line, min(p % 40) * 6.0 AS x0, line * 12.0 AS y0, max(p % 40) * 6.0 + 6.0 AS x1, line * 12.0 + 10.0 AS y1 FROM g GROUP BY doc_id, s, category, line)"""
+)
+
+
+@query(_BOXES + " SELECT doc_id, s AS start_at, category, CAST(line AS BIGINT) AS line, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM box")
+def pdf_glyph_union(spark, sf_dir):
+    found, rows = _glyph_rows(spark, sf_dir)
+    return glyphs.finding_boxes(found, rows).select("doc_id", F.col("start").alias("start_at"), "category", F.col("line").cast("long").alias("line"), "x0", "y0", "x1", "y1")
+
+
+@query(
+    _BOXES
+    + """, o AS (SELECT *, lag(x1) OVER (PARTITION BY doc_id ORDER BY y0, x0) AS px, lag(y0) OVER (PARTITION BY doc_id ORDER BY y0, x0) AS py FROM box),
+k AS (SELECT *, sum(CASE WHEN py = y0 AND x0 - px <= 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY y0, x0) AS island FROM o)
+SELECT doc_id, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(y0) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(max(y1) AS DOUBLE) AS y1, count(*) AS n FROM k GROUP BY doc_id, island"""
+)
+def pdf_adjacent_merge(spark, sf_dir):
+    found, rows = _glyph_rows(spark, sf_dir)
+    boxes = glyphs.finding_boxes(found, rows)
+    return glyphs.adjacent_merged(boxes.select("doc_id", "page", "x0", "y0", "x1", "y1")).select("doc_id", "x0", "y0", "x1", "y1", "n")
+
+
+@query(_SANITIZED + " SELECT min(doc_id) AS doc_id, sha256(sanitized) AS sanitized_hash FROM (SELECT c.doc_id, c.sanitized, d.text FROM clean c JOIN documents d USING (doc_id)) GROUP BY text, sanitized")
+def stream_sanitize_available_now(spark, sf_dir):
+    import tempfile
+
+    from palimpsest.streaming.watch import documents, watch
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    import uuid
+
+    base = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    stream = documents(spark, sf_dir, schema, "documents.parquet").select("doc_id", "text")
+    watch(stream, f"{base}/out", f"{base}/ledger", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("doc_id", F.sha2("sanitized", 256).alias("sanitized_hash"))
