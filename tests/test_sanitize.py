@@ -1,0 +1,148 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.functions.columns import address_class, luhn_ok, normalized, safe_url, spans
+from palimpsest.operators.contextual import ChunkLimitError, chunk_rows, chunked, dictionary_findings, located, windows, without_overlaps
+from palimpsest.operators.detect import FINDINGS, PATTERNS, detect, exploded
+from palimpsest.operators.merge import merge
+from palimpsest.operators.placeholders import malformed_count, placeholder_spans
+from palimpsest.operators.policy import DEFAULT, POLICIES, STRICT, Policy, PolicyError
+from palimpsest.operators.verify import verify
+from palimpsest.plans.process import process
+
+
+def texts(spark, *values):
+    return spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")
+
+
+def test_spans_agree_with_python(spark):
+    rng = random.Random(3)
+    parts = ["a@b.co", " ", "312-555-0142", "é", "😀", "10.0.0.1", ".", ",", "\n", "token: x", "4111 1111 1111 1111", "https://x.org/a.", '"', "1234567890123456789012"]
+    values = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+    for p in PATTERNS:
+        expression = p.regex.replace("(?iU)", "(?i)").replace("(?U)", "")
+        rows = texts(spark, *values).select("doc_id", spans(F.col("text"), p.regex).alias("s")).collect()
+        for row in rows:
+            want = [(m.start(), m.end(), m.group()) for m in re.finditer(expression, values[row.doc_id])]
+            assert [tuple(x) for x in row.s] == want, (p.name, values[row.doc_id])
+
+
+def test_negatives_have_no_findings(spark):
+    clean = ["300.1.1.1", "1.2.3.4.5", "01.2.3.4", "000-12-3456", "4111 1111 1111 1112", "0000 0000 0000 0000", "a@b", "3125550142", "password secret token", "sk-abc", "Bearer", "[EMAIL_1]", None, ""]
+    assert exploded(detect(texts(spark, *clean))).count() == 0
+
+
+def test_scalar_functions(spark):
+    row = spark.range(1).select(
+        normalized(F.lit("  A \t b ")).alias("n"), luhn_ok(F.lit("4111-1111 1111 1111")).alias("ok"), luhn_ok(F.lit("0000000000000000")).alias("zero"),
+        safe_url(F.lit("https://u:p@h.org/a?q=1#f")).alias("u"), address_class(F.lit("100.64.1.1")).alias("c"), address_class(F.lit("1.2.3")).alias("i"),
+    ).first()
+    assert tuple(row) == ("a b", True, False, "https://***@h.org/a", "shared", "invalid")
+
+
+def finding(start, end, category, confidence=1.0, source="regex", value=None):
+    return (start, end, category, value if value is not None else "x" * (end - start), confidence, [source], "")
+
+
+def test_merge_equals_a_plain_greedy_loop(spark):
+    from palimpsest.operators.policy import RISK
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        found = []
+        for _ in range(rng.randint(0, 9)):
+            a = rng.randint(0, 30)
+            found.append(finding(a, a + rng.randint(1, 8), rng.choice(["EMAIL", "SSN", "SECRET", "OTHER"]), rng.choice([0.5, 0.9, 1.0]), rng.choice(["regex", "model"])))
+        rows.append((i, "x" * 60, found))
+    got = merge(spark.createDataFrame(rows, f"doc_id long, text string, findings {FINDINGS}")).collect()
+    for row in got:
+        unique = {}
+        for s, e, c, v, k, src, _ in rows[row.doc_id][2]:
+            old = unique.get((s, e, c))
+            unique[s, e, c] = (max(k, old[0]), old[1] | set(src)) if old else (k, set(src))
+        ranked = sorted(unique.items(), key=lambda x: (-RISK.get(x[0][2], 0), "regex" not in x[1][1], x[0][0] - x[0][1], x[0][0], -x[1][0], x[0][2]))
+        accepted = []
+        for (s, e, c), (k, src) in ranked:
+            if not any(s < b and a < e for a, b, *_ in accepted):
+                accepted.append((s, e, c, k, src))
+        assert [(x.start, x.end, x.category, x.confidence, set(x.sources)) for x in row.merged] == sorted(accepted)
+        assert len(row.ambiguous) == len(unique) - len(accepted)
+
+
+def test_merge_reports_wrong_offsets_without_values(spark):
+    row = merge(spark.createDataFrame([(1, "abc", [finding(0, 2, "OTHER", value="zz")])], f"doc_id long, text string, findings {FINDINGS}")).first()
+    assert row.merged == [] and row.ambiguous[0].issue == "offset_mismatch" and "value" not in row.ambiguous[0].asDict()
+
+
+def test_numbers_are_stable_and_per_label(spark):
+    shared = Policy("p", actions={"EMAIL": "replace", "PHONE": "replace"}, labels={"EMAIL": "X", "PHONE": "X"})
+    row = process(texts(spark, "a@b.co 312-555-0142 A@B.CO c@d.co"), shared).first()
+    assert row.sanitized == "[X_1] [X_2] [X_1] [X_3]"
+
+
+def test_process_default_policy(spark):
+    rows = process(texts(spark, 'a@b.co password="x y" 219-09-9999 10.0.0.1', None, "")).orderBy("doc_id").collect()
+    assert rows[0].sanitized == '[EMAIL_1] password="[REDACTED_PASSWORD]" [REDACTED_SSN] [IP_ADDRESS_1]'
+    assert [r.status for r in rows] == ["completed", "failed", "completed"] and rows[0].passed
+
+
+def test_reviewed_values_quarantine(spark):
+    row = process(texts(spark, "host 10.0.0.1"), STRICT).first()
+    assert row.route == "quarantine" and not row.passed and row.sanitized == "host 10.0.0.1"
+    lenient = Policy("w", default_action="review", quarantine=False, warn_only=True)
+    row = process(texts(spark, "host 10.0.0.1"), lenient).first()
+    assert row.route == "release" and row.ignored_reviews == 1
+
+
+def test_policies_contradict():
+    with pytest.raises(PolicyError):
+        Policy("p", warn_only=True, quarantine=True)
+    with pytest.raises(PolicyError):
+        Policy("p", actions={"EMAIL": "burn"})
+    assert set(POLICIES) == {"default", "strict", "ai-safe"} and DEFAULT.label("OTHER") == "SENSITIVE"
+
+
+def test_malformed_placeholders(spark):
+    text = "[EMAIL_1] [EMAIL_0] [REDACTED_SSN] [REDACTED_EMAIL] [note] [NOPE_1] [OPEN"
+    row = texts(spark, text).select(F.size(placeholder_spans(F.col("text"), DEFAULT)).alias("v"), malformed_count(F.col("text"), DEFAULT).alias("m")).first()
+    assert (row.v, row.m) == (2, 4)
+
+
+def test_reformatted_number_is_still_found(spark):
+    planned = [(0, 11, "[REDACTED_SSN]", "SSN", "219-09-9999", 1.0, ["regex"])]
+    kind = "array<struct<start:int,end:int,placeholder:string,category:string,value:string,confidence:double,sources:array<string>>>"
+    df = spark.createDataFrame([(1, "it was 219 09 9999", planned), (2, "gone [REDACTED_SSN]", planned)], f"doc_id long, sanitized string, planned {kind}")
+    got = {r.doc_id: (r.originals_left, r.passed) for r in verify(df, DEFAULT).collect()}
+    assert got == {1: (1, False), 2: (0, True)}
+
+
+def test_windows():
+    assert windows("x" * 250, 100, 10, 9) == [(0, 100), (90, 190), (180, 250)]
+    text = "one two. " * 20
+    for a, b in windows(text, 50, 5, 99)[:-1]:
+        assert text[b - 2 : b] == ". "
+    assert windows("y" * 30, 10, 2, 9, [(8, 14)])[0] == (0, 14)
+    with pytest.raises(ChunkLimitError):
+        windows("z" * 100, 10, 1, 3)
+    assert windows("", 10, 1, 3) == []
+
+
+def test_provider_over_windows(spark):
+    df = chunked(texts(spark, "Ann met Bob. Ann left.", None), max_chars=14, overlap=4)
+    found = located(chunk_rows(df), lambda batch: [[("Ann", "PERSON_NAME", 0.9, "name"), ("Zed", "OTHER", 1, "")] for _ in batch])
+    assert sorted((r.start, r.value) for r in found.distinct().collect()) == [(0, "Ann"), (13, "Ann")]
+
+
+def test_overlap_keeps_the_first_of_the_surest(spark):
+    rows = [(1, 0, 3, "A", "abc", c, s, "", t) for t, (c, s) in enumerate([(0.5, "a"), (0.9, "b"), (0.9, "c"), (0.7, "d")])]
+    row = without_overlaps(spark.createDataFrame(rows, "doc_id long, start int, end int, category string, value string, confidence double, source string, reason string, turn int")).first()
+    assert row.confidence == 0.9 and row.sources == ["b", "c", "d"]
+
+
+def test_dictionary(spark):
+    row = texts(spark, "aaaa b.c").select(dictionary_findings(F.col("text"), [("aa", "OTHER", 0.5), ("b.c", "URL", 1.0)]).alias("f")).first()
+    assert [(x.start, x.end) for x in row.f] == [(0, 2), (2, 4), (5, 8)]
