@@ -174,14 +174,14 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     def shells(vantage: str) -> Column:
         d = F.bit_count(F.col("fp").bitwiseXOR(F.col(vantage)))
-        wide = F.lit(radius + 1)
-        home = F.floor(d / wide).cast("int")
-        return F.when(F.col("n") <= SHARD, F.array(F.lit(0))).when(F.pmod(d, wide) == 0, F.array(home)).otherwise(F.array(home, home + 1))
-
-    cells = sized.select("fp", "forest", "key", "v2", "v3", "n", F.explode(shells("v1")).alias("s1"))
-    cells = cells.select("fp", "forest", "key", "v3", "n", "s1", F.explode(shells("v2")).alias("s2"))
-    cells = cells.select("fp", "forest", "key", "s1", "s2", F.explode(shells("v3")).alias("s3"))
-    cells = cells.select("fp", F.xxhash64("forest", "key", "s1", "s2", "s3").alias("shard"))
+        home = F.floor(d / F.lit(radius + 1)).cast("int")
+        return F.when(F.pmod(d, F.lit(radius + 1)) == 0, F.array(home)).otherwise(F.array(home, home + 1))
+
+    # only fingerprints of large shards are copied to the shells that they visit
+    whole = sized.where(F.col("n") <= SHARD).select("fp", F.xxhash64("forest", "key").alias("shard"))
+    near = F.transform(shells("v1"), lambda a: F.transform(shells("v2"), lambda b: F.transform(shells("v3"), lambda c: F.xxhash64("forest", "key", a, b, c))))
+    split = sized.where(F.col("n") > SHARD).select("fp", F.explode(F.flatten(F.flatten(near))).alias("shard"))
+    cells = whole.unionByName(split)
     return cells.repartition("shard").sortWithinPartitions("shard").mapInArrow(_forests(radius), "hi long, lo long")
 
 
