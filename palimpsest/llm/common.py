@@ -41,6 +41,14 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """As ``shared_path``, the folder being made."""
+    path = shared_path(spark, what)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    return path
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
@@ -58,12 +66,6 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a path of the shared folder that is no longer read."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

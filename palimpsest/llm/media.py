@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from palimpsest.llm.common import cut, shared_path
+from palimpsest.llm.common import cut, shared_folder
 
 ROW = 64
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -81,7 +81,6 @@ def from_png(image: bytes) -> bytes:
 def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
         name = uuid.uuid4().hex
         number = members = 0
         out = archive = None
@@ -247,4 +246,4 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return shared_path(spark, "media")
+    return shared_folder(spark, "media")
