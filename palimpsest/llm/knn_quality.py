@@ -124,9 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: st
     Rows without a label are passed over; several labels of one id count by their mean. Only term counts
     of the sample reach the driver, at most ``TERMS`` numbers a row.
     """
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg((F.avg(label) >= 0.5).cast("float").alias("label"))
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg((F.avg(label) >= 0.5).cast("float").alias("_label"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    sample = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select(F.coalesce(F.col(text), F.lit("")).alias("text"), "label")
+    texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", F.col("_label").alias("label"))
     found = sample.mapInArrow(_sparse, "label float, terms array<int>, counts array<float>").limit(2 * max_rows).toArrow()
     x = np.zeros((len(found), TERMS), np.float32)
     for row, (terms, values) in enumerate(zip(found["terms"].to_pylist(), found["counts"].to_pylist())):
