@@ -20,6 +20,9 @@ lines more than nine tenths.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,15 +69,22 @@ def with_repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
     return marked.drop("_grams", "_ranked", "_same")
 
 
-def line_fails(line: Column, n_words: Column) -> Column:
-    """True for a line that is navigation, boilerplate, symbols, shouting or repetition."""
+#: Each boilerplate expression contains one of these, which are found faster.
+_HINTS = ("licensed under", "copyright (c)", "cookie", "reserved", "privacy policy", "terms of", "subscribe to", "sign up", "click here", "javascript", "skip to", "permission is", "spdx-")
+
+
+def line_fails(line: Column, words: Column) -> Column:
+    """True for a line that is navigation, boilerplate, symbols, shouting or repetition; ``words``: those of the line."""
+    n = F.size(words)
     symbols = F.regexp_count(line, F.lit(SYMBOLS + "|!!"))
+    low = F.lower(line)
+    hinted = functools.reduce(operator.or_, (low.contains(x) for x in _HINTS))
     return (
         line.rlike(NAVIGATION)
-        | line.rlike(BOILERPLATE)
-        | ((symbols > 0) & (2 * symbols >= n_words))
-        | ((n_words >= 3) & ~line.rlike("\\p{Ll}") & line.rlike("\\p{Lu}"))
-        | ((n_words >= 5) & (2 * F.size(F.array_distinct(F.filter(word_parts(line), lambda w: w != ""))) <= n_words))
+        | ((symbols > 0) & (2 * symbols >= n))
+        | ((n >= 3) & ~line.rlike("\\p{Ll}") & line.rlike("\\p{Lu}"))
+        | ((n >= 5) & (2 * F.size(F.array_distinct(words)) <= n))
+        | (hinted & line.rlike(BOILERPLATE))
     )
 
 
@@ -92,19 +102,20 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
         .withColumn("word_chars", (F.length(source) - F.size("_parts") + 1).cast("long"))
         .withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("n_symbols", F.regexp_count(source, F.lit(SYMBOLS)).cast("long"))
-        .withColumn("_spoken", F.filter("_lines", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-        .withColumn("n_dup_lines", (F.size("_spoken") - F.size(F.array_distinct("_spoken"))).cast("long"))
+        .withColumn("_split", F.transform("_lines", lambda x: F.struct(x.alias("line"), F.array_remove(word_parts(x), "").alias("words"))))
+        .withColumn("_spoken", F.filter("_split", lambda x: F.size(x["words"]) > 0))
+        .withColumn("n_dup_lines", (F.size("_spoken") - F.size(F.array_distinct(F.transform("_spoken", lambda x: x["line"])))).cast("long"))
     )
     counted = with_repeat_words(counted, "_words", "n_repeat_words").withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     )
 
-    def verdict(line: Column) -> Column:
-        n = F.size(F.filter(word_parts(line), lambda w: w != ""))
+    def verdict(x: Column) -> Column:
+        line, n = x["line"], F.size(x["words"])
         return F.struct(
             line.alias("line"),
             n.cast("long").alias("n"),
-            line_fails(line, n).alias("fails"),
+            line_fails(line, x["words"]).alias("fails"),
             ((n >= 8) & ~line.rlike("[.!?…:;\"”»)\\]][\\x20\\x09-\\x0D]*$")).alias("unfinished"),
         )
 
@@ -121,4 +132,4 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
     return judged.withColumn(
         "kept",
         ~F.col("base_failed") & (F.col("n_failed_words") <= max_loss * n) & (10 * F.col("n_unfinished_words") <= 9 * n),
-    ).drop("_parts", "_words", "_lines", "_spoken", "_judged")
+    ).drop("_parts", "_words", "_lines", "_split", "_spoken", "_judged")
