@@ -16,6 +16,8 @@ import functools
 import gc
 import itertools
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +35,14 @@ DOCUMENTS_AT_ONCE = 500
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _OTHER = re.compile(rf"[^\n -~{_LETTERS}]")
 #: The split pattern that the fast expression below stands for.
-_COMMON = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _FAST = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 
 
 def splitter(pattern: str):
     """Function from a text to the list of its pieces, the matches of ``pattern``."""
     every = regex.compile(pattern).findall
-    if pattern != _COMMON:
+    if pattern != COMMON_PATTERN:
         return every
     return lambda text: every(text) if _OTHER.search(text) else _FAST.findall(text)
 
@@ -137,8 +139,8 @@ class PairTrees:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.rank[at], self.NONE)
 
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of pieces that are all shorter than 65 bytes."""
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed token ids of pieces that are all shorter than 65 bytes."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out: list = [None] * len(pieces)
         for log in range(7):
@@ -150,7 +152,7 @@ class PairTrees:
                         out[i] = ids
         return out
 
-    def _same_size(self, pieces: list[bytes], n: np.ndarray, size: int) -> list[list[int]]:
+    def _same_size(self, pieces: list[bytes], n: np.ndarray, size: int) -> list[bytes]:
         m = len(pieces)
         raw = np.frombuffer(b"".join(x.ljust(size, b"\0") for x in pieces), np.uint8).reshape(m, size)
         token = self.byte_id[raw]
@@ -197,47 +199,67 @@ class PairTrees:
             live[row, at[row]] = True
             at[row] = end[row, at[row]]
             row = row[at[row] < n[row]]
-        ids = token[live[:, :size]].tolist()
-        stop = np.cumsum(live.sum(axis=1)).tolist()
+        ids = token[live[:, :size]].astype("<u4").tobytes()
+        stop = (4 * np.cumsum(live.sum(axis=1))).tolist()
         return [ids[a:b] for a, b in zip([0, *stop], stop)]
 
 
-class Codec:
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers, which take a tenth of the memory of a list."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Memo:
+    """Texts to packed ids by pieces; subclasses encode the pieces not met before."""
+
+    split: Callable[[str], list[str]]
+
+    def __init__(self) -> None:
+        self.memo: dict[str, bytes] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        raise NotImplementedError
+
+    def pack(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; null counts as empty."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        with no_gc():
+            split = [self.split(x) if x else [] for x in texts]
+            if new := set().union(*split).difference(self.memo):
+                self.learn(new)
+            get = self.memo.__getitem__
+            return [b"".join(map(get, own)) for own in split]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(x, "<u4").tolist() for x in self.pack(texts)]
+
+
+class Codec(Memo):
     """Encodes texts by a rank file and a split pattern, and decodes ids."""
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.split = splitter(pattern)
         self.trees = PairTrees(self.ranks)
         self.bytes_of = {i: token for token, i in self.ranks.items()}
-        self.memo: dict[str, list[int]] = {}
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of pieces not met before."""
+    def learn(self, pieces: set[str]) -> None:
         names, merged = [], []
         for piece in pieces:
             data = piece.encode()
             whole = self.ranks.get(data)
             if whole is not None:
-                self.memo[piece] = [whole]
+                self.memo[piece] = packed([whole])
             elif len(data) > 64:
-                self.memo[piece] = merge_piece(data, self.ranks)
+                self.memo[piece] = packed(merge_piece(data, self.ranks))
             else:
                 names.append(piece)
                 merged.append(data)
         self.memo.update(zip(names, self.trees.encode(merged)))
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        with no_gc():
-            split = [self.split(x) if x else [] for x in texts]
-            if new := set().union(*split).difference(self.memo):
-                self._learn(new)
-            get = self.memo.__getitem__
-            return [list(itertools.chain.from_iterable(map(get, own))) for own in split]
-
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -247,12 +269,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def list_array(rows: list[list[int]], kind=pa.int32()) -> pa.Array:
-    """Lists of ids as an Arrow list array."""
+def list_array(rows: list[bytes]) -> pa.Array:
+    """Packed ids as an Arrow list array."""
     offsets = np.zeros(len(rows) + 1, np.int32)
-    np.cumsum(np.fromiter(map(len, rows), np.int32, len(rows)), out=offsets[1:])
-    values = np.fromiter(itertools.chain.from_iterable(rows), kind.to_pandas_dtype(), int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    np.cumsum(np.fromiter(map(len, rows), np.int32, len(rows)) // 4, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
 
 def encode(text, path: str, pattern: str):
@@ -265,7 +286,7 @@ def encode(text, path: str, pattern: str):
     def ids(batch: pa.Array) -> pa.Array:
         own = codec(path, pattern)
         step = DOCUMENTS_AT_ONCE
-        return pa.concat_arrays([list_array(own.encode(batch[k : k + step].to_pylist())) for k in range(0, max(1, len(batch)), step)])
+        return pa.concat_arrays([list_array(own.pack(batch[k : k + step].to_pylist())) for k in range(0, max(1, len(batch)), step)])
 
     return ids(text)
 

@@ -17,7 +17,7 @@ attempts that succeeded, so a lost executor leaves only unread files behind.
 from __future__ import annotations
 
 import functools
-import itertools
+import json
 import struct
 import uuid
 import zlib
@@ -30,8 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import MEMO_ENTRIES, list_array, no_gc, splitter
-from palimpsest.llm.common import cut, shared_path
+from palimpsest.llm.bpe import COMMON_PATTERN, Memo, list_array, packed, splitter
+from palimpsest.llm.common import cut, shared_folder
 
 MAGIC = b"PLANES1\n"
 BLOCK = 1 << 16
@@ -81,39 +81,30 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, both[:docs], both[docs:]
 
 
-class LibraryCodec:
-    """Texts to ids with the tokenizers library, a piece at a time; equal pieces are encoded once.
+class LibraryCodec(Memo):
+    """Texts to packed ids with the tokenizers library; equal pieces are encoded once.
 
-    The tokenizer must split texts by the pattern alone, as byte-level ones do; others raise ValueError.
+    Tokenizers that do more than split texts by the common pattern before they merge encode whole texts.
     """
 
     def __init__(self, path: str):
-        import json
-
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         first = spec["pre_tokenizer"] or {}
-        self.by_piece = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and spec["normalizer"] is None
-        self.split = splitter(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-        self.memo: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        if not self.by_piece:
-            return [x.ids for x in self.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        with no_gc():
-            split = [self.split(x) if x else [] for x in texts]
-            new = list(set().union(*split).difference(self.memo))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                # each piece is a text of its own here; a list of them crosses into the library once
-                self.memo.update(zip(part, (x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-            get = self.memo.__getitem__
-            return [list(itertools.chain.from_iterable(map(get, own))) for own in split]
+        by_piece = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and spec["normalizer"] is None
+        self.split = splitter(COMMON_PATTERN) if by_piece else lambda text: [text]
+
+    def learn(self, pieces: set[str]) -> None:
+        new = list(pieces)
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            # each piece is a text of its own here; a list of them crosses into the library once
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.memo.update(zip(part, (packed(x.ids) for x in found)))
 
 
 @functools.lru_cache(maxsize=2)
@@ -126,46 +117,46 @@ def encode(text, path: str, step: int = 500):
 
     def ids(batch: pa.Array) -> pa.Array:
         own = library_codec(path)
-        return pa.concat_arrays([list_array(own.encode(batch[k : k + step].to_pylist())) for k in range(0, max(1, len(batch)), step)])
+        return pa.concat_arrays([list_array(own.pack(batch[k : k + step].to_pylist())) for k in range(0, max(1, len(batch)), step)])
 
     return F.arrow_udf(ids, "array<int>")(text)
 
 
-def _writer(folder: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int):
+    """Encode and write where the texts are, so that ids do not cross into the JVM and back."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
-        ids, docs, lengths, size = [], [], [], 0
-        part = None
+        codec, end = library_codec(tokenizer), packed([end_id])
         name = uuid.uuid4().hex
-        done = 0
+        ids: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        size = done = 0
+        part = None
 
-        def flush():
-            nonlocal ids, docs, lengths, size, done
-            flat, own, sizes = np.concatenate(ids), np.concatenate(docs), np.concatenate(lengths)
+        def flush() -> pa.RecordBatch:
             path = f"{name}-{done:05d}.planes"
+            own = np.concatenate(docs)
             with fs.open_output_stream(f"{root}/{path}") as out:
-                out.write(pack(flat, own, sizes))
-            row = [[path], [part], [done], [len(own)], [len(flat)]]
-            ids, docs, lengths, size, done = [], [], [], 0, done + 1
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["file", "part", "roll", "n_docs", "n_ids"])
+                out.write(pack(np.concatenate(ids), own, np.concatenate(lengths)))
+            for parts in (ids, docs, lengths):
+                parts.clear()
+            kinds = {"file": pa.string(), "part": pa.int32(), "roll": pa.int32(), "n_docs": pa.int64(), "n_ids": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path, part, done, len(own), size), kinds.values())], list(kinds))
 
         for batch in batches:
-            if not len(batch):
-                continue
-            part = batch.column("part")[0].as_py()
-            column = batch.column("ids")
-            flat, offsets = column.flatten().to_numpy().astype(np.uint32), np.cumsum([0, *(x or 0 for x in column.value_lengths().to_pylist())])
             for k in range(0, len(batch), 500):
-                a, b = offsets[k], offsets[min(k + 500, len(batch))]
-                ends = offsets[k + 1 : min(k + 500, len(batch)) + 1] - a
-                ids.append(np.insert(flat[a:b], ends, end_id))
-                docs.append(batch.column("doc_id")[k : k + 500].to_numpy(zero_copy_only=False).astype(np.int64))
-                lengths.append(np.diff(np.append(0, ends)) + 1)
+                rows = batch.slice(k, 500)
+                part = rows.column("part")[0].as_py()
+                coded = codec.pack(rows.column("text").to_pylist())
+                lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)) // 4 + 1)
+                ids.append(np.frombuffer(end.join(coded) + end, "<u4"))
+                docs.append(rows.column("doc_id").to_numpy())
                 size += len(ids[-1])
                 if size >= FILE_IDS:
                     yield flush()
+                    size, done = 0, done + 1
         if size:
             yield flush()
 
@@ -181,8 +172,8 @@ def write(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text:
     """
     keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = keyed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    coded = dealt.select("doc_id", F.spark_partition_id().alias("part"), encode(F.col("text"), path).alias("ids"))
-    manifest = cut(coded.mapInArrow(_writer(folder, end_id), "file string, part int, roll int, n_docs long, n_ids long"), "manifest")
+    placed = dealt.select("doc_id", F.spark_partition_id().alias("part"), "text")
+    manifest = cut(placed.mapInArrow(_writer(folder, path, end_id), "file string, part int, roll int, n_docs long, n_ids long"), "manifest")
     from pyspark.sql import Window
 
     before = Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)
@@ -231,4 +222,4 @@ def read_checksums(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def new_folder(spark) -> str:
-    return shared_path(spark, "planes")
+    return shared_folder(spark, "planes")
