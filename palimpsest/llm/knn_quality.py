@@ -29,7 +29,7 @@ TERMS = WORDS + SHAPES
 SAME_WORD, SAME_LINE = zlib.crc32(b"\0word") % SHAPES + WORDS, zlib.crc32(b"\0line") % SHAPES + WORDS
 #: Labelled rows at most, latent dimensions, voters and the power of their similarities.
 MAX_ROWS, RANK, VOTERS, POWER = 4000, 48, 15, 4
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 BLOCK = 1000
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import cut
 
 #: Bytes that are hashed together; longer texts are cut into overlapping blocks.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240607).integers(0, 1 << 64, 256, dtype=np.uint64)
 
