@@ -38,18 +38,25 @@ SHARD = 10_000
 LEAF = 128
 
 
-def simhash(text: str | None, words: int = 4) -> int:
-    """Fingerprint of one text; 0 without words."""
+def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
+    """Hashes of all shingles of a text in order; of the whole text where it is shorter, none without words."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
+    joined = b" ".join(parts)
     if len(parts) <= words:
-        return digest(b" ".join(parts), 42)
+        return np.array([digest(joined, 42)], np.uint64)
     ends = list(itertools.accumulate(len(x) + 1 for x in parts))
-    joined = b" ".join(parts)
     spans = zip([0, *ends], ends[words - 1 :])
-    hashes = np.array([digest(joined[a : b - 1], 42) for a, b in spans], np.uint64)
+    return np.array([digest(joined[a : b - 1], 42) for a, b in spans], np.uint64)
+
+
+def simhash(text: str | None, words: int = 4) -> int:
+    """Fingerprint of one text; 0 without words."""
+    hashes = shingle_hashes(text, words)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     total = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -214,11 +221,19 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     Where ids are null or repeated, ties go to the first text in order, and one row of equal rows stays.
     """
     own = cut(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fingerprint")), "fingerprints")
-    found = cut(groups(own, radius), "groups")
+    return first_of_groups(docs, own, groups(own, radius), fingerprint(F.col("text"), words))
+
+
+def first_of_groups(docs: DataFrame, own: DataFrame, groups: DataFrame, key: Column) -> DataFrame:
+    """The first row of ``docs`` of each of ``groups`` (``fingerprint``, ``root``, ``component_id``).
+
+    ``own``: the ids of all rows. ``key``: the fingerprint of a row of ``docs``.
+    """
+    found = cut(groups, "groups")
     plain = own.where("doc_id is null").isEmpty() and own.groupBy("doc_id").count().where("count > 1").isEmpty()
     if plain:
         first = found.select(F.col("component_id").alias("doc_id")).distinct()
         return docs.join(first, "doc_id", "left_semi")
-    named = docs.select(F.struct(*docs.columns).alias("_row"), fingerprint(F.col("text"), words).alias("fingerprint")).join(found, "fingerprint")
+    named = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("fingerprint")).join(found, "fingerprint")
     order = Window.partitionBy("root").orderBy(F.col("_row.doc_id").asc_nulls_last(), F.col("_row.text"))
     return named.withColumn("_place", F.row_number().over(order)).where("_place = 1").select("_row.*")
