@@ -146,3 +146,25 @@ def test_overlap_keeps_the_first_of_the_surest(spark):
 def test_dictionary(spark):
     row = texts(spark, "aaaa b.c").select(dictionary_findings(F.col("text"), [("aa", "OTHER", 0.5), ("b.c", "URL", 1.0)]).alias("f")).first()
     assert [(x.start, x.end) for x in row.f] == [(0, 2), (2, 4), (5, 8)]
+
+
+def test_prefilter_passes_what_a_pattern_matches(spark):
+    """The shortest and the most separated matches of each pattern."""
+    cards = ["4222222222222", " ".join("4111111111111111"), "-".join("4111111111111111"), " ".join("4222222222222"), "-".join("6304000000000000000")]
+    values = {
+        "email": ["a@b.co"], "phone": ["312 555 0142", "+1 (312) 555-0142", "1.312.555.0142"], "ssn": ["123-45-6789"], "url": ["http://a", "https://a"], "card": cards,
+        "api_key": ["sk-" + "a_" * 8, "AKIA" + "Z" * 16, "ghp_" + "a" * 20], "bearer": ["bearer  x", "Bearer\tx"], "jwt": ["eyJa.eyJb.c"], "pem": ["-----BEGIN PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----"],
+        "ipv4": ["1.1.1.1"], "password": ["password:x", "Password \t = x"], "token": ["token=x", "api key  :  x", "API\n\ntoken = x", "api_key:x"], "secret": ["secret=x", "SECRET  : x"],
+    }
+    assert set(values) == {p.name for p in PATTERNS}
+    for name, own in values.items():
+        rows = detect(texts(spark, *own), names=(name,)).collect()
+        assert all(len(r.findings) == 1 for r in rows), name
+
+
+def test_separated_card_is_redacted_and_verified(spark):
+    card = " ".join("4111111111111111")
+    row = process(texts(spark, f"pay with {card} now")).first()
+    assert card not in row.sanitized and [f.category for f in row.accepted] == ["CREDIT_CARD"]
+    left = texts(spark, card).withColumns({"sanitized": F.col("text"), "planned": F.array().cast(FINDINGS)})
+    assert verify(left, DEFAULT).first().deterministic_left == 1
