@@ -70,10 +70,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: fl
 def solve(histogram: DataFrame, wanted: DataFrame, max_rate: float = MAX_RATE, steps: int = STEPS) -> DataFrame:
     """``wanted`` (``source``, ``source_size``, ``target``, ``unit``) with ``lam``, the solution of each source's dual.
 
-    ``histogram``: ``source``, ``size``, ``n``. ``unit`` is the largest size of the source.
+    ``histogram``: ``h_source``, ``size``, ``n``, sizes above 0. ``unit`` is the largest size of the source.
     """
     x = F.col("size") / F.col("unit")
-    state = wanted.withColumns({"lam": F.lit(0.0), "low": F.lit(-1000.0), "high": F.lit(1000.0)})
+    # the bracket encloses the root: at its ends even the smallest size is at max_rate, or low enough for the target
+    least = histogram.groupBy("h_source").agg(F.min("size").alias("least"))
+    longest = F.coalesce(F.col("unit") / F.col("least"), F.lit(0.0))
+    fall = F.coalesce(F.log(F.col("source_size") / F.when(F.col("target") > 0, F.col("target"))), F.lit(0.0))
+    ends = {"lam": F.lit(0.0), "low": -1 - longest * F.greatest(fall, F.lit(0.0)), "high": 1 + longest * F.greatest(F.log(F.lit(max_rate)), F.lit(0.0))}
+    state = cut(wanted.join(least, F.col("source").eqNullSafe(F.col("h_source")), "left").withColumns(ends).drop("h_source", "least"), "dual")
     for _ in range(steps):
         rate = F.least(F.exp(F.least(F.col("lam") * x, F.lit(50.0))), F.lit(max_rate))
         mass = F.col("n") * F.col("size")
