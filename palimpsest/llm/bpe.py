@@ -4,47 +4,60 @@ A segment tree over the byte positions of a piece holds the smallest pair rank,
 names the next merge; a merge changes the pairs at two live neighbours and empties one leaf, so it costs
 three point updates of logarithmic depth, and a piece of n bytes costs O(n log n) however long it is.
 
-Pieces are the matches of a split pattern. Equal pieces have equal ids, so every Python worker remembers
-those it has seen, up to ``MEMO_ENTRIES``; beyond that it starts anew. The bound changes no result.
+Pieces are the matches of a split pattern. Equal pieces have equal ids, so a task remembers those it has
+seen in about ``MEMO_BYTES``; beyond that it starts anew, and at its end it forgets them. That changes no result.
 """
 
 from __future__ import annotations
 
 import base64
 import contextlib
+import copy
 import functools
 import gc
 import itertools
 import re
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import functions as F
+from pyspark.sql import Column
 
-#: Distinct pieces a worker remembers before it empties its memory.
-MEMO_ENTRIES = 400_000
+from palimpsest.llm.common import per_task, slices
 
-#: Documents whose new pieces are merged together.
-DOCUMENTS_AT_ONCE = 500
+#: Bytes, about, of pieces and ids that a task remembers before it empties its memory.
+MEMO_BYTES = 64 << 20
+#: What a remembered piece takes beside its characters and ids: two objects and their place in a table.
+ENTRY_BYTES = 180
+
+#: Documents whose new pieces are merged together, and characters of a text that are split at once.
+DOCUMENTS_AT_ONCE, CHARACTERS_AT_ONCE = 500, 1 << 22
 
 #: For texts of printable ASCII, line feeds and the letters of Latin-1 alone, the standard library's
 #: expressions find the same pieces, three times as fast as ``regex``.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_OTHER = re.compile(rf"[^\n -~{_LETTERS}]")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_OTHER = re.compile(rf"[^\n -~{LETTERS}]")
 #: The split pattern that the fast expression below stands for.
 COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_FAST = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_FAST = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+
 
+def splitter(pattern: str) -> Callable[[str], Iterator[list[str]]]:
+    """Function from a text to lists of its pieces, the matches of ``pattern``; one list unless the text is very long."""
+    every = regex.compile(pattern)
 
-def splitter(pattern: str):
-    """Function from a text to the list of its pieces, the matches of ``pattern``."""
-    every = regex.compile(pattern).findall
-    if pattern != COMMON_PATTERN:
-        return every
-    return lambda text: every(text) if _OTHER.search(text) else _FAST.findall(text)
+    def pieces(text: str) -> Iterator[list[str]]:
+        found = _FAST if pattern == COMMON_PATTERN and not _OTHER.search(text) else every
+        if len(text) <= CHARACTERS_AT_ONCE:
+            yield found.findall(text)
+        else:
+            matches = (m.group() for m in found.finditer(text))
+            while part := list(itertools.islice(matches, CHARACTERS_AT_ONCE // 8)):
+                yield part
+
+    return pieces
 
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -212,28 +225,44 @@ def packed(ids: list[int]) -> bytes:
 class Memo:
     """Texts to packed ids by pieces; subclasses encode the pieces not met before."""
 
-    split: Callable[[str], list[str]]
+    split: Callable[[str], Iterator[list[str]]]
 
     def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.memo: dict[str, bytes] = {}
+        self.used = 0
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of each of these pieces."""
         raise NotImplementedError
 
+    def _joined(self, lists: list[list[str]]) -> list[bytes]:
+        if self.used > MEMO_BYTES:
+            self.clear()
+        if new := set().union(*lists).difference(self.memo):
+            found = self.learn(new)
+            self.used += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))
+            self.memo.update(found)
+        get = self.memo.__getitem__
+        return [b"".join(map(get, own)) for own in lists]
+
     def pack(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text; null counts as empty."""
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
         with no_gc():
-            split = [self.split(x) if x else [] for x in texts]
-            if new := set().union(*split).difference(self.memo):
-                self.learn(new)
-            get = self.memo.__getitem__
-            return [b"".join(map(get, own)) for own in split]
+            if all(len(x) <= CHARACTERS_AT_ONCE for x in texts if x):
+                return self._joined([next(self.split(x)) if x else [] for x in texts])
+            return [b"".join(self._joined([part])[0] for part in self.split(x)) if x else b"" for x in texts]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         return [np.frombuffer(x, "<u4").tolist() for x in self.pack(texts)]
 
+    def array(self, texts: pa.Array) -> pa.Array:
+        """An Arrow list array of the ids of each text."""
+        parts = [list_array(self.pack(x.to_pylist())) for x in slices(texts, DOCUMENTS_AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else list_array([])
+
 
 class Codec(Memo):
     """Encodes texts by a rank file and a split pattern, and decodes ids."""
@@ -246,19 +275,21 @@ class Codec(Memo):
         self.trees = PairTrees(self.ranks)
         self.bytes_of = {i: token for token, i in self.ranks.items()}
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
         names, merged = [], []
         for piece in pieces:
             data = piece.encode()
             whole = self.ranks.get(data)
             if whole is not None:
-                self.memo[piece] = packed([whole])
+                found[piece] = packed([whole])
             elif len(data) > 64:
-                self.memo[piece] = packed(merge_piece(data, self.ranks))
+                found[piece] = packed(merge_piece(data, self.ranks))
             else:
                 names.append(piece)
                 merged.append(data)
-        self.memo.update(zip(names, self.trees.encode(merged)))
+        found.update(zip(names, self.trees.encode(merged)))
+        return found
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -276,31 +307,52 @@ def list_array(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
 
-def encode(text, path: str, pattern: str):
+def fresh(own: Memo) -> Memo:
+    """A codec for one task: tables shared with the worker's codec, a memory of its own."""
+    new = copy.copy(own)
+    new.clear()
+    return new
+
+
+def encode(text: Column, path: str, pattern: str) -> Column:
     """Column ``array<int>``: token ids of a text column, by the ranks in the file at ``path``.
 
     Null and the empty text give an empty array. ``path`` must exist on every executor.
     """
+    return per_task(text, lambda: fresh(codec(path, pattern)).array, "array<int>")
+
+
+def decode(ids: Column, path: str, pattern: str) -> Column:
+    """Column ``binary``: the bytes that token ids stand for, for repeated rows the same; null ids give no bytes, an unknown id fails."""
 
-    @F.arrow_udf("array<int>")
-    def ids(batch: pa.Array) -> pa.Array:
+    def make() -> Callable[[pa.Array], pa.Array]:
         own = codec(path, pattern)
-        step = DOCUMENTS_AT_ONCE
-        return pa.concat_arrays([list_array(own.pack(batch[k : k + step].to_pylist())) for k in range(0, max(1, len(batch)), step)])
 
-    return ids(text)
+        def joined(batch: pa.Array) -> pa.Array:
+            values, offsets = batch.values, batch.offsets.to_pylist()
+            null = batch.is_null().to_pylist()
+            rows = (b"" if gone else own.decode(values[a:b].to_numpy().tolist()) for gone, a, b in zip(null, offsets, offsets[1:]))
+            return pa.array(rows, pa.binary())
 
+        return joined
 
-def decode(ids, path: str, pattern: str):
-    """Column ``binary``: the bytes that token ids stand for; null ids give no bytes, an unknown id fails."""
+    return per_task(ids, make, "binary")
 
-    @F.arrow_udf("binary")
-    def joined(batch: pa.Array) -> pa.Array:
-        own = codec(path, pattern)
-        values, offsets = batch.values.to_numpy(), batch.offsets.to_pylist()
-        null = batch.is_null().to_pylist()
-        return pa.array((b"" if gone else own.decode(values[a:b].tolist()) for gone, a, b in zip(null, offsets, offsets[1:])), pa.binary())
 
-    return joined(ids)
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """Column ``struct<ids:array<int>,decoded:binary>``: ``encode`` and ``decode`` of its ids, in one pass through Python."""
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        own = fresh(codec(path, pattern))
+
+        def both(batch: pa.Array) -> pa.Array:
+            parts = []
+            for texts in slices(batch, DOCUMENTS_AT_ONCE):
+                rows = own.pack(texts.to_pylist())
+                decoded = pa.array((own.decode(np.frombuffer(x, "<u4").tolist()) for x in rows), pa.binary())
+                parts.append(pa.StructArray.from_arrays([list_array(rows), decoded], ["ids", "decoded"]))
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]))
 
+        return both
 
+    return per_task(text, make, "struct<ids:array<int>,decoded:binary>")

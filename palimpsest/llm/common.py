@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: blank and U+0009 to U+000D, nothing else.
@@ -17,12 +22,14 @@ _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; a temporary folder serves only sessions that leave
-    the setting empty, as local tests do.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master may leave the setting empty, as tests do:
+    it gets a temporary folder, which executors on other machines could not read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(spark, "_palimpsest_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
@@ -63,7 +70,52 @@ def cut(df: DataFrame, what: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that ``cut`` returned, once nothing will read it again."""
+    at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release() -> None:
+    """Give memory that is free again back to the system; Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def per_task(column: Column, make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) -> Column:
+    """An Arrow UDF of one column; what ``make`` builds for a task goes when the task's input ends."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = make()
+        try:
+            for batch in batches:
+                yield own(batch)
+        finally:
+            del own
+            release()
+
+    return F.arrow_udf(run, kind)(column)
+
+
+def slices(texts: pa.Array, rows: int, size: int = 1 << 20) -> Iterator[pa.Array]:
+    """An array of texts in slices of at most ``rows`` rows and about ``size`` bytes; a longer text is one slice."""
+    ends = pa.compute.binary_length(texts).fill_null(0).cast(pa.int64()).to_pylist()
+    a = total = 0
+    for b, n in enumerate(ends):
+        if b > a and (b - a >= rows or total + n > size):
+            yield texts[a:b]
+            a, total = b, 0
+        total += n
+    if len(texts) > a:
+        yield texts[a:]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import cut, forget
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("x"))
-        tree = cut(small.select("x.hi", "x.lo").where("hi <> lo").distinct(), "edges")
+        before, tree = tree, cut(small.select("x.hi", "x.lo").where("hi <> lo").distinct(), "edges")
+        forget(before)
         now = _state(tree)
         if now == seen:
             break

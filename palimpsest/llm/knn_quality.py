@@ -12,11 +12,10 @@ every labelled vector are exact and computed in blocks; documents are scored whe
 
 from __future__ import annotations
 
-import functools
 import operator
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -24,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import per_task, release, slices
+
 WORDS, SHAPES = 512, 512
 TERMS = WORDS + SHAPES
 SAME_WORD, SAME_LINE = zlib.crc32(b"\0word") % SHAPES + WORDS, zlib.crc32(b"\0line") % SHAPES + WORDS
 #: Labelled rows at most, latent dimensions, voters and the power of their similarities.
 MAX_ROWS, RANK, VOTERS, POWER = 4000, 48, 15, 4
-MEMO_ENTRIES = 200_000
-BLOCK = 1000
+#: Words that a task remembers the terms of.
+MEMO_ENTRIES = 100_000
+#: Texts whose products with all labelled vectors are computed together.
+BLOCK = 500
 
 
 def shape(word: str) -> str:
@@ -50,14 +53,9 @@ class _Terms(dict):
         return packed
 
 
-@functools.lru_cache(maxsize=1)
-def _terms() -> _Terms:
-    return _Terms()
-
-
-def counts(texts: list[str | None]) -> np.ndarray:
-    """Term counts, a row for each text; null counts as empty."""
-    get = _terms().__getitem__
+def counts(texts: list[str | None], terms: _Terms | None = None) -> np.ndarray:
+    """Term counts, a row for each text; null counts as empty. ``terms``: those that the task remembers."""
+    get = (_Terms() if terms is None else terms).__getitem__
     out = np.zeros((len(texts), TERMS), np.float32)
     for row, text in enumerate(texts):
         words = (text or "").split()
@@ -94,11 +92,11 @@ class Model:
         z = self._weighted(x) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[str | None], terms: _Terms | None = None) -> np.ndarray:
         """Share of the vote for label 1; the sample's share of label 1 where nothing is similar."""
         if not self.voters:
             return np.full(len(texts), self.prior)
-        near = self.vectors(counts(texts)) @ self.known
+        near = self.vectors(counts(texts, terms)) @ self.known
         top = np.argpartition(near, -self.voters, axis=1)[:, -self.voters :]
         weight = np.maximum(np.take_along_axis(near, top, axis=1), 0) ** self.power
         total = weight.sum(axis=1)
@@ -107,46 +105,55 @@ class Model:
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    terms = _Terms()
     for batch in batches:
         for k in range(0, len(batch), BLOCK):
             part = batch.slice(k, BLOCK)
-            rows = counts(part.column("text").to_pylist())
+            rows = counts(part.column("text").to_pylist(), terms)
             own = [np.flatnonzero(x) for x in rows]
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.array([i.tolist() for i in own], pa.list_(pa.int32())), pa.array([x[i].tolist() for x, i in zip(rows, own)], pa.list_(pa.float32()))],
-                ["label", "terms", "counts"],
+                [part.column("order"), part.column("label"), pa.array([i.tolist() for i in own], pa.list_(pa.int32())), pa.array([x[i].tolist() for x, i in zip(rows, own)], pa.list_(pa.float32()))],
+                ["order", "label", "terms", "counts"],
             )
+    release()
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality", **options) -> Model:
-    """Model from at most ``max_rows`` labelled documents, those of the least hashes of their ids.
+    """Model from at most ``max_rows`` labelled documents, those of the least hashes of their ids, then of their texts.
 
-    Rows without a label are passed over; several labels of one id count by their mean. Only term counts
-    of the sample reach the driver, at most ``TERMS`` numbers a row.
+    Rows without a label or an id are passed over; several labels of one id count by their mean; a null text counts as
+    empty; repeated rows are rows of their own. Reruns choose the same rows in the same order. Only term counts
+    of the sample reach the driver, at most ``TERMS`` numbers a row. No labelled text gives a model of score 0.5.
     """
-    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg((F.avg(label) >= 0.5).cast("float").alias("_label"))
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg((F.avg(label) >= 0.5).cast("float").alias("_label"))
+    # max_rows rows of an id and a label: this is what is broadcast
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", F.col("_label").alias("label"))
-    found = sample.mapInArrow(_sparse, "label float, terms array<int>, counts array<float>").limit(2 * max_rows).toArrow()
+    order = F.struct(F.xxhash64("_id"), F.col("_id").cast("string"), F.xxhash64("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(order.alias("order"), "text", F.col("_label").alias("label"))
+    kind = sample.schema["order"].dataType.simpleString()
+    counted = sample.mapInArrow(_sparse, f"order {kind}, label float, terms array<int>, counts array<float>")
+    found = counted.orderBy("order").limit(max_rows).select("label", "terms", "counts").toArrow()
     x = np.zeros((len(found), TERMS), np.float32)
     for row, (terms, values) in enumerate(zip(found["terms"].to_pylist(), found["counts"].to_pylist())):
         x[row, terms] = values
-    order = np.lexsort([*x.T[:8], x.sum(axis=1)]) if len(x) else []
-    y = found["label"].to_numpy()
-    return Model(x[order], y[order], **options)
+    return Model(x, found["label"].to_numpy(), **options)
 
 
 def score(text: Column, model: Model, spark) -> Column:
     """Column ``double`` from 0 to 1, higher where label 1 is likelier; null counts as the empty text."""
     shared = spark.sparkContext.broadcast(model)
 
-    def scores(batch: pa.Array) -> pa.Array:
-        own = shared.value
-        parts = [own.score(batch[k : k + BLOCK].to_pylist()) for k in range(0, len(batch), BLOCK)]
-        return pa.array(np.concatenate(parts or [np.zeros(0)]))
+    def make() -> Callable[[pa.Array], pa.Array]:
+        own, terms = shared.value, _Terms()
+
+        def scores(batch: pa.Array) -> pa.Array:
+            parts = [own.score(x.to_pylist(), terms) for x in slices(batch, BLOCK, 8 << 20)]
+            return pa.array(np.concatenate(parts or [np.zeros(0)]))
+
+        return scores
 
-    return F.arrow_udf(scores, "double")(text)
+    return per_task(text, make, "double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, word_parts
+from palimpsest.llm.common import cut, forget, word_parts
 
 #: Newton steps; the bracket halves at least when a step would leave it.
 STEPS = 40
@@ -99,10 +99,10 @@ def solve(histogram: DataFrame, wanted: DataFrame, max_rate: float = MAX_RATE, s
             .withColumn("done", F.coalesce(F.abs(gap) <= 1e-9 * F.greatest(F.col("target"), F.lit(1.0)), F.lit(True)))
             .withColumn("next", F.when(F.col("done"), F.col("lam")).when(inside, newton).otherwise((F.col("new_low") + F.col("new_high")) / 2))
         )
-        state = cut(moved.select("source", "source_size", "target", "unit", F.col("next").alias("lam"), F.col("new_low").alias("low"), F.col("new_high").alias("high"), "done"), "dual")
+        before, state = state, cut(moved.select("source", "source_size", "target", "unit", F.col("next").alias("lam"), F.col("new_low").alias("low"), F.col("new_high").alias("high"), "done"), "dual")
+        forget(before)
         if state.where("not done and high - low > 1e-12 * (1 + abs(lam))").isEmpty():
             break
-        state = state.drop("done")
     return state.select("source", "source_size", "target", "unit", "lam")
 
 

@@ -4,7 +4,7 @@ File, all numbers little-endian:
 
 * magic ``PLANES1\\n``
 * chunks: the four byte planes of up to ``BLOCK`` ids, lowest byte first, each a zstandard frame; then one
-  chunk with the documents' ids and lengths as two int64 arrays, also a frame
+  chunk with the documents' ids and lengths as two int64 arrays and a byte that is 1 where the id is null, also a frame
 * index: per id chunk the number of ids and four frame lengths (uint32 x 5); then the lengths of the document
   chunk and the number of documents (uint64 x 2)
 * footer: number of id chunks, number of ids, offset of the index (uint64 x 3), magic again
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -27,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import COMMON_PATTERN, Memo, list_array, packed, splitter
-from palimpsest.llm.common import cut, shared_folder
+from palimpsest.llm.bpe import COMMON_PATTERN, DOCUMENTS_AT_ONCE, LETTERS, Memo, fresh, packed, splitter
+from palimpsest.llm.common import cut, per_task, release, shared_folder, slices
 
 MAGIC = b"PLANES1\n"
 BLOCK = 1 << 16
@@ -41,8 +42,9 @@ FILE_IDS = 1 << 22
 LEVEL = 3
 
 
-def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> bytes:
-    """One file's bytes. ``ids``: uint32 of all documents in a row; ``lengths``: ids of each."""
+def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, null: np.ndarray | None = None, block: int = BLOCK) -> bytes:
+    """One file's bytes. ``ids``: uint32 of all documents in a row; ``lengths``: ids of each; ``null``: documents without an id."""
+    null = np.zeros(len(doc_ids), bool) if null is None else null
     frames, index = [MAGIC], []
     squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
     at = len(MAGIC)
@@ -52,14 +54,14 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, block: int =
         frames += planes
         index.append(struct.pack("<5I", len(part), *map(len, planes)))
         at += sum(map(len, planes))
-    table = squeeze(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes())
+    table = squeeze(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + null.astype(np.uint8).tobytes())
     frames.append(table)
     at += len(table)
     return b"".join([*frames, *index, struct.pack("<2Q", len(table), len(doc_ids)), struct.pack("<3Q", len(index), len(ids), at), MAGIC])
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, document ids, lengths) of one file; ValueError if it is none or damaged."""
+def unpack(data: bytes) -> tuple[np.ndarray, np.ma.MaskedArray, np.ndarray]:
+    """(ids, document ids, lengths) of one file, null document ids masked; ValueError if it is none or damaged."""
     if data[:8] != MAGIC or data[-8:] != MAGIC:
         raise ValueError("not a planes file")
     chunks, n, at = struct.unpack_from("<3Q", data, len(data) - 32)
@@ -75,16 +77,24 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids[done : done + size] = np.stack(raw, axis=1).reshape(-1).view("<u4")
         done += size
     size, docs = struct.unpack_from("<2Q", data, at + 20 * chunks)
-    both = np.frombuffer(grow(data[here : here + size]), "<i8")
-    if done != n or len(both) != 2 * docs or both[docs:].sum() != n:
+    table = grow(data[here : here + size])
+    if len(table) != 17 * docs:
+        raise ValueError("the index does not fit the documents")
+    both, null = np.frombuffer(table, "<i8", 2 * docs), np.frombuffer(table, np.uint8, docs, 16 * docs)
+    if done != n or both[docs:].sum() != n:
         raise ValueError("the index does not fit the chunks")
-    return ids, both[:docs], both[docs:]
+    return ids, np.ma.array(both[:docs], mask=null.astype(bool)), both[docs:]
+
+
+#: Pieces that follow each other in one text without changing each other's matches.
+_WORD = re.compile(rf" [{LETTERS}]+")
 
 
 class LibraryCodec(Memo):
     """Texts to packed ids with the tokenizers library; equal pieces are encoded once.
 
-    Tokenizers that do more than split texts by the common pattern before they merge encode whole texts.
+    Only tokenizers that split texts by the common pattern and then merge are fed pieces; others, and texts in which
+    the library would find one of its added tokens, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -92,19 +102,32 @@ class LibraryCodec(Memo):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         first = spec["pre_tokenizer"] or {}
-        by_piece = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and spec["normalizer"] is None
-        self.split = splitter(COMMON_PATTERN) if by_piece else lambda text: [text]
-
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            # each piece is a text of its own here; a list of them crosses into the library once
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.memo.update(zip(part, (packed(x.ids) for x in found)))
+        self.added = [x["content"] for x in spec["added_tokens"]]
+        self.by_piece = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and spec["normalizer"] is None
+        pieces = splitter(COMMON_PATTERN)
+        self.split = lambda text: pieces(text) if self._plain(text) else iter([[text]])
+
+    def _plain(self, text: str) -> bool:
+        return bool(self.by_piece) and not any(x in text for x in self.added)
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        words = [x for x in pieces if _WORD.fullmatch(x)] if self.by_piece else []
+        for k in range(0, len(words), 2048):
+            # one text of many words costs the library less than a text for each
+            part = words[k : k + 2048]
+            coded = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids, word = np.array(coded.ids, "<u4").tobytes(), np.array(coded.word_ids)
+            stops = (4 * np.append(np.flatnonzero(word[1:] != word[:-1]) + 1, len(word))).tolist()
+            if len(stops) == len(part):
+                found.update(zip(part, (ids[a:b] for a, b in zip([0, *stops], stops))))
+        rest = list(pieces.difference(found))
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
+            found.update(zip(part, (packed(x.ids) for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -112,14 +135,9 @@ def library_codec(path: str) -> LibraryCodec:
     return LibraryCodec(path)
 
 
-def encode(text, path: str, step: int = 500):
-    """Column ``array<int>``: ids by the tokenizers library. Null counts as empty; no special tokens."""
-
-    def ids(batch: pa.Array) -> pa.Array:
-        own = library_codec(path)
-        return pa.concat_arrays([list_array(own.pack(batch[k : k + step].to_pylist())) for k in range(0, max(1, len(batch)), step)])
-
-    return F.arrow_udf(ids, "array<int>")(text)
+def encode(text: Column, path: str) -> Column:
+    """Column ``array<int>``: ids as the tokenizers library gives them without adding special tokens. Null counts as empty."""
+    return per_task(text, lambda: fresh(library_codec(path)).array, "array<int>")
 
 
 def _writer(folder: str, tokenizer: str, end_id: int):
@@ -127,11 +145,12 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        codec, end = library_codec(tokenizer), packed([end_id])
+        codec, end = fresh(library_codec(tokenizer)), packed([end_id])
         name = uuid.uuid4().hex
         ids: list[np.ndarray] = []
         docs: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
+        nulls: list[np.ndarray] = []
         size = done = 0
         part = None
 
@@ -139,26 +158,31 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             path = f"{name}-{done:05d}.planes"
             own = np.concatenate(docs)
             with fs.open_output_stream(f"{root}/{path}") as out:
-                out.write(pack(np.concatenate(ids), own, np.concatenate(lengths)))
-            for parts in (ids, docs, lengths):
+                out.write(pack(np.concatenate(ids), own, np.concatenate(lengths), np.concatenate(nulls)))
+            for parts in (ids, docs, lengths, nulls):
                 parts.clear()
             kinds = {"file": pa.string(), "part": pa.int32(), "roll": pa.int32(), "n_docs": pa.int64(), "n_ids": pa.int64()}
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path, part, done, len(own), size), kinds.values())], list(kinds))
 
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                rows = batch.slice(k, 500)
+            at = 0
+            for texts in slices(batch.column("text"), DOCUMENTS_AT_ONCE):
+                rows = batch.slice(at, len(texts))
+                at += len(texts)
                 part = rows.column("part")[0].as_py()
-                coded = codec.pack(rows.column("text").to_pylist())
+                coded = codec.pack(texts.to_pylist())
                 lengths.append(np.fromiter(map(len, coded), np.int64, len(coded)) // 4 + 1)
                 ids.append(np.frombuffer(end.join(coded) + end, "<u4"))
-                docs.append(rows.column("doc_id").to_numpy())
+                docs.append(rows.column("doc_id").fill_null(0).to_numpy())
+                nulls.append(rows.column("doc_id").is_null().to_numpy(zero_copy_only=False))
                 size += len(ids[-1])
                 if size >= FILE_IDS:
                     yield flush()
                     size, done = 0, done + 1
         if size:
             yield flush()
+        codec.clear()
+        release()
 
     return run
 
@@ -167,15 +191,14 @@ def write(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text:
     """Write the ids of all texts to files in ``folder``, in ascending order of ids; return the manifest.
 
     Manifest: ``file``, ``part``, ``roll`` (its order), ``n_docs``, ``n_ids`` and ``base`` (ids in files
-    before). Rows of one id follow each other in order of their texts. Null ids sort first and are written
-    as the smallest long. The manifest has a row for each file of ``FILE_IDS`` ids.
+    before). Rows without an id come first. Rows of one id follow each other in order of a hash of their texts, by
+    which many rows of one id are dealt to several partitions. No documents give an empty manifest.
+    The manifest has a row for each file of ``FILE_IDS`` ids.
     """
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    dealt = keyed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     placed = dealt.select("doc_id", F.spark_partition_id().alias("part"), "text")
     manifest = cut(placed.mapInArrow(_writer(folder, path, end_id), "file string, part int, roll int, n_docs long, n_ids long"), "manifest")
-    from pyspark.sql import Window
-
     before = Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1)
     return cut(manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest")
 

@@ -76,8 +76,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all documents; digests of ids and of decoded bytes. Null texts count as empty."""
     path, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = docs.select("doc_id", bpe.encode(F.col("text"), path, pattern).alias("ids"))
-    back = coded.select("doc_id", "ids", bpe.decode(F.col("ids"), path, pattern).alias("decoded"))
+    back = docs.select("doc_id", bpe.round_trip(F.col("text"), path, pattern).alias("x")).select("doc_id", "x.ids", "x.decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import cut, per_task
 from palimpsest.llm.components import components
 
 #: Fingerprints of a shard beyond which it is split into shells.
@@ -71,7 +71,7 @@ def fingerprint(text: Column, words: int = 4) -> Column:
     def batch(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([simhash(x.as_py(), words) for x in texts], np.uint64).view(np.int64))
 
-    return F.arrow_udf(batch, "long")(text)
+    return per_task(text, lambda: batch, "long")
 
 
 class Forest:

@@ -127,19 +127,18 @@ def test_planes_round_trip_and_damage():
 
 def test_plane_files(spark, odd, empty, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    folder = planes.new_folder(spark)
     monkeypatch.setattr(planes, "FILE_IDS", 50_000)
-    manifest = planes.write(odd, path, folder)
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in planes.read_checksums(manifest, folder).collect())
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    rows = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63)), r.text or "") for r in odd.select("doc_id", "text").collect())
+    marked = odd.select("doc_id", "text").union(spark.createDataFrame([(77, "a <|endoftext|> b"), (77, "c<|endoftext|>")], "doc_id long, text string"))
+    folder = planes.new_folder(spark)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in planes.read_checksums(planes.write(marked, path, folder), folder).collect())
+    rows = marked.withColumn("text", F.coalesce("text", F.lit(""))).orderBy("doc_id", F.xxhash64("text")).collect()
     start = 0
     for (doc, text), row in zip(rows, got):
         ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
         assert row == (start, doc, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
-    assert len(got) == 10 and {r.start for r in planes.read(manifest, folder).collect()} == {r[0] for r in got}
+    assert len(got) == 12 and {r.start for r in planes.read(planes.write(marked, path, folder), folder).collect()} == {r[0] for r in got}
     folder = planes.new_folder(spark)
     assert planes.read(planes.write(empty.where("false"), path, folder), folder).count() == 0
 
