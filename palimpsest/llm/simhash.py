@@ -3,24 +3,29 @@
 A fingerprint has 64 bits, each the majority of that bit over the hashes of a text's shingles. Fingerprints
 link at ``radius`` or fewer differing bits; a group is what links reach.
 
-*Shards.* Random fingerprints lie some 32 bits apart, give or take four, so a ball of radius four around one
-straddles nearly every shell around a vantage point on all 64 bits: such a tree prunes next to nothing, and
-each fingerprint would visit most shards. The first level therefore measures Hamming distance on parts of
-the bits. Of ``radius + 2`` blocks at least two agree for any link, so for one of the pairs of blocks (15 for
-radius 4) both ends are at distance zero, and the triangle bound puts them in the same shell around every
-vantage point on these blocks: a shard is one value of one pair of blocks.
-
-*Large shards.* A shard with more than ``SHARD`` fingerprints, as of a huge group of near copies, is split
-further by the full distance to three vantage points, in shells one bit wider than the radius. A fingerprint
-within the radius of its outer shell boundary also visits the next shell, so a link never falls between.
-
-*Within a shard* a vantage-point tree in numpy finds all pairs in the radius and gives a spanning forest of
-them, not the pairs. Components of all shards' forests are components of all links.
+*Metric.* Random fingerprints lie some 32 bits apart, give or take four, so a ball of radius four straddles nearly
+every shell around a vantage point on all 64 bits, and such a tree prunes next to nothing. The bits are therefore
+shared out to ``radius // 2 + 1`` parts, each a metric space of its own with a tree of its own: two linked fingerprints are at
+Hamming distance 1 or less in at least one part, and there distances to a vantage point spread over two or three
+times that.
+
+*Shards.* The upper levels of each tree are laid out by Spark. Vantage points are fingerprints of the table, one for each
+level; around it lie shells ``SHELL`` bits wide. By the triangle inequality the ends of a link in
+this part lie at distances to a vantage point that differ by 1 at most, so a fingerprint belongs to its own shell and also visits
+the next one if it lies at the boundary. A shard is one shell of every vantage point; both ends of a link meet in at least one. Levels follow
+from the number of fingerprints, so that a shard holds about ``SHARD``.
+
+*Large shards*, as of a huge group of near copies, are dealt out as pairs of parts of ``PART`` fingerprints.
+
+*Within a shard* the lower levels are a vantage-point tree in numpy: medians of distances divide the shard, branches are pruned by triangle bounds
+on the part's bits, leaves are compared on all 64, and what comes out is a spanning forest of the links, not the pairs. Components of
+all shards' forests are components of all links.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +37,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import cut, per_task
 from palimpsest.llm.components import components
 
-#: Fingerprints of a shard beyond which it is split into shells.
-SHARD = 10_000
+#: Fingerprints that a shard should hold, bits of a shell, and vantage points at most: more would only copy more.
+SHARD, SHELL, LEVELS = 2_000, 3, 16
+#: Fingerprints of a part of a shard that came out too large.
+PART = 20_000
 #: Fingerprints of a leaf of the tree in a shard.
 LEAF = 128
 
@@ -75,14 +82,18 @@ def fingerprint(text: Column, words: int = 4) -> Column:
 
 
 class Forest:
-    """Union of links between the rows of one shard."""
+    """Union of links between the rows of one shard. ``mask``, ``reach``: a part of the bits and the distance there within which links are sought."""
 
-    def __init__(self, points: np.ndarray, radius: int):
+    def __init__(self, points: np.ndarray, radius: int, mask: int = (1 << 64) - 1, reach: int | None = None):
         self.points, self.radius = points, radius
+        self.mask, self.reach = np.uint64(mask), radius if reach is None else reach
         self.label = np.arange(len(points))
         rows = np.arange(len(points))
         self._search(self._build(rows), rows)
 
+    def _distance(self, rows: np.ndarray, vantage: int) -> np.ndarray:
+        return np.bitwise_count((self.points[rows] ^ self.points[vantage]) & self.mask).astype(np.int64)
+
     def _link(self, a: np.ndarray, b: np.ndarray) -> None:
         label = self.label
         while True:
@@ -102,7 +113,7 @@ class Forest:
         if len(rows) <= LEAF:
             return rows
         vantage, rest = rows[0], rows[1:]
-        d = np.bitwise_count(self.points[rest] ^ self.points[vantage]).astype(np.int64)
+        d = self._distance(rest, vantage)
         bound = int(np.median(d))
         near = d <= bound
         if near.all():  # no shell divides them: they are compared with each other
@@ -121,74 +132,94 @@ class Forest:
                 self._link(own[a], node[b])
             return
         vantage, bound, near, far = node
-        d = np.bitwise_count(self.points[queries] ^ self.points[vantage]).astype(np.int64)
-        close = queries[d <= self.radius]
+        d = self._distance(queries, vantage)
+        close = queries[np.bitwise_count(self.points[queries] ^ self.points[vantage]) <= self.radius]
         self._link(close, np.full(len(close), vantage))
-        self._search(near, queries[d - self.radius <= bound])
-        self._search(far, queries[d + self.radius > bound])
+        self._search(near, queries[d - self.reach <= bound])
+        self._search(far, queries[d + self.reach > bound])
+
+
+def part_masks(radius: int) -> list[int]:
+    """Masks of ``radius // 2 + 1`` parts that share out the 64 bits: fingerprints within ``radius`` differ in 1 bit at most of one part."""
+    n = radius // 2 + 1
+    edges = [64 * i // n for i in range(n + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
 
 def _forests(radius: int):
     """Spanning forests of the shards in a partition that is sorted by shard."""
+    masks = part_masks(radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def links(tree: np.ndarray, shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             hi, lo = [], []
             cuts = np.flatnonzero(shard[1:] != shard[:-1]) + 1
             for a, b in zip([0, *cuts], [*cuts, len(shard)]):
                 if b - a > 1:
                     points = np.unique(fp[a:b])
-                    label = Forest(points, radius).label
+                    label = Forest(points, radius, masks[tree[a]], min(1, radius)).label
                     moved = np.flatnonzero(label != np.arange(len(points)))
                     hi.append(points[moved])
                     lo.append(points[label[moved]])
             none = np.zeros(0, np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [none]).view(np.int64)) for x in (hi, lo)], ["hi", "lo"])
 
-        shard, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        # rows of the shard that is not yet complete, as pieces of batches
+        open_: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            shard = np.append(shard, batch.column("shard").to_numpy())
-            fp = np.append(fp, batch.column("fp").to_numpy().view(np.uint64))
-            last = int(np.searchsorted(shard[::-1] != shard[-1], True)) if len(shard) else 0
-            split = len(shard) - last
-            if split:
-                yield links(shard[:split], fp[:split])
-                shard, fp = shard[split:], fp[split:]
-        if len(shard):
-            yield links(shard, fp)
+            rows = tuple(batch.column(c).to_numpy() for c in ("tree", "shard", "fp"))
+            if not len(batch):
+                continue
+            last = int(np.searchsorted(rows[1], rows[1][-1]))
+            if last or (open_ and open_[-1][1][-1] != rows[1][-1]):
+                whole = [np.concatenate([*(x[i] for x in open_), rows[i][:last]]) for i in range(3)]
+                yield links(whole[0], whole[1], whole[2].view(np.uint64))
+                open_ = []
+            open_.append(tuple(x[last:] for x in rows))
+        if open_:
+            whole = [np.concatenate([x[i] for x in open_]) for i in range(3)]
+            yield links(whole[0], whole[1], whole[2].view(np.uint64))
 
     return run
 
 
-def block_masks(radius: int) -> list[int]:
-    """Masks of all pairs of ``radius + 2`` blocks that share out the 64 bits."""
-    n = radius + 2
-    edges = [64 * i // n for i in range(n + 1)]
-    blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-    return [a | b for a, b in itertools.combinations(blocks, 2)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def vantage_points(fps: DataFrame) -> list[int]:
+    """Fingerprints of the least hashes, one for each level that the table's size asks for; ``LEVELS`` at most."""
+    # a shell holds two fifths of a level's fingerprints at most, with a visitor to each third of them
+    levels = min(LEVELS, math.ceil(math.log(max(1, fps.count() / SHARD)) / math.log(2.5)))
+    return [r["fp"] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(levels).collect()] if levels else []
+
+
+def visits(fps: DataFrame, vantage: list[int], radius: int = 4) -> DataFrame:
+    """(``fp``, ``tree``, ``shard``) for the shard of each fingerprint ``fp`` in each tree, and for those that it visits."""
+    reach = min(1, radius)
+
+    def shards(tree: int, mask: int) -> Column:
+        paths = F.array(F.xxhash64(F.lit(tree)))
+        for v in vantage:
+            d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(_signed(mask))))
+            home = F.floor(d / F.lit(SHELL)).cast("int")
+            shells = F.when(F.pmod(d, F.lit(SHELL)) >= SHELL - reach, F.array(home, home + 1)).otherwise(F.array(home))
+            paths = F.flatten(F.transform(paths, lambda p: F.transform(shells, lambda h: F.xxhash64(p, h))))
+        return F.transform(paths, lambda p: F.struct(F.lit(tree).alias("tree"), p.alias("shard")))
+
+    every = F.concat(*[shards(i, m) for i, m in enumerate(part_masks(radius))])
+    return fps.select("fp", F.explode(every).alias("x")).select("fp", "x.tree", "x.shard")
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (``hi``, ``lo``) whose components are those of all links between distinct fingerprints ``fp``."""
-    masks = F.array(*[F.struct(F.lit(i).alias("forest"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(block_masks(radius))])
-    shards = fps.select("fp", F.explode(masks).alias("x")).select("fp", "x.forest", "x.key")
-    by = Window.partitionBy("forest", "key")
-    sized = shards.withColumns({"n": F.count("*").over(by), "v1": F.min("fp").over(by), "v2": F.max("fp").over(by), "v3": F.min(F.struct(F.xxhash64("fp"), "fp")).over(by)["fp"]}).where("n > 1")
-
-    def shells(vantage: str) -> Column:
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.col(vantage)))
-        home = F.floor(d / F.lit(radius + 1)).cast("int")
-        return F.when(F.pmod(d, F.lit(radius + 1)) == 0, F.array(home)).otherwise(F.array(home, home + 1))
-
-    # only fingerprints of large shards are copied to the shells that they visit
-    whole = sized.where(F.col("n") <= SHARD).select("fp", F.xxhash64("forest", "key").alias("shard"))
-    near = F.transform(shells("v1"), lambda a: F.transform(shells("v2"), lambda b: F.transform(shells("v3"), lambda c: F.xxhash64("forest", "key", a, b, c))))
-    split = sized.where(F.col("n") > SHARD).select("fp", F.explode(F.flatten(F.flatten(near))).alias("shard"))
-    cells = whole.unionByName(split)
+    cells = visits(fps, vantage_points(fps), radius)
+    large = cut(cells.groupBy(F.col("shard").alias("large")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "large")
+    if not large.isEmpty():
+        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        dealt = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("shard", F.least(own, j), F.greatest(own, j)))
+        sized = cells.join(large, F.col("shard") == F.col("large"), "left")
+        cells = sized.select("fp", "tree", F.explode(F.when(F.col("parts").isNull(), F.array("shard")).otherwise(dealt)).alias("shard"))
     return cells.repartition("shard").sortWithinPartitions("shard").mapInArrow(_forests(radius), "hi long, lo long")
 
 
