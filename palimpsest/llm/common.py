@@ -56,8 +56,8 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return path
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again.
+def cut(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder, in a folder for each value of ``by`` if given, and read again.
 
     This ends the lineage at files that outlive any executor. Shuffle files of the query that filled
     them are removed as soon as it ends.
@@ -67,7 +67,8 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     before = spark.conf.get(_CLEAN_SHUFFLES)
     try:
         spark.conf.set(_CLEAN_SHUFFLES, "true")
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(_CLEAN_SHUFFLES, before)
     found = spark.read.schema(df.schema).parquet(path)
@@ -106,8 +107,9 @@ def per_task(column: Column, make: Callable[[], Callable[[pa.Array], pa.Array]],
 
 
 def slices(texts: pa.Array, rows: int, size: int = 1 << 20) -> Iterator[pa.Array]:
-    """An array of texts in slices of at most ``rows`` rows and about ``size`` bytes; a longer text is one slice."""
-    ends = pa.compute.binary_length(texts).fill_null(0).cast(pa.int64()).to_pylist()
+    """An array of texts, or lists, in slices of at most ``rows`` rows and about ``size`` bytes, or entries; a longer row is a slice of its own."""
+    sizes = pa.compute.list_value_length(texts) if pa.types.is_list(texts.type) else pa.compute.binary_length(texts)
+    ends = sizes.fill_null(0).cast(pa.int64()).to_pylist()
     a = total = 0
     for b, n in enumerate(ends):
         if b > a and (b - a >= rows or total + n > size):

@@ -6,42 +6,51 @@ the output is a softmax over classes times a softmax over the tokens of a class,
 root of the vocabulary and never an approximation of its normaliser.
 
 Tokens are lower-case words. The ``VOCABULARY`` most frequent ones by a count over the whole corpus have
-numbers of their own; every other word has one of ``RARE`` numbers by a hash of its last letters.
-
-Training is data-parallel and goes over the whole corpus once, in ``ROUNDS`` rounds. Each round takes the
-documents of one fold of id hashes. Every task starts from the round's weights, makes gradient steps on a
-``1 / EVERY`` share of its positions, chosen by position, and returns what it changed, as whole numbers in
-fixed point; Spark sums these by block of weights, and a mean weighted by positions opens the next round.
-What is gathered grows with the corpus, what the driver holds is one set of weights, some 200,000 numbers.
+numbers of their own; every other word shares one of ``RARE`` numbers by its hash, and its probability under that
+number is that of its spelling, by pairs of bytes counted over all rare words of the corpus. So every
+word has a probability of its own, one never seen included.
+
+Training is data-parallel and uses every position of the corpus ``EPOCHS`` times. Numbered texts are written once,
+in ``ROUNDS`` folds. A step takes one fold: each task sums the gradient of its positions at the step's weights, as
+whole numbers in fixed point, Spark sums these by block of weights, and the driver takes one step of Adam. Sums do not
+depend on how rows are dealt to tasks, so neither do the weights, but for the rounding of products. Output biases begin at the
+counted frequencies, so the untrained network is the unigram model and training can only be measured against it.
+What is gathered grows with the corpus; what the driver holds is one set of weights, some 200,000 numbers.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import cut, forget, per_task, slices
+
 SIDE = 2
 VOCABULARY, RARE = 1984, 63
 CLASSES = 32
 DIMENSION = 32
-ROUNDS, EVERY = 4, 16
-RATE, BATCH = 0.15, 256
-#: Weights that are summed as one row, and the fixed point of sums.
-WEIGHT_BLOCK, FIXED = 256, float(1 << 24)
-MEMO_ENTRIES = 500_000
+ROUNDS, EPOCHS = 16, 1
+#: Step size of Adam, its decays, and positions whose gradient is computed together.
+RATE, DECAY, DECAY_SQUARE, BATCH = 0.2, 0.7, 0.9, 8192
+#: Weights that are summed as one row, and the fixed point of sums: 2 ** 63 / 2 ** 20 leaves room for 10 ** 12 positions.
+WEIGHT_BLOCK, FIXED = 256, float(1 << 20)
+#: Words that a task remembers the numbers of.
+MEMO_ENTRIES = 150_000
 TOKENS_AT_ONCE = 100_000
 
 
 class Net:
-    """Weights: token vectors by offset, class outputs and token outputs."""
+    """Weights: token vectors by offset, class outputs and token outputs; and the logarithms of spelling probabilities."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], counts: np.ndarray | None = None, spelling: np.ndarray | None = None):
+        """``counts``: occurrences of the words, then of the rare numbers. ``spelling``: counts of byte after byte."""
+        self.words = words
         self.number = {w: i for i, w in enumerate(words)}
         used = len(words) + RARE + 1  # the last number pads the ends of a text
         self.per_class = -(-used // CLASSES)
@@ -52,16 +61,36 @@ class Net:
         self.shapes = [(2 * SIDE, self.size, DIMENSION), (DIMENSION, CLASSES), (CLASSES,), (CLASSES, DIMENSION, self.per_class), (CLASSES, self.per_class)]
         scale = [0.3, 0.1, 0, 0.1, 0]
         self.load(np.concatenate([(rng.normal(size=s) * k).ravel() for s, k in zip(self.shapes, scale)]))
+        n = np.full(self.size, 0.1)
+        if counts is not None:
+            n[: len(counts)] += counts
+        # the most frequent words are dealt out over the classes in turn
+        n = n.reshape(self.per_class, CLASSES).T
+        self.class_bias[:] = np.log(n.sum(axis=1) / n.sum())
+        self.token_bias[:] = np.log(n / n.sum(axis=1, keepdims=True))
+        pairs = np.full((256, 256), 0.01) + (0 if spelling is None else spelling)
+        self.spelling = np.log(pairs / pairs.sum(axis=1, keepdims=True))
 
     def load(self, flat: np.ndarray) -> None:
         """Take all weights from one flat array."""
         self.flat = np.ascontiguousarray(flat, np.float32)
-        parts = np.split(self.flat, np.cumsum([np.prod(s) for s in self.shapes])[:-1].astype(int))
-        self.inputs, self.to_class, self.class_bias, self.to_token, self.token_bias = (p.reshape(s) for p, s in zip(parts, self.shapes))
+        self.inputs, self.to_class, self.class_bias, self.to_token, self.token_bias = self.parts(self.flat)
+
+    def parts(self, flat: np.ndarray) -> list[np.ndarray]:
+        """Views of a flat array of weights, or of their gradient."""
+        parts = np.split(flat, np.cumsum([np.prod(s) for s in self.shapes])[:-1].astype(int))
+        return [p.reshape(s) for p, s in zip(parts, self.shapes)]
 
     def token(self, word: str) -> int:
         got = self.number.get(word)
-        return self.first_rare + zlib.crc32(word[-3:].encode()) % RARE if got is None else got
+        return self.first_rare + zlib.crc32(word.encode()) % RARE if got is None else got
+
+    def spelled(self, word: str) -> float:
+        """Log-probability of a rare word's bytes and its end; 0 for a word of the vocabulary."""
+        if word in self.number:
+            return 0.0
+        code = np.frombuffer(b"\0" + word.encode() + b"\0", np.uint8)
+        return float(self.spelling[code[:-1], code[1:]].sum())
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.inputs[0][context[:, 0]]
@@ -85,30 +114,34 @@ class Net:
                 out[own] += logits[np.arange(len(own)), place[own]] - _log_sum(logits)
         return out
 
-    def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One gradient step on a batch."""
+    def gradient(self, context: np.ndarray, target: np.ndarray, total: np.ndarray) -> None:
+        """Add the gradient of the targets' negative log-probability to ``total``, a flat array like the weights."""
+        inputs, to_class, class_bias, to_token, token_bias = self.parts(total)
         n = len(target)
+        order = np.argsort(target % CLASSES, kind="stable")
+        context, target = context[order], target[order]
         kind, place = target % CLASSES, target // CLASSES
         h = self.hidden(context)
-        logits = h @ self.to_class + self.class_bias
-        error = _softmax(logits)
+        error = _softmax(h @ self.to_class + self.class_bias)
         error[np.arange(n), kind] -= 1
         back = error @ self.to_class.T
-        self.to_class -= rate / n * (h.T @ error) * 4
-        self.class_bias -= rate / n * error.sum(axis=0) * 4
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        to_class += h.T @ error
+        class_bias += error.sum(axis=0)
+        bounds = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
         for c in range(CLASSES):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                inner = _softmax(h[own] @ self.to_token[c] + self.token_bias[c])
-                inner[np.arange(len(own)), place[own]] -= 1
-                back[own] += inner @ self.to_token[c].T
-                self.to_token[c] -= rate * 8 / n * (h[own].T @ inner)
-                self.token_bias[c] -= rate * 8 / n * inner.sum(axis=0)
+            a, b = bounds[c], bounds[c + 1]
+            if a < b:
+                inner = _softmax(h[a:b] @ self.to_token[c] + self.token_bias[c])
+                inner[np.arange(b - a), place[a:b]] -= 1
+                back[a:b] += inner @ self.to_token[c].T
+                to_token[c] += h[a:b].T @ inner
+                token_bias[c] += inner.sum(axis=0)
         back *= 1 - h * h
         for j in range(2 * SIDE):
-            np.subtract.at(self.inputs[j], context[:, j], rate * 8 / n * back)
+            order = np.argsort(context[:, j], kind="stable")
+            own = context[order, j]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            inputs[j, own[first]] += np.add.reduceat(back[order], first, axis=0)
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -121,34 +154,30 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-class _Numbers(dict):
-    """Word to token number, as words are met."""
+class _Remembered(dict):
+    """Values by word, as words are met."""
 
-    def __init__(self, net: Net):
+    def __init__(self, of: Callable[[str], float]):
         super().__init__()
-        self.net = net
+        self.of = of
 
-    def __missing__(self, word: str) -> int:
-        got = self.net.token(word)
+    def __missing__(self, word: str) -> float:
+        got = self.of(word)
         if len(self) < MEMO_ENTRIES:
             self[word] = got
         return got
 
 
-@functools.lru_cache(maxsize=1)
-def _numbers(net: Net) -> _Numbers:
-    return _Numbers(net)
+def split_words(text: str | None) -> list[str]:
+    return (text or "").lower().split()
 
 
-def windows(texts: list[str | None], net: Net) -> tuple[np.ndarray, np.ndarray]:
+def windows(rows: list[np.ndarray], net: Net) -> tuple[np.ndarray, np.ndarray]:
     """Padded token numbers of all texts in a row, and the number of tokens of each."""
-    get = _numbers(net).__getitem__
-    split = [(x or "").lower().split() for x in texts]
-    sizes = np.array([len(x) for x in split], np.int64)
-    padded = np.full(int(sizes.sum()) + 2 * SIDE * len(texts), net.pad, np.int64)
-    at = np.cumsum(sizes + 2 * SIDE) - sizes - SIDE
-    for a, own in zip(at.tolist(), split):
-        padded[a : a + len(own)] = np.fromiter(map(get, own), np.int64, len(own))
+    sizes = np.array([len(x) for x in rows], np.int64)
+    padded = np.full(int(sizes.sum()) + 2 * SIDE * len(rows), net.pad, np.int64)
+    if len(rows):
+        padded[_places(sizes)] = np.concatenate(rows)
     return padded, sizes
 
 
@@ -161,79 +190,142 @@ def _context(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([padded[at + j] for j in range(-SIDE, SIDE + 1) if j], axis=1)
 
 
-def _learner(shared):
+def _numbered(shared):
+    """Texts as arrays of token numbers."""
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        get = _Remembered(shared.value.token).__getitem__
+
+        def numbers(batch: pa.Array) -> pa.Array:
+            parts = []
+            for texts in slices(batch, 500):
+                rows = [split_words(x) for x in texts.to_pylist()]
+                ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
+                flat = np.fromiter(map(get, itertools.chain.from_iterable(rows)), np.int32, int(ends[-1]))
+                parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+        return numbers
+
+    return make
+
+
+def _gradients(shared):
+    """The sum of the gradients of all positions of a task, in blocks, and the number of positions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start: Net = shared.value
-        own = Net(list(start.number))
-        own.load(start.flat.copy())
-        seen = 0
+        net: Net = shared.value
+        total, seen = np.zeros(len(net.flat), np.float64), 0
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                padded, sizes = windows(batch.column("text")[k : k + 500].to_pylist(), start)
+            ids = batch.column("ids")
+            for part in slices(ids, 2000, 1 << 18):
+                padded, sizes = windows([x.values.to_numpy() for x in part], net)
                 at = _places(sizes)
-                at = at[(at * 2654435761 >> 7) % EVERY == 0]
                 for b in range(0, len(at), BATCH):
-                    part = at[b : b + BATCH]
-                    own.step(_context(padded, part), padded[part], RATE * min(1.0, len(part) / BATCH))
+                    own = at[b : b + BATCH]
+                    now = np.zeros(len(net.flat), np.float32)
+                    net.gradient(_context(padded, own), padded[own], now)
+                    total += now
                 seen += len(at)
         if seen:
-            change = (own.flat.astype(np.float64) - start.flat) * seen
-            change = np.append(change, np.zeros(-len(change) % WEIGHT_BLOCK)).reshape(-1, WEIGHT_BLOCK)
-            rows = np.round(change * FIXED).astype(np.int64)
-            values = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), WEIGHT_BLOCK).cast(pa.list_(pa.int64()))
-            n = np.zeros(len(rows), np.int64)
-            n[:] = seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), values, pa.array(n)], ["block", "change", "n"])
+            rows = np.round(np.append(total, np.zeros(-len(total) % WEIGHT_BLOCK)) * FIXED).astype(np.int64)
+            values = pa.FixedSizeListArray.from_arrays(pa.array(rows), WEIGHT_BLOCK).cast(pa.list_(pa.int64()))
+            n = len(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), values, pa.array(np.full(n, seen))], ["block", "slope", "n"])
 
     return run
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[str]:
-    """The most frequent lower-case words of all texts, ties in order of the words."""
-    spoken = docs.select(F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where("word <> ''")
-    top = spoken.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
-
-
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, size: int = VOCABULARY) -> Net:
-    """A network trained on all texts. An empty corpus leaves the initial weights."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of byte after byte in words, ends included."""
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        words, n = [x.encode() for x in batch.column("word").to_pylist()], batch.column("n").to_numpy()
+        data = np.frombuffer(b"\0" + b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+        weight = np.repeat(n, [len(x) + 1 for x in words])
+        total += np.bincount(data[:-1] << 8 | data[1:], weight, 1 << 16).astype(np.int64)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["pair", "n"])
+
+
+def start(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> Net:
+    """The untrained network: the vocabulary, ties in order of the words, and what is counted of rare words."""
+    spoken = docs.select(F.explode(F.split(F.lower(text), r"[\s\x1c-\x1f\x85\p{Z}]+")).alias("word")).where("word <> ''")
+    counted = cut(spoken.groupBy("word").agg(F.count("*").alias("n")), "words")
+    top = counted.orderBy(F.desc("n"), "word").limit(size).collect()  # size words
+    # the least frequent word of the vocabulary bounds it, so that no list of words is needed to find the others
+    least = top[-1] if len(top) == size else None
+    rare = counted.where("false") if least is None else counted.where((F.col("n") < least["n"]) | ((F.col("n") == least["n"]) & (F.col("word") > least["word"])))
+    buckets = {r["bucket"]: r["n"] for r in rare.groupBy((F.crc32("word") % RARE).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).collect()}
+    spelling = np.zeros(1 << 16)
+    # 65,536 pairs of bytes at most
+    for r in rare.mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        spelling[r["pair"]] = r["n"]
+    counts = np.array([r["n"] for r in top] + [buckets.get(b, 0) for b in range(RARE)], np.float64)
+    forget(counted)
+    return Net([r["word"] for r in top], counts, spelling.reshape(256, 256))
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, epochs: int = EPOCHS, size: int = VOCABULARY) -> Net:
+    """A network trained on every position of all texts.
+
+    Null texts have no positions; repeated rows count as often as they occur; rows without an id are trained on like others.
+    An empty corpus leaves the initial weights.
+    """
     spark = docs.sparkSession
-    net = Net(vocabulary(docs, text, size))
-    fold = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(rounds))
-    for r in range(rounds):
+    net = start(docs, text, size)
+    shared = spark.sparkContext.broadcast(net)
+    fold = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(rounds)).cast("int")
+    numbered = docs.where(F.col(text).isNotNull()).select(fold.alias("fold"), per_task(F.col(text), _numbered(shared), "array<int>").alias("ids"))
+    numbered = cut(numbered, "numbers", "fold")
+    shared.destroy()
+    mean, square = np.zeros(len(net.flat)), np.zeros(len(net.flat))
+    steps = 0
+    for r in [*range(rounds)] * epochs:
         shared = spark.sparkContext.broadcast(net)
-        changes = docs.where((fold == r) & F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInArrow(_learner(shared), "block int, change array<long>, n long")
-        sums = [F.sum(F.get("change", F.lit(i))).alias(f"c{i}") for i in range(WEIGHT_BLOCK)]
-        mean = changes.groupBy("block").agg(F.sum("n").alias("n"), *sums).orderBy("block").toArrow()
-        if len(mean):
-            total = np.stack([mean[f"c{i}"].to_numpy() for i in range(WEIGHT_BLOCK)], axis=1).astype(np.float64)
-            flat = net.flat + (total / FIXED / mean["n"].to_numpy()[:, None]).ravel()[: len(net.flat)]
-            new = Net(list(net.number))
-            new.load(flat)
-            net = new
-        shared.unpersist()
+        slopes = numbered.where(F.col("fold") == r).select("ids").mapInArrow(_gradients(shared), "block int, slope array<long>, n long")
+        sums = [F.sum(F.get("slope", F.lit(i))).alias(f"c{i}") for i in range(WEIGHT_BLOCK)]
+        found = slopes.groupBy("block").agg(F.sum("n").alias("n"), *sums).orderBy("block").toArrow()
+        shared.destroy()
+        if not len(found):
+            continue
+        slope = np.stack([found[f"c{i}"].to_numpy() for i in range(WEIGHT_BLOCK)], axis=1).astype(np.float64)
+        slope = (slope / FIXED / found["n"].to_numpy()[:, None]).ravel()[: len(net.flat)]
+        steps += 1
+        mean = DECAY * mean + (1 - DECAY) * slope
+        square = DECAY_SQUARE * square + (1 - DECAY_SQUARE) * slope * slope
+        rate = RATE * (1 - (steps - 1) / (rounds * epochs))  # falls to nothing
+        step = mean / (1 - DECAY**steps) / (np.sqrt(square / (1 - DECAY_SQUARE**steps)) + 1e-5)
+        net.load(net.flat - rate * step)
+    forget(numbered)
     return net
 
 
 def score(text: Column, net: Net, spark) -> Column:
     """Column ``struct<n_tokens:long,log_prob:double>``: tokens and pseudo-log-likelihood of a text.
 
-    Null and empty texts have no tokens and log-probability 0.
+    Null and empty texts have no tokens and log-probability 0. Repeated rows have equal scores, up to rounding.
     """
     shared = spark.sparkContext.broadcast(net)
 
-    def scores(batch: pa.Array) -> pa.Array:
-        own = shared.value
-        tokens, sums = [], []
-        for k in range(0, len(batch), 250):
-            padded, sizes = windows(batch[k : k + 250].to_pylist(), own)
-            at = _places(sizes)
-            found = np.concatenate([own.log_probability(_context(padded, at[b : b + TOKENS_AT_ONCE]), padded[at[b : b + TOKENS_AT_ONCE]]) for b in range(0, len(at), TOKENS_AT_ONCE)] or [np.zeros(0)])
-            ends = np.append(0, np.cumsum(found.astype(np.float64)))
-            stops = np.append(0, np.cumsum(sizes))
-            tokens.append(sizes)
-            sums.append(ends[stops[1:]] - ends[stops[:-1]])
-        none = np.zeros(0)
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(tokens or [none]).astype(np.int64)), pa.array(np.concatenate(sums or [none]))], ["n_tokens", "log_prob"])
-
-    return F.arrow_udf(scores, "struct<n_tokens:long,log_prob:double>")(text)
+    def make() -> Callable[[pa.Array], pa.Array]:
+        own: Net = shared.value
+        number, spelled = _Remembered(own.token).__getitem__, _Remembered(own.spelled).__getitem__
+
+        def scores(batch: pa.Array) -> pa.Array:
+            tokens, sums = [], []
+            for texts in slices(batch, 250):
+                rows = [split_words(x) for x in texts.to_pylist()]
+                padded, sizes = windows([np.fromiter(map(number, x), np.int64, len(x)) for x in rows], own)
+                at = _places(sizes)
+                found = np.concatenate([own.log_probability(_context(padded, at[b : b + TOKENS_AT_ONCE]), padded[at[b : b + TOKENS_AT_ONCE]]) for b in range(0, len(at), TOKENS_AT_ONCE)] or [np.zeros(0)])
+                ends = np.append(0, np.cumsum(found.astype(np.float64)))
+                stops = np.append(0, np.cumsum(sizes))
+                tokens.append(sizes)
+                sums.append(ends[stops[1:]] - ends[stops[:-1]] + np.array([sum(map(spelled, x)) for x in rows]))
+            none = np.zeros(0)
+            return pa.StructArray.from_arrays([pa.array(np.concatenate(tokens or [none]).astype(np.int64)), pa.array(np.concatenate(sums or [none]))], ["n_tokens", "log_prob"])
+
+        return scores
+
+    return per_task(text, make, "struct<n_tokens:long,log_prob:double>")

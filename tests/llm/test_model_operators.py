@@ -44,16 +44,45 @@ def test_tree_finds_all_links(n):
     assert (simhash.Forest(points, 4).label == closure(points, 4)).all()
 
 
+@pytest.mark.parametrize("radius", [0, 1, 4, 6])
+def test_parts_divide_every_link(radius):
+    rng = np.random.default_rng(radius)
+    masks = simhash.part_masks(radius)
+    assert sum(masks) == (1 << 64) - 1 and len({m & -m for m in masks}) == len(masks)
+    for _ in range(200):
+        flips = sum(1 << int(i) for i in rng.choice(64, radius, replace=False))
+        assert min((flips & m).bit_count() for m in masks) <= min(1, radius)
+
+
+def test_shards_hold_every_link_once_more_at_boundaries(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 10)
+    points = clustered(600, 5)
+    fps = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    vantage = simhash.vantage_points(fps)
+    assert len(vantage) == 5
+    shards, rows = {}, simhash.visits(fps, vantage).collect()
+    for r in rows:
+        shards.setdefault((r.tree, r.shard), set()).add(r.fp)
+    # a third of the fingerprints lies at a boundary of a level, so each visits some (4/3) ** 5 shards of a tree
+    assert 3 * len(points) * 2 < len(rows) < 3 * len(points) * 8 and len(shards) > 300
+    assert max(map(len, shards.values())) < len(points) / 3
+    together = {frozenset(x) for own in shards.values() for x in itertools.combinations(own, 2)}
+    for i, j in zip(*np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4)):
+        a, b = int(points.view(np.int64)[i]), int(points.view(np.int64)[j])
+        assert a == b or frozenset((a, b)) in together
+
+
 def test_fingerprints():
     for text in ("", "A b", "one two three four", "One  TWO\tthree four five É", "x " * 500):
         assert simhash.simhash(text) == plain_simhash(text)
     assert simhash.simhash(None) == 0
 
 
-@pytest.mark.parametrize("shard", [10_000, 3])
-def test_groups_equal_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize("n, shard, part", [(400, 2_000, 20_000), (3000, 40, 20_000), (400, 2_000, 70)])
+def test_groups_equal_brute_force(spark, monkeypatch, n, shard, part):
     monkeypatch.setattr(simhash, "SHARD", shard)
-    points = clustered(400, 7)
+    monkeypatch.setattr(simhash, "PART", part)
+    points = clustered(n, 7)
     df = spark.createDataFrame([(i, int(p)) for i, p in enumerate(points.view(np.int64))], "doc_id long, fingerprint long")
     got = {r.fingerprint: r.component_id for r in simhash.groups(df).collect()}
     label = closure(points, 4)
@@ -201,20 +230,55 @@ def test_masked_probabilities_sum_to_one():
     assert np.allclose(total, 1, atol=1e-4)
 
 
-def test_masked_training_helps_and_odd_rows(spark, odd, empty, small):
-    rows = spark.createDataFrame([(i, "red green blue yellow " * 120) for i in range(24)], "doc_id long, text string")
-    net = masked_lm.fit(rows, size=8)
-    fresh = masked_lm.Net(list(net.number))
-    mean = [rows.select(masked_lm.score(F.col("text"), x, spark).alias("s")).first().s.log_prob for x in (fresh, net)]
-    assert mean[1] > mean[0] * 0.6
+def test_training_beats_the_unigram_model_however_rows_are_dealt(spark, sf):
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet").select("doc_id", "text")
+    train, rest = docs.where("doc_id % 10 in (1, 2, 3, 4)"), docs.where("doc_id % 10 = 0")
+
+    def mean(net):
+        return rest.select(masked_lm.score(F.col("text"), net, spark).alias("s")).agg(F.sum("s.log_prob") / F.sum("s.n_tokens")).first()[0]
+
+    plain = mean(masked_lm.start(train))
+    found = [mean(masked_lm.fit(train.repartition(n), rounds=6)) for n in (1, 4, 64)]
+    assert min(found) > plain + 0.05
+    assert max(found) - min(found) < 0.01 * abs(plain)
+
+
+def test_masked_odd_rows(spark, odd, empty):
+    net = masked_lm.fit(odd, size=8, rounds=2)
     got = {r.doc_id: r.s for r in odd.select("doc_id", masked_lm.score(F.col("text"), net, spark).alias("s")).collect()}
-    assert got[2] == (0, 0.0) and got[3] == (0, 0.0) and got[4].n_tokens == 20_000 and got[4].log_prob < 0
-    assert masked_lm.fit(empty, size=4).flat.size == masked_lm.Net([]).flat.size
+    assert got[2] == (0, 0.0) and got[3] == (0, 0.0) and got[4].n_tokens == 20_000 and got[4].log_prob < 0 and got[4].log_prob == pytest.approx(got[8].log_prob)
+    assert masked_lm.fit(empty, size=4, rounds=1).flat.size == masked_lm.Net([]).flat.size
+
+
+def test_masked_query(spark, sf, small):
+    got = {r.doc_id: r for r in queries.op6_masked_lm(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in small.collect()}
+    assert set(got) == set(texts)
+    for doc, r in got.items():
+        assert r.n_tokens == len((texts[doc] or "").split()) and (r.log_prob < 0) == (r.n_tokens > 0)
+        assert r.n_tokens == 0 or r.mean_log_prob == pytest.approx(r.log_prob / r.n_tokens)
+
+
+def test_gradient_equals_differences():
+    net = masked_lm.Net(["a", "b", "c"], np.array([5.0, 3, 2]))
+    rng = np.random.default_rng(2)
+    context, target = rng.integers(0, net.size, (6, 4)), rng.integers(0, net.size, 6)
+    total = np.zeros(len(net.flat), np.float32)
+    net.gradient(context, target, total)
+    base = net.flat.copy()
+    for i in [*rng.integers(0, len(base), 40), *np.argsort(-np.abs(total))[:20]]:
+        ends = []
+        for d in (1e-2, -1e-2):
+            flat = base.copy()
+            flat[i] += d
+            net.load(flat)
+            ends.append(-net.log_probability(context, target).astype(float).sum())
+        assert total[i] == pytest.approx((ends[0] - ends[1]) / 2e-2, abs=2e-2)
 
 
 def test_sum_of_log_probabilities():
     net = masked_lm.Net(["a", "b"])
-    padded, sizes = masked_lm.windows(["a b a zz", "", "b"], net)
+    padded, sizes = masked_lm.windows([np.array([net.token(w) for w in x.split()], np.int64) for x in ("a b a zz", "", "b")], net)
     assert sizes.tolist() == [4, 0, 1] and len(padded) == 5 + 3 * 2 * masked_lm.SIDE
     at = masked_lm._places(sizes)
     assert [int(padded[i]) for i in at] == [0, 1, 0, net.token("zz"), 1]
