@@ -86,7 +86,7 @@ def spans(text: Column, pattern: str) -> Column:
         end = at + F.length(x["h"])
         return F.struct(end.alias("at"), F.concat(a["found"], F.array(F.struct(at.alias("start"), end.alias("end"), x["h"].alias("value")))).alias("found"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda a: a["found"])).when(text.isNotNull(), none)
+    return F.when(F.size(hits) > 0, F.aggregate(steps, start, step, lambda a: a["found"])).when(text.isNotNull(), none)
 
 
 def literal_spans(text: Column, term: Column) -> Column:
@@ -102,3 +102,9 @@ def literal_spans(text: Column, term: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(a["found"], F.array(F.struct(at.alias("start"), end.alias("end"), term.alias("value")))).alias("found"))
 
     return F.when(text.contains(term) & (F.length(term) > 0), F.aggregate(F.slice(gaps, 1, n), start, step, lambda a: a["found"])).otherwise(none)
+
+
+def counted(names: Column) -> Column:
+    """``map<string,long>`` of how often each name stands in an array."""
+    distinct = F.array_sort(F.array_distinct(names))
+    return F.map_from_arrays(distinct, F.transform(distinct, lambda c: F.size(F.filter(names, lambda x: x == c)).cast("long")))

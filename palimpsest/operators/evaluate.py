@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["case_id", "category", "start", "end"]
@@ -50,20 +50,74 @@ def category_hits(found: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.alias("e").join(found.alias("f"), on, "left_semi")
 
 
+def by_case(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row a case with its counts. Each side is grouped by case once; a case's spans lie in its row, as a document's findings do."""
+    span = F.struct("category", "start", "end")
+    left = found.groupBy("case_id").agg(F.collect_set(span).alias("f"))
+    every = expected.groupBy(*KEY).agg(F.bool_or("required").alias("required"), F.count("*").alias("n"))
+    right = every.groupBy("case_id").agg(F.collect_list(F.struct("category", "start", "end", "required", "n")).alias("e"))
+    both = left.join(right, "case_id", "full_outer")
+    f = F.coalesce("f", F.array().cast("array<struct<category:string,start:long,end:long>>"))
+    e = F.coalesce("e", F.array().cast("array<struct<category:string,start:long,end:long,required:boolean,n:long>>"))
+
+    def plain(x: Column) -> Column:
+        return F.struct(x["category"].alias("category"), x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"))
+
+    cases = both.select("case_id", F.transform(f, plain).alias("f"), e.alias("e")).withColumns(
+        {"k": F.transform("e", plain), "r": F.transform(F.filter("e", lambda x: x["required"]), plain)}
+    )
+    hit = F.array_intersect("f", "k")
+
+    def met(x: Column, same: bool) -> Column:
+        on = lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])
+        return F.exists("f", (lambda y: on(y) & (y["category"] == x["category"])) if same else on)
+
+    def rows(same: bool) -> Column:
+        return F.aggregate("e", F.lit(0).cast("long"), lambda a, x: a + F.when(met(x, same), x["n"]).otherwise(0))
+
+    return cases.select(
+        "case_id", F.size("f").cast("long").alias("found_total"), F.size("k").cast("long").alias("expected_total"), F.size("r").cast("long").alias("required_total"),
+        F.size(hit).cast("long").alias("tp"), F.size(F.array_except("f", "k")).cast("long").alias("fp"), F.size(F.array_except("r", "f")).cast("long").alias("fn"),
+        F.size(F.array_intersect("f", "r")).cast("long").alias("required_hit"), rows(False).alias("overlap"), rows(True).alias("category"),
+    )
+
+
 def counts(found: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row of counts; each is a distributed aggregation."""
-    every = expected.select(*KEY, "required").groupBy(*KEY).agg(F.bool_or("required").alias("required"))
-    parts = {
-        "tp": hits(found, expected), "fp": false_positives(found, expected), "fn": false_negatives(found, expected),
-        "required_hit": found.select(*KEY).distinct().join(every.where("required"), KEY, "left_semi"),
-        "required_total": every.where("required"), "expected_total": every,
-        "overlap": overlap_hits(found, expected), "category": category_hits(found, expected),
-    }
-    one = None
-    for name, rows in parts.items():
-        row = rows.agg(F.count("*").alias(name))
-        one = row if one is None else one.join(F.broadcast(row))  # a single row each
-    return one
+    """One row: the counts of ``by_case`` over all cases. Expected spans that are listed twice count twice for ``overlap`` and ``category``."""
+    names = ("tp", "fp", "fn", "required_hit", "required_total", "expected_total", "overlap", "category")
+    return by_case(found, expected).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+
+def rates(processed: DataFrame) -> DataFrame:
+    """One row: ``case_count``, and the shares of cases that pass verification and that are quarantined; 1 and 0 without cases."""
+    held = ~F.col("passed") | F.col("review_quarantine")
+    return processed.agg(
+        F.count("*").alias("case_count"),
+        F.coalesce(F.avg(F.col("passed").cast("double")), F.lit(1.0)).alias("verification_pass_rate"),
+        F.coalesce(F.avg(held.cast("double")), F.lit(0.0)).alias("quarantine_rate"),
+    )
+
+
+def case_results(processed: DataFrame, found: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row a case of ``processed`` (``doc_id`` and the columns of ``plans.process``): hashes, counts and verdicts, no plaintext."""
+    counted = by_case(found, expected).select(F.col("case_id").alias("doc_id"), "found_total", "expected_total", "tp", "fp", "fn")
+    kept = processed.select("doc_id", F.sha2("text", 256).alias("source_hash"), F.col("passed").alias("verification_passed"), (~F.col("passed") | F.col("review_quarantine")).alias("quarantined"))
+    zero = {x: F.coalesce(F.col(x), F.lit(0)) for x in ("found_total", "expected_total", "tp", "fp", "fn")}
+    return kept.join(counted, "doc_id", "left").withColumns(zero)
+
+
+def summarize(processed: DataFrame, found: DataFrame, expected: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
+    """One row: metrics and rates together. ``invalid``: one row ``invalid_findings``, 0 if not given."""
+    one = metrics(counts(found, expected)).join(F.broadcast(rates(processed)))  # a single row each
+    return one.withColumn("invalid_findings", F.lit(0).cast("long")) if invalid is None else one.join(F.broadcast(invalid))
+
+
+def write_summary(summary: DataFrame, cases: DataFrame, folder: str) -> None:
+    """The summary as JSON and as a short list in Markdown, and the cases as JSON lines, in three folders."""
+    summary.select(*sorted(summary.columns)).write.mode("overwrite").json(f"{folder}/summary")
+    lines = [F.concat(F.lit(f"- {n}: "), F.format_number(n, 3) if dict(summary.dtypes)[n] == "double" else F.col(n).cast("string")) for n in sorted(summary.columns) if dict(summary.dtypes)[n] in ("double", "bigint")]
+    summary.select(F.concat_ws("\n", F.lit("# Evaluation\n"), *lines).alias("value")).write.mode("overwrite").text(f"{folder}/summary_text")
+    cases.write.mode("overwrite").json(f"{folder}/cases")
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -101,18 +155,44 @@ def gate(summary: DataFrame, gates: Gates = Gates()) -> DataFrame:
     return summary.withColumn("failures", F.array_compact(F.array(*[F.when(failed, code) for failed, code in checks])))
 
 
-def latencies(df: DataFrame, value: str, by: list[str] | None = None, share: float = 0.95) -> DataFrame:
-    """Mean, median and the percentile at index ``int((n - 1) * share)`` of the sorted values.
+def latencies(df: DataFrame, value: str, by: list[str] | None = None, share: float = 0.95, bins: int = 1024) -> DataFrame:
+    """Count, mean, median and the percentile at index ``int((n - 1) * share)`` of the sorted values; the index is cut off, not interpolated.
 
-    The index is cut off, not interpolated; it is found by rank, so groups are sorted in a shuffle and
-    never collected.
+    Equal values are counted before anything is sorted. A group's range is cut into ``bins``; running counts over the bins
+    tell in which one an index lies, and only values of those bins are ranked, so a hot group is never sorted in one task.
+    Groups without values give no row.
     """
-    from pyspark.sql import Window
-
     keys = by or []
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    at = F.floor((F.col("n") - 1) * F.lit(share))
-    return ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.max(F.when(F.col("r") == at, F.col("v"))).alias("p95")
-    )
+    tallied = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    one = F.lit(0).alias("g")
+    ends = tallied.groupBy(*keys, one).agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.col("c") * F.col("v")).alias("total"))
+    names = [F.col(k) for k in keys]
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Join by the groups, null keys included."""
+        renamed = b.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in b.columns if c not in (*keys, "g")])
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        return a.join(renamed, on).drop(*[f"_{k}" for k in keys])
+
+    width = (F.col("high") - F.col("low")) / bins
+    bin_ = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+    placed = met(tallied, ends).withColumn("bin", bin_)
+    # bins rows a group at most
+    histogram = placed.groupBy(*keys, "n", "bin").agg(F.sum("c").alias("in_bin"))
+    running = F.sum("in_bin").over(Window.partitionBy(*keys).orderBy("bin"))
+    wanted = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) * F.lit(share)))
+    inside = F.filter("wanted", lambda i: (i >= F.col("upto") - F.col("in_bin")) & (i < F.col("upto")))
+    chosen = histogram.withColumns({"upto": running, "wanted": wanted}).withColumn("wanted", inside).where(F.size("wanted") > 0)
+    chosen = chosen.select(*names, F.col("bin").alias("_bin"), (F.col("upto") - F.col("in_bin")).alias("before"), "wanted")
+    ranked = met(placed, chosen).where("bin = _bin")
+    last = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v"))
+    ranked = ranked.withColumn("last", last)
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((index >= F.col("last") - F.col("c")) & (index < F.col("last")), F.col("v")))
+
+    n = F.col("n")
+    found = ranked.groupBy(*keys, "n", "total").agg(at(F.floor((n - 1) / 2)).alias("a"), at(F.floor(n / 2)).alias("b"), at(F.floor((n - 1) * F.lit(share))).alias("p95"))
+    return found.select(*names, "n", (F.col("total") / n).alias("mean"), ((F.col("a") + F.col("b")) / 2).alias("median"), "p95")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE_BREAK = "\n\f\n"
@@ -58,14 +58,26 @@ def mapping_confidence(findings: DataFrame, glyphs: DataFrame) -> DataFrame:
 
 
 def adjacent_merged(boxes: DataFrame, level: float = 1.5, gap: float = 2.0) -> DataFrame:
-    """Rectangles of a page merged with the one to their left where tops and bottoms agree and the gap is small.
+    """Rectangles of a page merged with the merged one before them where tops and bottoms agree and the gap is small.
 
-    Gaps and islands over rectangles in order of row and left edge; a merged rectangle reaches as far right as
-    any of its parts.
+    In order of top and left edge, each rectangle is held against what the one before it has grown to: it joins if its top and
+    bottom lie less than ``level`` from that rectangle's and its left edge at most ``gap`` behind the right one. This is
+    a fold over the rectangles of a page, a few hundred at most, within its row.
     """
-    order = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "x1", "y1")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = boxes.withColumns({"_y0": F.lag("y0").over(order), "_y1": F.lag("y1").over(order), "_x1": F.max("x1").over(before)})
-    new = F.coalesce((F.abs(F.col("y0") - F.col("_y0")) > level) | (F.abs(F.col("y1") - F.col("_y1")) > level) | (F.col("x0") - F.col("_x1") > gap), F.lit(True))
-    island = marked.withColumn("_island", F.sum(new.cast("int")).over(order))
-    return island.groupBy("doc_id", "page", "_island").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n")).drop("_island")
+    box = "struct<y0:double,x0:double,y1:double,x1:double,n:long>"
+    pages = boxes.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("y0", "x0", "y1", "x1")]))).alias("b"))
+    start = F.struct(F.lit(None).cast(box).alias("open"), F.array().cast(f"array<{box}>").alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        o = a["open"]
+        joins = (F.abs(x["y0"] - o["y0"]) < level) & (F.abs(x["y1"] - o["y1"]) < level) & (x["x0"] - o["x1"] <= gap)
+        joins = F.coalesce(joins, F.lit(False))
+        grown = F.struct(
+            F.least(o["y0"], x["y0"]).alias("y0"), F.least(o["x0"], x["x0"]).alias("x0"), F.greatest(o["y1"], x["y1"]).alias("y1"), F.greatest(o["x1"], x["x1"]).alias("x1"), (o["n"] + 1).alias("n")
+        )
+        fresh = F.struct(x["y0"].alias("y0"), x["x0"].alias("x0"), x["y1"].alias("y1"), x["x1"].alias("x1"), F.lit(1).cast("long").alias("n"))
+        closed = F.when(joins | o.isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(o)))
+        return F.struct(F.when(joins, grown.cast(box)).otherwise(fresh.cast(box)).alias("open"), closed.alias("done"))
+
+    merged = pages.select("doc_id", "page", F.explode(F.aggregate("b", start, step, lambda a: F.concat(a["done"], F.array(a["open"])))).alias("m"))
+    return merged.select("doc_id", "page", "m.x0", "m.y0", "m.x1", "m.y1", "m.n")

@@ -80,6 +80,52 @@ class Policy:
         return F.element_at(_map({c: getattr(self, of)(c) for c in CATEGORIES}), category)
 
 
+#: Fixed names of a policy file's keys, and the fields they fill.
+_FILE_KEYS = {
+    "name": "name", "version": "version", "minimum_confidence": "minimum_confidence", "default_action": "default_action", "actions": "actions",
+    "category_confidence": "category_confidence", "placeholders": "labels",
+}
+_IGNORED_KEYS = {"schema_version", "description", "ollama_prompt_hints", "verification_strict", "review_behavior"}
+_REVIEW_KEYS = {"quarantine", "warn_only", "auto_replace"}
+
+
+def policy_of(text: str) -> Policy:
+    """The policy that a YAML or JSON mapping describes; whatever is wrong with it raises ``PolicyError``."""
+    import json
+
+    try:
+        import yaml
+    except ImportError:  # JSON is all that can be read then
+        yaml = None
+    try:
+        found = json.loads(text) if yaml is None else yaml.safe_load(text)
+    except Exception as error:
+        raise PolicyError(f"a policy that cannot be read: {error}") from error
+    if not isinstance(found, dict):
+        raise PolicyError("a policy must be a mapping")
+    if unknown := set(map(str, found)) - set(_FILE_KEYS) - _IGNORED_KEYS:
+        raise PolicyError(f"unknown keys: {', '.join(sorted(unknown))}")
+    if missing := {"name", "version", "minimum_confidence", "actions"} - set(found):
+        raise PolicyError(f"missing keys: {', '.join(sorted(missing))}")
+    if found.get("schema_version", 1) != 1:
+        raise PolicyError("only schema_version 1 is known")
+    review = found.get("review_behavior") or {}
+    if not isinstance(review, dict) or set(review) - _REVIEW_KEYS or not all(isinstance(x, bool) for x in review.values()):
+        raise PolicyError("review_behavior holds quarantine, warn_only and auto_replace, each true or false")
+    try:
+        return Policy(**{_FILE_KEYS[k]: v for k, v in found.items() if k in _FILE_KEYS}, **review)
+    except (TypeError, ValueError) as error:
+        raise error if isinstance(error, PolicyError) else PolicyError(str(error)) from error
+
+
+def load_policies(spark: SparkSession, path: str) -> dict[str, Policy]:
+    """Policies by name of the YAML or JSON files at a path or pattern; names must differ. Policy files are few and small."""
+    found = [policy_of(r["value"]) for r in spark.read.text(path, wholetext=True).collect()]
+    if len({p.name for p in found}) < len(found):
+        raise PolicyError("two policies of one name")
+    return {p.name: p for p in found}
+
+
 def _map(values: dict) -> Column:
     """A map literal of plain names, numbers and booleans."""
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.columns import counted
 from palimpsest.operators.detect import exploded
 from palimpsest.operators.policy import Policy
 from palimpsest.operators.rewrite import replacements
@@ -19,12 +21,6 @@ def by_source(df: DataFrame, findings: str = "accepted") -> DataFrame:
     return exploded(df, findings).select(F.explode("sources").alias("source")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-def counted(names: Column) -> Column:
-    """``map<string,long>`` of how often each name stands in an array."""
-    distinct = F.array_sort(F.array_distinct(names))
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda c: F.size(F.filter(names, lambda x: x == c)).cast("long")))
-
-
 def audit(processed: DataFrame, policy: Policy) -> DataFrame:
     """One report row a document, for the columns that ``plans.process`` adds."""
     return processed.select(
@@ -38,7 +34,7 @@ def audit(processed: DataFrame, policy: Policy) -> DataFrame:
         counted(F.flatten(F.transform("accepted", lambda f: f["sources"]))).alias("findings_by_source"),
         replacements(F.col("planned")).alias("replacements"),
         F.size("ambiguous").cast("long").alias("ambiguous_count"),
-        F.struct("passed", "originals_left", "deterministic_left", "contextual_left", "ignored_placeholders", "ignored_reviews", "malformed", "remaining").alias("verification"),
+        F.struct("passed", "originals_left", "deterministic_left", "contextual_left", "ignored_placeholders", "ignored_reviews", "malformed", "remaining", "remaining_by_category").alias("verification"),
     )
 
 
@@ -65,3 +61,32 @@ def as_markdown(audited: DataFrame) -> DataFrame:
         F.lit("\n- Result: "), verdict, F.lit("\n\n"), advice, F.lit("\n"),
     ]
     return audited.select("doc_id", F.concat(*parts).alias("report"))
+
+
+def durations(jobs: DataFrame) -> DataFrame:
+    """``jobs`` with ``seconds`` from start to completion; null while a job has not ended."""
+    return jobs.withColumn("seconds", F.col("completed_at").cast("double") - F.col("started_at").cast("double"))
+
+
+def throughput(docs: DataFrame, seconds: float, text: str = "text") -> DataFrame:
+    """One row: documents and characters, and both a second of ``seconds``, the measured wall time; null texts have no characters."""
+    counts = docs.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("characters"))
+    spent = F.lit(float(seconds))
+    return counts.withColumns({x: F.when(spent > 0, F.col(y) / spent).otherwise(0.0) for x, y in (("documents_a_second", "documents"), ("characters_a_second", "characters"))})
+
+
+def with_reports(jobs: DataFrame, reports: DataFrame) -> DataFrame:
+    """``jobs`` with the ``report`` that their ``report_path`` names among ``reports`` (``report_path``, ``report``); null without one."""
+    return jobs.join(reports.select("report_path", "report"), "report_path", "left")
+
+
+def review_diff(processed: DataFrame, context: int = 3) -> DataFrame:
+    """(``doc_id``, ``diff``) of texts that were changed: a unified diff of a text and its rewriting. It holds plaintext, so nothing calls it by itself."""
+    import difflib
+
+    def diff(before: pd.Series, after: pd.Series) -> pd.Series:
+        lines = (difflib.unified_diff(a.splitlines(), b.splitlines(), "original", "sanitized", lineterm="", n=context) for a, b in zip(before, after))
+        return pd.Series(["\n".join(x) for x in lines])
+
+    changed = processed.where(F.col("text") != F.col("sanitized"))
+    return changed.select("doc_id", F.pandas_udf(diff, "string")("text", "sanitized").alias("diff"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.columns import digits_only, label_form
-from palimpsest.operators.detect import FINDINGS, PREFILTER, findings
+from palimpsest.functions.columns import counted, digits_only, label_form
+from palimpsest.operators.detect import FINDINGS, findings
 from palimpsest.operators.merge import merge, over_threshold
 from palimpsest.operators.placeholders import inside, malformed_count, masked, placeholder_spans
 from palimpsest.operators.policy import CATEGORIES, Policy
@@ -52,7 +52,7 @@ def verify(df: DataFrame, policy: Policy, sanitized: str = "sanitized", original
     ``originals``: array of what was replaced. ``allowed``: values that a warn-only policy lets stand.
     ``contextual``: findings of a further detector on the sanitized text. Columns: ``originals_left``,
     ``deterministic_left``, ``contextual_left``, ``ignored_placeholders``, ``ignored_reviews``,
-    ``malformed``, ``remaining``, ``passed`` and ``remaining_findings``.
+    ``malformed``, ``remaining``, ``passed``, ``remaining_findings`` and ``remaining_by_category``, their counts.
     """
     text = F.col(sanitized)
     none = F.array().cast(FINDINGS)
@@ -60,7 +60,7 @@ def verify(df: DataFrame, policy: Policy, sanitized: str = "sanitized", original
         {
             "_spans": placeholder_spans(text, policy),
             "malformed": malformed_count(text, policy),
-            "_d": F.when(text.rlike(PREFILTER), findings(text)).otherwise(none),
+            "_d": findings(text),
             "_c": none if contextual is None else contextual.cast(FINDINGS),
         }
     )
@@ -83,5 +83,6 @@ def verify(df: DataFrame, policy: Policy, sanitized: str = "sanitized", original
         .withColumn("ignored_reviews", (F.col("_dr") + F.col("_cr")).cast("long"))
         .withColumn("remaining", F.col("originals_left") + F.size("remaining_findings") + F.col("malformed"))
         .withColumn("passed", F.col("remaining") == 0)
+        .withColumn("remaining_by_category", counted(F.transform("remaining_findings", lambda f: f["category"])))
         .drop("_spans", "_d", "_c", "_da", "_ca", "_dg", "_cg", "_dr", "_cr")
     )

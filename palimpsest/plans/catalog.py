@@ -11,7 +11,7 @@ from palimpsest.operators.detect import detect, exploded
 from palimpsest.operators.merge import merge
 from palimpsest.operators.placeholders import malformed_count, masked, placeholder_spans
 from palimpsest.operators.policy import DEFAULT, POLICIES
-from palimpsest.operators.verify import residual_count
+from palimpsest.operators.verify import verify
 from palimpsest.plans.process import find, process
 
 QUERIES: dict = {}
@@ -236,12 +236,9 @@ def placeholder_parse(spark, sf_dir):
 SELECT doc_id, source_hash, first_id FROM h WHERE r > 1"""
 )
 def duplicate_docs(spark, sf_dir):
-    from pyspark.sql import Window
-
     hashed = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("source_hash"))
-    by = Window.partitionBy("source_hash")
-    ranked = hashed.withColumns({"r": F.row_number().over(by.orderBy("doc_id")), "first_id": F.min("doc_id").over(by)})
-    return ranked.where("r > 1").select("doc_id", "source_hash", "first_id")
+    firsts = hashed.groupBy("source_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return hashed.join(firsts, "source_hash").where("doc_id > first_id").select("doc_id", "source_hash", "first_id")
 
 
 _STATUS_SQL = "CASE WHEN doc_id % 7 = 0 THEN 'failed' WHEN doc_id % 11 = 0 THEN 'interrupted' WHEN doc_id % 5 = 0 THEN 'quarantined' WHEN doc_id % 13 = 0 THEN 'verifying' ELSE 'completed' END"
@@ -358,16 +355,104 @@ def eval_metrics(spark, sf_dir):
     return summary.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "required_recall", "overlap_accuracy", "category_accuracy")])
 
 
+# Texts as if nothing had been replaced: what verification must find is then what detection found.
+_UNSANITIZED = MERGED + """, per AS (SELECT doc_id, count(*) AS n FROM merged GROUP BY doc_id), v AS (SELECT d.doc_id, d.text, coalesce(n, 0) AS n FROM documents d LEFT JOIN per USING (doc_id))"""
+
+
+def _unsanitized(spark, sf_dir) -> DataFrame:
+    planned = process(docs(spark, sf_dir)).select("doc_id", "text", "planned", "accepted", "review_quarantine").withColumn("sanitized", F.col("text"))
+    return verify(planned, DEFAULT)
+
+
+@query(_UNSANITIZED + " SELECT doc_id, CAST(n AS BIGINT) AS originals_left, CAST(n AS BIGINT) AS deterministic_left, CAST(2 * n AS BIGINT) AS remaining, n = 0 AS passed FROM v")
+def verify_unsanitized(spark, sf_dir):
+    return _unsanitized(spark, sf_dir).select("doc_id", "originals_left", "deterministic_left", "remaining", "passed")
+
+
+@query(MERGED + " SELECT category, count(*) AS n FROM merged GROUP BY category")
+def remaining_by_category(spark, sf_dir):
+    rows = _unsanitized(spark, sf_dir).select(F.explode("remaining_by_category").alias("category", "left"))
+    return rows.groupBy("category").agg(F.sum("left").alias("n"))
+
+
+@query(_UNSANITIZED + " SELECT count(*) AS case_count, round(avg(CASE WHEN n = 0 THEN 1 ELSE 0 END), 9) AS verification_pass_rate, round(avg(CASE WHEN n = 0 THEN 0 ELSE 1 END), 9) AS quarantine_rate FROM v")
+def eval_rates(spark, sf_dir):
+    found = evaluate.rates(_unsanitized(spark, sf_dir))
+    return found.select("case_count", *[F.round(c, 9).alias(c) for c in ("verification_pass_rate", "quarantine_rate")])
+
+
 @query(
-    _METRICS
+    _METRICS.replace(MERGED, _UNSANITIZED)
     + """ SELECT array_to_string(list_filter([CASE WHEN p < 0.7 THEN 'PRECISION_BELOW_MINIMUM' END, CASE WHEN rr < 0.95 THEN 'REQUIRED_RECALL_BELOW_MINIMUM' END,
-  CASE WHEN r < 0.95 THEN 'EXACT_SPAN_ACCURACY_BELOW_MINIMUM' END], lambda x: x IS NOT NULL), ',') AS failures FROM q"""
+  CASE WHEN r < 0.95 THEN 'EXACT_SPAN_ACCURACY_BELOW_MINIMUM' END, CASE WHEN EXISTS (SELECT 1 FROM v WHERE n > 0) THEN 'VERIFICATION_PASS_RATE_BELOW_MINIMUM' END], lambda x: x IS NOT NULL), ',') AS failures FROM q"""
 )
 def eval_gates(spark, sf_dir):
-    summary = evaluate.metrics(evaluate.counts(*_evaluated(spark, sf_dir))).withColumns({"verification_pass_rate": F.lit(1.0), "invalid_findings": F.lit(0)})
+    summary = evaluate.summarize(_unsanitized(spark, sf_dir), *_evaluated(spark, sf_dir))
     return evaluate.gate(summary).select(F.array_join("failures", ",").alias("failures"))
 
 
+@query(
+    _METRICS.replace(MERGED, _UNSANITIZED)
+    + """, t AS (SELECT f.case_id, count(*) AS tp FROM fnd f JOIN expd x ON f.case_id = x.case_id AND f.category = x.category AND f.s = x.s AND f.e = x.e GROUP BY f.case_id)
+SELECT v.doc_id, sha256(v.text) AS source_hash, v.n AS found_total, coalesce(tp, 0) AS tp, v.n - coalesce(tp, 0) AS fp, v.n = 0 AS verification_passed, v.n > 0 AS quarantined FROM v LEFT JOIN t ON v.doc_id = t.case_id"""
+)
+def eval_cases(spark, sf_dir):
+    found = evaluate.case_results(_unsanitized(spark, sf_dir), *_evaluated(spark, sf_dir))
+    return found.select("doc_id", "source_hash", "found_total", "tp", "fp", "verification_passed", "quarantined")
+
+
+@query("SELECT count(*) AS documents, CAST(sum(len(text)) AS BIGINT) AS characters, count(*) / 4.0::DOUBLE AS documents_a_second, sum(len(text)) / 4.0::DOUBLE AS characters_a_second FROM documents")
+def throughput(spark, sf_dir):
+    return report.throughput(docs(spark, sf_dir), 4.0)
+
+
+@query(_JOBS + " SELECT id, status, CASE WHEN status IN ('completed', 'quarantined') THEN CAST(id % 90 AS DOUBLE) END AS seconds FROM jobs")
+def job_durations(spark, sf_dir):
+    ended = F.when(F.col("status").isin("completed", "quarantined"), F.timestamp_seconds(F.col("id") + F.col("id") % 90))
+    timed = _jobs(spark, sf_dir).withColumns({"started_at": F.timestamp_seconds("id"), "completed_at": ended})
+    return report.durations(timed).select("id", "status", "seconds")
+
+
+@query(_JOBS + ", r AS (SELECT 'reports/' || doc_id AS p, 'findings: ' || (doc_id % 3) AS report FROM documents WHERE doc_id % 2 = 0) SELECT id, status, report FROM jobs LEFT JOIN r ON p = 'reports/' || id")
+def job_reports(spark, sf_dir):
+    jobs = _jobs(spark, sf_dir).withColumn("report_path", F.concat(F.lit("reports/"), F.col("id").cast("string")))
+    written = docs(spark, sf_dir).where("doc_id % 2 = 0").select(F.concat(F.lit("reports/"), F.col("doc_id").cast("string")).alias("report_path"), F.concat(F.lit("findings: "), (F.col("doc_id") % 3).cast("string")).alias("report"))
+    return report.with_reports(jobs, written).select("id", "status", "report")
+
+
+@query(
+    """WITH n AS (SELECT doc_id, 'dir' || doc_id % 5 AS folder, 'doc' || doc_id % 20 || '.txt' AS name FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY doc_id) + CASE WHEN name = 'doc5.txt' THEN 1 ELSE 0 END AS p FROM n)
+SELECT doc_id, CASE WHEN p = 1 THEN name ELSE replace(name, '.txt', '') || '-' || (p + CASE WHEN name = 'doc7.txt' AND p >= 3 THEN 1 ELSE 0 END) || '.txt' END AS safe_name FROM r"""
+)
+def safe_names(spark, sf_dir):
+    d = F.col("doc_id")
+    names = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("dir"), (d % 5).cast("string")).alias("folder"), F.concat(F.lit("doc"), (d % 20).cast("string"), F.lit(".txt")).alias("name"))
+    held = names.where("name = 'doc5.txt'").select("folder", "name").union(names.where("name = 'doc7.txt'").select("folder", F.lit("doc7-3.txt").alias("name"))).distinct()
+    return ledger.collision_safe(names, "folder", "name", "doc_id", held).select("doc_id", "safe_name")
+
+
+@query(f"SELECT policy, category, action, label, CAST(threshold AS DOUBLE) AS threshold, replaced FROM {_policy_values()}")
+def policy_dimension(spark, sf_dir):
+    rules = None
+    for policy in POLICIES.values():
+        rows = policy.dimension(spark)
+        rules = rows if rules is None else rules.unionByName(rows)
+    return rules.where(F.col("category").isin("EMAIL", "PHONE", "CREDIT_CARD", "IP_ADDRESS", "API_KEY")).select("policy", "category", "action", "label", "threshold", "replaced")
+
+
+_NAMED = ("the", "token", "zzz")
+
+
+@query("SELECT doc_id, 1::BIGINT AS chunk_count, CAST(1 + " + " + ".join(f"CASE WHEN contains(text, '{t}') THEN 0 ELSE 1 END" for t in _NAMED) + " AS BIGINT) AS invalid_findings FROM documents WHERE len(text) > 0")
+def provider_telemetry(spark, sf_dir):
+    def provider(texts):
+        return [[*((t, "OTHER", 0.5, "named") for t in _NAMED), ("the", "NO_SUCH_CATEGORY", 0.5, "wrong")] for _ in texts]
+
+    rows = contextual.chunk_rows(contextual.chunked(docs(spark, sf_dir), max_chars=10_000_000, overlap=0))
+    return contextual.telemetry(contextual.answered(rows, provider)).select("doc_id", "chunk_count", "invalid_findings")
+
+
 @query(
     """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(max(CASE WHEN r = floor((n - 1) * 0.95::DOUBLE) THEN value END), 6) AS p95 FROM r GROUP BY event_type"""
@@ -439,16 +524,13 @@ def scalar_functions(spark, sf_dir):
     return d.select("doc_id", F.sha2(normalized(F.col("text")), 256).alias("normal_hash"), F.length(digits_only(F.col("text"))).cast("long").alias("digits"), F.sha2(html_escaped(F.col("text")), 256).alias("html_hash"))
 
 
-_GLYPHS = "SELECT doc_id, CAST(doc_id % 4 AS INT) AS page, 1 AS block, CAST(p // 40 AS INT) AS line, 1 AS span, p AS char, p % 40 * 6.0 AS x0, p // 40 * 12.0 AS y0, p % 40 * 6.0 + 6.0 AS x1, p // 40 * 12.0 + 10.0 AS y1"
-
-
 def _glyph_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Findings of the documents, and a glyph of fixed size for each of their characters, forty a line."""
-    found = exploded(merge(detect(docs(spark, sf_dir), names=("email", "phone"))), "merged").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "category")
+    """Findings of the documents, and a glyph of fixed size for each of their characters, forty a line, eight a span."""
+    found = exploded(merge(detect(docs(spark, sf_dir))), "merged").select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "category")
     at = found.select("doc_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("p"))
     column, row = F.pmod("p", F.lit(40)) * 6.0, F.floor(F.col("p") / 40)
     rows = at.select(
-        "doc_id", F.pmod("doc_id", F.lit(4)).cast("int").alias("page"), F.lit(1).alias("block"), row.cast("int").alias("line"), F.lit(1).alias("span"), F.col("p").alias("offset"),
+        "doc_id", F.pmod("doc_id", F.lit(4)).cast("int").alias("page"), F.lit(1).alias("block"), row.cast("int").alias("line"), (F.floor(F.pmod("p", F.lit(40)) / 8)).cast("int").alias("span"), F.col("p").alias("offset"),
         column.alias("x0"), (row * 12.0).alias("y0"), (column + 6.0).alias("x1"), (row * 12.0 + 10.0).alias("y1"),
     )
     return found, rows
@@ -456,16 +538,15 @@ def _glyph_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 _BOXES = (
     MERGED
-    + """, em2 AS (SELECT * FROM merged WHERE category IN ('EMAIL', 'PHONE')),
-g AS (SELECT doc_id, s, category, p, p // 40 AS line FROM em2, unnest(range(s, CAST(e AS BIGINT))) AS u(p)),
-box AS (SELECT doc_id, s, category, line, min(p % 40) * 6.0 AS x0, line * 12.0 AS y0, max(p % 40) * 6.0 + 6.0 AS x1, line * 12.0 + 10.0 AS y1 FROM g GROUP BY doc_id, s, category, line)"""
+    + """, g AS (SELECT doc_id, s, category, p, p // 40 AS line, p % 40 // 8 AS span FROM merged, unnest(range(s, CAST(e AS BIGINT))) AS u(p)),
+box AS (SELECT doc_id, s, category, line, span, min(p % 40) * 6.0 AS x0, line * 12.0 AS y0, max(p % 40) * 6.0 + 6.0 AS x1, line * 12.0 + 10.0 AS y1 FROM g GROUP BY doc_id, s, category, line, span)"""
 )
 
 
-@query(_BOXES + " SELECT doc_id, s AS start_at, category, CAST(line AS BIGINT) AS line, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM box")
+@query(_BOXES + " SELECT doc_id, s AS start_at, category, CAST(line AS BIGINT) AS line, CAST(span AS BIGINT) AS span, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1 FROM box")
 def pdf_glyph_union(spark, sf_dir):
     found, rows = _glyph_rows(spark, sf_dir)
-    return glyphs.finding_boxes(found, rows).select("doc_id", F.col("start").alias("start_at"), "category", F.col("line").cast("long").alias("line"), "x0", "y0", "x1", "y1")
+    return glyphs.finding_boxes(found, rows).select("doc_id", F.col("start").alias("start_at"), "category", F.col("line").cast("long").alias("line"), F.col("span").cast("long").alias("span"), "x0", "y0", "x1", "y1")
 
 
 @query(
@@ -483,11 +564,15 @@ def pdf_adjacent_merge(spark, sf_dir):
 @query(_SANITIZED + " SELECT min(doc_id) AS doc_id, sha256(sanitized) AS sanitized_hash FROM (SELECT c.doc_id, c.sanitized, d.text FROM clean c JOIN documents d USING (doc_id)) GROUP BY text, sanitized")
 def stream_sanitize_available_now(spark, sf_dir):
     import tempfile
+    import uuid
 
     from palimpsest.streaming.watch import documents, watch
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    import uuid
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp()
 
     base = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
@@ -496,7 +581,7 @@ def stream_sanitize_available_now(spark, sf_dir):
     return spark.read.parquet(f"{base}/out").select("doc_id", F.sha2("sanitized", 256).alias("sanitized_hash"))
 
 
-#: Own texts for categories that the tables lack, near misses among them.
+#: Own texts beside the documents, for categories that the tables may lack, near misses among them.
 LITERALS = (
     "My number is 219-09-9999, not 000-12-3456, 666-12-3456, 912-34-5678, 219-00-1234 or 1219-09-99991.",
     "See https://example.org/a?b=1, (http://example.net/x). and https://example.com/path!",
@@ -509,7 +594,7 @@ LITERALS = (
     "é 😀 password: späß secret=\"ü😀\" https://ex.org/ü",
     "",
 )
-_LITERALS = "(VALUES " + ", ".join(f"({i}, '" + x.replace("'", "''") + "')" for i, x in enumerate(LITERALS)) + ") AS v(doc_id, text)"
+_LITERALS = "(VALUES " + ", ".join(f"({-1 - i}, '" + x.replace("'", "''") + "')" for i, x in enumerate(LITERALS)) + ") AS v(doc_id, text)"
 _VALUE_SQL = r"""("[^"\r\n]+"|'[^'\r\n]+'|[^\s,;]+)"""
 _LITERAL_SQL = {
     "ssn": (r"(\d{3}-\d{2}-\d{4})(?:\D|$)", r"NOT regexp_matches(before, '\d') AND NOT regexp_matches(value, '^(000|666|9)|-00-|-0000$')", "rtrim(value, '')"),
@@ -525,18 +610,19 @@ _LITERAL_SQL = {
 
 def _literal(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        texts = spark.createDataFrame(list(enumerate(LITERALS)), "doc_id int, text string")
+        own = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(LITERALS)], "doc_id long, text string")
+        texts = docs(spark, sf_dir).select("doc_id", "text").unionByName(own)
         rows = exploded(detect(texts, names=(name,)))
         return rows.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "category", F.sha2("value", 256).alias("value_hash"))
 
-    run.__name__ = f"detect_literals_{name}"
+    run.__name__ = f"detect_{name}"
     return run
 
 
 for _name, (_pattern, _where, _value) in _LITERAL_SQL.items():
     _category = {"ssn": "SSN", "url": "URL", "api_key": "API_KEY", "password": "PASSWORD"}.get(_name, "SECRET")
     query(
-        f"WITH lits AS (SELECT * FROM {_LITERALS})," + span_sql("x", _pattern, "lits")
+        f"WITH lits AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {_LITERALS})," + span_sql("x", _pattern, "lits")
         + rf""", y AS (SELECT doc_id, pos, {_value} AS value, regexp_matches(value, '^("[^"\r\n]+"|''[^''\r\n]+'')$') AS q FROM x WHERE {_where})
 SELECT doc_id, CAST(CASE WHEN q THEN pos + 1 ELSE pos END AS BIGINT) AS start_at, CAST(CASE WHEN q THEN pos + len(value) - 1 ELSE pos + len(value) END AS BIGINT) AS end_at,
   '{_category}' AS category, sha256(CASE WHEN q THEN value[2:len(value) - 1] ELSE value END) AS value_hash FROM y"""

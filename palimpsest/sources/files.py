@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXPECTED = "array<struct<category:string,text:string,start:int,end:int,required:boolean>>"
@@ -10,23 +16,89 @@ EXPECTED = "array<struct<category:string,text:string,start:int,end:int,required:
 HIDDEN = r"^[.~]|\.(?i:tmp|part|swp)$"
 
 
-def files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".txt",), max_bytes: int = 20_000_000) -> DataFrame:
-    """(``path``, ``name``, ``modified``, ``n_bytes``, ``source_hash``, ``text``, ``error``) of a folder's files, in order of paths.
+@dataclass(frozen=True)
+class Handler:
+    """How files of some suffixes become text: ``read`` is a column of a file's bytes, null where they are no text."""
+
+    kind: str
+    extensions: tuple[str, ...]
+    read: Callable[[Column], Column]
+
+
+def utf8_text(content: Column) -> Column:
+    """Text of UTF-8 bytes, line ends as line feeds; null for other bytes."""
+    return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "\r\n?", "\n"))
+
+
+TEXT = Handler("text", (".txt",), utf8_text)
+
+
+def registry(*handlers: Handler) -> dict[str, Handler]:
+    """Handlers by suffix in lower case; a suffix that two of them claim raises ``ValueError``."""
+    found: dict[str, Handler] = {}
+    for handler in handlers:
+        for suffix in map(str.lower, handler.extensions):
+            if suffix in found:
+                raise ValueError(f"two handlers for {suffix}")
+            found[suffix] = handler
+    return found
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(``path``, ``name``, ``modified``, ``n_bytes``, ``is_link``) of the files right in a folder, by Hadoop's file system.
 
-    The folder is not searched below itself. Hidden and unfinished names and other suffixes are left out. A
-    file over the limit, or whose bytes are not UTF-8, has an ``error`` and no text. Line ends become line
-    feeds in the text; the hash is of the bytes as they are.
+    Spark's own readers pass over names that begin with ``_``. The driver holds what a directory listing holds.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    wanted = F.lower(name).rlike("(" + "|".join(x.lower().replace(".", r"\.") for x in extensions) + ")$")
-    named = found.withColumn("name", name).where(wanted & ~F.col("name").rlike(HIDDEN))
-    right, small = F.is_valid_utf8(F.col("content").cast("string")), F.col("length") <= max_bytes
-    text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
-    return named.select(
-        "path", "name", F.col("modificationTime").alias("modified"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("source_hash"),
-        F.when(right & small, text).alias("text"), F.when(~small, "too_large").when(~right, "not_utf8").alias("error"),
-    ).orderBy("path")
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    local = fs.getScheme() == "file"
+    rows = []
+    for x in fs.listStatus(at):
+        if x.isFile():
+            path = x.getPath().toString()
+            link = x.isSymlink() or (local and os.path.islink(x.getPath().toUri().getPath()))
+            rows.append((path, x.getPath().getName(), x.getModificationTime() / 1000, x.getLen(), link))
+    found = spark.createDataFrame(rows, "path string, name string, seconds double, n_bytes long, is_link boolean")
+    return found.withColumn("modified", F.timestamp_seconds("seconds")).drop("seconds")
+
+
+def gate(found: DataFrame, handlers: dict[str, Handler], max_bytes: int = 20_000_000) -> DataFrame:
+    """``found`` with ``suffix`` and ``refused``: ``symlink``, ``unsupported``, ``too_large``, or null for files that may be read."""
+    suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
+    refused = F.when(F.col("is_link"), "symlink").when(~suffix.isin(*handlers), "unsupported").when(F.col("n_bytes") > max_bytes, "too_large")
+    return found.withColumns({"suffix": suffix, "refused": refused})
+
+
+def files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".txt",), max_bytes: int = 20_000_000, handlers: dict[str, Handler] | None = None) -> DataFrame:
+    """(``path``, ``name``, ``modified``, ``n_bytes``, ``kind``, ``source_hash``, ``text``, ``error``) of a folder's files, in order of paths.
+
+    The folder is not searched below itself. Hidden and unfinished names, links and suffixes without a handler are
+    left out. A file over the limit has an ``error`` and is never opened; one whose bytes its handler cannot read has an ``error`` and no text.
+    The hash is of the bytes as they are.
+    """
+    known = registry(*[Handler("text", tuple(extensions), utf8_text)]) if handlers is None else handlers
+    wanted = gate(listed(spark, folder).where(~F.col("name").rlike(HIDDEN)), known, max_bytes).where("refused is null or refused = 'too_large'")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.slice(k, 1)
+                data = None
+                if row.column("refused")[0].as_py() is None:
+                    fs, at = pafs.FileSystem.from_uri(row.column("path")[0].as_py())
+                    with fs.open_input_stream(at) as stream:
+                        data = stream.read()
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], [*row.schema.names, "content"])
+
+    kinds = ", ".join(f"{n} {t}" for n, t in wanted.dtypes)
+    opened = wanted.repartition(F.col("path")).mapInArrow(read, f"{kinds}, content binary")
+    text, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for suffix, handler in known.items():
+        text = F.when(F.col("suffix") == suffix, handler.read(F.col("content"))).otherwise(text)
+        kind = F.when(F.col("suffix") == suffix, handler.kind).otherwise(kind)
+    error = F.coalesce("refused", F.when(F.col("text").isNull(), "not_utf8"))
+    return opened.withColumns({"text": text, "kind": kind}).select("path", "name", "modified", "n_bytes", "kind", F.sha2("content", 256).alias("source_hash"), "text", error.alias("error")).orderBy("path")
 
 
 def stable(found: DataFrame, seconds: int = 3) -> DataFrame:
@@ -35,13 +107,19 @@ def stable(found: DataFrame, seconds: int = 3) -> DataFrame:
 
 
 def cases(spark: SparkSession, path: str) -> DataFrame:
-    """(``name``, ``text``, ``findings``) of JSON lines; blank lines are left out, ``required`` is true by default."""
-    found = spark.read.schema(f"name string, text string, findings {EXPECTED}").json(path).where("name is not null or text is not null")
+    """(``name``, ``text``, ``findings``) of JSON lines; blank lines are left out, ``required`` is true by default.
+
+    A line whose ``findings`` are no list of findings fails the query.
+    """
+    raw = spark.read.text(path).where(F.trim("value") != "")
+    found = raw.select(F.from_json("value", f"name string, text string, findings {EXPECTED}", {"mode": "PERMISSIVE"}).alias("x"), F.get_json_object("value", "$.findings").alias("given"))
+    wrong = ~F.coalesce(F.col("given").startswith("["), F.lit(False)) | F.col("x.findings").isNull()
+    right = F.when(wrong, F.raise_error(F.lit("findings must be a list"))).otherwise(F.col("x.findings"))
     filled = F.transform(
-        "findings",
+        right.cast(EXPECTED),
         lambda f: F.struct(f["category"].alias("category"), f["text"].alias("text"), f["start"].alias("start"), f["end"].alias("end"), F.coalesce(f["required"], F.lit(True)).alias("required")),
     )
-    return found.withColumn("findings", filled)
+    return found.select("x.name", "x.text", filled.alias("findings"))
 
 
 def case_pairs(spark: SparkSession, texts: str, expected: str) -> DataFrame:

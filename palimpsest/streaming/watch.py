@@ -34,10 +34,9 @@ def watch(stream: DataFrame, out: str, ledger_path: str, checkpoint: str, policy
         hashed = batch.withColumn("source_hash", F.sha2("text", 256))
         before = ledger(spark, ledger_path).where(F.col("error_message").isNull())
         todo = not_done(hashed, before, "doc_id")
-        done = process(todo, policy).select("doc_id", "source_hash", "sanitized", "status", "route", "accepted", "passed")
-        done.drop("accepted").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done = process(todo, policy).select("doc_id", "source_hash", "sanitized", "status", "route", F.size("accepted").alias("findings_count"), "passed")
+        done.write.mode("overwrite").parquet(f"{out}/batch={number}")
         rows = spark.read.parquet(f"{out}/batch={number}")
-        counted = rows.join(done.select("doc_id", "accepted"), "doc_id")
-        attempts(counted, policy, stamp=F.timestamp_seconds(F.lit(number))).write.mode("append").parquet(ledger_path)
+        attempts(rows, policy, stamp=F.timestamp_seconds(F.lit(number))).write.mode("append").parquet(ledger_path)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -29,7 +29,7 @@ def rows_of(columns, rows):
     return sorted(repr(tuple(r[i].item() if hasattr(r[i], "item") else r[i] for i in order)) for r in rows)
 
 
-HEAVY = {"eval_misses", "eval_overlap", "findings_by_source", "release_route", "verify_residual", "audit_markdown", "eval_gates"}
+HEAVY = {"eval_misses", "eval_overlap", "findings_by_source", "release_route", "audit_markdown"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.SQL) - HEAVY))
@@ -78,6 +78,76 @@ def test_duplicates_follow_the_last_attempt(spark):
     assert {r.status for r in ledger.recovered(jobs(spark, [("x", "h", "verifying")])).collect()} == {"interrupted"}
 
 
+def test_names_avoid_what_is_there(spark):
+    df = spark.createDataFrame([(1, "d", "a.txt"), (2, "d", "a.txt"), (3, "d", "a.txt"), (4, "d", "a-2.txt")], "i int, folder string, name string")
+    held = spark.createDataFrame([("d", "a.txt"), ("d", "a-3.txt")], "folder string, name string")
+    got = [r.safe_name for r in ledger.collision_safe(df, "folder", "name", "i", held).orderBy("i").collect()]
+    assert got == ["a-4.txt", "a-5.txt", "a-6.txt", "a-2.txt"]
+
+
+def test_gate_and_registry(spark, tmp_path):
+    from palimpsest.sources.files import TEXT, Handler, gate, listed, registry, utf8_text
+
+    for name in ("_a.txt", "b.MD", "c.pdf", "big.txt"):
+        (tmp_path / name).write_bytes(b"x" * (99 if name == "big.txt" else 3))
+    (tmp_path / "link.txt").symlink_to(tmp_path / "b.MD")
+    known = registry(TEXT, Handler("markdown", (".md",), utf8_text))
+    got = {r.name: r.refused for r in gate(listed(spark, str(tmp_path)), known, 50).collect()}
+    assert got == {"_a.txt": None, "b.MD": None, "c.pdf": "unsupported", "big.txt": "too_large", "link.txt": "symlink"}
+    assert {r.name: (r.kind, r.text, r.error) for r in files(spark, str(tmp_path), max_bytes=50, handlers=known).collect()} == {
+        "_a.txt": ("text", "xxx", None), "b.MD": ("markdown", "xxx", None), "big.txt": ("text", None, "too_large"),
+    }
+    with pytest.raises(ValueError):
+        registry(TEXT, Handler("other", (".TXT",), utf8_text))
+
+
+def test_policies_from_files(spark, tmp_path):
+    from palimpsest.operators.policy import PolicyError, load_policies, policy_of
+
+    (tmp_path / "p.yaml").write_text("name: own\nversion: 2\nminimum_confidence: 0.6\nactions: {EMAIL: redact}\nplaceholders: {EMAIL: MAIL}\nreview_behavior: {quarantine: false, warn_only: true}\n")
+    own = load_policies(spark, str(tmp_path))["own"]
+    assert (own.version, own.action("EMAIL"), own.label("EMAIL"), own.action("PHONE"), own.warn_only) == (2, "redact", "MAIL", "ignore", True)
+    for bad in ("[1]", "name: x", "name: x\nversion: 1\nminimum_confidence: 0.5\nactions: {MAIL: redact}", "name: x\nversion: 0\nminimum_confidence: 0.5\nactions: {}", "a: [", "name: x\nversion: 1\nminimum_confidence: 0.5\nactions: {}\nmore: 1"):
+        with pytest.raises(PolicyError):
+            policy_of(bad)
+
+
+def test_synthetic_cases_are_found(spark):
+    from palimpsest.sources import corpus
+
+    rows = corpus.cases(spark, 120).withColumn("doc_id", F.monotonically_increasing_id())
+    expected = rows.select(F.col("doc_id").alias("case_id"), F.explode("findings").alias("f")).select("case_id", "f.category", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), "f.required")
+    found = process(rows.select("doc_id", "text"))
+    spans = found.select(F.col("doc_id").alias("case_id"), F.explode("merged").alias("f")).select("case_id", "f.category", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"))
+    row = evaluate.summarize(found, spans, expected).first()
+    assert (row.precision, row.recall, row.verification_pass_rate, row.quarantine_rate, row.case_count) == (1.0, 1.0, 1.0, 0.0, 120)
+
+
+def test_evaluation_files(spark, tmp_path):
+    found = spark.createDataFrame([(1, "EMAIL", 0, 5)], "case_id long, category string, start long, end long")
+    done = process(spark.createDataFrame([(1, "a@b.co"), (2, "none")], "doc_id long, text string"))
+    wanted = found.withColumn("required", F.lit(True))
+    evaluate.write_summary(evaluate.summarize(done, found, wanted), evaluate.case_results(done, found, wanted), str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/summary").first().case_count == 2
+    assert "- precision: 1.000" in {r.value for r in spark.read.text(f"{tmp_path}/summary_text").collect()}
+    assert {r.doc_id: r.tp for r in spark.read.json(f"{tmp_path}/cases").collect()} == {1: 1, 2: 0}
+
+
+def test_diff_and_bad_cases(spark, tmp_path):
+    done = process(spark.createDataFrame([(1, "to a@b.co"), (2, "none")], "doc_id long, text string"))
+    assert [(r.doc_id, r["diff"].splitlines()[-2:]) for r in report.review_diff(done).collect()] == [(1, ["-to a@b.co", "+to [EMAIL_1]"])]
+    (tmp_path / "bad.jsonl").write_text('{"name":"n","text":"t","findings":{"a":1}}\n')
+    with pytest.raises(Exception, match="must be a list"):
+        cases(spark, str(tmp_path / "bad.jsonl")).collect()
+
+
+def test_boxes_merge_line_by_line(spark):
+    boxes = [(0, 0, 200, 10), (0, 12, 10, 22), (100, 12, 110, 22), (111, 12, 120, 22), (121, 14, 130, 24)]
+    df = spark.createDataFrame([(1, 0, *map(float, b)) for b in boxes], "doc_id long, page int, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r.y0, r.x0, r.x1, r.n) for r in glyphs.adjacent_merged(df).collect())
+    assert got == [(0.0, 0.0, 200.0, 1), (12.0, 0.0, 10.0, 1), (12.0, 100.0, 120.0, 2), (14.0, 121.0, 130.0, 1)]
+
+
 def test_names_do_not_collide(spark):
     df = spark.createDataFrame([(1, "d", "a.txt"), (2, "d", "a.txt"), (3, "e", "a.txt"), (4, "d", "b")], "i int, folder string, name string")
     assert [r.safe_name for r in ledger.collision_safe(df, "folder", "name", "i").orderBy("i").collect()] == ["a.txt", "a-2.txt", "a.txt", "b"]
