@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,33 +59,28 @@ def verify(df: DataFrame, policy: Policy, sanitized: str = "sanitized", original
     """
     text = F.col(sanitized)
     none = F.array().cast(FINDINGS)
-    staged = df.withColumns(
+    parts = {"_d": findings(text)} | ({} if contextual is None else {"_c": contextual.cast(FINDINGS)})
+    staged = df.withColumns({"_spans": placeholder_spans(text, policy), "malformed": malformed_count(text, policy), **parts})
+    kept = {f"{n}k": F.filter(n, lambda f: ~is_generated(f, F.col("_spans"), policy)) for n in parts}
+    staged = staged.withColumns({"originals_left": residual_count(masked(text, F.col("_spans")), F.col(originals)), **kept})
+    strict = {f"{n}s": F.col(f"{n}k") if allowed is None else F.filter(f"{n}k", lambda f: ~F.array_contains(allowed, f["value"])) for n in parts}
+    staged = staged.withColumns(strict)
+    for n in parts:
+        staged = over_threshold(merge(staged, sanitized, f"{n}s", f"{n}m", "_lost"), policy, f"{n}m", f"{n}a").drop(f"{n}m", "_lost")
+    # with one detector, what it left is merged already
+    both = staged.withColumn("remaining_findings", F.col("_da")) if contextual is None else merge(staged.withColumn("_both", F.concat("_da", "_ca")), sanitized, "_both", "remaining_findings", "_lost").drop("_both", "_lost")
+
+    def total(first: str, then: str) -> Column:
+        return functools.reduce(operator.add, (F.size(f"{n}{first}") - F.size(f"{n}{then}") for n in parts)).cast("long")
+
+    return both.withColumns(
         {
-            "_spans": placeholder_spans(text, policy),
-            "malformed": malformed_count(text, policy),
-            "_d": findings(text),
-            "_c": none if contextual is None else contextual.cast(FINDINGS),
+            "deterministic_left": F.size("_da").cast("long"),
+            "contextual_left": F.size(none if contextual is None else F.col("_ca")).cast("long"),
+            "ignored_placeholders": total("", "k"),
+            "ignored_reviews": total("k", "s"),
+            "remaining": F.col("originals_left") + F.size("remaining_findings") + F.col("malformed"),
+            "passed": F.col("originals_left") + F.size("remaining_findings") + F.col("malformed") == 0,
+            "remaining_by_category": counted(F.transform("remaining_findings", lambda f: f["category"])),
         }
-    )
-    staged = staged.withColumn("originals_left", residual_count(masked(text, F.col("_spans")), F.col(originals)))
-    for name in ("_d", "_c"):
-        kept = F.filter(name, lambda f: ~is_generated(f, F.col("_spans"), policy))
-        staged = staged.withColumn(f"{name}k", kept).withColumn(f"{name}g", F.size(name) - F.size(f"{name}k"))
-        if allowed is None:
-            staged = staged.withColumn(f"{name}r", F.lit(0))
-        else:
-            strict = F.filter(f"{name}k", lambda f: ~F.array_contains(allowed, f["value"]))
-            staged = staged.withColumn(f"{name}s", strict).withColumn(f"{name}r", F.size(f"{name}k") - F.size(f"{name}s")).drop(f"{name}k").withColumnRenamed(f"{name}s", f"{name}k")
-        merged = merge(staged, sanitized, f"{name}k", f"{name}m", "_lost")
-        staged = over_threshold(merged, policy, f"{name}m", f"{name}a").drop(f"{name}k", f"{name}m", "_lost")
-    both = merge(staged.withColumn("_both", F.concat("_da", "_ca")), sanitized, "_both", "remaining_findings", "_lost").drop("_both", "_lost")
-    return (
-        both.withColumn("deterministic_left", F.size("_da").cast("long"))
-        .withColumn("contextual_left", F.size("_ca").cast("long"))
-        .withColumn("ignored_placeholders", (F.col("_dg") + F.col("_cg")).cast("long"))
-        .withColumn("ignored_reviews", (F.col("_dr") + F.col("_cr")).cast("long"))
-        .withColumn("remaining", F.col("originals_left") + F.size("remaining_findings") + F.col("malformed"))
-        .withColumn("passed", F.col("remaining") == 0)
-        .withColumn("remaining_by_category", counted(F.transform("remaining_findings", lambda f: f["category"])))
-        .drop("_spans", "_d", "_c", "_da", "_ca", "_dg", "_cg", "_dr", "_cr")
-    )
+    ).drop("_spans", *[f"{n}{x}" for n in parts for x in ("", "k", "s", "a")])
