@@ -85,12 +85,16 @@ class Net:
         got = self.number.get(word)
         return self.first_rare + zlib.crc32(word.encode()) % RARE if got is None else got
 
-    def spelled(self, word: str) -> float:
-        """Log-probability of a rare word's bytes and its end; 0 for a word of the vocabulary."""
-        if word in self.number:
-            return 0.0
-        code = np.frombuffer(b"\0" + word.encode() + b"\0", np.uint8)
-        return float(self.spelling[code[:-1], code[1:]].sum())
+    def spelled(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each rare word's bytes and its end; 0 for a word of the vocabulary."""
+        out = np.zeros(len(words))
+        rare = [i for i, w in enumerate(words) if w not in self.number]
+        if rare:
+            own = [words[i].encode() for i in rare]
+            code = np.frombuffer(b"\0" + b"\0".join(own) + b"\0", np.uint8)
+            sizes = np.array([len(w) + 1 for w in own])
+            out[rare] = np.add.reduceat(self.spelling[code[:-1], code[1:]], np.cumsum(sizes) - sizes)
+        return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.inputs[0][context[:, 0]]
@@ -154,18 +158,23 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-class _Remembered(dict):
-    """Values by word, as words are met."""
+class _Words(dict):
+    """Token number of each word that a task has met, and the log-probability of its spelling if ``spelled`` is asked for."""
 
-    def __init__(self, of: Callable[[str], float]):
+    def __init__(self, net: Net, spelled: bool = False):
         super().__init__()
-        self.of = of
+        self.net = net
+        self.cost: dict[str, float] | None = {} if spelled else None
 
-    def __missing__(self, word: str) -> float:
-        got = self.of(word)
-        if len(self) < MEMO_ENTRIES:
-            self[word] = got
-        return got
+    def meet(self, words: set[str]) -> None:
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+            if self.cost is not None:
+                self.cost.clear()
+        new = list(words.difference(self))
+        self.update(zip(new, map(self.net.token, new)))
+        if self.cost is not None:
+            self.cost.update(zip(new, self.net.spelled(new).tolist()))
 
 
 def split_words(text: str | None) -> list[str]:
@@ -194,14 +203,15 @@ def _numbered(shared):
     """Texts as arrays of token numbers."""
 
     def make() -> Callable[[pa.Array], pa.Array]:
-        get = _Remembered(shared.value.token).__getitem__
+        known = _Words(shared.value)
 
         def numbers(batch: pa.Array) -> pa.Array:
             parts = []
             for texts in slices(batch, 500):
                 rows = [split_words(x) for x in texts.to_pylist()]
+                known.meet(set().union(*rows))
                 ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
-                flat = np.fromiter(map(get, itertools.chain.from_iterable(rows)), np.int32, int(ends[-1]))
+                flat = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(rows)), np.int32, int(ends[-1]))
                 parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
             return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
@@ -310,19 +320,21 @@ def score(text: Column, net: Net, spark) -> Column:
 
     def make() -> Callable[[pa.Array], pa.Array]:
         own: Net = shared.value
-        number, spelled = _Remembered(own.token).__getitem__, _Remembered(own.spelled).__getitem__
+        known = _Words(own, spelled=True)
 
         def scores(batch: pa.Array) -> pa.Array:
             tokens, sums = [], []
             for texts in slices(batch, 250):
                 rows = [split_words(x) for x in texts.to_pylist()]
-                padded, sizes = windows([np.fromiter(map(number, x), np.int64, len(x)) for x in rows], own)
+                known.meet(set().union(*rows))
+                padded, sizes = windows([np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in rows], own)
                 at = _places(sizes)
+                spelled = np.fromiter(map(known.cost.__getitem__, itertools.chain.from_iterable(rows)), np.float64, int(sizes.sum()))
                 found = np.concatenate([own.log_probability(_context(padded, at[b : b + TOKENS_AT_ONCE]), padded[at[b : b + TOKENS_AT_ONCE]]) for b in range(0, len(at), TOKENS_AT_ONCE)] or [np.zeros(0)])
-                ends = np.append(0, np.cumsum(found.astype(np.float64)))
+                ends = np.append(0, np.cumsum(found.astype(np.float64) + spelled))
                 stops = np.append(0, np.cumsum(sizes))
                 tokens.append(sizes)
-                sums.append(ends[stops[1:]] - ends[stops[:-1]] + np.array([sum(map(spelled, x)) for x in rows]))
+                sums.append(ends[stops[1:]] - ends[stops[:-1]])
             none = np.zeros(0)
             return pa.StructArray.from_arrays([pa.array(np.concatenate(tokens or [none]).astype(np.int64)), pa.array(np.concatenate(sums or [none]))], ["n_tokens", "log_prob"])
 
