@@ -27,7 +27,7 @@ from pyspark.sql import Column
 
 from palimpsest.llm.common import per_task, slices
 
-#: Bytes, about, of pieces and ids that a task remembers before it empties its memory.
+#: Bytes, about, of pieces and ids that are remembered before the memory is emptied.
 MEMO_BYTES = 64 << 20
 #: What a remembered piece takes beside its characters and ids: two objects and their place in a table.
 ENTRY_BYTES = 180

@@ -145,7 +145,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        codec, end = fresh(library_codec(tokenizer)), packed([end_id])
+        codec, end = library_codec(tokenizer), packed([end_id])  # a worker's tasks share the memory of pieces, MEMO_BYTES at most
         name = uuid.uuid4().hex
         ids: list[np.ndarray] = []
         docs: list[np.ndarray] = []
@@ -181,7 +181,6 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                     size, done = 0, done + 1
         if size:
             yield flush()
-        codec.clear()
         release()
 
     return run
