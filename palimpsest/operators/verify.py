@@ -59,7 +59,7 @@ def verify(df: DataFrame, policy: Policy, sanitized: str = "sanitized", original
     """
     text = F.col(sanitized)
     none = F.array().cast(FINDINGS)
-    parts = {"_d": findings(text)} | ({} if contextual is None else {"_c": contextual.cast(FINDINGS)})
+    parts = {"_d": findings(sanitized)} | ({} if contextual is None else {"_c": contextual.cast(FINDINGS)})
     staged = df.withColumns({"_spans": placeholder_spans(text, policy), "malformed": malformed_count(text, policy), **parts})
     kept = {f"{n}k": F.filter(n, lambda f: ~is_generated(f, F.col("_spans"), policy)) for n in parts}
     staged = staged.withColumns({"originals_left": residual_count(masked(text, F.col("_spans")), F.col(originals)), **kept})
