@@ -8,8 +8,9 @@ posterior mass over its words with letters, and its score is that share.
 
 The field is trained in numpy on code-switched sequences, put together from segments of a bounded sample of
 labelled documents (``per_lang`` documents a language, ``segments`` segments of each, spread over the whole
-text). Its weights are all that is broadcast: ``1 << HASH_BITS`` rows by languages, 64 languages at most.
-Documents are labelled where they are read, whole, many at a time.
+text). Weights of features and of transitions follow the gradient of one likelihood: what the field expects
+less what the sequences show. They are all that is broadcast: ``1 << HASH_BITS`` rows by languages, 128 KB a
+language. Documents are labelled where they are read, whole, many at a time.
 """
 
 from __future__ import annotations
@@ -23,12 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BITS = 15
-MAX_LANGS = 64
 #: The training sample: documents a language, segments a document, words a segment.
 PER_LANG, SEGMENTS, SEGMENT_WORDS = 400, 6, 16
-MEMO_ENTRIES = 600_000
-#: Words whose posteriors are computed together, unless one text has more.
-WORDS_AT_ONCE = 1_000_000
+#: Emissions (words by languages) that a labeller remembers, and those whose posteriors are computed together, unless one text has more.
+MEMO_CELLS, CELLS_AT_ONCE = 4_000_000, 6_000_000
 UNDETERMINED = "und"
 
 
@@ -82,8 +81,11 @@ class Field:
         starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         return np.add.reduceat(self.weights[code], starts, axis=0)
 
-    def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Posterior of each language for each word. ``scores``: emissions of all sequences in a row."""
+    def posteriors(self, scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+        """Posterior of each language for each word. ``scores``: emissions of all sequences in a row.
+
+        To ``pairs``, languages by languages, the expected numbers of neighbours are added.
+        """
         out = np.empty_like(scores)
         if not len(scores):
             return out
@@ -111,6 +113,10 @@ class Field:
             both = ahead[a:b] * behind
             out[place[a:b]] = both / both.sum(axis=1, keepdims=True)
             if t:
+                if pairs is not None:
+                    left, right = ahead[offsets[t - 1] : offsets[t - 1] + active[t]], behind * emit[a:b]
+                    total = ((left @ move) * right).sum(axis=1, keepdims=True)
+                    pairs += move * (left.T @ (right / total))
                 before = np.ones((active[t - 1], emit.shape[1]), emit.dtype)
                 back = (behind * emit[a:b]) @ move.T
                 before[: active[t]] = back / back.sum(axis=1, keepdims=True)
@@ -148,14 +154,16 @@ class Field:
         here = np.flatnonzero(inner)
         seen = np.zeros((n, n))
         np.add.at(seen, (label[here], label[here + 1]), 1)
-        # transitions are set from counts, smoothed, and emissions follow by gradient
-        self.moves = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True)).astype(np.float32)
-        memory = np.full((wide, n), 1e-6, np.float32)
+        memory, move_memory = np.full((wide, n), 1e-6, np.float32), np.full((n, n), 1e-6)
         per_lang = np.maximum(truth.sum(axis=0), 1)
         balance = (len(word) / (n * per_lang))[label][:, None].astype(np.float32)
         for _ in range(rounds):
             scores = np.add.reduceat(self.weights[code], starts, axis=0)
-            error = (self.posteriors(scores[word], length) - truth) * balance
+            pairs = np.zeros((n, n))
+            error = (self.posteriors(scores[word], length, pairs) - truth) * balance
+            pull = pairs - seen + 0.01 * self.moves
+            move_memory += pull * pull
+            self.moves = (self.moves - rate * pull / np.sqrt(move_memory)).astype(np.float32)
             slope = np.empty((wide, n), np.float32)
             for j in range(n):
                 by_word = np.bincount(word, weights=error[:, j], minlength=len(vocabulary))
@@ -178,7 +186,7 @@ class Labeller:
         self.table = np.zeros((1, len(self.field.langs)), np.float32)  # row 0: no letters
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.row) > MEMO_ENTRIES:
+        if len(self.row) * max(1, len(self.field.langs)) > MEMO_CELLS:
             self.clear()
         split = [(x or "").split() for x in texts]
         new = list(set().union(*split).difference(self.row))
@@ -215,29 +223,29 @@ def labeller(field: Field) -> Labeller:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        langs, out = [], []
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        out = []
+        for text in batch.column("text").to_pylist():
             own = [w for w in map(letters, text.split()) if w]
             spread = np.unique(np.linspace(0, max(0, len(own) - SEGMENT_WORDS), SEGMENTS).astype(int))
-            for a in spread:
-                langs.append(lang)
-                out.append(own[a : a + SEGMENT_WORDS])
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.list_(pa.string()))], ["lang", "words"])
+            out.append([own[a : a + SEGMENT_WORDS] for a in spread])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(out, pa.list_(pa.list_(pa.string())))], ["id", "lang", "segments"])
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Field:
     """A field from the documents with a text and a language, at most ``per_lang`` of each language.
 
-    Those of the least id hashes are taken. Beyond ``MAX_LANGS`` languages the most frequent are learnt.
-    Without any labelled text the field knows no language and calls every text undetermined.
+    Those of the least id hashes are taken; of rows that share id and language, the one of the least segments.
+    Every language is learnt, however many there are. Without any labelled text the field knows no language and
+    calls every text undetermined.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    frequent = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    langs = sorted(r["lang"] for r in frequent.collect())
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = known.where(F.col("lang").isin(langs)).select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id", "lang").distinct()
-    sample = known.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "text")
-    found = sample.mapInArrow(_segments, "lang string, words array<string>").toArrow().to_pylist()
+    chosen = known.select("id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= per_lang).select("id", "lang")
+    sample = known.join(F.broadcast(chosen), ["id", "lang"]).select("id", "lang", "text")
+    segments = sample.mapInArrow(_segments, sample.select("id", "lang").withColumn("segments", F.lit(None).cast("array<array<string>>")).schema)
+    rows = segments.groupBy("id", "lang").agg(F.min("segments").alias("segments")).select("lang", F.explode("segments").alias("words"))
+    found = rows.toArrow().to_pylist()
     number = {x: i for i, x in enumerate(langs)}
     return Field(langs).train(sorted((number[x["lang"]], x["words"]) for x in found))
 
@@ -250,7 +258,7 @@ def language(text: Column, field: Field, spark) -> Column:
         own = labeller(shared.value)
         langs, scores = [], []
         sizes = np.cumsum([len(x or "") for x in batch.to_pylist()])
-        part = sizes // (6 * WORDS_AT_ONCE)
+        part = sizes // (6 * CELLS_AT_ONCE // max(1, len(own.field.langs)))
         cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(batch)) if len(batch) else [0]
         for a, b in zip(cuts[:-1], cuts[1:]):
             got = own.label(batch[int(a) : int(b)].to_pylist())

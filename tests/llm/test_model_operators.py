@@ -212,6 +212,40 @@ def test_posteriors_equal_all_paths():
         at += n
 
 
+def test_expected_neighbours_equal_all_paths():
+    rng = np.random.default_rng(5)
+    field = crf_language.Field(["a", "b", "c"])
+    field.moves = rng.normal(size=(3, 3)).astype(np.float32)
+    lengths, want = np.array([1, 4, 3]), np.zeros((3, 3))
+    scores = rng.normal(size=(8, 3)).astype(np.float32)
+    for first, n in zip(np.cumsum(lengths) - lengths, lengths):
+        paths = list(itertools.product(range(3), repeat=int(n)))
+        weights = np.array([np.exp(sum(scores[first + i, x] for i, x in enumerate(p)) + sum(field.moves[x, y] for x, y in zip(p, p[1:]))) for p in paths])
+        for p, w in zip(paths, weights / weights.sum()):
+            for x, y in zip(p, p[1:]):
+                want[x, y] += w
+    got = np.zeros((3, 3))
+    field.posteriors(scores, lengths, got)
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_transitions_are_learned():
+    """Words that say nothing take the language of their neighbours, beyond 64 languages too."""
+    langs = [f"l{i:03}" for i in range(70)]
+    words = ["qu" + chr(97 + i // 10) + chr(107 + i % 10) + "x" for i in range(70)]
+    field = crf_language.Field(langs).train([(i, [w] * 3 + ["na"] + [w] * 2) for i, w in enumerate(words) for _ in range(2)], rounds=15)
+    assert (np.diag(field.moves) > field.moves.mean(axis=1)).all()
+    assert crf_language.Labeller(field).label([f"{words[69]} na na {words[69]}", f"{words[3]} na {words[3]}"])[0] == ["l069", "l003"]
+
+
+def test_repeated_ids_are_learnt_from_once(spark):
+    rows = [(1, "the cat sat", "en")] * 3 + [(1, "zzz", "en"), (2, "le chat noir", "fr"), (None, "der hund", "de")]
+    twice = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    once = spark.createDataFrame([rows[0], *rows[4:]], "doc_id long, text string, lang string")
+    a, b = crf_language.fit(twice), crf_language.fit(once)
+    assert a.langs == b.langs and np.array_equal(a.weights, b.weights)
+
+
 def test_language(spark, sf, odd, empty):
     docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
     field = crf_language.fit(docs.where(~knn_quality.held_out(F.col("doc_id"))))
