@@ -16,7 +16,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first quality rules over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_words", "n_unfinished_words"]
-    return quality_rules.judge(docs).select(*columns)
+    return quality_rules.judge(docs).select(*columns, F.sha2("cleaned", 256).alias("cleaned_sha256"))
 
 
 OP1_SQL = rf"""
@@ -29,12 +29,12 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words
         FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) AS x,
              unnest([i, i + 1, i + 2]) AS v(p)
         WHERE n > 1 GROUP BY doc_id),
-l AS (SELECT doc_id, line, regexp_extract_all(line, '[^ 	-
+l AS (SELECT doc_id, i, line, regexp_extract_all(line, '[^ 	-
 ]+') AS ws
-      FROM d, unnest(string_split(text, chr(10))) AS u(line)
+      FROM (SELECT doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d), unnest(range(1, len(ls) + 1)) AS u(i))
       WHERE regexp_matches(line, '[^ 	-
 ]')),
-j AS (SELECT doc_id, line, len(ws) AS n,
+j AS (SELECT doc_id, i, line, len(ws) AS n,
         regexp_matches(line, '{quality_rules.NAVIGATION}')
         OR regexp_matches(line, '{quality_rules.BOILERPLATE}')
         OR (len(regexp_extract_all(line, '{quality_rules.SYMBOLS}|!!')) > 0
@@ -45,6 +45,7 @@ j AS (SELECT doc_id, line, len(ws) AS n,
 ]*$') AS unfinished
       FROM l),
 s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+        string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT fails) AS cleaned,
         sum(CASE WHEN fails THEN n ELSE 0 END) AS n_failed_words,
         sum(CASE WHEN unfinished THEN n ELSE 0 END) AS n_unfinished_words
       FROM j GROUP BY doc_id),
@@ -53,14 +54,15 @@ a AS (SELECT w.doc_id, len(ws) AS n_words,
 ]', '', 'g')) AS word_chars,
         len(regexp_extract_all(text, '{quality_rules.SYMBOLS}')) AS n_symbols,
         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-        coalesce(n_failed_words, 0) AS n_failed_words, coalesce(n_unfinished_words, 0) AS n_unfinished_words
+        coalesce(n_failed_words, 0) AS n_failed_words, coalesce(n_unfinished_words, 0) AS n_unfinished_words,
+        sha256(coalesce(cleaned, '')) AS cleaned_sha256
       FROM w LEFT JOIN s ON w.doc_id = s.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND n_failed_words <= {quality_rules.MAX_LOSS} * n_words AND 10 * n_unfinished_words <= 9 * n_words AS kept,
-  CAST(n_failed_words AS BIGINT) AS n_failed_words, CAST(n_unfinished_words AS BIGINT) AS n_unfinished_words
+  CAST(n_failed_words AS BIGINT) AS n_failed_words, CAST(n_unfinished_words AS BIGINT) AS n_unfinished_words, cleaned_sha256
 FROM b
 """
 
