@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -120,6 +120,13 @@ def slices(texts: pa.Array, rows: int, size: int = 1 << 20) -> Iterator[pa.Array
         yield texts[a:]
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that bear one of these working names renamed, and what names them back (for ``withColumnsRenamed``)."""
+    working = {n.lower() for n in names}
+    back = {f"_held_{uuid.uuid4().hex}": c for c in df.columns if c.lower() in working}
+    return df.withColumnsRenamed({c: held for held, c in back.items()}), back
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import word_parts
+from palimpsest.llm.common import aside, word_parts
 
 SYMBOLS = "[#*$%&|<>]"
 BOILERPLATE = (
@@ -88,12 +88,17 @@ def line_fails(line: Column, words: Column) -> Column:
     )
 
 
+_WORKING = ("_parts", "_words", "_lines", "_split", "_spoken", "_judged", "_grams", "_ranked", "_same")
+
+
 def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
     """``docs`` with word counts, ``cleaned`` text, ``base_failed`` and ``kept``.
 
     Null and empty texts have no words, fail the base rule and are not kept. Rows are judged one by one, so
-    repeated rows get equal verdicts. The result columns replace columns of the same names.
+    repeated rows get equal verdicts. The result columns replace columns of the same names; columns that bear
+    the names of working columns stay.
     """
+    docs, back = aside(docs, _WORKING)
     source = F.coalesce(F.col(text), F.lit(""))
     parts = docs.withColumn("_parts", word_parts(source))
     counted = (
@@ -132,4 +137,4 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> Da
     return judged.withColumn(
         "kept",
         ~F.col("base_failed") & (F.col("n_failed_words") <= max_loss * n) & (10 * F.col("n_unfinished_words") <= 9 * n),
-    ).drop("_parts", "_words", "_lines", "_split", "_spoken", "_judged")
+    ).drop(*_WORKING).withColumnsRenamed(back)

@@ -54,6 +54,7 @@ def test_quality_counts(spark, odd, empty):
     for r in got:
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_counts(r.text)
         assert not (r.base_failed and r.kept) and r.lang == r.lang
+    assert {r["_words"] for r in got} == {"_words"}  # a column of the user's
     assert quality_rules.judge(empty).count() == 0
 
 
