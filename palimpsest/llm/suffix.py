@@ -1,4 +1,4 @@
-"""Removal of repeated passages by distributed prefix doubling.
+"""Removal of repeated passages by ranks of anchors, in place of prefix doubling over all positions.
 
 A byte of a document goes if a string of ``length`` bytes that covers it also starts in a document with a
 smaller id. Deciding this with a suffix array means ranking positions by ever longer prefixes until a rank
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import aside, cut
 
 #: Bytes that are hashed together; longer texts are cut into overlapping blocks.
 BLOCK = 1 << 18
@@ -298,8 +298,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A null text counts as empty. Rows of one id are judged each against smaller ids only, so repeated rows
     get equal results. Rows without an id are neither searched nor changed. The result columns replace
-    columns of the same names.
+    columns of the same names; columns that bear the names of working columns stay.
     """
+    working = ("_doc", "_text", "_t", "_spans", "_out")
+    docs, back = aside(docs, working)
     keyed = docs.withColumns({"_doc": F.col(doc_id).cast("long"), "_text": F.coalesce(F.col(text), F.lit(""))})
     ids = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1")
     repeated = not ids.isEmpty()
@@ -312,7 +314,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     return found.withColumns(
         {"n_bytes": F.octet_length("_text").cast("long"), "kept": F.col("_out.kept"), "n_removed": F.col("_out.n_removed"), "n_spans": F.col("_out.n_spans")}
-    ).drop("_doc", "_text", "_t", "_spans", "_out")
+    ).drop(*working).withColumnsRenamed(back)
 
 
 def valid_text(kept: Column) -> Column:

@@ -203,3 +203,10 @@ def test_digests_of_bpe_query(spark, sf, small):
         ids = want.encode_ordinary(r.text)
         assert got[r.doc_id].n_tokens == len(ids) and got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_repeats_keep_columns_named_like_working_ones(spark):
+    shared = "the passage that both documents hold is longer than fifty bytes in all"
+    df = spark.createDataFrame([(1, "A" + shared, "u"), (2, "B" + shared, "v")], "doc_id long, text string, _T string").selectExpr("*", "'w' AS _out")
+    got = sorted((r.doc_id, r["_T"], r["_out"], r.n_removed) for r in suffix.remove_repeats(df).collect())
+    assert got == [(1, "u", "w", 0), (2, "v", "w", len(shared))]
