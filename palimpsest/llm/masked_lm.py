@@ -42,7 +42,7 @@ RATE, DECAY, DECAY_SQUARE, BATCH = 0.2, 0.7, 0.9, 8192
 WEIGHT_BLOCK, FIXED = 256, float(1 << 20)
 #: Words that a task remembers the numbers of.
 MEMO_ENTRIES = 150_000
-TOKENS_AT_ONCE = 100_000
+TOKENS_AT_ONCE = 16_384
 
 
 class Net:
@@ -99,8 +99,8 @@ class Net:
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = self.inputs[0][context[:, 0]]
         for j in range(1, 2 * SIDE):
-            total = total + self.inputs[j][context[:, j]]
-        return np.tanh(total)
+            total += self.inputs[j][context[:, j]]
+        return np.tanh(total, out=total)
 
     def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log-probability of each target between its neighbours."""
@@ -108,21 +108,23 @@ class Net:
         kind, place = target % CLASSES, target // CLASSES
         h = self.hidden(context)
         logits = h @ self.to_class + self.class_bias
-        out = logits[np.arange(len(target)), kind] - _log_sum(logits)
-        order = np.argsort(kind, kind="stable")
+        out = logits[np.arange(len(target)), kind]
+        out -= _log_sum(logits)
+        order = _order(kind)
         bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
             own = order[bounds[c] : bounds[c + 1]]
             if len(own):
                 logits = h[own] @ self.to_token[c] + self.token_bias[c]
-                out[own] += logits[np.arange(len(own)), place[own]] - _log_sum(logits)
+                out[own] += logits[np.arange(len(own)), place[own]]
+                out[own] -= _log_sum(logits)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray, total: np.ndarray) -> None:
         """Add the gradient of the targets' negative log-probability to ``total``, a flat array like the weights."""
         inputs, to_class, class_bias, to_token, token_bias = self.parts(total)
         n = len(target)
-        order = np.argsort(target % CLASSES, kind="stable")
+        order = _order(target % CLASSES)
         context, target = context[order], target[order]
         kind, place = target % CLASSES, target // CLASSES
         h = self.hidden(context)
@@ -142,20 +144,30 @@ class Net:
                 token_bias[c] += inner.sum(axis=0)
         back *= 1 - h * h
         for j in range(2 * SIDE):
-            order = np.argsort(context[:, j], kind="stable")
+            order = _order(context[:, j])
             own = context[order, j]
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
             inputs[j, own[first]] += np.add.reduceat(back[order], first, axis=0)
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers; numpy sorts those of 16 bits by radix."""
+    return np.argsort(x.astype(np.min_scalar_type(int(x.max(initial=0)))), kind="stable")
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials of each row; ``x`` is used up."""
     top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    x -= top[:, None]
+    return top + np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """Probabilities of each row, written over ``x``."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 class _Words(dict):
@@ -246,6 +258,19 @@ def _gradients(shared):
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each block of weights that a task meets: the sums of its gradients and positions, both whole numbers."""
+    total: dict[int, np.ndarray] = {}  # at most all blocks, 2 MB
+    for batch in batches:
+        slopes = batch.column("slope").flatten().to_numpy().reshape(-1, WEIGHT_BLOCK)
+        for block, row in zip(batch.column("block").to_pylist(), np.column_stack([slopes, batch.column("n").to_numpy()])):
+            total[block] = total[block] + row if block in total else row
+    if total:
+        rows = np.stack([*total.values()])
+        values = pa.FixedSizeListArray.from_arrays(pa.array(rows[:, :-1].ravel()), WEIGHT_BLOCK).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), values, pa.array(rows[:, -1])], ["block", "slope", "n"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of byte after byte in words, ends included."""
     total = np.zeros(1 << 16, np.int64)
@@ -293,13 +318,13 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int
     steps = 0
     for r in [*range(rounds)] * epochs:
         shared = spark.sparkContext.broadcast(net)
-        slopes = numbered.where(F.col("fold") == r).select("ids").mapInArrow(_gradients(shared), "block int, slope array<long>, n long")
-        sums = [F.sum(F.get("slope", F.lit(i))).alias(f"c{i}") for i in range(WEIGHT_BLOCK)]
-        found = slopes.groupBy("block").agg(F.sum("n").alias("n"), *sums).orderBy("block").toArrow()
+        form = "block int, slope array<long>, n long"
+        slopes = numbered.where(F.col("fold") == r).select("ids").mapInArrow(_gradients(shared), form)
+        found = slopes.repartition("block").mapInArrow(_summed, form).toArrow().sort_by("block").combine_chunks()  # a row a block
         shared.destroy()
         if not len(found):
             continue
-        slope = np.stack([found[f"c{i}"].to_numpy() for i in range(WEIGHT_BLOCK)], axis=1).astype(np.float64)
+        slope = found["slope"].combine_chunks().flatten().to_numpy().reshape(-1, WEIGHT_BLOCK).astype(np.float64)
         slope = (slope / FIXED / found["n"].to_numpy()[:, None]).ravel()[: len(net.flat)]
         steps += 1
         mean = DECAY * mean + (1 - DECAY) * slope
