@@ -453,6 +453,15 @@ def provider_telemetry(spark, sf_dir):
     return contextual.telemetry(contextual.answered(rows, provider)).select("doc_id", "chunk_count", "invalid_findings")
 
 
+# Windows overlap by more than a term's length, so each occurrence lies whole in one window at least and may be found in two.
+@query("SELECT doc_id, CAST((len(text) - len(replace(text, 'the', ''))) / 3 AS BIGINT) AS n FROM documents WHERE contains(text, 'the')")
+def overlap_dedup(spark, sf_dir):
+    rows = contextual.chunk_rows(contextual.chunked(docs(spark, sf_dir), max_chars=200, overlap=60, max_chunks=1_000_000))
+    answers = contextual.answered(rows, lambda texts: [[("the", "OTHER", 0.5, "listed term")] for _ in texts])
+    found = answers.select("doc_id", F.col("index").alias("turn"), F.explode("found").alias("f")).select("doc_id", "turn", "f.*")
+    return contextual.without_overlaps(found).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query(
     """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(max(CASE WHEN r = floor((n - 1) * 0.95::DOUBLE) THEN value END), 6) AS p95 FROM r GROUP BY event_type"""
