@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, crf_language, knn_quality, masked_lm, media, mixing, planes, quality_rules, simhash, suffix
+from palimpsest.llm import bpe, crf_language, delta_kmeans, knn_quality, masked_lm, media, merkle, mixing, planes, quality_rules, simhash, sketch, suffix
 from palimpsest.llm.common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -165,6 +165,117 @@ FROM h LEFT JOIN k ON h.doc_id = k.doc_id LEFT JOIN t ON h.doc_id = t.doc_id
 """
 
 
+def op11_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return sketch.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of all documents, a third of them checked after tampering."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    doc_id, source, lang, n_chars, text = (F.col(c) for c in docs.columns)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    altered = merkle.leaf(doc_id, source, lang, n_chars, F.translate(text, upper, upper.lower()))
+    chosen = F.crc32(doc_id.cast("string").cast("binary")) % 3 == 0
+    leaves = docs.select("doc_id", "lang", merkle.leaf(doc_id, source, lang, n_chars, text).alias("leaf"), F.when(chosen, altered).alias("altered"))
+    found = merkle.manifest(leaves, tree="lang", order=["doc_id"], node="leaf").proofs()
+    root = merkle.hexed(F.col("root"))
+    return found.select(
+        "doc_id",
+        merkle.hexed(F.col("node")).alias("leaf"),
+        merkle.hexed(F.col("subroot")).alias("subroot"),
+        root.alias("root"),
+        F.sha2(merkle.proof_text(F.col("path")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("altered", "node"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(depth: int) -> str:
+    """SQL for trees of up to ``8 ** depth`` leaves: a table a level up, a table a level down."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def field(x: str) -> str:
+        return f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    def up(name: str) -> str:
+        return "".join(
+            f""",
+{name}{k + 1} AS (SELECT tree, pos // 8 AS pos, (n + 7) // 8 AS n, list(node ORDER BY pos) AS kids, sha256(string_agg(node, '' ORDER BY pos)) AS node
+  FROM {name}{k} WHERE n > 1 GROUP BY tree, pos // 8, (n + 7) // 8)"""
+            for k in range(depth)
+        )
+
+    def down(name: str, crown: str, extra: str) -> str:
+        out = ""
+        for k in range(depth, -1, -1):
+            more = extra if k == 0 else ", c.kids"
+            last = f"SELECT c.tree, c.pos{more}, c.node, w.subroot, w.root, w.path FROM {name}{k} c JOIN {crown} w ON c.tree = w.tree WHERE c.n = 1"
+            beside = "[{'l': array_to_string(p.kids[1:c.pos % 8], ''), 'r': array_to_string(p.kids[c.pos % 8 + 2:], '')}]"
+            inner = f"""
+  UNION ALL SELECT c.tree, c.pos{more}, c.node, p.subroot, p.root, list_concat({beside}, p.path)
+  FROM {name}{k} c JOIN {name}_p{k + 1} p ON c.tree = p.tree AND c.pos // 8 = p.pos WHERE c.n > 1"""
+            out += f",\n{name}_p{k} AS ({last}{inner if k < depth else ''})"
+        return out
+
+    def tops(name: str) -> str:
+        return " UNION ALL ".join(f"SELECT tree, node FROM {name}{k} WHERE n = 1" for k in range(depth + 1))
+
+    return f"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(256) AS r(i))),
+d AS (SELECT *, CASE WHEN doc_id IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295) % 3 = 0 ELSE false END AS chosen FROM documents, crc),
+h AS (SELECT doc_id, coalesce(':' || lang, '-') AS tree, {leaf('text')} AS node,
+    CASE WHEN chosen THEN {leaf(f"translate(text, '{upper}', '{upper.lower()}')")} END AS altered FROM d),
+t0 AS (SELECT tree, doc_id, node, altered, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM h){up('t')},
+r0 AS (SELECT '' AS tree, tree AS name, node, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM ({tops('t')})){up('r')},
+summit AS (SELECT '' AS tree, node AS root, CAST(NULL AS VARCHAR) AS subroot, CAST([] AS STRUCT(l VARCHAR, r VARCHAR)[]) AS path FROM ({tops('r')})){down('r', 'summit', ', c.name')},
+crown AS (SELECT name AS tree, node AS subroot, root, path FROM r_p0){down('t', 'crown', ', c.doc_id, c.altered')}
+SELECT doc_id, node AS leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.l || x.r), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (SELECT *, list_reduce(list_prepend({{'l': '', 'r': coalesce(altered, node)}}, path), lambda a, x: {{'l': '', 'r': sha256(x.l || a.r || x.r)}}).r AS folded_root FROM t_p0)
+"""
+
+
+OP12_SQL = _merkle_sql(7)
+
+OP13_K, OP13_ROUNDS, OP13_DIMS, OP13_SALT = 40, 5, 64, "2:"
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all embeddings of 64 components."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return delta_kmeans.summary(*delta_kmeans.cluster(vectors, OP13_K, OP13_ROUNDS, OP13_DIMS, OP13_SALT))
+
+
+def _lloyd_sql() -> str:
+    k, dims = OP13_K, OP13_DIMS
+    near = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    rounds = ""
+    for r in range(OP13_ROUNDS + 1):
+        rounds += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, v, d, j FROM (SELECT vec_id, v, j, d, row_number() OVER (PARTITION BY row ORDER BY d, j) AS best
+  FROM (SELECT row, vec_id, v, j, CAST({near} AS BIGINT) AS d FROM x, c{r})) WHERE best = 1)"""
+        if r < OP13_ROUNDS:
+            rounds += f""",
+m{r} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT j, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, {dims + 1}) AS u(i) GROUP BY j, i) GROUP BY j),
+c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))"""
+    last = OP13_ROUNDS
+    return f"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key, v) - 1 AS j, v AS c FROM (SELECT sha256('{OP13_SALT}' || coalesce(CAST(vec_id AS VARCHAR), '')) AS key, v FROM x ORDER BY key, v LIMIT {k})){rounds}
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} USING (j)
+"""
+
+
+OP13_SQL = _lloyd_sql()
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_groups": op2_simhash_groups,
@@ -176,9 +287,14 @@ QUERIES = {
     "op8_media_archives": op8_media_archives,
     "op9_crf_language": op9_crf_language,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_threshold_sketch": op11_threshold_sketch,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_delta_lloyd": op13_delta_lloyd,
 }
 
 SQL = {
     "op1_quality_rules": OP1_SQL,
     "op10_suffix_dedup": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_delta_lloyd": OP13_SQL,
 }
