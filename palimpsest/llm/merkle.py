@@ -136,7 +136,8 @@ def manifest(rows: DataFrame, tree: str, order: list[str], node: str) -> Manifes
     """
     # '-' sorts before ':'
     key = F.coalesce(F.concat(F.lit(":"), F.col(tree).cast("string")), F.lit("-"))
-    leaves = rows.select(key.alias("tree"), F.col(node).alias("node"), *[c for c in rows.columns if c not in (tree, node)])
+    # a table, since the range shuffle reads its input twice, the first time for a sample
+    leaves = cut(rows.select(key.alias("tree"), F.col(node).alias("node"), *[c for c in rows.columns if c not in (tree, node)]), "leaves")
     trees = levels(numbered(leaves, "tree", [*order, "node"]))
     roots = tops(trees).select(F.lit("").alias("tree"), F.col("tree").alias("name"), "node")
     return Manifest(trees, levels(numbered(roots, "tree", ["name"])))
