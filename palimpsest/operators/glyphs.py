@@ -1,11 +1,15 @@
-"""Glyph-level operators: text from positioned glyphs, and rectangles from findings."""
+"""Glyph-level operators: text from positioned glyphs, rectangles from findings, redaction and its checks.
+
+Page tables (``doc_id``, ``page``, ``glyphs``) hold a page's glyphs as an array, so text and its map to glyphs come from
+one row without a shuffle. ``typeset`` makes such tables from texts, ``paged`` from a row a glyph.
+"""
 
 from __future__ import annotations
 
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_BREAK = "\n\f\n"
@@ -20,18 +24,132 @@ def nfkc(text: Column) -> Column:
     return F.pandas_udf(composed, "string")(text)
 
 
-def line_text(glyphs: DataFrame) -> DataFrame:
-    """(``doc_id``, ``page``, ``line``, ``text``) of glyph rows (``doc_id``, ``page``, ``line``, ``char``, ``c``)."""
-    joined = glyphs.groupBy("doc_id", "page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char", "c"))), lambda x: x["c"]), "").alias("text"))
-    return joined.withColumn("text", F.trim(F.regexp_replace(nfkc(F.col("text")), r"[ \t]+", " ")))
+def paged(glyphs: DataFrame) -> DataFrame:
+    """(``doc_id``, ``page``, ``glyphs``) from a row a glyph; missing blocks, spans and boxes count as 0."""
+    kinds = {"block": "int", "line": "int", "span": "int", "char": "int", "c": "string", **dict.fromkeys(("x0", "y0", "x1", "y1"), "double")}
+    fields = [(F.coalesce(F.col(n).cast(k), F.lit(0).cast(k)) if n in glyphs.columns else F.lit(0).cast(k)).alias(n) for n, k in kinds.items() if n != "c"]
+    fields.insert(4, F.coalesce("c", F.lit("")).alias("c"))
+    return glyphs.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("glyphs"))
+
+
+#: Stand-ins within a page's text: between glyphs, for a line's end, for a character that goes.
+_BETWEEN, _LINE, _GONE = "\x1f", "\n", "\x00"
+
+
+def mapped_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``text`` and ``glyph_of``: for each character of it the place of its glyph in ``glyphs``, from 0, or null.
+
+    Each glyph is composed (NFKC) by itself and may become several characters, which all map to it. A word divided by a
+    hyphen at a line's end is put together, the hyphen gone; other lines are joined by a blank without a glyph. White
+    space becomes one blank, mapped to its first glyph, and goes at both ends of the page. Empty and null glyphs have no
+    characters; a page without others has an empty text.
+
+    Every step replaces characters by as many, so the text stays aligned with its glyphs; what stands in for those that go is
+    dropped from both at the end.
+    """
+    own = F.coalesce("glyphs", F.array())
+    blank = F.regexp_replace(F.array_join(F.transform(own, lambda g: F.regexp_replace(F.coalesce(g["c"], F.lit("")), r"(?U)[\s\x00\x1c-\x1f]", " ")), _BETWEEN), r"(?U)[\s&&[^\x1f]]", " ")
+    units = F.split(F.regexp_replace(nfkc(blank), r"(?U)[\s&&[^\x1f]]", " "), _BETWEEN, -1)
+    placed = F.zip_with(F.transform(own, lambda g, i: F.struct(i.alias("i"), (g["block"].cast("long") * 1_000_000_000 + g["line"]).alias("at"))), units, lambda g, u: F.struct(g["i"].alias("i"), g["at"].alias("at"), u.alias("u")))
+    some = pages.withColumn("_u", F.filter(placed, lambda g: g["i"].isNotNull() & (F.length(g["u"]) > 0)))
+    before = F.concat(F.array(F.lit(None).cast("long")), F.transform("_u", lambda g: g["at"].cast("long")))
+    ends = F.zip_with("_u", F.slice(before, 1, F.size("_u")), lambda g, a: F.struct(g["i"].alias("i"), g["u"].alias("u"), F.coalesce(g["at"] != a, F.lit(False)).alias("starts")))
+    lined = some.withColumn("_u", ends)
+    raw = F.array_join(F.transform("_u", lambda g: F.when(g["starts"], F.concat(F.lit(_LINE), g["u"])).otherwise(g["u"])), "")
+    refs = F.flatten(F.transform("_u", lambda g: F.concat(F.when(g["starts"], F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")), F.array_repeat(g["i"], F.length(g["u"])))))
+    joined = F.regexp_replace(raw, r"-\n(?= *[\p{L}\p{N}])", _GONE + _GONE)
+    single = F.regexp_replace(F.replace(joined, F.lit(_LINE), F.lit(" ")), r"(?<=^|^\x00\x00| | \x00\x00) ", _GONE)
+    final = F.regexp_replace(single, r" (?=\x00*$)", _GONE)
+    texted = lined.withColumns({"_final": final, "_refs": refs})
+    left = F.filter(F.zip_with("_refs", F.split("_final", "", -1), lambda i, ch: F.struct(i.alias("i"), ch.alias("ch"))), lambda x: x["i"].isNotNull() & (x["ch"] != _GONE))
+    map_ = F.transform(left, lambda x: F.when(x["i"] >= 0, x["i"]))
+    return texted.withColumns({"text": F.replace("_final", F.lit(_GONE), F.lit("")), "glyph_of": F.when(F.size("_u") > 0, map_).otherwise(F.array().cast("array<int>"))}).drop("_u", "_final", "_refs")
+
+
+def document_text(mapped: DataFrame) -> DataFrame:
+    """(``doc_id``, ``text``, ``pages``) of ``mapped_pages``: texts of a document's pages, ``PAGE_BREAK`` between them.
+
+    ``pages``: ``page``, ``start`` and ``end`` of each page in the text.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("page", "text")))
+    docs = mapped.groupBy("doc_id").agg(parts.alias("_p")).withColumn("text", F.array_join(F.transform("_p", lambda p: p["text"]), PAGE_BREAK))
+    kind = "array<struct<page:int,start:int,end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+
+    def step(a: Column, p: Column) -> Column:
+        end = a["at"] + F.length(p["text"])
+        return F.struct((end + len(PAGE_BREAK)).alias("at"), F.concat(a["found"], F.array(F.struct(p["page"].cast("int").alias("page"), a["at"].alias("start"), end.alias("end")))).cast(kind).alias("found"))
+
+    return docs.select("doc_id", "text", F.aggregate("_p", start, step, lambda a: a["found"]).alias("pages"))
 
 
 def page_text(glyphs: DataFrame) -> DataFrame:
-    """(``doc_id``, ``text``): lines joined, words divided at line ends put together, pages apart by a form feed."""
-    lines = line_text(glyphs)
-    pages = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    pages = pages.withColumn("text", F.regexp_replace("text", r"(?U)(\w)-\n(\w)", "$1$2"))
-    return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), PAGE_BREAK).alias("text"))
+    """(``doc_id``, ``text``) of a row a glyph: lines joined, divided words put together, pages apart by a form feed."""
+    return document_text(mapped_pages(paged(glyphs))).select("doc_id", "text")
+
+
+def mapped_findings(found: DataFrame, mapped: DataFrame, column: str = "merged") -> DataFrame:
+    """A row for each finding of a document's text and page it touches: where it lies there, and its glyphs.
+
+    ``found``: documents of ``document_text`` with findings. Columns: ``doc_id``, ``start``, ``end``, ``category``, ``value``,
+    ``page``, ``refs`` (each glyph's block, line, span and box) and ``n_mapped``, characters other than blanks that have a glyph.
+    """
+    rows = found.select("doc_id", F.explode(column).alias("f"), "pages").select("doc_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"), "f.category", "f.value", "pages")
+    met = F.filter("pages", lambda p: (p["start"] < F.col("end")) & (F.col("start") < p["end"]))
+    on_page = rows.select("doc_id", "start", "end", "category", "value", F.explode(met).alias("p")).select(
+        "doc_id", "start", "end", "category", "value", F.col("p.page").alias("page"), F.greatest(F.col("start") - F.col("p.start"), F.lit(0)).alias("_a"), (F.least("end", "p.end") - F.col("p.start")).alias("_e")
+    )
+    joined = on_page.join(mapped.select("doc_id", "page", F.col("text").alias("_text"), "glyphs", "glyph_of"), ["doc_id", "page"])
+    own = F.slice("glyph_of", F.col("_a") + 1, F.col("_e") - F.col("_a"))
+    chars = F.split(F.substring("_text", F.col("_a") + 1, F.col("_e") - F.col("_a")), "", -1)
+    solid = F.size(F.filter(F.zip_with(own, chars, lambda i, ch: i.isNotNull() & (ch != " ")), lambda x: x))
+    refs = F.transform(F.array_distinct(F.filter(own, lambda i: i.isNotNull())), lambda i: F.get("glyphs", i))
+    return joined.select("doc_id", "start", "end", "category", "value", "page", refs.alias("refs"), solid.cast("long").alias("n_mapped"))
+
+
+#: Share of a finding's characters that must have a glyph.
+SURE = 0.95
+
+
+def finding_confidence(found: DataFrame, mapped: DataFrame, column: str = "merged") -> DataFrame:
+    """(``doc_id``, ``start``, ``end``, ``category``, ``value``, ``confidence``, ``n_boxes``, ``unsafe``) of each finding.
+
+    ``confidence``: the share of characters other than blanks that have a glyph, 1 where there are none. A finding below ``SURE``, or
+    without any box, is not safe to redact.
+    """
+    key = ["doc_id", "start", "end", "category"]
+    parts = mapped_findings(found, mapped, column)
+    boxes = F.size(F.array_distinct(F.transform("refs", lambda g: F.struct(g["block"].alias("block"), g["line"].alias("line"), g["span"].alias("span")))))
+    sums = parts.groupBy(*key).agg(F.sum("n_mapped").alias("_n"), F.sum(boxes).alias("_b"))
+    rows = found.select("doc_id", F.explode(column).alias("f")).select("doc_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"), "f.category", "f.value")
+    need = F.length(F.regexp_replace("value", r"(?U)\s", ""))
+    share = F.when(need > 0, F.coalesce("_n", F.lit(0)) / need).otherwise(1.0)
+    joined = rows.join(sums, key, "left").withColumns({"confidence": share, "n_boxes": F.coalesce("_b", F.lit(0)).cast("long")})
+    return joined.withColumn("unsafe", (F.col("confidence") < SURE) | (F.col("n_boxes") == 0)).drop("_n", "_b")
+
+
+def mapped_boxes(found: DataFrame, mapped: DataFrame, column: str = "merged") -> DataFrame:
+    """One rectangle for each finding, page, block, line and span: the union of its glyphs' boxes."""
+    refs = mapped_findings(found, mapped, column).select("doc_id", "start", "end", "category", "page", F.explode("refs").alias("g"))
+    groups = refs.groupBy("doc_id", "start", "end", "category", "page", "g.block", "g.line", "g.span")
+    return groups.agg(F.min("g.x0").alias("x0"), F.min("g.y0").alias("y0"), F.max("g.x1").alias("x1"), F.max("g.y1").alias("y1"), F.min("g.char").alias("char"), F.count("*").alias("n_glyphs"))
+
+
+#: Widths of Helvetica in thousandths of the font size, for the characters of placeholders; fixed values.
+LABEL_WIDTHS = {
+    "A": 667, "B": 667, "C": 722, "D": 722, "E": 667, "F": 611, "G": 778, "H": 722, "I": 278, "J": 500, "K": 667, "L": 556, "M": 833, "N": 722, "O": 778, "P": 667, "Q": 778, "R": 722, "S": 667, "T": 611, "U": 722,
+    "V": 667, "W": 944, "X": 667, "Y": 667, "Z": 611, "0": 556, "1": 556, "2": 556, "3": 556, "4": 556, "5": 556, "6": 556, "7": 556, "8": 556, "9": 556, "_": 556, "[": 278, "]": 278, " ": 278,
+}
+LABEL_SIZE = 8
+
+
+def label_fits(label: Column, width: Column, height: Column, size: float = LABEL_SIZE) -> Column:
+    """True where a label set in Helvetica fits a box. Other characters than a placeholder's count as wide as a digit."""
+    # thousandths by character: as many characters as are left when one is taken out
+    known = F.lit(0)
+    for c, w in LABEL_WIDTHS.items():
+        known = known + (F.length(label) - F.length(F.replace(label, F.lit(c), F.lit("")))) * (w - 556)
+    return (height >= size) & ((known + F.length(label) * 556) * size / 1000 <= width)
 
 
 def finding_boxes(findings: DataFrame, glyphs: DataFrame) -> DataFrame:
@@ -39,12 +157,11 @@ def finding_boxes(findings: DataFrame, glyphs: DataFrame) -> DataFrame:
 
     ``glyphs`` has ``offset``, the glyph's place in its document's text.
     """
-    on = (F.col("f.doc_id") == F.col("g.doc_id")) & (F.col("g.offset") >= F.col("f.start")) & (F.col("g.offset") < F.col("f.end"))
-    return (
-        findings.alias("f").join(glyphs.alias("g"), on)
-        .groupBy("f.doc_id", "f.start", "f.end", "f.category", "g.page", "g.block", "g.line", "g.span")
-        .agg(F.min("g.x0").alias("x0"), F.min("g.y0").alias("y0"), F.max("g.x1").alias("x1"), F.max("g.y1").alias("y1"), F.count("*").alias("n_glyphs"))
-    )
+    at = findings.select("doc_id", "start", "end", "category", F.explode(F.sequence(F.col("start").cast("long"), F.col("end").cast("long") - 1)).alias("offset"))
+    met = at.join(glyphs.withColumn("offset", F.col("offset").cast("long")).select("doc_id", "offset", "page", "block", "line", "span", "x0", "y0", "x1", "y1"), ["doc_id", "offset"])
+    return met.groupBy("doc_id", "start", "end", "category", "page", "block", "line", "span").agg(
+        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_glyphs")
+    )
 
 
 def mapping_confidence(findings: DataFrame, glyphs: DataFrame) -> DataFrame:
@@ -53,7 +170,7 @@ def mapping_confidence(findings: DataFrame, glyphs: DataFrame) -> DataFrame:
     mapped = boxes.groupBy("doc_id", "start", "end", "category").agg(F.sum("n_glyphs").alias("mapped"))
     need = F.length(F.regexp_replace("value", r"\s", ""))
     joined = findings.select("doc_id", "start", "end", "category", need.alias("need")).join(mapped, ["doc_id", "start", "end", "category"], "left")
-    share = F.when(F.col("need") > 0, F.coalesce("mapped", F.lit(0)) / F.col("need")).otherwise(0.0)
+    share = F.when(F.col("need") > 0, F.coalesce("mapped", F.lit(0)) / F.col("need")).otherwise(1.0)
     return joined.select("doc_id", "start", "end", "category", share.alias("confidence"), (share < 0.95).alias("unsafe"))
 
 
@@ -81,3 +198,96 @@ def adjacent_merged(boxes: DataFrame, level: float = 1.5, gap: float = 2.0) -> D
 
     merged = pages.select("doc_id", "page", F.explode(F.aggregate("b", start, step, lambda a: F.concat(a["done"], F.array(a["open"])))).alias("m"))
     return merged.select("doc_id", "page", "m.x0", "m.y0", "m.x1", "m.y1", "m.n")
+
+
+def placed_labels(boxes: DataFrame) -> DataFrame:
+    """``boxes`` with ``label``: a finding's ``placeholder`` in its first rectangle that holds it, else null (the box is filled black)."""
+    fits = label_fits(F.col("placeholder"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    first = Window.partitionBy("doc_id", "start", "end", "category").orderBy(F.desc("_fits"), "page", "block", "line", "span")
+    ranked = boxes.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_n", F.row_number().over(first))
+    return ranked.withColumn("label", F.when(F.col("_fits") & (F.col("_n") == 1), F.col("placeholder"))).drop("_fits", "_n")
+
+
+def redacted(mapped: DataFrame, found: DataFrame, column: str = "planned") -> tuple[DataFrame, DataFrame]:
+    """Page tables without the glyphs under the rectangles of what is replaced, and the rectangles with their labels.
+
+    ``found``: documents of ``document_text`` with findings that bear ``placeholder``. Each finding's label stands in its first rectangle that is
+    wide and high enough. A glyph goes if its box shares an area with a rectangle, whatever finding it belongs to.
+    """
+    marks = found.select("doc_id", F.explode(column).alias("f")).select("doc_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"), "f.category", "f.placeholder")
+    boxes = placed_labels(mapped_boxes(found, mapped, column).join(marks, ["doc_id", "start", "end", "category"]))
+    corners = ("x0", "y0", "x1", "y1")
+    rects = boxes.groupBy("doc_id", "page").agg(F.collect_list(F.struct("block", "line", "span", "char", F.coalesce("label", F.lit("")).alias("c"), *corners)).alias("_r"))
+    joined = mapped.select("doc_id", "page", "glyphs").join(rects, ["doc_id", "page"], "left").withColumn("_r", F.coalesce("_r", F.array()))
+
+    def under(g: Column) -> Column:
+        return F.exists("_r", lambda r: (g["x0"] < r["x1"]) & (r["x0"] < g["x1"]) & (g["y0"] < r["y1"]) & (r["y0"] < g["y1"]))
+
+    left = F.array_sort(F.concat(F.filter("glyphs", lambda g: ~under(g)), F.filter("_r", lambda r: r["c"] != "")))
+    return joined.select("doc_id", "page", F.when(F.size("_r") > 0, left).otherwise(F.col("glyphs")).alias("glyphs")), boxes
+
+
+def raw_text(glyphs: Column) -> Column:
+    """A page's glyphs as they stand, a line feed between lines, nothing composed or joined."""
+    before = F.concat(F.array(F.lit(None).cast("long")), F.transform(glyphs, lambda g: g["block"].cast("long") * 1_000_000_000 + g["line"]))
+    lines = F.zip_with(glyphs, F.slice(before, 1, F.size(glyphs)), lambda g, a: F.concat(F.when(g["block"].cast("long") * 1_000_000_000 + g["line"] != a, "\n").otherwise(""), F.coalesce(g["c"], F.lit(""))))
+    return F.array_join(lines, "")
+
+
+#: Characters a page must have on average, below which a document looks scanned.
+MIN_CHARS_PER_PAGE = 10
+
+
+def inspected(mapped: DataFrame) -> DataFrame:
+    """A row a document: ``page_count``, ``characters``, ``pages_without_text``, ``appears_scanned``."""
+    found = mapped.groupBy("doc_id").agg(F.count("*").alias("page_count"), F.sum(F.length("text")).alias("characters"), F.count_if(F.length("text") == 0).alias("pages_without_text"))
+    return found.withColumn("appears_scanned", F.col("characters") < MIN_CHARS_PER_PAGE * F.col("page_count"))
+
+
+def page_checks(before: DataFrame, after: DataFrame, originals: DataFrame) -> DataFrame:
+    """A row for each page before or after: is it still there, and how many of the document's replaced values can still be read.
+
+    ``before``, ``after``: ``mapped_pages``; ``originals``: (``doc_id``, ``value``), a row for each finding that was replaced. ``text_left``
+    counts values in the page's text, ``glyphs_left`` in its glyphs as they stand. A page that is gone has none left and does not
+    pass, nor does one that was not there before.
+    """
+    values = originals.groupBy("doc_id").agg(F.collect_list("value").alias("_v"))
+    old = before.select("doc_id", "page", F.lit(True).alias("_old"), F.size("glyphs").cast("long").alias("glyphs_before"))
+    new = after.select("doc_id", "page", F.lit(True).alias("_new"), F.size("glyphs").cast("long").alias("glyphs_after"), F.col("text").alias("_text"), raw_text(F.col("glyphs")).alias("_raw"))
+    joined = old.join(new, ["doc_id", "page"], "full").join(values, "doc_id", "left")
+
+    def left(text: str) -> Column:
+        return F.coalesce(F.size(F.filter("_v", lambda v: F.contains(F.col(text), v))), F.lit(0)).cast("long")
+
+    state = F.when(F.col("_new").isNull(), "lost").when(F.col("_old").isNull(), "added").otherwise("kept")
+    checked = joined.withColumns({"state": state, "text_left": F.when(F.col("_new"), left("_text")).otherwise(0), "glyphs_left": F.when(F.col("_new"), left("_raw")).otherwise(0)})
+    passed = (F.col("state") == "kept") & (F.col("text_left") == 0) & (F.col("glyphs_left") == 0)
+    return checked.select("doc_id", "page", "state", F.coalesce("glyphs_before", F.lit(0)).alias("glyphs_before"), F.coalesce("glyphs_after", F.lit(0)).alias("glyphs_after"), "text_left", "glyphs_left", passed.alias("passed"))
+
+
+def document_checks(pages: DataFrame) -> DataFrame:
+    """A row a document of ``page_checks``: whether all pages are kept, nothing can be read, and both."""
+    found = pages.groupBy("doc_id").agg(
+        F.count_if("passed").alias("pages_passed"), F.count("*").alias("pages"), F.bool_and(F.col("state") == "kept").alias("pages_kept"), F.bool_and((F.col("text_left") == 0) & (F.col("glyphs_left") == 0)).alias("redacted")
+    )
+    rate = F.col("pages_passed") / F.col("pages")
+    return found.select("doc_id", "pages", "pages_passed", rate.alias("page_pass_rate"), "pages_kept", "redacted", (F.col("pages_kept") & F.col("redacted")).alias("passed"))
+
+
+def page_rates(documents: DataFrame, confidence: DataFrame) -> DataFrame:
+    """One row over ``document_checks`` and ``finding_confidence``: how many documents and pages, and the shares that were mapped, redacted, kept and verified.
+
+    A document with a finding that is not safe to map is a mapping failure. Shares of nothing are 1.
+    """
+    mapped = confidence.agg(F.count("*").alias("findings"), F.count_if(~F.col("unsafe")).alias("findings_mapped"), F.count_distinct(F.when(F.col("unsafe"), F.col("doc_id"))).alias("mapping_failures"))
+    sums = documents.agg(
+        F.count("*").alias("documents"), F.coalesce(F.sum("pages"), F.lit(0)).alias("pages"), F.count_if("redacted").alias("_r"), F.count_if("pages_kept").alias("_k"), F.count_if("passed").alias("_p"),
+        F.coalesce(F.sum("pages_passed"), F.lit(0)).alias("_pp"),
+    )
+
+    def share(a: str, b: str) -> Column:
+        return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(1.0)
+
+    one = sums.join(mapped)  # two rows of counts
+    rates = {"mapping_accuracy": share("findings_mapped", "findings"), "redaction_rate": share("_r", "documents"), "pages_kept_rate": share("_k", "documents"), "verification_rate": share("_p", "documents"), "page_pass_rate": share("_pp", "pages")}
+    return one.withColumns(rates).drop("_r", "_k", "_p", "_pp", "findings_mapped")

@@ -59,10 +59,12 @@ LUHN = """(len(d) BETWEEN 13 AND 19 AND len(list_distinct(string_split(d, '')))
   list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN CAST(d[i] AS INT)
     WHEN 2 * CAST(d[i] AS INT) > 9 THEN 2 * CAST(d[i] AS INT) - 9 ELSE 2 * CAST(d[i] AS INT) END)) % 10 = 0)"""
 
-FOUND = (
-    "WITH "
-    + ",".join(span_sql(n, p) for n, p in (("em", EMAIL), ("ph", PHONE), ("ca", CARD), ("ip", IPV4), ("tk", TOKEN)))
-    + rf""",
+
+def found_sql(table: str = "documents") -> str:
+    """CTEs up to ``found``, the findings of texts in ``table``, without ``WITH``."""
+    return (
+        ",".join(span_sql(n, p, table) for n, p in (("em", EMAIL), ("ph", PHONE), ("ca", CARD), ("ip", IPV4), ("tk", TOKEN)))
+        + rf""",
 cd AS (SELECT *, regexp_replace(value, '\D', '', 'g') AS d FROM ca WHERE NOT regexp_matches(before, '\d')),
 found AS (
   SELECT doc_id, pos AS s, pos + len(value) AS e, 'EMAIL' AS category, value, 0 AS risk FROM em
@@ -74,17 +76,18 @@ found AS (
       CASE WHEN q THEN value[2:len(value) - 1] ELSE value END, 100
     FROM (SELECT *, regexp_matches(value, '^("[^"\r\n]+"|''[^''\r\n]+'')$') AS q FROM tk))
 """
-)
+    )
+
+
+FOUND = "WITH " + found_sql()
 #: The greedy merge as a fold: an accepted finding bars all that overlap it.
-MERGED = (
-    FOUND
-    + """,
+_MERGE = """,
 ranked AS (SELECT doc_id, list({'s': s, 'e': e, 'c': category, 'v': value} ORDER BY risk DESC, e - s DESC, s, category) AS r FROM found GROUP BY doc_id),
 folded AS (SELECT doc_id, r, list_reduce(list_prepend([]::STRUCT(s BIGINT, e BIGINT, c VARCHAR, v VARCHAR)[], list_transform(r, lambda x: [x])),
     lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.s < x[1].e AND x[1].s < y.e)) > 0 THEN a ELSE list_concat(a, x) END) AS acc FROM ranked),
 merged AS (SELECT doc_id, x.s AS s, x.e AS e, x.c AS category, x.v AS value FROM folded, unnest(acc) AS u(x))
 """
-)
+MERGED = FOUND + _MERGE
 
 
 def _detected(name: str):
