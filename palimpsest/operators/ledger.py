@@ -85,7 +85,7 @@ def attempts(processed: DataFrame, policy, model: str = "patterns", stamp: Colum
         "id": F.uuid() if stamp is None else F.sha2(F.concat_ws("/", "doc_id", "source_hash"), 256), "source_filename": F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), "source_path": F.lit(None),
         "source_hash": F.col("source_hash"), "output_path": F.col("route"), "report_path": F.lit(None), "status": F.col("status"), "model": F.lit(model),
         "policy_name": F.lit(policy.name), "policy_version": F.lit(policy.version), "findings_count": F.col("findings_count"), "verification_result": F.col("passed"),
-        "error_code": F.lit(None), "error_message": F.lit(None), "created_at": now, "started_at": now, "completed_at": now,
+        "error_code": F.col("error") if "error" in processed.columns else F.lit(None), "error_message": F.lit(None), "created_at": now, "started_at": now, "completed_at": now,
     }
     kinds = dict(x.strip().rsplit(" ", 1) for x in SCHEMA.split(","))
     return processed.select(*[c.cast(kinds[n]).alias(n) for n, c in values.items()])
