@@ -121,11 +121,13 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality", **options) -> Model:
     """Model from at most ``max_rows`` labelled documents, those of the least hashes of their ids, then of their texts.
 
-    Rows without a label or an id are passed over; several labels of one id count by their mean; a null text counts as
+    Labels of documents that ``docs`` lacks are passed over before any are chosen, as are rows without a label or an id; several labels of one id count by their mean; a null text counts as
     empty; repeated rows are rows of their own. Reruns choose the same rows in the same order. Only term counts
     of the sample reach the driver, at most ``TERMS`` numbers a row. No labelled text gives a model of score 0.5.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg((F.avg(label) >= 0.5).cast("float").alias("_label"))
+    ids = docs.select(F.col(doc_id).alias("_id"))
+    usable = labels.where(F.col(label).isNotNull()).join(ids, F.col(doc_id) == F.col("_id"), "left_semi")
+    known = usable.groupBy(F.col(doc_id).alias("_id")).agg((F.avg(label) >= 0.5).cast("float").alias("_label"))
     # max_rows rows of an id and a label: this is what is broadcast
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
