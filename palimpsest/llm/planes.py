@@ -202,10 +202,19 @@ def write(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text:
     return cut(manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "manifest")
 
 
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ma.MaskedArray, np.ndarray, int]]:
+    """(ids, document ids, lengths, ids before) of each file of a batch; ValueError if it does not hold what the manifest says."""
+    columns = (batch.column(c).to_pylist() for c in ("file", "base", "n_docs", "n_ids"))
+    for data, file, base, n_docs, n_ids in zip(batch.column("content"), *columns):
+        ids, docs, lengths = unpack(data.as_py())
+        if (len(docs), len(ids)) != (n_docs, n_ids):
+            raise ValueError(f"{file} holds {len(docs)} documents and {len(ids)} ids, not {n_docs} and {n_ids}")
+        yield ids, docs, lengths, base
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for data, base in zip(batch.column("content"), batch.column("base").to_pylist()):
-            ids, docs, lengths = unpack(data.as_py())
+        for ids, docs, lengths, base in _unpacked(batch):
             ends = np.cumsum(lengths)
             values = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.astype(np.int64), pa.int64()))
             for k in range(0, len(docs), 2000):
@@ -216,20 +225,28 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """(``doc_id``, ``start``, ``n_tokens``, ``ids``) of all documents in the files of a manifest."""
+    """(``doc_id``, ``start``, ``n_tokens``, ``ids``) of all documents in the files of a manifest.
+
+    A listed file that is not there raises ``FileNotFoundError``; one that holds other numbers of documents or ids than
+    listed fails the query. Files that are not listed are passed over.
+    """
     return _listed(manifest, folder).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids array<long>")
 
 
 def _listed(manifest: DataFrame, folder: str) -> DataFrame:
     spark = manifest.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.planes").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest.select("file", "base"), "file").select("content", "base")
+    named = files.withColumn("file", F.element_at(F.split("path", "/"), -1))
+    absent = manifest.join(named.select("file"), "file", "left_anti")
+    missing = absent.select("file").first()  # names alone are read
+    if missing:
+        raise FileNotFoundError(f"{absent.count()} of the manifest's files are not in {folder}, {missing.file} among them")
+    return named.select("file", "content").join(manifest.select("file", "base", "n_docs", "n_ids"), "file")
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for data, base in zip(batch.column("content"), batch.column("base").to_pylist()):
-            ids, docs, lengths = unpack(data.as_py())
+        for ids, docs, lengths, base in _unpacked(batch):
             ends = np.cumsum(lengths)
             raw = memoryview(ids.tobytes())
             crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
