@@ -7,10 +7,9 @@ tilts every document exponentially by its size, ``rate = exp(lambda * size / uni
 one an aggregation over (source, size) counts, with a bracket that a step may not leave.
 
 Rates are then rounded into copies. A document has ``floor(rate)`` copies, and one more if its threshold
-``1 - fraction - u`` lies below its source's cut, ``u`` being a hash of the id in [0, 1). The cut is found by
-refining a histogram of thresholds until the source's words pass the target within one document, or
-documents of one threshold, so the result misses the target by half a document's words at most where
-documents differ, and reruns agree.
+``1 - fraction - u`` lies below its source's cut, ``u`` being a hash of the id, the text and, among equal rows, a
+number in [0, 1). The cut is found by refining a histogram of thresholds until the source's words pass the target
+within one document, so the result misses the target by half a document's words at most, and reruns agree.
 
 Nothing gathers a source: all steps are aggregations with partial sums, so one source may hold most rows.
 Everything is built from DataFrame functions.
@@ -118,7 +117,7 @@ def _rated(sized: DataFrame, duals: DataFrame, max_rate: float) -> DataFrame:
     full = F.col("target") >= max_rate * F.col("source_size")
     rate = F.when(full, F.lit(max_rate)).otherwise(F.least(F.exp(F.least(F.col("lam") * x, F.lit(50.0))), F.lit(max_rate)))
     whole = F.least(F.floor(F.col("rate") + 1e-9), F.lit(int(max_rate)))
-    u = F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 11) / F.lit(float(1 << 53))
+    u = F.shiftrightunsigned(F.xxhash64("doc_id", "size", "mark", "turn"), 11) / F.lit(float(1 << 53))
     open_ = (F.col("size") > 0) & (F.col("whole") < max_rate)
     joined = _sources(sized, duals).withColumn("rate", rate).withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(1))
     return joined.withColumn("threshold", F.when(open_, (2 - (F.col("rate") - F.col("whole")) - u) / 2))
@@ -169,22 +168,46 @@ def copies(sized: DataFrame, by_source: DataFrame, max_rate: float = MAX_RATE) -
     return found.withColumn("taken", F.col("copies") * F.col("size")).drop("unit", "lam", "cut", "rate", "whole", "threshold")
 
 
+def _numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` as a table with ``turn``, a number among equal rows, so that each has a threshold of its own.
+
+    Equal rows are numbered within their partition first, and each partition starts behind those before it: no task meets
+    all rows of one value.
+    """
+    keys = ["doc_id", "source", "size", "mark"]
+    placed = cut(sized.withColumn("_row", F.monotonically_increasing_id()), "sizes").withColumn("_part", F.shiftright("_row", 33))
+    own = placed.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_row")))
+    # only rows that meet their like in several partitions need the parts before
+    counts = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.withColumn("_before", before).where("_before is not null").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), "_before")
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    met = own.join(shifts, same, "left")
+    return cut(met.select(*keys, (F.col("_turn") + F.coalesce("_before", F.lit(0))).cast("long").alias("turn")), "sizes")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
     """(``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``), a row for each row of ``docs``.
 
     ``size`` counts words, ``taken`` is ``copies * size``. Null texts have size 0 and one copy, as have all
-    texts without words. A null source is a source of its own, last in order. Repeated rows are documents of
-    their own, with equal results. A source without words has target 0. No documents give no rows.
+    texts without words. A null source is a source of its own, last in order. Repeated rows, and rows without an id, are documents
+    of their own: some may be taken more often than others. A source without words has target 0. No documents give no rows.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
-    sized = cut(sized, "sizes")
-    return copies(sized, plan(sized, weights, max_rate), max_rate)
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("mark"))
+    sized = _numbered(sized)
+    return copies(sized, plan(sized, weights, max_rate), max_rate).drop("mark", "turn")
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_rate: float = MAX_RATE) -> DataFrame:
-    """The mix itself: each row of ``docs`` (``doc_id``, ``source``, ``text``, ...) as often as its copies say."""
+    """The mix itself: each row of ``docs`` (``doc_id``, ``source``, ``text``, ...) as often as its copies say.
+
+    As ``mix``, but rows equal in id, source and text have equally many copies each, so a target that they make up is met
+    within their words only.
+    """
     columns = docs.columns
-    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "sizes")
-    own = docs.select(F.struct(*columns).alias("_row"), "doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    found = copies(own, plan(sized, weights, max_rate), max_rate)
+    sizes = ["doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), F.lit(0).cast("long").alias("turn")]
+    sized = cut(docs.select(*sizes), "sizes")
+    found = copies(docs.select(F.struct(*columns).alias("_row"), *sizes), plan(sized, weights, max_rate), max_rate)
     return found.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
