@@ -128,29 +128,55 @@ def _open(uri: str):
     return fs, path
 
 
-def _member(uri: str, offset: int, size: int, crc: int, source=None) -> bytes:
+class _Archive:
+    """An archive's open file; a new one after a failure."""
+
+    def __init__(self, uri: str):
+        self.uri, self.file = uri, None
+
+    def get(self):
+        if self.file is None:
+            fs, path = _open(self.uri)
+            self.file = fs.open_input_file(path)
+        return self.file
+
+    def drop(self) -> None:
+        file, self.file = self.file, None
+        if file is not None:
+            try:
+                file.close()
+            except OSError:
+                pass  # it has failed already
+
+    def again(self, read, wait: float = 0.1):
+        """What ``read`` makes of the file, repeated with a newly opened one after a failure."""
+        for attempt in range(ATTEMPTS):
+            try:
+                return read(self.get())
+            except (OSError, ValueError, zipfile.BadZipFile):
+                self.drop()
+                if attempt == ATTEMPTS - 1:
+                    raise
+                time.sleep(wait * 2**attempt)
+        raise AssertionError
+
+
+def _member(archive: _Archive, offset: int, size: int, crc: int) -> bytes:
     """One stored member by the offset of its header, tried again alone after a failure."""
-    for attempt in range(ATTEMPTS):
-        try:
-            if source is None:
-                fs, path = _open(uri)
-                source = fs.open_input_file(path)
-            source.seek(offset)
-            head = source.read(30)
-            if head[:4] != b"PK\x03\x04":
-                raise ValueError(f"no member at {offset} of {uri}")
-            names, extra = struct.unpack_from("<2H", head, 26)
-            source.seek(offset + 30 + names + extra)
-            data = source.read(size)
-            if len(data) != size or zlib.crc32(data) != crc:
-                raise OSError(f"member at {offset} of {uri} is cut short or damaged")
-            return data
-        except OSError:
-            if attempt == ATTEMPTS - 1:
-                raise
-            source = None
-            time.sleep(0.1 * 2**attempt)
-    raise AssertionError
+
+    def read(source) -> bytes:
+        source.seek(offset)
+        head = source.read(30)
+        if head[:4] != b"PK\x03\x04":
+            raise ValueError(f"no member at {offset} of {archive.uri}")
+        names, extra = struct.unpack_from("<2H", head, 26)
+        source.seek(offset + 30 + names + extra)
+        data = source.read(size)
+        if len(data) != size or zlib.crc32(data) != crc:
+            raise OSError(f"member at {offset} of {archive.uri} is cut short or damaged")
+        return data
+
+    return archive.again(read)
 
 
 class ArchiveReader(DataSourceReader):
@@ -160,7 +186,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         fs, root = _open(self.folder)
-        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+        found = fs.get_file_info(pafs.FileSelector(root))
         scheme = self.folder.split("://")[0] + "://" if "://" in self.folder else "file://"
         base = self.folder.rstrip("/") if "://" in self.folder else scheme + root
         ranges = [
@@ -174,28 +200,33 @@ class ArchiveReader(DataSourceReader):
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
         if not part.uri:
             return
-        fs, path = _open(part.uri)
-        with fs.open_input_file(path) as source:
-            members = [x for x in zipfile.ZipFile(source).infolist() if part.start <= x.header_offset < part.end]
+        archive = _Archive(part.uri)
+        try:
+            listed = archive.again(lambda source: zipfile.ZipFile(source).infolist())
+            name = part.uri.rsplit("/", 1)[-1]
             rows, size = [], 0
-            for x in members:
-                data = _member(part.uri, x.header_offset, x.file_size, x.CRC, source)
+            for x in listed:
+                if not part.start <= x.header_offset < part.end:
+                    continue
+                data = _member(archive, x.header_offset, x.file_size, x.CRC)
                 _, doc, rest = x.filename.split("/")
-                rows.append((path.rsplit("/", 1)[-1], x.header_offset, int(doc) if doc else None, int(rest.split(".")[0]), data))
+                rows.append((name, len(listed), x.header_offset, int(doc) if doc else None, int(rest.split(".")[0]), data))
                 size += len(data)
                 if size > BATCH_BYTES:
                     yield _batch(rows)
                     rows, size = [], 0
             if rows:
                 yield _batch(rows)
+        finally:
+            archive.drop()
 
 
-SCHEMA = "archive string, offset long, doc_id long, n_bytes long, media binary"
+SCHEMA = "archive string, members long, offset long, doc_id long, n_bytes long, media binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["archive", "offset", "doc_id", "n_bytes", "media"])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["archive", "members", "offset", "doc_id", "n_bytes", "media"])
 
 
 class ArchiveSource(DataSource):
@@ -213,10 +244,25 @@ class ArchiveSource(DataSource):
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Members of the archives in ``folder``; with a manifest, of the archives it lists."""
+    """Members of the archives in ``folder``; with a manifest, of the archives it lists.
+
+    A folder or a listed archive that is not there raises ``FileNotFoundError``; a listed archive with another number of
+    members than listed, or a member that stays unreadable, fails the query. Archives that are not listed are passed over.
+    """
     spark.dataSource.register(ArchiveSource)
     found = spark.read.format("media_archive").load(folder)
-    return found if manifest is None else found.join(manifest.select("archive"), "archive", "left_semi")
+    if manifest is None:
+        return found
+    fs, root = _open(folder)
+    fs.get_file_info(pafs.FileSelector(root))  # a missing folder is no empty one
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("archive"))
+    absent = manifest.join(there, "archive", "left_anti")
+    missing = absent.select("archive").first()  # names alone are read
+    if missing:
+        raise FileNotFoundError(f"{absent.count()} of the manifest's archives are not in {folder}, {missing.archive} among them")
+    met = found.join(manifest.select("archive", F.col("members").alias("_listed")), "archive")
+    wrong = F.raise_error(F.concat("archive", F.lit(" has "), F.col("members").cast("string"), F.lit(" members, not "), F.col("_listed").cast("string"))).cast("boolean")
+    return met.where(F.when(F.col("members") == F.col("_listed"), True).otherwise(wrong)).drop("_listed")
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
