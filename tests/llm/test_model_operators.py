@@ -352,7 +352,7 @@ def test_damage_is_noticed(tmp_path):
     data[60] ^= 1
     (tmp_path / "a.zip").write_bytes(data)
     with pytest.raises(OSError):
-        media._member(f"file://{tmp_path}/a.zip", 0, len(image), zlib.crc32(image))
+        media._member(media._Archive(f"file://{tmp_path}/a.zip"), 0, len(image), zlib.crc32(image))
 
 
 def test_pipeline(spark, sf, small):
