@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ LABEL_TRIM = "[] \t\r\n:="
 SECRET_LOG = r"(?i)(password|secret|token|api[_-]?key)\s*[:=]\s*\S+|Bearer\s+\S+"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def digits_only(text: Column) -> Column:
     """The text without anything but digits."""
     return F.regexp_replace(text, r"(?U)\D", "")

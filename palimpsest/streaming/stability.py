@@ -112,7 +112,7 @@ def settled(looks: DataFrame, seconds: float = 3, forget_seconds: float = 3600,
     settle again. A stream forgets files of which no look has come for ``forget_seconds`` by its watermark; needs the RocksDB state
     store. Rows with nulls are left out, repeated looks change nothing.
     """
-    known = looks.select("path", F.col("n_bytes").cast("long").alias("n_bytes"), "modified", "seen").dropna()
+    known = looks.select("path", F.col("n_bytes").cast("long").alias("n_bytes"), F.col("modified").cast("timestamp").alias("modified"), F.col("seen").cast("timestamp").alias("seen")).dropna()
     if looks.isStreaming:
         timed = known.withColumns({"modified_us": F.unix_micros("modified"), "seen_us": F.unix_micros("seen")}).withWatermark("seen", late)
         told = timed.groupBy("path").transformWithStateInPandas(Gate(seconds, forget_seconds), _TOLD, "Append", "EventTime")
