@@ -226,6 +226,7 @@ class Memo:
     """Texts to packed ids by pieces; subclasses encode the pieces not met before."""
 
     split: Callable[[str], Iterator[list[str]]]
+    limit = MEMO_BYTES
 
     def __init__(self) -> None:
         self.clear()
@@ -239,7 +240,7 @@ class Memo:
         raise NotImplementedError
 
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
-        if self.used > MEMO_BYTES:
+        if self.used > self.limit:
             self.clear()
         if new := set().union(*lists).difference(self.memo):
             found = self.learn(new)

@@ -40,6 +40,9 @@ BLOCK = 1 << 16
 FILE_IDS = 1 << 22
 #: Level of zstandard.
 LEVEL = 3
+#: Bytes of pieces that a worker remembers with their ids. The library is slow on single words, so a piece that was forgotten costs more to
+#: encode again than one of ``bpe``.
+LIBRARY_MEMO_BYTES = 192 << 20
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, null: np.ndarray | None = None, block: int = BLOCK) -> bytes:
@@ -97,6 +100,8 @@ class LibraryCodec(Memo):
     the library would find one of its added tokens, are encoded whole.
     """
 
+    limit = LIBRARY_MEMO_BYTES
+
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
@@ -145,7 +150,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        codec, end = library_codec(tokenizer), packed([end_id])  # a worker's tasks share the memory of pieces, MEMO_BYTES at most
+        codec, end = library_codec(tokenizer), packed([end_id])  # a worker's tasks share the memory of pieces, LIBRARY_MEMO_BYTES at most
         name = uuid.uuid4().hex
         ids: list[np.ndarray] = []
         docs: list[np.ndarray] = []
