@@ -111,6 +111,9 @@ class LibraryCodec(Memo):
         first = spec["pre_tokenizer"] or {}
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.by_piece = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and spec["normalizer"] is None
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a byte of a token is a character of its name
+        self.sizes[list(vocabulary.values())] = [len(x) for x in vocabulary]
         pieces = splitter(COMMON_PATTERN)
         self.split = lambda text: pieces(text) if self._plain(text) else iter([[text]])
 
@@ -120,13 +123,17 @@ class LibraryCodec(Memo):
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
         words = [x for x in pieces if _WORD.fullmatch(x)] if self.by_piece else []
-        for k in range(0, len(words), 2048):
-            # one text of many words costs the library less than a text for each
-            part = words[k : k + 2048]
-            coded = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            ids, word = np.array(coded.ids, "<u4").tobytes(), np.array(coded.word_ids)
-            stops = (4 * np.append(np.flatnonzero(word[1:] != word[:-1]) + 1, len(word))).tolist()
-            if len(stops) == len(part):
+        for k in range(0, len(words), 512):
+            # one text of many words costs the library less than a text for each; each word begins with the text's only blanks
+            part = words[k : k + 512]
+            text = "".join(part)
+            coded = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            raw = text.encode()
+            ends = np.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw))
+            reached = np.cumsum(self.sizes[coded])
+            at = np.searchsorted(reached, ends)
+            if len(reached) and at[-1] < len(reached) and (reached[at] == ends).all():
+                ids, stops = coded.tobytes(), (4 * (at + 1)).tolist()
                 found.update(zip(part, (ids[a:b] for a, b in zip([0, *stops], stops))))
         rest = list(pieces.difference(found))
         for k in range(0, len(rest), 4096):
