@@ -22,9 +22,19 @@ def digits_only(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\D", "")
 
 
+def folded(text: Column) -> Column:
+    """The text in a form that is the same for all cases of its letters, one letter for several where it takes that: ß and ẞ as ss, ﬁ as fi, ς as σ.
+
+    Upper case expands such letters, lower case brings them back as others; what stands between the two keeps Spark from dropping
+    the first. A dotless ı, whose upper case is that of i, goes round both.
+    """
+    upper = F.replace(F.upper(F.translate(text, "ı", "\ue000")), F.lit("ẞ"), F.lit("SS"))
+    return F.translate(F.lower(upper), "ς\ue000", "σı")
+
+
 def normalized(value: Column) -> Column:
-    """Trimmed, white space runs as one blank, lower case. ``lower``, not case folding: ß stays ß."""
-    return F.lower(F.regexp_replace(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
+    """Trimmed, white space runs as one blank, case folded."""
+    return folded(F.regexp_replace(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), r"(?U)\s+", " "))
 
 
 def label_form(value: Column) -> Column:

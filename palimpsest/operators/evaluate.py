@@ -155,12 +155,12 @@ def gate(summary: DataFrame, gates: Gates = Gates()) -> DataFrame:
     return summary.withColumn("failures", F.array_compact(F.array(*[F.when(failed, code) for failed, code in checks])))
 
 
-def latencies(df: DataFrame, value: str, by: list[str] | None = None, share: float = 0.95, bins: int = 1024) -> DataFrame:
+def latencies(df: DataFrame, value: str, by: list[str] | None = None, share: float = 0.95, bins: int = 1024, rounds: int = 2) -> DataFrame:
     """Count, mean, median and the percentile at index ``int((n - 1) * share)`` of the sorted values; the index is cut off, not interpolated.
 
-    Equal values are counted before anything is sorted. A group's range is cut into ``bins``; running counts over the bins
-    tell in which one an index lies, and only values of those bins are ranked, so a hot group is never sorted in one task.
-    Groups without values give no row.
+    Equal values are counted before anything is sorted. A group's range is cut into ``bins`` on a scale that is logarithmic away from 0, and
+    the bin in which an index lies is cut again, ``rounds`` times in all; running counts over bins tell which. Only values of the last bins
+    are ranked, so neither a hot group nor one value far from all others brings many rows into one task. Groups without values give no row.
     """
     keys = by or []
     tallied = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
@@ -176,22 +176,26 @@ def latencies(df: DataFrame, value: str, by: list[str] | None = None, share: flo
             on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
         return a.join(renamed, on).drop(*[f"_{k}" for k in keys])
 
-    width = (F.col("high") - F.col("low")) / bins
-    bin_ = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("low")) / width), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
-    placed = met(tallied, ends).withColumn("bin", bin_)
-    # bins rows a group at most
-    histogram = placed.groupBy(*keys, "n", "bin").agg(F.sum("c").alias("in_bin"))
-    running = F.sum("in_bin").over(Window.partitionBy(*keys).orderBy("bin"))
-    wanted = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) * F.lit(share)))
-    inside = F.filter("wanted", lambda i: (i >= F.col("upto") - F.col("in_bin")) & (i < F.col("upto")))
-    chosen = histogram.withColumns({"upto": running, "wanted": wanted}).withColumn("wanted", inside).where(F.size("wanted") > 0)
-    chosen = chosen.select(*names, F.col("bin").alias("_bin"), (F.col("upto") - F.col("in_bin")).alias("before"), "wanted")
-    ranked = met(placed, chosen).where("bin = _bin")
-    last = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "bin").orderBy("v"))
-    ranked = ranked.withColumn("last", last)
+    low, high = F.asinh("low"), F.asinh("high")
+    indices = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.floor((F.col("n") - 1) * F.lit(share))))
+    # a row for each value and index that is looked for
+    rows = met(tallied, ends.withColumns({"at": low, "width": high - low})).withColumn("i", F.explode(indices)).withColumn("before", F.lit(0).cast("long"))
+    for _ in range(rounds):
+        step = F.col("width") / bins
+        place = F.when(step > 0, F.greatest(F.least(F.floor((F.asinh("v") - F.col("at")) / step), F.lit(bins - 1)), F.lit(0))).otherwise(F.lit(0)).cast("int")
+        placed = rows.withColumn("bin", place)
+        # bins rows a group and index at most
+        histogram = placed.groupBy(*keys, "i", "before", "bin").agg(F.sum("c").alias("in_bin"))
+        upto = F.col("before") + F.sum("in_bin").over(Window.partitionBy(*keys, "i").orderBy("bin"))
+        chosen = histogram.withColumn("upto", upto).where((F.col("i") >= F.col("upto") - F.col("in_bin")) & (F.col("i") < F.col("upto")))
+        chosen = chosen.select(*names, F.col("i").alias("_i"), F.col("bin").alias("_bin"), (F.col("upto") - F.col("in_bin")).alias("_before"))
+        inside = met(placed, chosen).where("i = _i and bin = _bin")
+        rows = inside.withColumns({"at": F.col("at") + F.col("bin") * step, "width": step, "before": F.col("_before")}).drop("bin", "_i", "_bin", "_before")
+    last = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "i").orderBy("v"))
+    ranked = rows.withColumn("last", last).where((F.col("i") >= F.col("last") - F.col("c")) & (F.col("i") < F.col("last")))
 
     def at(index: Column) -> Column:
-        return F.max(F.when((index >= F.col("last") - F.col("c")) & (index < F.col("last")), F.col("v")))
+        return F.max(F.when(F.col("i") == index, F.col("v")))
 
     n = F.col("n")
     found = ranked.groupBy(*keys, "n", "total").agg(at(F.floor((n - 1) / 2)).alias("a"), at(F.floor(n / 2)).alias("b"), at(F.floor((n - 1) * F.lit(share))).alias("p95"))

@@ -80,9 +80,12 @@ def merge(df: DataFrame, text: str = "text", findings: str = "findings", merged:
             F.lit("offset_mismatch").alias("issue"), F.lit(None).cast("string").alias("conflicts_with"),
         ),
     )
-    staged = df.withColumn("_ranked", ranked(deduplicated(right))).withColumn("_result", greedy(F.col("_ranked")))
+    # most texts have no findings, and nothing is computed for them
+    some, none = F.size(findings) > 0, F.array().cast(FINDINGS)
+    staged = df.withColumn("_ranked", F.when(some, ranked(deduplicated(right)))).withColumn("_result", F.when(some, greedy(F.col("_ranked"))))
     by_start = F.array_sort("_result.accepted")  # the struct begins with start and accepted spans are disjoint
-    return staged.withColumns({merged: by_start, ambiguous: F.concat(wrong, F.col("_result.ambiguous"))}).drop("_ranked", "_result")
+    lost = F.when(some, F.concat(wrong, F.col("_result.ambiguous"))).otherwise(F.array().cast(AMBIGUOUS))
+    return staged.withColumns({merged: F.when(some, by_start).otherwise(none), ambiguous: lost}).drop("_ranked", "_result")
 
 
 def over_threshold(df: DataFrame, policy: Policy, merged: str = "merged", accepted: str = "accepted") -> DataFrame:

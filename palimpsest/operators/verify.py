@@ -49,17 +49,19 @@ def is_generated(f: Column, placeholders: Column, policy: Policy) -> Column:
     )
 
 
-def verify(df: DataFrame, policy: Policy, sanitized: str = "sanitized", originals: str = "planned", allowed: Column | None = None, contextual: Column | None = None) -> DataFrame:
+def verify(df: DataFrame, policy: Policy, sanitized: str = "sanitized", originals: str = "planned", allowed: Column | None = None, contextual: Column | None = None, known: Column | None = None) -> DataFrame:
     """``df`` with the verification columns.
 
     ``originals``: array of what was replaced. ``allowed``: values that a warn-only policy lets stand.
-    ``contextual``: findings of a further detector on the sanitized text. Columns: ``originals_left``,
+    ``contextual``: findings of a further detector on the sanitized text. ``known``: what the patterns found in the text before, which
+    stands where nothing was replaced, so that most texts are not searched again. Columns: ``originals_left``,
     ``deterministic_left``, ``contextual_left``, ``ignored_placeholders``, ``ignored_reviews``,
     ``malformed``, ``remaining``, ``passed``, ``remaining_findings`` and ``remaining_by_category``, their counts.
     """
     text = F.col(sanitized)
     none = F.array().cast(FINDINGS)
-    parts = {"_d": findings(sanitized)} | ({} if contextual is None else {"_c": contextual.cast(FINDINGS)})
+    searched = findings(sanitized) if known is None else F.when(F.size(originals) == 0, known).otherwise(findings(sanitized))
+    parts = {"_d": searched.cast(FINDINGS)} | ({} if contextual is None else {"_c": contextual.cast(FINDINGS)})
     staged = df.withColumns({"_spans": placeholder_spans(text, policy), "malformed": malformed_count(text, policy), **parts})
     kept = {f"{n}k": F.filter(n, lambda f: ~is_generated(f, F.col("_spans"), policy)) for n in parts}
     staged = staged.withColumns({"originals_left": residual_count(masked(text, F.col("_spans")), F.col(originals)), **kept})

@@ -124,13 +124,21 @@ def merge_findings(spark, sf_dir):
     return rows.select("doc_id", F.col("start").cast("long").alias("start_at"), F.col("end").cast("long").alias("end_at"), "category", F.sha2("value", 256).alias("value_hash"))
 
 
+# Beside the patterns, single characters that occur within their findings and elsewhere.
+_RIVALS = (("@", "OTHER", 0.5), ("555", "PROJECT_NAME", 0.6))
+_RIVAL_SQL = ",".join(span_sql(f"rv{i}", f"({t})") for i, (t, _, _) in enumerate(_RIVALS))
+_WITH_RIVALS = "WITH " + found_sql().replace("found AS (", f"{_RIVAL_SQL},\nfound AS (" + "".join(f"\n  SELECT doc_id, pos AS s, pos + len(value) AS e, '{c}' AS category, value, 0 AS risk FROM rv{i} UNION ALL" for i, (_, c, _) in enumerate(_RIVALS))) + _MERGE
+
+
 @query(
-    MERGED
+    _WITH_RIVALS
     + """ SELECT f.doc_id, f.category, f.s AS start_at, CAST(f.e AS BIGINT) AS end_at FROM found f
   WHERE NOT EXISTS (SELECT 1 FROM merged m WHERE m.doc_id = f.doc_id AND m.s = f.s AND m.e = f.e AND m.category = f.category)"""
 )
 def merge_ambiguous(spark, sf_dir):
-    rows = merge(detect(docs(spark, sf_dir))).select("doc_id", F.explode("ambiguous").alias("a"))
+    """What loses against overlapping findings, among patterns and listed terms together."""
+    found = find(docs(spark, sf_dir), contextual=contextual.dictionary_findings(F.col("text"), list(_RIVALS)))
+    rows = found.select("doc_id", F.explode("ambiguous").alias("a"))
     return rows.select("doc_id", "a.category", F.col("a.start").cast("long").alias("start_at"), F.col("a.end").cast("long").alias("end_at"))
 
 
@@ -155,7 +163,7 @@ _SANITIZED = (
     MERGED
     + f""",
 pol AS (SELECT * FROM {_policy_values()} WHERE policy = 'default' AND replaced),
-keyed AS (SELECT m.*, p.action, p.label, category || '/' || lower(regexp_replace(trim(value), '\\s+', ' ', 'g')) AS k FROM merged m JOIN pol p USING (category)),
+keyed AS (SELECT m.*, p.action, p.label, category || '/' || replace(lower(regexp_replace(trim(value), '\\s+', ' ', 'g')), 'ß', 'ss') AS k FROM merged m JOIN pol p USING (category)),
 firsts AS (SELECT doc_id, label, k, row_number() OVER (PARTITION BY doc_id, label ORDER BY min(s)) AS number FROM keyed WHERE action <> 'redact' GROUP BY doc_id, label, k),
 placed AS (SELECT keyed.*, CASE WHEN action = 'redact' THEN '[REDACTED_' || keyed.label || ']' ELSE '[' || keyed.label || '_' || number || ']' END AS ph,
     lag(e, 1, 0) OVER (PARTITION BY keyed.doc_id ORDER BY s) AS prior
@@ -201,7 +209,16 @@ def verify_report(spark, sf_dir):
     return audited.select("doc_id", "source_hash", "status", "findings_count", F.col("verification.passed").alias("passed"))
 
 
-@query()
+@query(
+    _SANITIZED
+    + r""", per AS (SELECT doc_id, category, count(*) AS n FROM merged GROUP BY doc_id, category),
+cats AS (SELECT doc_id, '{' || string_agg('"' || category || '":' || n, ',' ORDER BY category) || '}' AS c, CAST(sum(n) AS BIGINT) AS total FROM per GROUP BY doc_id),
+reps AS (SELECT doc_id, '[' || string_agg('{"category":"' || category || '","original_hash":"' || sha256(value) || '","placeholder":"' || ph || '","sources":["regex"],"confidence":1.0}', ',' ORDER BY s) || ']' AS r FROM placed GROUP BY doc_id)
+SELECT d.doc_id, '{"ambiguous_count":' || (SELECT count(*) FROM found f WHERE f.doc_id = d.doc_id) - coalesce(total, 0) || ',"findings_by_category":' || coalesce(c, '{}') || ',"findings_by_source":' || CASE WHEN total > 0 THEN '{"regex":' || total || '}' ELSE '{}' END
+  || ',"findings_count":' || coalesce(total, 0) || ',"policy_name":"default","policy_version":1,"replacements":' || coalesce(r, '[]') || ',"source_hash":"' || sha256(d.text) || '","status":"completed","verification":{"passed":true,"originals_left":0,"deterministic_left":0,'
+  || '"contextual_left":0,"ignored_placeholders":0,"ignored_reviews":0,"malformed":0,"remaining":0,"remaining_by_category":{}}}' AS report
+FROM documents d LEFT JOIN cats USING (doc_id) LEFT JOIN reps USING (doc_id)"""
+)
 def audit_report_json(spark, sf_dir):
     return report.as_json(report.audit(process(docs(spark, sf_dir)), DEFAULT))
 
@@ -220,14 +237,17 @@ def audit_markdown(spark, sf_dir):
     return report.as_markdown(report.audit(process(docs(spark, sf_dir)), DEFAULT))
 
 
-# Texts made from documents, so that placeholders and all categories occur.
-_MARKED = """'Note [EMAIL_' || (doc_id % 3) || '] and [REDACTED_SSN] by [REDACTED_EMAIL], [PHONE_2] [X] [PERSON_1' || CASE WHEN doc_id % 2 = 0 THEN ']' ELSE ' open' END"""
+# Whole texts with placeholders behind them, valid and malformed ones.
+_MARKED = """text || ' Note [EMAIL_' || (doc_id % 3) || '] and [REDACTED_SSN] by [REDACTED_EMAIL], [PHONE_2] [X] [PERSON_1' || CASE WHEN doc_id % 2 = 0 THEN ']' ELSE ' open' END"""
+_NUMBERED, _REDACTED = "|".join(sorted(DEFAULT.numbered_labels)), "|".join(sorted(DEFAULT.redacted_labels))
 
 
 @query(
-    rf"""WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents)
-SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END + 2 + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS valid,
-  CAST(1 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS BIGINT) AS malformed, CAST(len(t) AS BIGINT) AS masked_length FROM m"""
+    rf"""WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents),
+k AS (SELECT doc_id, t, regexp_extract_all(t, '\[[^\]\r\n]*\]') AS tokens, regexp_replace(t, '\[[^\]\r\n]*\]', '', 'g') AS rest FROM m),
+v AS (SELECT *, list_filter(tokens, lambda x: regexp_matches(x, '^\[({_NUMBERED})_[1-9][0-9]*\]$|^\[REDACTED_({_REDACTED})\]$')) AS good FROM k)
+SELECT doc_id, CAST(len(good) AS BIGINT) AS valid, CAST(len(list_filter(tokens, lambda x: regexp_matches(x, '^\[(?:REDACTED_[A-Z][A-Z0-9_]*|[A-Z][A-Z0-9_]*_[0-9]+)\]$'))) - len(good)
+  + len(regexp_extract_all(rest, '\[(?:REDACTED_)?[A-Z][A-Z0-9_]*')) AS BIGINT) AS malformed, CAST(len(t) AS BIGINT) AS masked_length FROM v"""
 )
 def placeholder_parse(spark, sf_dir):
     marked = docs(spark, sf_dir).select("doc_id", F.expr(_MARKED).alias("t")).withColumn("found", placeholder_spans(F.col("t"), DEFAULT))
@@ -239,7 +259,8 @@ def placeholder_parse(spark, sf_dir):
 SELECT doc_id, source_hash, first_id FROM h WHERE r > 1"""
 )
 def duplicate_docs(spark, sf_dir):
-    hashed = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("source_hash"))
+    # dealt out once by hash, for the groups and for the join
+    hashed = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("source_hash")).repartition("source_hash")
     firsts = hashed.groupBy("source_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     return hashed.join(firsts, "source_hash").where("doc_id > first_id").select("doc_id", "source_hash", "first_id")
 
@@ -435,24 +456,47 @@ def safe_names(spark, sf_dir):
     return ledger.collision_safe(names, "folder", "name", "doc_id", held).select("doc_id", "safe_name")
 
 
-@query(f"SELECT policy, category, action, label, CAST(threshold AS DOUBLE) AS threshold, replaced FROM {_policy_values()}")
+@query(
+    MERGED
+    + f""" SELECT policy, category, action, label, CAST(threshold AS DOUBLE) AS threshold, replaced, coalesce(n, 0) AS findings, coalesce(d, 0) AS documents
+FROM {_policy_values()} LEFT JOIN (SELECT category, count(*) AS n, count(DISTINCT doc_id) AS d FROM merged GROUP BY category) USING (category)"""
+)
 def policy_dimension(spark, sf_dir):
+    """What each policy would do with each category, and how many findings that concerns."""
     rules = None
     for policy in POLICIES.values():
         rows = policy.dimension(spark)
         rules = rows if rules is None else rules.unionByName(rows)
-    return rules.where(F.col("category").isin("EMAIL", "PHONE", "CREDIT_CARD", "IP_ADDRESS", "API_KEY")).select("policy", "category", "action", "label", "threshold", "replaced")
+    merged = exploded(merge(detect(docs(spark, sf_dir))), "merged")
+    counts = merged.groupBy("category").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"))
+    known = rules.where(F.col("category").isin("EMAIL", "PHONE", "CREDIT_CARD", "IP_ADDRESS", "API_KEY")).join(counts, "category", "left")
+    return known.select("policy", "category", "action", "label", "threshold", "replaced", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("findings", "documents")])
 
 
+#: Windows of 1,500 characters that share 150: (doc_id, i, a, e) and the start b of the next.
+WINDOWS_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, text, CAST(len(text) AS BIGINT) AS n FROM documents),
+c AS (
+  SELECT doc_id, 0 AS i, CAST(0 AS BIGINT) AS a, n, text FROM d WHERE n > 0
+  UNION ALL SELECT doc_id, i + 1, greatest(a + 1, e - 150), n, text FROM (
+    SELECT c.*, CASE WHEN a + 1500 >= n THEN n ELSE a + coalesce(CASE WHEN p > 0 THEN 1502 - p END, CASE WHEN s > 0 THEN 1502 - s END, CASE WHEN x > 0 THEN 1502 - x END, CASE WHEN q > 0 THEN 1502 - q END,
+        CASE WHEN l > 0 THEN 1502 - l END, 1500) END AS e
+    FROM (SELECT *, strpos(rev, chr(10) || chr(10)) AS p, strpos(rev, ' .') AS s, strpos(rev, ' !') AS x, strpos(rev, ' ?') AS q, strpos(rev, chr(10)) AS l
+      FROM (SELECT *, reverse(substring(text, a + 751, 751)) AS rev FROM c)) AS c) WHERE e < n),
+w AS (SELECT doc_id, i, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b, n, text FROM c),
+e AS (SELECT *, CASE WHEN b IS NULL THEN n ELSE b + 150 END AS e FROM w)"""
 _NAMED = ("the", "token", "zzz")
 
 
-@query("SELECT doc_id, 1::BIGINT AS chunk_count, CAST(1 + " + " + ".join(f"CASE WHEN contains(text, '{t}') THEN 0 ELSE 1 END" for t in _NAMED) + " AS BIGINT) AS invalid_findings FROM documents WHERE len(text) > 0")
+@query(
+    WINDOWS_SQL
+    + ", t AS (SELECT doc_id, substring(text, a + 1, e - a) AS t FROM e) SELECT doc_id, count(*) AS chunk_count, CAST(sum(1 + "
+    + " + ".join(f"CASE WHEN contains(t, '{t}') THEN 0 ELSE 1 END" for t in _NAMED) + ") AS BIGINT) AS invalid_findings FROM t GROUP BY doc_id"
+)
 def provider_telemetry(spark, sf_dir):
     def provider(texts):
         return [[*((t, "OTHER", 0.5, "named") for t in _NAMED), ("the", "NO_SUCH_CATEGORY", 0.5, "wrong")] for _ in texts]
 
-    rows = contextual.chunk_rows(contextual.chunked(docs(spark, sf_dir), max_chars=10_000_000, overlap=0))
+    rows = contextual.chunk_rows(contextual.chunked(docs(spark, sf_dir), max_chars=1500, overlap=150, max_chunks=1_000_000))
     return contextual.telemetry(contextual.answered(rows, provider)).select("doc_id", "chunk_count", "invalid_findings")
 
 
@@ -510,25 +554,7 @@ def dictionary_locate(spark, sf_dir):
 
 
 @query(
-    "WITH "
-    + span_sql("em", EMAIL, "pages", "page_id", "html")
-    + ","
-    + span_sql("ph", PHONE, "pages", "page_id", "html")
-    + r""" SELECT page_id, category, count(*) AS n FROM (SELECT page_id, 'EMAIL' AS category FROM em UNION ALL SELECT page_id, 'PHONE' FROM ph WHERE NOT regexp_matches(before, '\d')) GROUP BY page_id, category"""
-)
-def pages_detect(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    return exploded(detect(pages, "html", ("email", "phone")), keys=("page_id",)).groupBy("page_id", "category").agg(F.count("*").alias("n"))
-
-
-@query("SELECT role, count(*) AS turns, CAST(0 AS BIGINT) AS findings FROM conversations GROUP BY role")
-def conversation_detect(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", "text")
-    return detect(turns).groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.size("findings")).alias("findings"))
-
-
-@query(
-    r"""SELECT doc_id, sha256(lower(regexp_replace(trim(text, ' ' || chr(10) || chr(9)), '\s+', ' ', 'g'))) AS normal_hash, CAST(len(regexp_replace(text, '\D', '', 'g')) AS BIGINT) AS digits,
+    r"""SELECT doc_id, sha256(replace(lower(regexp_replace(trim(text, ' ' || chr(10) || chr(9)), '\s+', ' ', 'g')), 'ß', 'ss')) AS normal_hash, CAST(len(regexp_replace(text, '\D', '', 'g')) AS BIGINT) AS digits,
   sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS html_hash FROM documents"""
 )
 def scalar_functions(spark, sf_dir):
@@ -641,10 +667,38 @@ SELECT doc_id, CAST(CASE WHEN q THEN pos + 1 ELSE pos END AS BIGINT) AS start_at
     )(_literal(_name))
 
 
-_LOG = r"'user ' || role || ' token=' || turn || 'x and password: p' || turn || ', Bearer abc' || turn"
+def every_found_sql(table: str) -> str:
+    """CTEs up to ``every``: (``doc_id``, ``category``) of the findings of all thirteen patterns in ``table`` (``doc_id``, ``text``)."""
+    more = ",".join(span_sql(f"x_{n}", p, table) for n, (p, _, _) in _LITERAL_SQL.items())
+    rows = " UNION ALL ".join(
+        f"SELECT doc_id, '{dict(ssn='SSN', url='URL', api_key='API_KEY', password='PASSWORD').get(n, 'SECRET')}' FROM x_{n} WHERE {where}" for n, (_, where, _) in _LITERAL_SQL.items()
+    )
+    return f"{found_sql(table)},{more}, every AS (SELECT doc_id, category FROM found UNION ALL {rows})"
+
 
+@query(f"WITH texts AS (SELECT page_id AS doc_id, html AS text FROM pages), {every_found_sql('texts')} SELECT doc_id AS page_id, category, count(*) AS n FROM every GROUP BY doc_id, category")
+def pages_detect(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return exploded(detect(pages, "html"), keys=("page_id",)).groupBy("page_id", "category").agg(F.count("*").alias("n"))
 
-@query(rf"SELECT conv_id, turn, 'user ' || role || ' token=[REDACTED] and password=[REDACTED] Bearer abc' || turn || '=[REDACTED]' AS line FROM conversations")
+
+@query(
+    f"""WITH texts AS (SELECT row_number() OVER () AS doc_id, role, text FROM conversations), {every_found_sql('texts')}
+SELECT role, count(*) AS turns, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings FROM texts LEFT JOIN (SELECT doc_id, count(*) AS n FROM every GROUP BY doc_id) USING (doc_id) GROUP BY role"""
+)
+def conversation_detect(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", "text")
+    return detect(turns).groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.size("findings")).cast("long").alias("findings"))
+
+
+_LOG = r"'user ' || role || ' token=' || turn || 'x and password: p' || turn || ', Bearer abc' || turn || ' said: ' || text"
+
+
+@query(
+    rf"""SELECT conv_id, turn, substring(regexp_replace(regexp_replace({_LOG}, '(?i)((?:password|secret|token|api[_-]?key)\s*)[:=]\s*\S+', '\1=[REDACTED]', 'g'),
+  '(?i)(Bearer\s+[^\s:=]+)(?:[:=]\S*)?', '\1=[REDACTED]', 'g'), 1, 500) AS line FROM conversations"""
+)
 def log_masking(spark, sf_dir):
+    """Log lines that hold whole messages, secrets masked, cut as a log line is."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turns.select("conv_id", "turn", log_safe(F.expr(_LOG)).alias("line"))

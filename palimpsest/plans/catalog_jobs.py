@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import contextual, detectors, endpoints, job_events
-from palimpsest.plans.catalog import docs, query, span_sql
+from palimpsest.plans.catalog import WINDOWS_SQL, docs, query, span_sql
 from palimpsest.streaming import stability
 
 # Each user's events as those of a job: most of them are illegal changes.
@@ -141,19 +141,7 @@ def table_function_detect(spark, sf_dir):
     return detectors.detected(windows, "detect_listed_words").select("doc_id", "start_at", "end_at", "category", "source")
 
 
-@query(
-    r"""WITH RECURSIVE d AS (SELECT doc_id, text, CAST(len(text) AS BIGINT) AS n FROM documents),
-c AS (
-  SELECT doc_id, 0 AS i, CAST(0 AS BIGINT) AS a, n, text FROM d WHERE n > 0
-  UNION ALL SELECT doc_id, i + 1, greatest(a + 1, e - 150), n, text FROM (
-    SELECT c.*, CASE WHEN a + 1500 >= n THEN n ELSE a + coalesce(CASE WHEN p > 0 THEN 1502 - p END, CASE WHEN s > 0 THEN 1502 - s END, CASE WHEN x > 0 THEN 1502 - x END, CASE WHEN q > 0 THEN 1502 - q END,
-        CASE WHEN l > 0 THEN 1502 - l END, 1500) END AS e
-    FROM (SELECT *, strpos(rev, chr(10) || chr(10)) AS p, strpos(rev, ' .') AS s, strpos(rev, ' !') AS x, strpos(rev, ' ?') AS q, strpos(rev, chr(10)) AS l
-      FROM (SELECT *, reverse(substring(text, a + 751, 751)) AS rev FROM c)) AS c) WHERE e < n),
-w AS (SELECT doc_id, i, a, lead(a) OVER (PARTITION BY doc_id ORDER BY i) AS b, n FROM c),
-e AS (SELECT *, CASE WHEN b IS NULL THEN n ELSE b + 150 END AS e FROM w)
-SELECT doc_id, CAST(i AS BIGINT) AS chunk, a AS start_at, e AS end_at, CAST(CASE WHEN i > 0 THEN 150 ELSE 0 END AS BIGINT) AS before, CAST(CASE WHEN b IS NULL THEN 0 ELSE 150 END AS BIGINT) AS after FROM e"""
-)
+@query(WINDOWS_SQL + " SELECT doc_id, CAST(i AS BIGINT) AS chunk, a AS start_at, e AS end_at, CAST(CASE WHEN i > 0 THEN 150 ELSE 0 END AS BIGINT) AS before, CAST(CASE WHEN b IS NULL THEN 0 ELSE 150 END AS BIGINT) AS after FROM e")
 def chunk_overlaps(spark, sf_dir):
     """Windows with what they share with the ones before and behind."""
     rows = contextual.chunked(docs(spark, sf_dir), max_chars=1500, overlap=150, max_chunks=1_000_000)

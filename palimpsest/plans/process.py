@@ -29,7 +29,7 @@ def process(docs: DataFrame, policy: Policy = DEFAULT, text: str = "text", conte
     done = sanitize(find(docs, policy, text, contextual), policy, text)
     reviewed = F.filter("accepted", lambda f: policy.lookup("action", f["category"]) == "review")
     allowed = F.transform(reviewed, lambda f: f["value"]) if policy.warn_only else None
-    checked = verify(done, policy, allowed=allowed)
+    checked = verify(done, policy, allowed=allowed, known=F.col("findings") if contextual is None else None)
     waits = (F.size(reviewed) > 0) & F.lit(policy.quarantine and not policy.auto_replace)
     clean = F.col("passed") & ~waits
     return checked.withColumns(

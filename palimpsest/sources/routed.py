@@ -2,7 +2,8 @@
 
 Spark knows the final names before it writes (``ledger.collision_safe`` against what is there). A task writes its files below
 a hidden folder of its own attempt; when all tasks have succeeded, commit moves the files of the attempts that did to their places
-and drops the rest, so a task that ran twice leaves each file once. A job that fails leaves nothing.
+and drops the rest, so a task that ran twice leaves each file once. A job that fails leaves nothing but, where tasks are killed while
+they write, files in the hidden folder.
 
 One file a document is what people who open the results want; the driver renames each. For more than some
 hundred thousand documents use ``files.write_routed``, which writes Parquet.

@@ -185,3 +185,19 @@ def test_stream_resumes(spark, tmp_path):
     got = spark.read.parquet(out)
     assert sorted((r.doc_id, r.sanitized) for r in got.collect()) == [(1, "[EMAIL_1]"), (4, "plain")]
     assert spark.read.parquet(led).count() == 2
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_percentiles_with_values_far_off(spark, rounds):
+    import random
+
+    rng = random.Random(3)
+    groups = {"far": [rng.random() for _ in range(400)] + [1e300, -1e12], "one": [5.0], "equal": [2.5] * 90, "mixed": [rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 9) for _ in range(333)], None: [0.0, -0.5, 3.0, 3.0], "none": [None]}
+    df = spark.createDataFrame([(g, v) for g, own in groups.items() for v in own], "g string, v double").repartition(5)
+    got = {r.g: r for r in evaluate.latencies(df, "v", ["g"], bins=16, rounds=rounds).collect()}
+    assert set(got) == set(groups) - {"none"}
+    for g, own in groups.items():
+        if g != "none":
+            own = sorted(own)
+            n = len(own)
+            assert (got[g].n, got[g].p95, got[g]["median"]) == (n, own[int((n - 1) * 0.95)], (own[(n - 1) // 2] + own[n // 2]) / 2)
