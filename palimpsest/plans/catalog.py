@@ -216,8 +216,10 @@ cats AS (SELECT doc_id, '{' || string_agg('"' || category || '":' || n, ',' ORDE
 reps AS (SELECT doc_id, '[' || string_agg('{"category":"' || category || '","original_hash":"' || sha256(value) || '","placeholder":"' || ph || '","sources":["regex"],"confidence":1.0}', ',' ORDER BY s) || ']' AS r FROM placed GROUP BY doc_id)
 SELECT d.doc_id, '{"ambiguous_count":' || (SELECT count(*) FROM found f WHERE f.doc_id = d.doc_id) - coalesce(total, 0) || ',"findings_by_category":' || coalesce(c, '{}') || ',"findings_by_source":' || CASE WHEN total > 0 THEN '{"regex":' || total || '}' ELSE '{}' END
   || ',"findings_count":' || coalesce(total, 0) || ',"policy_name":"default","policy_version":1,"replacements":' || coalesce(r, '[]') || ',"source_hash":"' || sha256(d.text) || '","status":"completed","verification":{"passed":true,"originals_left":0,"deterministic_left":0,'
-  || '"contextual_left":0,"ignored_placeholders":0,"ignored_reviews":0,"malformed":0,"remaining":0,"remaining_by_category":{}}}' AS report
-FROM documents d LEFT JOIN cats USING (doc_id) LEFT JOIN reps USING (doc_id)"""
+  || '"contextual_left":0,"ignored_placeholders":' || len(regexp_extract_all(sanitized, '"""
+    + TOKEN.replace("'", "''")
+    + r"""')) || ',"ignored_reviews":0,"malformed":0,"remaining":0,"remaining_by_category":{}}}' AS report
+FROM documents d JOIN clean USING (doc_id) LEFT JOIN cats USING (doc_id) LEFT JOIN reps USING (doc_id)"""
 )
 def audit_report_json(spark, sf_dir):
     return report.as_json(report.audit(process(docs(spark, sf_dir)), DEFAULT))
