@@ -235,13 +235,16 @@ class Memo:
         self.memo: dict[str, bytes] = {}
         self.used = 0
 
+    def forget(self) -> None:
+        self.clear()
+
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Packed ids of each of these pieces."""
         raise NotImplementedError
 
     def _joined(self, lists: list[list[str]]) -> list[bytes]:
         if self.used > self.limit:
-            self.clear()
+            self.forget()
         if new := set().union(*lists).difference(self.memo):
             found = self.learn(new)
             self.used += ENTRY_BYTES * len(found) + sum(map(len, found)) + sum(map(len, found.values()))

@@ -17,6 +17,7 @@ attempts that succeeded, so a lost executor leaves only unread files behind.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import struct
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import COMMON_PATTERN, DOCUMENTS_AT_ONCE, LETTERS, Memo, fresh, packed, splitter
+from palimpsest.llm.bpe import COMMON_PATTERN, DOCUMENTS_AT_ONCE, ENTRY_BYTES, LETTERS, Memo, fresh, packed, splitter
 from palimpsest.llm.common import cut, per_task, release, shared_folder, slices
 
 MAGIC = b"PLANES1\n"
@@ -42,7 +43,7 @@ FILE_IDS = 1 << 22
 LEVEL = 3
 #: Bytes of pieces that a worker remembers with their ids. The library is slow on single words, so a piece that was forgotten costs more to
 #: encode again than one of ``bpe``.
-LIBRARY_MEMO_BYTES = 112 << 20
+LIBRARY_MEMO_BYTES = 144 << 20
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, null: np.ndarray | None = None, block: int = BLOCK) -> bytes:
@@ -120,6 +121,11 @@ class LibraryCodec(Memo):
     def _plain(self, text: str) -> bool:
         return bool(self.by_piece) and not any(x in text for x in self.added)
 
+    def forget(self) -> None:
+        """Keep the half that was met first: frequent pieces are met early."""
+        self.memo = dict(itertools.islice(self.memo.items(), len(self.memo) // 2))
+        self.used = ENTRY_BYTES * len(self.memo) + sum(map(len, self.memo)) + sum(map(len, self.memo.values()))
+
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
         words = [x for x in pieces if _WORD.fullmatch(x)] if self.by_piece else []
