@@ -43,7 +43,7 @@ FILE_IDS = 1 << 22
 LEVEL = 3
 #: Bytes of pieces that a worker remembers with their ids. The library is slow on single words, so a piece that was forgotten costs more to
 #: encode again than one of ``bpe``.
-LIBRARY_MEMO_BYTES = 144 << 20
+LIBRARY_MEMO_BYTES = 96 << 20
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, null: np.ndarray | None = None, block: int = BLOCK) -> bytes:
