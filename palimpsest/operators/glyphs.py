@@ -200,22 +200,35 @@ def adjacent_merged(boxes: DataFrame, level: float = 1.5, gap: float = 2.0) -> D
     return merged.select("doc_id", "page", "m.x0", "m.y0", "m.x1", "m.y1", "m.n")
 
 
-def placed_labels(boxes: DataFrame) -> DataFrame:
-    """``boxes`` with ``label``: a finding's ``placeholder`` in its first rectangle that holds it, else null (the box is filled black)."""
+#: How a rectangle is filled: white under a label or for ``blank``'s sake not at all, else black.
+MODES = ("label", "black_box", "blank")
+
+
+def placed_labels(boxes: DataFrame, mode: str = "label") -> DataFrame:
+    """``boxes`` with ``label`` and ``fill``.
+
+    ``label``: a finding's ``placeholder`` stands in its first rectangle that holds it, on white; its other rectangles are black, as are all of
+    ``black_box``. ``blank`` leaves rectangles as the page is.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    if mode != "label":
+        return boxes.withColumns({"label": F.lit(None).cast("string"), "fill": F.lit("black" if mode == "black_box" else "none")})
     fits = label_fits(F.col("placeholder"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     first = Window.partitionBy("doc_id", "start", "end", "category").orderBy(F.desc("_fits"), "page", "block", "line", "span")
     ranked = boxes.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_n", F.row_number().over(first))
-    return ranked.withColumn("label", F.when(F.col("_fits") & (F.col("_n") == 1), F.col("placeholder"))).drop("_fits", "_n")
+    labelled = ranked.withColumn("label", F.when(F.col("_fits") & (F.col("_n") == 1), F.col("placeholder")))
+    return labelled.withColumn("fill", F.when(F.col("label").isNotNull(), "white").otherwise("black")).drop("_fits", "_n")
 
 
-def redacted(mapped: DataFrame, found: DataFrame, column: str = "planned") -> tuple[DataFrame, DataFrame]:
+def redacted(mapped: DataFrame, found: DataFrame, column: str = "planned", mode: str = "label") -> tuple[DataFrame, DataFrame]:
     """Page tables without the glyphs under the rectangles of what is replaced, and the rectangles with their labels.
 
-    ``found``: documents of ``document_text`` with findings that bear ``placeholder``. Each finding's label stands in its first rectangle that is
-    wide and high enough. A glyph goes if its box shares an area with a rectangle, whatever finding it belongs to.
+    ``found``: documents of ``document_text`` with findings that bear ``placeholder``; ``mode`` as in ``placed_labels``. A
+    glyph goes if its box shares an area with a rectangle, whatever finding it belongs to.
     """
     marks = found.select("doc_id", F.explode(column).alias("f")).select("doc_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"), "f.category", "f.placeholder")
-    boxes = placed_labels(mapped_boxes(found, mapped, column).join(marks, ["doc_id", "start", "end", "category"]))
+    boxes = placed_labels(mapped_boxes(found, mapped, column).join(marks, ["doc_id", "start", "end", "category"]), mode)
     corners = ("x0", "y0", "x1", "y1")
     rects = boxes.groupBy("doc_id", "page").agg(F.collect_list(F.struct("block", "line", "span", "char", F.coalesce("label", F.lit("")).alias("c"), *corners)).alias("_r"))
     joined = mapped.select("doc_id", "page", "glyphs").join(rects, ["doc_id", "page"], "left").withColumn("_r", F.coalesce("_r", F.array()))

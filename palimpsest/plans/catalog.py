@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.columns import digits_only, html_escaped, log_safe, normalized
 from palimpsest.operators import contextual, evaluate, glyphs, ledger, report
-from palimpsest.operators.detect import detect, exploded
+from palimpsest.operators.detect import detect, exploded, findings
 from palimpsest.operators.merge import merge
 from palimpsest.operators.placeholders import malformed_count, masked, placeholder_spans
 from palimpsest.operators.policy import DEFAULT, POLICIES
@@ -142,6 +142,22 @@ def merge_ambiguous(spark, sf_dir):
     return rows.select("doc_id", "a.category", F.col("a.start").cast("long").alias("start_at"), F.col("a.end").cast("long").alias("end_at"))
 
 
+@query(
+    MERGED
+    + """ SELECT doc_id, category, s AS start_at, CASE WHEN category = 'EMAIL' THEN 'regex,second' ELSE 'regex' END AS sources FROM merged"""
+)
+def merge_sources(spark, sf_dir):
+    """Merged findings and who found them, where a second detector names the same addresses."""
+
+    def second(f):
+        fields = {"start": f["start"], "end": f["end"], "category": f["category"], "value": f["value"], "confidence": F.lit(0.9), "sources": F.array(F.lit("second")), "reason": F.lit("named again")}
+        return F.struct(*[x.alias(n) for n, x in fields.items()])
+
+    found = find(docs(spark, sf_dir), contextual=F.transform(findings("text", ("email",)), second))
+    rows = exploded(found, "merged")
+    return rows.select("doc_id", "category", F.col("start").cast("long").alias("start_at"), F.array_join(F.array_sort("sources"), ",").alias("sources"))
+
+
 def _policy_values() -> str:
     rows = [f"('{p.name}', '{c}', '{p.action(c)}', '{p.label(c)}', {p.threshold(c)}, {str(p.replaced(c)).lower()})" for p in POLICIES.values() for c in ("EMAIL", "PHONE", "CREDIT_CARD", "IP_ADDRESS", "API_KEY")]
     return "(VALUES " + ", ".join(rows) + ") AS pol(policy, category, action, label, threshold, replaced)"

@@ -10,6 +10,7 @@ from palimpsest.operators.policy import DEFAULT
 from palimpsest.operators.rewrite import sanitize
 from palimpsest.plans.catalog import _MERGE, docs, found_sql, query
 from palimpsest.plans.process import find
+from palimpsest.plans.process_pages import process_pages
 from palimpsest.sources.typeset import typeset
 
 # A row for each glyph of the set texts and for each line's end (c is a line feed, g null); ord is the order on the page.
@@ -104,3 +105,13 @@ def page_rates(spark, sf_dir):
     """Rates of documents and pages that were mapped, redacted, kept and verified."""
     pages, confidence = _checked(spark, sf_dir)
     return glyphs.page_rates(glyphs.document_checks(pages), confidence)
+
+
+@query()
+def process_page_documents(spark, sf_dir):
+    """Documents of pages from reading to route; those whose number three divides have lost some of the glyphs of their first page."""
+    pages = typeset(docs(spark, sf_dir))
+    lost = F.filter("glyphs", lambda g: (g["line"] != 3) | (g["char"] % 5 != 0))
+    worn = pages.withColumn("glyphs", F.when((F.col("doc_id") % 3 == 0) & (F.col("page") == 1), lost).otherwise(F.col("glyphs")))
+    done, _ = process_pages(worn)
+    return done.select("doc_id", "status", "route", "error", F.size("planned").cast("long").alias("replacements"), "remaining", "page_count", "findings_unmapped", F.sha2("output", 256).alias("output_hash"))

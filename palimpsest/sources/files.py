@@ -63,10 +63,14 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("modified", F.timestamp_seconds("seconds")).drop("seconds")
 
 
-def gate(found: DataFrame, handlers: dict[str, Handler], max_bytes: int = 20_000_000) -> DataFrame:
-    """``found`` with ``suffix`` and ``refused``: ``symlink``, ``unsupported``, ``too_large``, or null for files that may be read."""
+def gate(found: DataFrame, handlers: dict[str, Handler], max_bytes: int = 20_000_000, root: str | None = None) -> DataFrame:
+    """``found`` with ``suffix`` and ``refused``: ``symlink``, ``outside``, ``unsupported``, ``too_large``, or null for files that may be read.
+
+    ``root``: a folder below which paths must lie; ``..`` in a path counts as outside.
+    """
     suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
-    refused = F.when(F.col("is_link"), "symlink").when(~suffix.isin(*handlers), "unsupported").when(F.col("n_bytes") > max_bytes, "too_large")
+    inside = F.lit(True) if root is None else F.col("path").startswith(root.rstrip("/") + "/") & ~F.col("path").rlike(r"(^|/)\.\.(/|$)")
+    refused = F.when(F.col("is_link"), "symlink").when(~inside, "outside").when(~suffix.isin(*handlers), "unsupported").when(F.col("n_bytes") > max_bytes, "too_large")
     return found.withColumns({"suffix": suffix, "refused": refused})
 
 

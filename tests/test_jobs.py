@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from palimpsest.operators import evaluate, glyphs, ledger, report
 from palimpsest.operators.policy import DEFAULT
-from palimpsest.plans import catalog
+from palimpsest.plans import catalog, catalog_jobs, catalog_pages  # noqa: F401
 from palimpsest.plans.process import process
 from palimpsest.sources.files import case_pairs, cases, files
 from palimpsest.streaming.watch import documents, watch
@@ -97,6 +97,10 @@ def test_gate_and_registry(spark, tmp_path):
     assert {r.name: (r.kind, r.text, r.error) for r in files(spark, str(tmp_path), max_bytes=50, handlers=known).collect()} == {
         "_a.txt": ("text", "xxx", None), "b.MD": ("markdown", "xxx", None), "big.txt": ("text", None, "too_large"),
     }
+    paths = listed(spark, str(tmp_path)).unionByName(spark.createDataFrame([(f"file:{tmp_path}/../b.md", "b.md", 1, False), (f"file:{tmp_path}-b/b.md", "b.md", 1, False)], "path string, name string, n_bytes long, is_link boolean"), allowMissingColumns=True)
+    inside = gate(paths, known, 50, root=f"file:{tmp_path}")
+    assert [r.path for r in inside.where("refused = 'outside'").collect()] == [f"file:{tmp_path}/../b.md", f"file:{tmp_path}-b/b.md"]
+    assert {r.name: r.refused for r in inside.where("refused <> 'outside' or refused is null").collect()} == got
     with pytest.raises(ValueError):
         registry(TEXT, Handler("other", (".TXT",), utf8_text))
 

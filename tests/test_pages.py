@@ -123,3 +123,39 @@ def test_confidence_of_glyph_rows(spark):
     rows = spark.createDataFrame([(1, 1, 1, 1, 1, at, c, 0.0, 0.0, 1.0, 1.0) for at, c in ((0, "a"), (1, " "), (2, "b"), (4, "c"))], "doc_id long, page int, block int, line int, span int, offset long, c string, x0 double, y0 double, x1 double, y1 double")
     got = {r.start: (r.confidence, r.unsafe) for r in glyphs.mapping_confidence(found, rows).collect()}
     assert got == {0: (1.0, False), 4: (0.5, True), 7: (1.0, False)}
+
+
+def test_documents_of_pages_from_reading_to_route(spark):
+    from palimpsest.plans.process_pages import process_pages
+
+    rows = [(1, "Write to first.person@example.org now. " * 3), (2, "nothing here but words"), (3, "x"), (4, "password: hunter22 is said on this page and secret: t0ps3cret too")]
+    pages = typeset(spark.createDataFrame(rows, "doc_id long, text string"), columns=50, lines=4)
+    for mode in glyphs.MODES:
+        done, after = process_pages(pages, mode=mode)
+        got = {r.doc_id: r for r in done.collect()}
+        assert {d: (r.status, r.route, r.error) for d, r in got.items()} == {1: ("completed", "release", None), 2: ("completed", "release", None), 3: ("quarantined", "quarantine", "scanned"), 4: ("completed", "release", None)}
+        assert "@" not in got[1].output and "hunter22" not in got[4].output and "t0ps3cret" not in got[4].output and got[2].output == rows[1][1]
+        assert ("[EMAIL_1]" in got[1].output) == (mode == "label")
+        chars = {g.c for r in after.where("doc_id = 1").collect() for g in r.glyphs}
+        assert "@" not in chars and ("[EMAIL_1]" in chars) == (mode == "label")
+    # a value left readable elsewhere on the page, without a finding of its own, keeps the document back
+    known = spark.createDataFrame([(5, "password: hunter22 and again xhunter22x")], "doc_id long, text string")
+    done, _ = process_pages(typeset(known))
+    assert [(r.status, r.unreadable, r.originals_left) for r in done.collect()] == [("quarantined", False, 1)]
+    with pytest.raises(ValueError):
+        process_pages(pages, mode="other")
+
+
+def test_broken_glyphs_are_not_redacted(spark, monkeypatch):
+    from palimpsest.plans.process_pages import process_pages
+
+    pages = typeset(spark.createDataFrame([(1, "Write to first.person@example.org now.")], "doc_id long, text string"))
+    whole = glyphs.mapped_pages
+
+    def broken(p):
+        return whole(p).withColumn("glyph_of", F.transform("glyph_of", lambda i: F.when(i % 4 != 0, i)))
+
+    monkeypatch.setattr(glyphs, "mapped_pages", broken)
+    done, after = process_pages(pages)
+    assert [(r.status, r.error, r.findings_unmapped, r.output) for r in done.collect()] == [("quarantined", "unmapped", 1, "Write to first.person@example.org now.")]
+    assert len(after.first().glyphs) == len(pages.first().glyphs)
