@@ -91,6 +91,18 @@ def release() -> None:
         trim(0)
 
 
+def released(of_batch: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` from one of a batch; what a task has allocated goes back to the system at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from of_batch(batch)
+        batch = None  # noqa: F841
+        release()
+
+    return run
+
+
 def per_task(column: Column, make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) -> Column:
     """An Arrow UDF of one column; what ``make`` builds for a task goes when the task's input ends."""
 

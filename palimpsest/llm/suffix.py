@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import aside, cut
+from palimpsest.llm.common import aside, cut, per_task, release, released
 
 #: Bytes that are hashed together; longer texts are cut into overlapping blocks.
 BLOCK = 1 << 18
@@ -149,26 +149,25 @@ def _utf8(column: pa.Array) -> list[bytes]:
 def _positions(length: int):
     s = Scheme(length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, t = batch.column("doc").to_numpy(), batch.column("t").to_numpy()
-            for data, ends, rows, shift in blocks(_utf8(batch.column("text")), length):
-                hashes = Hashes(data)
-                a, first, last = anchors(data, ends, s, hashes)
-                left, extra = a - first, last - first
-                whole = hashes.of(first, last + length) + (left * s.w + extra).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashes.of(a, a + s.k).view(np.int64)),
-                        pa.array((mixed(whole) >> np.uint64(16)).view(np.int64)),
-                        pa.array(doc[rows[a]]),
-                        pa.array(t[rows[a]]),
-                        pa.array(((a + shift[a]) * s.w + left) * s.w + extra),
-                    ],
-                    ["g", "c", "doc", "t", "at"],
-                )
-
-    return run
+    def of_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        doc, t = batch.column("doc").to_numpy(), batch.column("t").to_numpy()
+        for data, ends, rows, shift in blocks(_utf8(batch.column("text")), length):
+            hashes = Hashes(data)
+            a, first, last = anchors(data, ends, s, hashes)
+            left, extra = a - first, last - first
+            whole = hashes.of(first, last + length) + (left * s.w + extra).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(hashes.of(a, a + s.k).view(np.int64)),
+                    pa.array((mixed(whole) >> np.uint64(16)).view(np.int64)),
+                    pa.array(doc[rows[a]]),
+                    pa.array(t[rows[a]]),
+                    pa.array(((a + shift[a]) * s.w + left) * s.w + extra),
+                ],
+                ["g", "c", "doc", "t", "at"],
+            )
+
+    return released(of_batch)
 
 
 def _contexts(length: int):
@@ -191,31 +190,30 @@ def _contexts(length: int):
         columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), strings))
         return pa.RecordBatch.from_arrays(columns, ["g", "c", "doc", "side", "h", "strings"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, len(whole), 500):
-                batch = whole.slice(k, 500)
-                texts, wanted = _utf8(batch.column("text")), batch.column("wanted")
-                data = np.frombuffer(b"".join(texts) + bytes(wide), np.uint8)
-                sizes = wanted.value_lengths().to_numpy()
-                base = np.repeat(np.cumsum([0, *map(len, texts[:-1])]), sizes)
-                flat = wanted.flatten()
-                rows = {x: flat.field(x).to_numpy() for x in ("g", "c", "at")}
-                rows["doc"] = np.repeat(batch.column("doc").to_numpy(), sizes)
-                a, rest = np.divmod(rows["at"], s.w * s.w)
-                left, extra = np.divmod(rest, s.w)
-                bytes_ = data[(base + a - left)[:, None] + np.arange(wide)]
-                sums = np.zeros((len(a), wide + 1), np.uint64)
-                np.cumsum(_BYTE[bytes_] * down[:wide], axis=1, out=sums[:, 1:])
-                j = np.arange(s.w)
-                h = mixed((sums[:, length:] - sums[:, : s.w]) * up[: s.w]).view(np.int64)
-                d = left[:, None] - j
-                valid = j <= extra[:, None]
-                before, behind = valid & (d >= s.half), valid & (d < s.half)
-                yield side(0, before, of(sums, np.maximum(left - s.half, 0), s.half), rows, d, h)
-                yield side(1, behind, of(sums, np.minimum(left + s.k, wide - s.w + s.half), s.w - s.half), rows, d, h)
-
-    return run
+    def of_batch(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(whole), 500):
+            batch = whole.slice(k, 500)
+            texts, wanted = _utf8(batch.column("text")), batch.column("wanted")
+            data = np.frombuffer(b"".join(texts) + bytes(wide), np.uint8)
+            sizes = wanted.value_lengths().to_numpy()
+            base = np.repeat(np.cumsum([0, *map(len, texts[:-1])]), sizes)
+            flat = wanted.flatten()
+            rows = {x: flat.field(x).to_numpy() for x in ("g", "c", "at")}
+            rows["doc"] = np.repeat(batch.column("doc").to_numpy(), sizes)
+            a, rest = np.divmod(rows["at"], s.w * s.w)
+            left, extra = np.divmod(rest, s.w)
+            bytes_ = data[(base + a - left)[:, None] + np.arange(wide)]
+            sums = np.zeros((len(a), wide + 1), np.uint64)
+            np.cumsum(_BYTE[bytes_] * down[:wide], axis=1, out=sums[:, 1:])
+            j = np.arange(s.w)
+            h = mixed((sums[:, length:] - sums[:, : s.w]) * up[: s.w]).view(np.int64)
+            d = left[:, None] - j
+            valid = j <= extra[:, None]
+            before, behind = valid & (d >= s.half), valid & (d < s.half)
+            yield side(0, before, of(sums, np.maximum(left - s.half, 0), s.half), rows, d, h)
+            yield side(1, behind, of(sums, np.minimum(left + s.k, wide - s.w + s.half), s.w - s.half), rows, d, h)
+
+    return released(of_batch)
 
 
 def _spans(at: Column, s: Scheme) -> list[Column]:
@@ -293,6 +291,13 @@ def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], ["kept", "n_removed", "n_spans"])
 
 
+def _each_without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for text, spans in batches:
+        yield _without(text, spans)
+    text = spans = None
+    release()
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
     """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
@@ -310,7 +315,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = repeated_spans(searched, length).groupBy(F.col("doc").alias("_doc"), F.col("t").alias("_t"))
     spans = spans.agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     found = keyed.join(spans, ["_doc", "_t"], "left").withColumn(
-        "_out", F.arrow_udf(_without, "struct<kept:binary,n_removed:long,n_spans:long>")(F.col("_text"), F.col("_spans"))
+        "_out", F.arrow_udf(_each_without, "struct<kept:binary,n_removed:long,n_spans:long>")(F.col("_text"), F.col("_spans"))
     )
     return found.withColumns(
         {"n_bytes": F.octet_length("_text").cast("long"), "kept": F.col("_out.kept"), "n_removed": F.col("_out.n_removed"), "n_spans": F.col("_out.n_spans")}
@@ -323,4 +328,4 @@ def valid_text(kept: Column) -> Column:
     def decoded(batch: pa.Array) -> pa.Array:
         return pa.array([None if x is None else x.decode(errors="ignore") for x in batch.to_pylist()], pa.string())
 
-    return F.arrow_udf(decoded, "string")(kept)
+    return per_task(kept, lambda: decoded, "string")
