@@ -20,7 +20,8 @@ RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_t
 
 def same_as_sql(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(queries.SQL[name])
     columns = [d[0] for d in want.description]
     got = queries.QUERIES[name](spark, sf)
