@@ -164,13 +164,13 @@ def latencies(df: DataFrame, value: str, by: list[str] | None = None, share: flo
     """
     keys = by or []
     tallied = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    one = F.lit(0).alias("g")
+    one = F.lit(0).alias("_one")
     ends = tallied.groupBy(*keys, one).agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.sum(F.col("c") * F.col("v")).alias("total"))
     names = [F.col(k) for k in keys]
 
     def met(a: DataFrame, b: DataFrame) -> DataFrame:
         """Join by the groups, null keys included."""
-        renamed = b.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in b.columns if c not in (*keys, "g")])
+        renamed = b.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in b.columns if c not in (*keys, "_one")])
         on = F.lit(True)
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))

@@ -133,7 +133,8 @@ def test_documents_of_pages_from_reading_to_route(spark):
     for mode in glyphs.MODES:
         done, after = process_pages(pages, mode=mode)
         got = {r.doc_id: r for r in done.collect()}
-        assert {d: (r.status, r.route, r.error) for d, r in got.items()} == {1: ("completed", "release", None), 2: ("completed", "release", None), 3: ("quarantined", "quarantine", "scanned"), 4: ("completed", "release", None)}
+        assert {d: (r.status, r.route, r.error) for d, r in got.items()} == {1: ("completed", "release", None), 2: ("completed", "release", None), 3: ("quarantined", "quarantine", "scanned"), 4: ("quarantined", "quarantine", None)}
+        # no label fits a short password, so the word behind it looks like one
         assert "@" not in got[1].output and "hunter22" not in got[4].output and "t0ps3cret" not in got[4].output and got[2].output == rows[1][1]
         assert ("[EMAIL_1]" in got[1].output) == (mode == "label")
         chars = {g.c for r in after.where("doc_id = 1").collect() for g in r.glyphs}
