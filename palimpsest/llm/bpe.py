@@ -23,9 +23,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 
-from palimpsest.llm.common import per_task, slices
+from palimpsest.llm.common import per_task, release, slices
 
 #: Bytes, about, of pieces and ids that are remembered before the memory is emptied.
 MEMO_BYTES = 64 << 20
@@ -360,3 +360,26 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
         return both
 
     return per_task(text, make, "struct<ids:array<int>,decoded:binary>")
+
+
+def round_trip_rows(rows: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``rows`` with ``ids`` and ``decoded``, as ``round_trip`` has them, for wide results: they leave Python in small batches.
+
+    Null and empty texts have no ids and no bytes; repeated rows have equal results.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = fresh(codec(path, pattern))
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(text), DOCUMENTS_AT_ONCE):
+                part = batch.slice(at, len(texts))
+                at += len(texts)
+                packed_ids = own.pack(texts.to_pylist())
+                decoded = pa.array([own.decode(np.frombuffer(x, "<u4").tolist()) for x in packed_ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, list_array(packed_ids), decoded], [*part.schema.names, "ids", "decoded"])
+        own = batch = texts = part = packed_ids = decoded = None
+        release()
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded binary")
