@@ -619,18 +619,10 @@ def pdf_adjacent_merge(spark, sf_dir):
 
 @query(_SANITIZED + " SELECT min(doc_id) AS doc_id, sha256(sanitized) AS sanitized_hash FROM (SELECT c.doc_id, c.sanitized, d.text FROM clean c JOIN documents d USING (doc_id)) GROUP BY text, sanitized")
 def stream_sanitize_available_now(spark, sf_dir):
-    import tempfile
-    import uuid
-
+    from palimpsest.plans.shared import shared_path
     from palimpsest.streaming.watch import documents, watch
 
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp()
-
-    base = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     stream = documents(spark, sf_dir, schema, "documents.parquet").select("doc_id", "text")
     watch(stream, f"{base}/out", f"{base}/ledger", f"{base}/checkpoint").awaitTermination()

@@ -11,6 +11,7 @@ from palimpsest.operators.rewrite import sanitize
 from palimpsest.plans.catalog import _MERGE, docs, found_sql, query
 from palimpsest.plans.process import find
 from palimpsest.plans.process_pages import process_pages
+from palimpsest.plans.shared import written
 from palimpsest.sources.typeset import typeset
 
 # A row for each glyph of the set texts and for each line's end (c is a line feed, g null); ord is the order on the page.
@@ -59,7 +60,7 @@ SELECT doc_id, s AS start_at, category, CAST(page AS INTEGER) AS page, CAST(l AS
 )
 def glyph_boxes(spark, sf_dir):
     """Findings of the text that was read back, and the rectangles of their glyphs."""
-    mapped = _mapped(spark, sf_dir)
+    mapped = written(_mapped(spark, sf_dir), "mapped")
     boxes = glyphs.mapped_boxes(find(glyphs.document_text(mapped)), mapped)
     line = (F.col("block") * 10 + F.col("line")).cast("long")
     return boxes.select("doc_id", F.col("start").cast("long").alias("start_at"), "category", "page", line.alias("line"), F.col("span").cast("long").alias("span"), "x0", "y0", "x1", "y1", "n_glyphs")
@@ -74,7 +75,7 @@ SELECT doc_id, s AS start_at, category, round(n / len(regexp_replace(value, '\s'
 )
 def glyph_confidence(spark, sf_dir):
     """How far findings map to glyphs where some characters have lost theirs."""
-    mapped = _mapped(spark, sf_dir)
+    mapped = written(_mapped(spark, sf_dir), "mapped")
 
     def broken(g):
         return (F.col("page") == 2) & (g["block"] == 0) & (g["line"] == 0) & ((g["span"] * 20 + g["char"]) % 7 == 0)
@@ -86,8 +87,8 @@ def glyph_confidence(spark, sf_dir):
 
 def _checked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Page checks after a redaction that leaves out every third document, and loses the second page of every fifth; and mapping confidence."""
-    mapped = _mapped(spark, sf_dir)
-    planned = sanitize(find(glyphs.document_text(mapped)), DEFAULT)
+    mapped = written(_mapped(spark, sf_dir), "mapped")
+    planned = written(sanitize(find(glyphs.document_text(mapped)), DEFAULT), "planned")
     after, _ = glyphs.redacted(mapped, planned.where("doc_id % 3 <> 0"))
     after = glyphs.mapped_pages(after.where("doc_id % 5 <> 0 or page <> 2"))
     originals = planned.select("doc_id", F.explode("planned.value").alias("value"))

@@ -10,6 +10,7 @@ from palimpsest.operators.policy import DEFAULT, Policy
 from palimpsest.operators.rewrite import sanitize
 from palimpsest.operators.verify import verify
 from palimpsest.plans.process import find
+from palimpsest.plans.shared import written
 
 
 def process_pages(pages: DataFrame, policy: Policy = DEFAULT, mode: str = "label") -> tuple[DataFrame, DataFrame]:
@@ -20,10 +21,11 @@ def process_pages(pages: DataFrame, policy: Policy = DEFAULT, mode: str = "label
     hardly any text and ``unmapped`` ones a replaced finding whose glyphs are not sure; both wait in quarantine with pages as they were, and
     never count as released. Others are ``completed`` if verification passes, all pages are there and no replaced value can be read,
     else quarantined. A document without glyphs is scanned. Pages of documents that are not completed are returned too, so
-    ``route`` must be asked before pages are handed on.
+    ``route`` must be asked before pages are handed on. Pages as read, plans and redacted pages are written once each to the shared folder.
     """
-    mapped = glyphs.mapped_pages(pages)
-    planned = sanitize(find(glyphs.document_text(mapped), policy), policy)
+    # each of these is met several times below
+    mapped = written(glyphs.mapped_pages(pages), "mapped")
+    planned = written(sanitize(find(glyphs.document_text(mapped), policy), policy), "planned")
     unsafe = glyphs.finding_confidence(planned, mapped, "planned").groupBy("doc_id").agg(F.count_if("unsafe").alias("findings_unmapped"))
     facts = glyphs.inspected(mapped)
     known = planned.join(facts, "doc_id").join(unsafe, "doc_id", "left").withColumn("findings_unmapped", F.coalesce("findings_unmapped", F.lit(0)))
@@ -31,7 +33,7 @@ def process_pages(pages: DataFrame, policy: Policy = DEFAULT, mode: str = "label
     known = known.withColumn("error", error)
 
     after, _ = glyphs.redacted(mapped, known.where("error is null"), mode=mode)
-    again = glyphs.mapped_pages(after)
+    again = written(glyphs.mapped_pages(after), "redacted")
     originals = planned.select("doc_id", F.explode("planned.value").alias("value"))
     checks = glyphs.document_checks(glyphs.page_checks(mapped, again, originals)).select("doc_id", "pages_kept", F.col("redacted").alias("unreadable"))
     output = glyphs.document_text(again).select("doc_id", F.col("text").alias("output"))
@@ -46,4 +48,4 @@ def process_pages(pages: DataFrame, policy: Policy = DEFAULT, mode: str = "label
             "route": F.when(clean & ~reviewed, "release").otherwise("quarantine"),
         }
     )
-    return done, after
+    return done, again.select("doc_id", "page", "glyphs")
