@@ -132,3 +132,16 @@ def test_looks_at_a_folder(spark, tmp_path, rocks):
     finally:
         query.stop()
     assert {r.path.rsplit("/", 1)[-1] for r in spark.read.schema(TOLD).parquet(out).collect()} == {"still.txt"}
+
+
+def test_query_streams_a_table_of_many_files(spark, sf, tmp_path):
+    from palimpsest.plans.catalog import QUERIES
+
+    rows = [(i, f"Write to person{i % 120}@example.org now") for i in range(240)]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema
+    texts = spark.createDataFrame([(doc, text, "en", "s", len(text)) for doc, text in rows], schema)
+    # more files than a stream takes at once by default
+    texts.repartition(110, "doc_id").write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/documents.parquet")
+    assert sum(x.endswith(".parquet") for x in os.listdir(tmp_path / "documents.parquet")) > 200
+    got = QUERIES["stream_sanitize_available_now"](spark, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(120))
