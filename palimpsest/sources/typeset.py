@@ -22,13 +22,23 @@ def typeset(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", columns
 
     White space is a blank glyph. Null and empty texts have no pages. Repeated ids have pages of their own each.
     """
+    return set_sheets(sheets(docs, doc_id, text, columns, lines), columns, lines).select("doc_id", "page", "glyphs")
+
+
+def sheets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", columns: int = 60, lines: int = 40) -> DataFrame:
+    """(``doc_id``, ``page``, ``sheet``): the characters of each page of ``typeset`` and the one behind them. A sheet takes a hundredth of its glyphs."""
     plain = F.replace(F.regexp_replace(F.col(text), r"(?U)\s", " "), F.lit("fi"), F.lit("ﬁ"))
     set_ = docs.select(F.col(doc_id).cast("long").alias("doc_id"), plain.alias("t")).where(F.length("t") > 0)
     per_page = columns * lines
     starts = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / per_page).cast("int"))
     # one character more, to see whether a word goes on
-    pages = set_.select("doc_id", F.explode(F.transform(starts, lambda p: F.struct(p.alias("p"), F.substring(F.col("t"), p * per_page + 1, F.lit(per_page + 1)).alias("s")))).alias("x"))
-    body = F.substring("x.s", 1, per_page)
+    found = set_.select("doc_id", F.explode(F.transform(starts, lambda p: F.struct(p.alias("p"), F.substring(F.col("t"), p * per_page + 1, F.lit(per_page + 1)).alias("s")))).alias("x"))
+    return found.select("doc_id", (F.col("x.p") + 1).cast("int").alias("page"), F.col("x.s").alias("sheet"))
+
+
+def set_sheets(pages: DataFrame, columns: int = 60, lines: int = 40) -> DataFrame:
+    """``pages`` of ``sheets`` with ``glyphs``, whatever other columns they have."""
+    body = F.substring("sheet", 1, columns * lines)
     numbers = F.sequence(F.lit(0), F.floor((F.length(body) - 1) / columns).cast("int"))
 
     def glyph(line: Column, chars: Column) -> Column:
@@ -42,8 +52,8 @@ def typeset(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", columns
 
     def row(line: Column) -> Column:
         here = F.substring(body, line * columns + 1, F.lit(columns))
-        divided = F.substring(F.col("x.s"), (line + 1) * columns, F.lit(2)).rlike(r"^\p{L}\p{L}$") & (F.length(body) > (line + 1) * columns)
+        divided = F.substring(F.col("sheet"), (line + 1) * columns, F.lit(2)).rlike(r"^\p{L}\p{L}$") & (F.length(body) > (line + 1) * columns)
         return glyph(line, F.split(F.when(divided, F.concat(here, F.lit("-"))).otherwise(here), "", -1))
 
     all_ = F.filter(F.flatten(F.transform(numbers, row)), lambda g: g["c"] != "")
-    return pages.select("doc_id", (F.col("x.p") + 1).cast("int").alias("page"), all_.cast(f"array<{GLYPH}>").alias("glyphs"))
+    return pages.withColumn("glyphs", all_.cast(f"array<{GLYPH}>"))

@@ -160,3 +160,17 @@ def test_broken_glyphs_are_not_redacted(spark, monkeypatch):
     done, after = process_pages(pages)
     assert [(r.status, r.error, r.findings_unmapped, r.output) for r in done.collect()] == [("quarantined", "unmapped", 1, "Write to first.person@example.org now.")]
     assert len(after.first().glyphs) == len(pages.first().glyphs)
+
+
+def test_pages_are_read_where_they_are_needed(spark):
+    from palimpsest.sources.typeset import set_sheets, sheets
+
+    docs = spark.createDataFrame([(1, "Write to first.person@example.org now, " * 3), (2, "½ nothing")], "doc_id long, text string")
+    pages, read = sheets(docs, columns=30, lines=2), lambda p: glyphs.mapped_pages(set_sheets(p, 30, 2))
+    mapped = read(pages)
+    found = find(glyphs.document_text(mapped))
+    lazy = glyphs.mapped_findings(found, pages, read=read)
+    assert sorted(map(str, lazy.collect())) == sorted(map(str, glyphs.mapped_findings(found, mapped).collect())) and lazy.count() > 2
+    # rows of glyphs neither wait for Python nor pass a shuffle
+    plan = lazy._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "glyphs" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
