@@ -1,6 +1,6 @@
 """From documents to token ids: five stages, each written as Parquet and read again by the next.
 
-Quality classifier, near-dedup by shingle similarity, suffix-array dedup, mixing to source weights, byte-level BPE. Every
+Quality classifier, near-dedup by SimHash and shingle similarity, suffix-array dedup, mixing to source weights, byte-level BPE. Every
 stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept; all but the last
 return the columns of ``documents``.
 """
@@ -22,8 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of texts with a similarity of 0.8 or more: 5-word shingles, checked exactly."""
-    return jaccard.keep_one(docs, words=5)
+    """The document of the smallest id of each group of near copies.
+
+    Operator 2's fingerprints and trees find texts that differ in 4 bits or fewer; since that misses most pairs of a similarity of 0.8, minhash
+    bands find others. An exact check follows for both: sets of 5-word shingles with a similarity of 0.8 or more.
+    """
+    return jaccard.keep_one(docs, words=5, radius=4)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, per_task, release
 from palimpsest.llm.components import components
-from palimpsest.llm.simhash import first_of_groups, shingle_hashes
+from palimpsest.llm.simhash import fingerprint, first_of_groups, groups, shingle_hashes
 
 #: Links have a similarity of NUMERATOR / DENOMINATOR or more.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -154,16 +154,22 @@ def _cells(words: int):
     return run
 
 
-def candidates(own: DataFrame) -> DataFrame:
-    """(``node``, ``root``) of nodes that share a key with another; all candidate pairs are of one root."""
+def candidates(own: DataFrame, radius: int | None = None) -> DataFrame:
+    """(``node``, ``root``) of nodes that share a key or a group of fingerprints with another; all candidate pairs are of one root."""
+    met = band_links(own)
+    return components(met if radius is None else fingerprint_links(own, radius).unionByName(met))
+
+
+def band_links(own: DataFrame) -> DataFrame:
+    """Edges (``hi``, ``lo``) between nodes that share a key and the least node of it."""
     met = own.select("node", F.explode("keys").alias("key")).distinct()
     least = met.groupBy("key").agg(F.min("node").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return components(met.join(least, "key").where("node <> lo").select(F.col("node").alias("hi"), "lo").distinct())
+    return met.join(least, "key").where("node <> lo").select(F.col("node").alias("hi"), "lo").distinct()
 
 
-def links(docs: DataFrame, own: DataFrame, words: int = 5) -> DataFrame:
+def links(docs: DataFrame, own: DataFrame, words: int = 5, radius: int | None = None) -> DataFrame:
     """Edges (``hi``, ``lo``) between nodes whose components are those of all links that were candidates."""
-    met = cut(candidates(own), "candidates")
+    met = cut(candidates(own, radius), "candidates")
     weighed = met.join(own.groupBy("node").agg(F.min("n_shingles").alias("n")), "node")
     parts = F.ceil(F.greatest(F.count("*") / CELL, F.sum("n") / CELL_SHINGLES)).cast("int")
     sized = met.join(weighed.groupBy("root").agg(parts.alias("parts")), "root")
@@ -174,14 +180,25 @@ def links(docs: DataFrame, own: DataFrame, words: int = 5) -> DataFrame:
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(words), "hi long, lo long")
 
 
-def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+def fingerprint_links(own: DataFrame, radius: int) -> DataFrame:
+    """Edges (``hi``, ``lo``) between nodes whose texts are of one group of fingerprints (``simhash.groups``)."""
+    found = groups(own.select("doc_id", "fingerprint"), radius).select("fingerprint", "root")
+    met = own.select("node", "fingerprint").distinct().join(found, "fingerprint").select("node", "root").distinct()
+    least = met.groupBy("root").agg(F.min("node").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return met.join(least, "root").where("node <> lo").select(F.col("node").alias("hi"), "lo")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int | None = None) -> DataFrame:
     """The document of the smallest id of each group, with all columns of ``docs``.
 
+    ``radius``: if given, texts whose fingerprints (``simhash``, 4-word shingles) differ in as many bits or fewer are candidates too,
+    checked like those of the bands.
     Null and wordless texts are of one group. Where ids are null or repeated, ties go to the first text in
     order, and one row of equal rows stays.
     """
-    own = cut(docs.select("doc_id", _described(F.col("text"), words).alias("_d")).select("doc_id", "_d.*"), "minhashes")
-    roots = components(links(docs, own.select("node", "n_shingles", "keys"), words))
+    prints = [] if radius is None else [fingerprint(F.col("text")).alias("fingerprint")]
+    own = cut(docs.select("doc_id", _described(F.col("text"), words).alias("_d"), *prints).select("doc_id", "_d.*", *(["fingerprint"] if prints else [])), "minhashes")
+    roots = components(links(docs, own, words, radius))
     least = own.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = cut(least.join(roots, "node", "left").select(F.col("node").alias("fingerprint"), "least", F.coalesce("root", "node").alias("root")), "roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

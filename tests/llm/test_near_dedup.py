@@ -71,3 +71,16 @@ def test_bands_find_nearly_all_pairs_at_the_limit():
 def test_odd_rows(odd, empty):
     kept = jaccard.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == 5 and jaccard.keep_one(empty).count() == 0
+
+
+def test_stage_finds_copies_by_fingerprints(spark, sf, monkeypatch):
+    from palimpsest.llm import simhash
+
+    texts = near_copies(12, 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    # no bands: what goes was found by operator 2
+    monkeypatch.setattr(jaccard, "band_links", lambda own: own.where("false").selectExpr("node hi", "node lo"))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, sf).collect()}
+    members = [[texts[d] for d in group if group[d] == g] for g in set(group.values())]
+    assert len(kept) == sum(len(plain_kept(m)) for m in members) < len(texts)
