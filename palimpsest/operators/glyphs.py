@@ -10,6 +10,7 @@ exist only while a page's row is worked on.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,8 @@ def paged(glyphs: DataFrame) -> DataFrame:
 
 #: Stand-ins within a page's text: between glyphs, for a line's end, for a character that goes.
 _BETWEEN, _LINE, _GONE = "\x1f", "\n", "\x00"
+#: Places in the map of a character without a glyph, and of one that goes.
+_NONE, _DROPPED = -1, -2
 
 
 def mapped_pages(pages: DataFrame) -> DataFrame:
@@ -45,25 +48,35 @@ def mapped_pages(pages: DataFrame) -> DataFrame:
     characters; a page without others has an empty text.
 
     Every step replaces characters by as many, so the text stays aligned with its glyphs; what stands in for those that go is
-    dropped from both at the end.
+    dropped from both at the end. Of a glyph's fields only ``block``, ``line`` and ``c`` are asked for, and each step is one pass over plain
+    strings or numbers: passes over structures take several times as long.
     """
     own = F.coalesce("glyphs", F.array())
-    blank = F.regexp_replace(F.array_join(F.transform(own, lambda g: F.regexp_replace(F.coalesce(g["c"], F.lit("")), r"(?U)[\s\x00\x1c-\x1f]", " ")), _BETWEEN), r"(?U)[\s&&[^\x1f]]", " ")
+    held = F.array_join(own["c"], "", "").rlike(r"[\x00\x1c-\x1f]")
+    chars = F.when(held, F.transform(own["c"], lambda c: F.regexp_replace(c, r"[\x00\x1c-\x1f]", " "))).otherwise(own["c"])
+    blank = F.regexp_replace(F.array_join(chars, _BETWEEN, ""), r"(?U)[\s&&[^\x1f]]", " ")
     units = F.split(F.regexp_replace(nfkc(blank), r"(?U)[\s&&[^\x1f]]", " "), _BETWEEN, -1)
-    placed = F.zip_with(F.transform(own, lambda g, i: F.struct(i.alias("i"), (g["block"].cast("long") * 1_000_000_000 + g["line"]).alias("at"))), units, lambda g, u: F.struct(g["i"].alias("i"), g["at"].alias("at"), u.alias("u")))
-    some = pages.withColumn("_u", F.filter(placed, lambda g: g["i"].isNotNull() & (F.length(g["u"]) > 0)))
-    before = F.concat(F.array(F.lit(None).cast("long")), F.transform("_u", lambda g: g["at"].cast("long")))
-    ends = F.zip_with("_u", F.slice(before, 1, F.size("_u")), lambda g, a: F.struct(g["i"].alias("i"), g["u"].alias("u"), F.coalesce(g["at"] != a, F.lit(False)).alias("starts")))
-    lined = some.withColumn("_u", ends)
-    raw = F.array_join(F.transform("_u", lambda g: F.when(g["starts"], F.concat(F.lit(_LINE), g["u"])).otherwise(g["u"])), "")
-    refs = F.flatten(F.transform("_u", lambda g: F.concat(F.when(g["starts"], F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")), F.array_repeat(g["i"], F.length(g["u"])))))
-    joined = F.regexp_replace(raw, r"-\n(?= *[\p{L}\p{N}])", _GONE + _GONE)
-    single = F.regexp_replace(F.replace(joined, F.lit(_LINE), F.lit(" ")), r"(?<=^|^\x00\x00| | \x00\x00) ", _GONE)
+    at = F.zip_with(own["block"], own["line"], lambda b, l: b.cast("long") * 1_000_000_000 + l)
+    some = pages.withColumns({"_u": F.when(F.size(own) > 0, units).otherwise(F.array().cast("array<string>")), "_at": at})
+    # places of the glyphs that have characters, if not all have
+    full = some.withColumn("_i", F.when(F.array_contains("_u", ""), F.filter(F.transform("_u", lambda u, i: F.when(u != "", i)), lambda i: i.isNotNull())))
+    places = full.withColumns({n: F.when(F.col("_i").isNull(), F.col(n)).otherwise(F.transform("_i", functools.partial(F.get, n))) for n in ("_u", "_at")})
+    ended = F.transform("_u", lambda u, i: F.when(F.get("_at", i) != F.get("_at", i - 1), F.concat(F.lit(_LINE), u)).otherwise(u))
+    lined = places.withColumn("_u", ended)
+
+    def refs(u: Column, i: Column) -> Column:
+        place = F.coalesce(F.get("_i", i), i)
+        several = F.array_repeat(place, F.length(u) - 1)
+        return F.when(F.length(u) == 1, F.array(place)).otherwise(F.when(F.startswith(u, F.lit(_LINE)), F.concat(F.array(F.lit(_NONE)), several)).otherwise(F.concat(F.array(place), several)))
+
+    joined = F.regexp_replace(F.array_join("_u", ""), r"-\n(?= *[\p{L}\p{N}])", _GONE + _GONE)
+    single = F.regexp_replace(F.replace(joined, F.lit(_LINE), F.lit(" ")), r" (?<=^ |^\x00\x00 |  | \x00\x00 )", _GONE)
     final = F.regexp_replace(single, r" (?=\x00*$)", _GONE)
-    texted = lined.withColumns({"_final": final, "_refs": refs})
-    left = F.filter(F.zip_with("_refs", F.split("_final", "", -1), lambda i, ch: F.struct(i.alias("i"), ch.alias("ch"))), lambda x: x["i"].isNotNull() & (x["ch"] != _GONE))
-    map_ = F.transform(left, lambda x: F.when(x["i"] >= 0, x["i"]))
-    return texted.withColumns({"text": F.replace("_final", F.lit(_GONE), F.lit("")), "glyph_of": F.when(F.size("_u") > 0, map_).otherwise(F.array().cast("array<int>"))}).drop("_u", "_final", "_refs")
+    texted = lined.withColumns({"_final": final, "_refs": F.flatten(F.transform("_u", refs))})
+    # arrays meet side by side: one that is named within a lambda may be worked out again for every element
+    left = F.array_remove(F.zip_with("_refs", F.split("_final", "", -1), lambda i, ch: F.when(ch == _GONE, _DROPPED).otherwise(i)), _DROPPED)
+    map_ = F.transform(F.when(F.contains("_final", F.lit(_GONE)), left).otherwise(F.col("_refs")), lambda i: F.when(i >= 0, i))
+    return texted.withColumns({"text": F.replace("_final", F.lit(_GONE), F.lit("")), "glyph_of": F.when(F.size("_u") > 0, map_).otherwise(F.array().cast("array<int>"))}).drop("_u", "_at", "_i", "_final", "_refs")
 
 
 Read = Callable[[DataFrame], DataFrame]

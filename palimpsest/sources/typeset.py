@@ -6,10 +6,15 @@ ligature, so that reading the text back takes composition and dehyphenation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GLYPH = "struct<block:int,line:int,span:int,char:int,c:string,x0:double,y0:double,x1:double,y1:double>"
+FIELDS = ("block", "line", "span", "char", "c", "x0", "y0", "x1", "y1")
+#: What text is read from.
+TEXT_FIELDS = ("block", "line", "c")
 PAGES = f"doc_id long, page int, glyphs array<{GLYPH}>"
 #: Lines of a block and glyphs of a span.
 BLOCK_LINES, SPAN_CHARS = 10, 20
@@ -36,24 +41,31 @@ def sheets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", columns:
     return found.select("doc_id", (F.col("x.p") + 1).cast("int").alias("page"), F.col("x.s").alias("sheet"))
 
 
-def set_sheets(pages: DataFrame, columns: int = 60, lines: int = 40) -> DataFrame:
-    """``pages`` of ``sheets`` with ``glyphs``, whatever other columns they have."""
-    body = F.substring("sheet", 1, columns * lines)
-    numbers = F.sequence(F.lit(0), F.floor((F.length(body) - 1) / columns).cast("int"))
+def set_sheets(pages: DataFrame, columns: int = 60, lines: int = 40, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``pages`` of ``sheets`` with ``glyphs``, whatever other columns they have. ``fields``: what is asked of a glyph; texts take ``TEXT_FIELDS``.
 
-    def glyph(line: Column, chars: Column) -> Column:
-        return F.transform(
-            chars,
-            lambda c, i: F.struct(
-                F.floor(line / BLOCK_LINES).cast("int").alias("block"), (line % BLOCK_LINES).alias("line"), F.floor(i / SPAN_CHARS).cast("int").alias("span"), (i % SPAN_CHARS).alias("char"), c.alias("c"),
-                (i * ADVANCE).alias("x0"), (line * LEADING).alias("y0"), ((i + 1) * ADVANCE).alias("x1"), (line * LEADING + HEIGHT).alias("y1"),
-            ),
-        )
+    Lambdas run once a line; glyphs are zipped from arrays of their fields, which takes a fraction of a lambda for each.
+    """
+    n = F.least(F.size("_c"), F.lit(columns * lines))
+    numbers = F.sequence(F.lit(0), F.floor((n - 1) / columns).cast("int"))
 
     def row(line: Column) -> Column:
-        here = F.substring(body, line * columns + 1, F.lit(columns))
-        divided = F.substring(F.col("sheet"), (line + 1) * columns, F.lit(2)).rlike(r"^\p{L}\p{L}$") & (F.length(body) > (line + 1) * columns)
-        return glyph(line, F.split(F.when(divided, F.concat(here, F.lit("-"))).otherwise(here), "", -1))
+        upto = (line + 1) * columns
+        divided = F.concat(F.get("_c", upto - 1), F.get("_c", upto)).rlike(r"^\p{L}\p{L}$") & (n > upto)
+        here = F.slice("_c", line * columns + 1, F.least(F.lit(columns), n - line * columns))
+        return F.when(divided, F.concat(here, F.array(F.lit("-")))).otherwise(here)
+
+    def by_line(value: Callable[[Column], Column]) -> Column:
+        return F.flatten(F.transform("_l", lambda r, line: F.array_repeat(value(line), F.size(r))))
+
+    def by_place(value: Callable[[int], int | float]) -> Column:
+        every = F.array(*[F.lit(value(i)) for i in range(columns + 1)])
+        return F.flatten(F.transform("_l", lambda r: F.slice(every, F.lit(1), F.size(r))))
 
-    all_ = F.filter(F.flatten(F.transform(numbers, row)), lambda g: g["c"] != "")
-    return pages.withColumn("glyphs", all_.cast(f"array<{GLYPH}>"))
+    known = {
+        "block": lambda: by_line(lambda l: F.floor(l / BLOCK_LINES).cast("int")), "line": lambda: by_line(lambda l: l % BLOCK_LINES), "span": lambda: by_place(lambda i: i // SPAN_CHARS), "char": lambda: by_place(lambda i: i % SPAN_CHARS),
+        "c": lambda: F.flatten("_l"), "x0": lambda: by_place(lambda i: i * ADVANCE), "y0": lambda: by_line(lambda l: l * LEADING), "x1": lambda: by_place(lambda i: (i + 1) * ADVANCE), "y1": lambda: by_line(lambda l: l * LEADING + HEIGHT),
+    }
+    set_ = pages.withColumn("_c", F.array_remove(F.split("sheet", "", -1), "")).withColumn("_l", F.when(F.size("_c") > 0, F.transform(numbers, row)).otherwise(F.array().cast("array<array<string>>")))
+    parts = [n for n in FIELDS if n in fields]
+    return set_.withColumns({f"_g_{n}": known[n]() for n in parts}).withColumn("glyphs", F.arrays_zip(*[F.col(f"_g_{n}").alias(n) for n in parts])).drop("_c", "_l", *[f"_g_{n}" for n in parts])

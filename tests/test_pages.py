@@ -8,7 +8,7 @@ from palimpsest.operators import glyphs
 from palimpsest.operators.policy import DEFAULT
 from palimpsest.operators.rewrite import sanitize
 from palimpsest.plans.process import find
-from palimpsest.sources.typeset import PAGES, typeset
+from palimpsest.sources.typeset import PAGES, TEXT_FIELDS, set_sheets, sheets, typeset
 
 
 def plain_page(page):
@@ -174,3 +174,15 @@ def test_pages_are_read_where_they_are_needed(spark):
     # rows of glyphs neither wait for Python nor pass a shuffle
     plan = lazy._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and "glyphs" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+
+
+def test_text_fields_read_like_whole_glyphs(spark):
+    """Texts are read from blocks, lines and characters alone: the same text and map as from whole glyphs, controls and ligatures included."""
+    texts = [(1, "a final word " * 30), (2, "x\x1fy \x00z\x1c " + "filter-" * 40), (3, "  "), (4, "n\u0303 \u00a0\ufb01 " * 900)]
+    pages = sheets(spark.createDataFrame(texts, "doc_id long, text string"))
+    few, whole = set_sheets(pages, fields=TEXT_FIELDS), set_sheets(pages)
+    assert few.schema["glyphs"].dataType.elementType.names == list(TEXT_FIELDS)
+    got, want = ({(r.doc_id, r.page): (r.text, r.glyph_of) for r in glyphs.mapped_pages(x).select("doc_id", "page", "text", "glyph_of").collect()} for x in (few, whole))
+    assert got == want and len(got) > 4
+    assert got[3, 1] == ("", []) and got[2, 1][0].startswith("x y z ")
+    assert got[1, 1][1][:9] == [0, 1, 2, 2, 3, 4, 5, 6, 7] and got[1, 1][0].startswith("a final word")
