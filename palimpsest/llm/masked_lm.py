@@ -10,8 +10,8 @@ numbers of their own; every other word shares one of ``RARE`` numbers by its has
 number is that of its spelling, by pairs of bytes counted over all rare words of the corpus. So every
 word has a probability of its own, one never seen included.
 
-Training is data-parallel and uses every position of the corpus ``EPOCHS`` times. Numbered texts are written once,
-in ``ROUNDS`` folds. A step takes one fold: each task sums the gradient of its positions at the step's weights, as
+Texts are split and numbered once, and written in ``ROUNDS`` folds with what their spelling costs; training and scores
+of the same texts read these numbers. Training is data-parallel and uses every position of the corpus ``EPOCHS`` times. A step takes one fold: each task sums the gradient of its positions at the step's weights, as
 whole numbers in fixed point, Spark sums these by block of weights, and the driver takes one step of Adam. Sums do not
 depend on how rows are dealt to tasks, so neither do the weights, but for the rounding of products. Output biases begin at the
 counted frequencies, so the untrained network is the unigram model and training can only be measured against it.
@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +39,17 @@ DIMENSION = 32
 ROUNDS, EPOCHS = 16, 1
 #: Step size of Adam, its decays, and positions whose gradient is computed together.
 RATE, DECAY, DECAY_SQUARE, BATCH = 0.2, 0.7, 0.9, 8192
+#: Batches whose gradients are added up in 32 bits before they join a task's sum in 64.
+BATCHES = 8
 #: Weights that are summed as one row, and the fixed point of sums: 2 ** 63 / 2 ** 20 leaves room for 10 ** 12 positions.
 WEIGHT_BLOCK, FIXED = 256, float(1 << 20)
-#: Words that a task remembers the numbers of.
-MEMO_ENTRIES = 150_000
-TOKENS_AT_ONCE = 16_384
+#: Rows of a key up to which they are summed with those of other keys.
+TOGETHER = 24
+#: Places whose word vectors are looked up together.
+PLACES = 512
+#: Exponentials of logits within this of 0 neither overflow in 32 bits nor vanish.
+SAFE = 80
+OFFSETS = [j for j in range(-SIDE, SIDE + 1) if j]
 
 
 class Net:
@@ -52,6 +59,7 @@ class Net:
         """``counts``: occurrences of the words, then of the rare numbers. ``spelling``: counts of byte after byte."""
         self.words = words
         self.number = {w: i for i, w in enumerate(words)}
+        self.ended = pa.array([w + " " for w in words], pa.string())
         used = len(words) + RARE + 1  # the last number pads the ends of a text
         self.per_class = -(-used // CLASSES)
         self.size = self.per_class * CLASSES
@@ -68,6 +76,7 @@ class Net:
         n = n.reshape(self.per_class, CLASSES).T
         self.class_bias[:] = np.log(n.sum(axis=1) / n.sum())
         self.token_bias[:] = np.log(n / n.sum(axis=1, keepdims=True))
+        self.load(self.flat)
         pairs = np.full((256, 256), 0.01) + (0 if spelling is None else spelling)
         self.spelling = np.log(pairs / pairs.sum(axis=1, keepdims=True))
 
@@ -75,6 +84,12 @@ class Net:
         """Take all weights from one flat array."""
         self.flat = np.ascontiguousarray(flat, np.float32)
         self.inputs, self.to_class, self.class_bias, self.to_token, self.token_bias = self.parts(self.flat)
+        # all offsets' vectors of a word in one row; biases as a row more of the outputs
+        self.by_word = np.ascontiguousarray(self.inputs.transpose(1, 0, 2)).reshape(self.size, -1)
+        self.class_out = np.concatenate([self.to_class, self.class_bias[None]])
+        self.token_out = np.concatenate([self.to_token, self.token_bias[:, None]], axis=1)
+        # hidden values lie between -1 and 1
+        self.safe = bool(max(np.abs(self.class_out).sum(axis=0).max(), np.abs(self.token_out).sum(axis=1).max()) < SAFE)
 
     def parts(self, flat: np.ndarray) -> list[np.ndarray]:
         """Views of a flat array of weights, or of their gradient."""
@@ -85,69 +100,117 @@ class Net:
         got = self.number.get(word)
         return self.first_rare + zlib.crc32(word.encode()) % RARE if got is None else got
 
-    def spelled(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each rare word's bytes and its end; 0 for a word of the vocabulary."""
-        out = np.zeros(len(words))
-        rare = [i for i, w in enumerate(words) if w not in self.number]
-        if rare:
-            own = [words[i].encode() for i in rare]
-            code = np.frombuffer(b"\0" + b"\0".join(own) + b"\0", np.uint8)
-            sizes = np.array([len(w) + 1 for w in own])
-            out[rare] = np.add.reduceat(self.spelling[code[:-1], code[1:]], np.cumsum(sizes) - sizes)
+    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token numbers of all texts in a row, the log-probability of each token's spelling (0 in the vocabulary), and each text's number of tokens.
+
+        Words lie behind each other as bytes, each with the blank that ends it, and equal ones are looked up once.
+        """
+        rows = [split_words(x) for x in texts]
+        sizes = np.array([len(x) for x in rows], np.int64)
+        if not sizes.any():
+            return np.zeros(0, np.int32), np.zeros(0), sizes
+        data = (" ".join(itertools.chain.from_iterable(rows)) + " ").encode()
+        ends = np.append(0, np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+        own, index = words.dictionary, words.indices.to_numpy()
+        number = pc.index_in(own, value_set=self.ended).fill_null(-1).to_numpy().copy()
+        rare = np.flatnonzero(number < 0)
+        own = own.take(pa.array(rare)).cast(pa.binary())
+        found = np.fromiter((zlib.crc32(x[:-1]) for x in own.to_pylist()), np.int64, len(rare))
+        number[rare] = self.first_rare + found % RARE
+        cost = np.zeros(len(number))
+        if len(rare):
+            stops = np.frombuffer(own.buffers()[1], np.int32)[: len(rare) + 1]
+            code = np.frombuffer(own.buffers()[2], np.uint8)[: stops[-1]]
+            code = np.where(code == 32, 0, code)  # no word holds a blank, so these are the ends
+            cost[rare] = np.add.reduceat(self.spelling[np.append(0, code[:-1]), code], stops[:-1])
+        return number[index], cost[index], sizes
+
+    def hidden(self, run: np.ndarray) -> np.ndarray:
+        """Hidden values at all places of a run of tokens but ``SIDE`` at each end, and a 1 behind them."""
+        n = len(run) - 2 * SIDE
+        out = np.empty((n, DIMENSION + 1), np.float32)
+        out[:, DIMENSION] = 1
+        for b in range(0, n, PLACES):
+            size = min(PLACES, n - b)
+            rows = self.by_word[run[b : b + size + 2 * SIDE]]
+            total = rows[SIDE + OFFSETS[0] :][:size, :DIMENSION].copy()
+            for j, away in enumerate(OFFSETS[1:], 1):
+                total += rows[SIDE + away :][:size, j * DIMENSION : (j + 1) * DIMENSION]
+            np.tanh(total, out=out[b : b + size, :DIMENSION])
         return out
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.inputs[0][context[:, 0]]
-        for j in range(1, 2 * SIDE):
-            total += self.inputs[j][context[:, j]]
-        return np.tanh(total, out=total)
+    def _sorted(self, padded: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Places in order of their tokens' classes, hidden values and tokens in that order, and where each class begins and ends."""
+        target = padded[at]
+        order = _order(target % CLASSES)
+        target = target[order]
+        h = self.hidden(padded[at[0] - SIDE : at[-1] + SIDE + 1])[(at - at[0])[order]]
+        return order, h, target, np.searchsorted(target % CLASSES, np.arange(CLASSES + 1)).tolist()
 
-    def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probability of each target between its neighbours."""
+    def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-probability of each token at the places ``at`` of padded texts, in ascending order, between its neighbours."""
         # the most frequent words are dealt out over the classes in turn
-        kind, place = target % CLASSES, target // CLASSES
-        h = self.hidden(context)
-        logits = h @ self.to_class + self.class_bias
-        out = logits[np.arange(len(target)), kind]
-        out -= _log_sum(logits)
-        order = _order(kind)
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        order, h, target, bounds = self._sorted(padded, at)
+        logits = h @ self.class_out
+        found = logits[np.arange(len(at)), target % CLASSES]
+        found -= _log_sum(logits, self.safe)
         for c in range(CLASSES):
-            own = order[bounds[c] : bounds[c + 1]]
-            if len(own):
-                logits = h[own] @ self.to_token[c] + self.token_bias[c]
-                out[own] += logits[np.arange(len(own)), place[own]]
-                out[own] -= _log_sum(logits)
+            a, b = bounds[c], bounds[c + 1]
+            if a < b:
+                logits = h[a:b] @ self.token_out[c]
+                found[a:b] += logits[np.arange(b - a), target[a:b] // CLASSES]
+                found[a:b] -= _log_sum(logits, self.safe)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
+    def log_probability(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probability of each target between its neighbours."""
+        return self.log_probabilities(*_apart(context, target))
+
+    def sums(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The sum of the log-probabilities of each text's numbers."""
+        padded, at = _padded(numbers, sizes, self.pad), _places(sizes)
+        found = [self.log_probabilities(padded, at[b : b + BATCH]) for b in range(0, len(at), BATCH)]
+        ends = np.append(0, np.cumsum(np.concatenate(found or [np.zeros(0)]), dtype=np.float64))
+        stops = np.append(0, np.cumsum(sizes))
+        return ends[stops[1:]] - ends[stops[:-1]]
+
     def gradient(self, context: np.ndarray, target: np.ndarray, total: np.ndarray) -> None:
         """Add the gradient of the targets' negative log-probability to ``total``, a flat array like the weights."""
+        self.add_gradient(*_apart(context, target), total)
+
+    def add_gradient(self, padded: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
+        """As ``gradient``, of the tokens at the places ``at`` of padded texts, in ascending order."""
         inputs, to_class, class_bias, to_token, token_bias = self.parts(total)
-        n = len(target)
-        order = _order(target % CLASSES)
-        context, target = context[order], target[order]
-        kind, place = target % CLASSES, target // CLASSES
-        h = self.hidden(context)
-        error = _softmax(h @ self.to_class + self.class_bias)
-        error[np.arange(n), kind] -= 1
+        order, h, target, bounds = self._sorted(padded, at)
+        error = _softmax(h @ self.class_out, self.safe)
+        error[np.arange(len(at)), target % CLASSES] -= 1
         back = error @ self.to_class.T
-        to_class += h.T @ error
-        class_bias += error.sum(axis=0)
-        bounds = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        slope = h.T @ error
+        to_class += slope[:-1]
+        class_bias += slope[-1]
         for c in range(CLASSES):
             a, b = bounds[c], bounds[c + 1]
             if a < b:
-                inner = _softmax(h[a:b] @ self.to_token[c] + self.token_bias[c])
-                inner[np.arange(b - a), place[a:b]] -= 1
+                inner = _softmax(h[a:b] @ self.token_out[c], self.safe)
+                inner[np.arange(b - a), target[a:b] // CLASSES] -= 1
                 back[a:b] += inner @ self.to_token[c].T
-                to_token[c] += h[a:b].T @ inner
-                token_bias[c] += inner.sum(axis=0)
+                slope = h[a:b].T @ inner
+                to_token[c] += slope[:-1]
+                token_bias[c] += slope[-1]
+        h = h[:, :-1]
         back *= 1 - h * h
-        for j in range(2 * SIDE):
-            order = _order(context[:, j])
-            own = context[order, j]
-            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            inputs[j, own[first]] += np.add.reduceat(back[order], first, axis=0)
+        # A row for each place of the run, between SIDE rows of zeros more at each end. What reaches a place's token lies in the
+        # 2 * SIDE + 1 rows around it, those of places that see it from the right first: one wide row, summed by token.
+        run = padded[at[0] - SIDE : at[-1] + SIDE + 1]
+        rows = np.zeros((len(run) + 2 * SIDE, DIMENSION), np.float32)
+        rows[(at - at[0])[order] + 2 * SIDE] = back
+        wide = np.lib.stride_tricks.as_strided(rows, (len(run), (2 * SIDE + 1) * DIMENSION), rows.strides)
+        own, reached = _summed_by(run, wide)
+        for j, away in enumerate(OFFSETS):
+            inputs[j, own] += reached[:, (SIDE - away) * DIMENSION : (SIDE - away + 1) * DIMENSION]
 
 
 def _order(x: np.ndarray) -> np.ndarray:
@@ -155,38 +218,49 @@ def _order(x: np.ndarray) -> np.ndarray:
     return np.argsort(x.astype(np.min_scalar_type(int(x.max(initial=0)))), kind="stable")
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of each row; ``x`` is used up."""
-    top = x.max(axis=1)
-    x -= top[:, None]
-    return top + np.log(np.exp(x, out=x).sum(axis=1))
+def _summed_by(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, most frequent first, and the sum of the rows of each.
 
-
-def _softmax(x: np.ndarray) -> np.ndarray:
+    Frequent keys are summed one by one; of the others all first rows are taken together, then all second ones and so on.
+    """
+    order = _order(keys)
+    own = keys[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    sizes = np.diff(np.append(first, len(own)))
+    falling = np.argsort(-sizes, kind="stable")
+    first, sizes = first[falling], sizes[falling]
+    found = own[first]
+    out = np.zeros((len(first), rows.shape[1]), rows.dtype)
+    n = int(np.searchsorted(-sizes, -TOGETHER, "right"))  # keys with more than TOGETHER rows, and those of just as many
+    for i in range(n):
+        out[i] = np.ones(sizes[i], rows.dtype) @ rows[order[first[i] : first[i] + sizes[i]]]
+    first, sizes = first[n:], sizes[n:]
+    for k in range(int(sizes.max(initial=0))):
+        m = int(np.searchsorted(-sizes, -k, "left"))
+        out[n : n + m] += rows[order[first[:m] + k]]
+    return found, out
+
+
+def _log_sum(x: np.ndarray, safe: bool) -> np.ndarray:
+    """Logarithm of the sum of exponentials of each row; ``x`` is used up. ``safe``: they fit as they are."""
+    top = 0 if safe else x.max(axis=1)
+    if not safe:
+        x -= top[:, None]
+    return top + np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
+
+
+def _softmax(x: np.ndarray, safe: bool) -> np.ndarray:
     """Probabilities of each row, written over ``x``."""
-    x -= x.max(axis=1, keepdims=True)
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
     return x
 
 
-class _Words(dict):
-    """Token number of each word that a task has met, and the log-probability of its spelling if ``spelled`` is asked for."""
-
-    def __init__(self, net: Net, spelled: bool = False):
-        super().__init__()
-        self.net = net
-        self.cost: dict[str, float] | None = {} if spelled else None
-
-    def meet(self, words: set[str]) -> None:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-            if self.cost is not None:
-                self.cost.clear()
-        new = list(words.difference(self))
-        self.update(zip(new, map(self.net.token, new)))
-        if self.cost is not None:
-            self.cost.update(zip(new, self.net.spelled(new).tolist()))
+def _apart(context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Targets between their neighbours, one behind the other, and their places."""
+    return np.column_stack([context[:, :SIDE], target, context[:, SIDE:]]).ravel(), np.arange(len(target)) * (2 * SIDE + 1) + SIDE
 
 
 def split_words(text: str | None) -> list[str]:
@@ -196,10 +270,19 @@ def split_words(text: str | None) -> list[str]:
 def windows(rows: list[np.ndarray], net: Net) -> tuple[np.ndarray, np.ndarray]:
     """Padded token numbers of all texts in a row, and the number of tokens of each."""
     sizes = np.array([len(x) for x in rows], np.int64)
-    padded = np.full(int(sizes.sum()) + 2 * SIDE * len(rows), net.pad, np.int64)
-    if len(rows):
-        padded[_places(sizes)] = np.concatenate(rows)
-    return padded, sizes
+    return _padded(np.concatenate([*rows, np.zeros(0, np.int64)]), sizes, net.pad), sizes
+
+
+def _padded(numbers: np.ndarray, sizes: np.ndarray, pad: int) -> np.ndarray:
+    """Numbers of all texts in a row, each between ``SIDE`` pads at either end."""
+    padded = np.full(int(sizes.sum()) + 2 * SIDE * len(sizes), pad, np.int64)
+    padded[_places(sizes)] = numbers
+    return padded
+
+
+def _lists(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of all lists in a row, and the length of each."""
+    return batch.flatten().to_numpy(), pc.list_value_length(batch).fill_null(0).to_numpy().astype(np.int64)
 
 
 def _places(sizes: np.ndarray) -> np.ndarray:
@@ -207,25 +290,21 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(2 * SIDE * np.arange(len(sizes)) + SIDE, sizes)
 
 
-def _context(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([padded[at + j] for j in range(-SIDE, SIDE + 1) if j], axis=1)
-
-
 def _numbered(shared):
-    """Texts as arrays of token numbers."""
+    """Texts as arrays of token numbers, and the log-probability of their rare words' spelling."""
 
     def make() -> Callable[[pa.Array], pa.Array]:
-        known = _Words(shared.value)
+        net: Net = shared.value
 
         def numbers(batch: pa.Array) -> pa.Array:
-            parts = []
+            lists, costs = [pa.array([], pa.list_(pa.int32()))], [np.zeros(0)]
             for texts in slices(batch, 500):
-                rows = [split_words(x) for x in texts.to_pylist()]
-                known.meet(set().union(*rows))
-                ends = np.append(0, np.cumsum([len(x) for x in rows])).astype(np.int32)
-                flat = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(rows)), np.int32, int(ends[-1]))
-                parts.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+                found, cost, sizes = net.numbers(texts.to_pylist())
+                stops = np.append(0, np.cumsum(sizes))
+                lists.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(found, pa.int32())))
+                ends = np.append(0, np.cumsum(cost))
+                costs.append(ends[stops[1:]] - ends[stops[:-1]])
+            return pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.array(np.concatenate(costs))], ["ids", "spelling"])
 
         return numbers
 
@@ -237,18 +316,21 @@ def _gradients(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net: Net = shared.value
-        total, seen = np.zeros(len(net.flat), np.float64), 0
+        total, now = np.zeros(len(net.flat), np.float64), np.zeros(len(net.flat), np.float32)
+        added = seen = 0
         for batch in batches:
             ids = batch.column("ids")
             for part in slices(ids, 2000, 1 << 18):
-                padded, sizes = windows([x.values.to_numpy() for x in part], net)
-                at = _places(sizes)
+                numbers, sizes = _lists(part)
+                padded, at = _padded(numbers, sizes, net.pad), _places(sizes)
                 for b in range(0, len(at), BATCH):
-                    own = at[b : b + BATCH]
-                    now = np.zeros(len(net.flat), np.float32)
-                    net.gradient(_context(padded, own), padded[own], now)
-                    total += now
+                    net.add_gradient(padded, at[b : b + BATCH], now)
+                    added += 1
+                    if added % BATCHES == 0:
+                        total += now
+                        now[:] = 0
                 seen += len(at)
+        total += now
         if seen:
             rows = np.round(np.append(total, np.zeros(-len(total) % WEIGHT_BLOCK)) * FIXED).astype(np.int64)
             values = pa.FixedSizeListArray.from_arrays(pa.array(rows), WEIGHT_BLOCK).cast(pa.list_(pa.int64()))
@@ -301,19 +383,19 @@ def start(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> Net:
     return Net([r["word"] for r in top], counts, spelling.reshape(256, 256))
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, epochs: int = EPOCHS, size: int = VOCABULARY) -> Net:
-    """A network trained on every position of all texts.
-
-    Null texts have no positions; repeated rows count as often as they occur; rows without an id are trained on like others.
-    An empty corpus leaves the initial weights.
-    """
-    spark = docs.sparkSession
-    net = start(docs, text, size)
-    shared = spark.sparkContext.broadcast(net)
+def number(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """A table of all rows: ``doc_id``, the text's token numbers ``ids``, ``spelling`` and its ``fold``. Texts are read and split this once."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
     fold = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(rounds)).cast("int")
-    numbered = docs.where(F.col(text).isNotNull()).select(fold.alias("fold"), per_task(F.col(text), _numbered(shared), "array<int>").alias("ids"))
-    numbered = cut(numbered, "numbers", "fold")
+    found = docs.select(F.col(doc_id), fold.alias("fold"), per_task(F.col(text), _numbered(shared), "struct<ids:array<int>,spelling:double>").alias("x"))
+    table = cut(found.select(doc_id, "fold", "x.ids", "x.spelling"), "numbers", "fold")
     shared.destroy()
+    return table
+
+
+def train(net: Net, numbered: DataFrame, rounds: int = ROUNDS, epochs: int = EPOCHS) -> None:
+    """Train the network on every position of the table that ``number`` gave."""
+    spark = numbered.sparkSession
     mean, square = np.zeros(len(net.flat)), np.zeros(len(net.flat))
     steps = 0
     for r in [*range(rounds)] * epochs:
@@ -332,10 +414,42 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int
         rate = RATE * (1 - (steps - 1) / (rounds * epochs))  # falls to nothing
         step = mean / (1 - DECAY**steps) / (np.sqrt(square / (1 - DECAY_SQUARE**steps)) + 1e-5)
         net.load(net.flat - rate * step)
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, epochs: int = EPOCHS, size: int = VOCABULARY) -> Net:
+    """A network trained on every position of all texts.
+
+    Null texts have no positions; repeated rows count as often as they occur; rows without an id are trained on like others.
+    An empty corpus leaves the initial weights.
+    """
+    net = start(docs, text, size)
+    numbered = number(docs, net, doc_id, text, rounds)
+    train(net, numbered, rounds, epochs)
     forget(numbered)
     return net
 
 
+def fit_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, epochs: int = EPOCHS, size: int = VOCABULARY) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and ``log_prob`` of all rows under the network that ``fit`` trains on them.
+
+    The same as ``score`` of the texts, up to rounding, but from the numbers that training reads: no text is split twice.
+    """
+    net = start(docs, text, size)
+    numbered = number(docs, net, doc_id, text, rounds)
+    train(net, numbered, rounds, epochs)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        own: Net = shared.value
+
+        def sums(batch: pa.Array) -> pa.Array:
+            return pa.array(np.concatenate([np.zeros(0), *(own.sums(*_lists(x)) for x in slices(batch, 2000, 1 << 18))]))
+
+        return sums
+
+    return numbered.select(doc_id, F.size("ids").cast("long").alias("n_tokens"), (per_task(F.col("ids"), make, "double") + F.col("spelling")).alias("log_prob"))
+
+
 def score(text: Column, net: Net, spark) -> Column:
     """Column ``struct<n_tokens:long,log_prob:double>``: tokens and pseudo-log-likelihood of a text.
 
@@ -345,23 +459,13 @@ def score(text: Column, net: Net, spark) -> Column:
 
     def make() -> Callable[[pa.Array], pa.Array]:
         own: Net = shared.value
-        known = _Words(own, spelled=True)
+        numbers = _numbered(shared)()
 
         def scores(batch: pa.Array) -> pa.Array:
-            tokens, sums = [], []
-            for texts in slices(batch, 250):
-                rows = [split_words(x) for x in texts.to_pylist()]
-                known.meet(set().union(*rows))
-                padded, sizes = windows([np.fromiter(map(known.__getitem__, x), np.int64, len(x)) for x in rows], own)
-                at = _places(sizes)
-                spelled = np.fromiter(map(known.cost.__getitem__, itertools.chain.from_iterable(rows)), np.float64, int(sizes.sum()))
-                found = np.concatenate([own.log_probability(_context(padded, at[b : b + TOKENS_AT_ONCE]), padded[at[b : b + TOKENS_AT_ONCE]]) for b in range(0, len(at), TOKENS_AT_ONCE)] or [np.zeros(0)])
-                ends = np.append(0, np.cumsum(found.astype(np.float64) + spelled))
-                stops = np.append(0, np.cumsum(sizes))
-                tokens.append(sizes)
-                sums.append(ends[stops[1:]] - ends[stops[:-1]])
-            none = np.zeros(0)
-            return pa.StructArray.from_arrays([pa.array(np.concatenate(tokens or [none]).astype(np.int64)), pa.array(np.concatenate(sums or [none]))], ["n_tokens", "log_prob"])
+            found = numbers(batch)
+            ids, spelling = found.field("ids"), found.field("spelling").to_numpy()
+            sums = np.concatenate([np.zeros(0), *(own.sums(*_lists(x)) for x in slices(ids, 2000, 1 << 18))])
+            return pa.StructArray.from_arrays([pc.list_value_length(ids).cast(pa.int64()), pa.array(sums + spelling)], ["n_tokens", "log_prob"])
 
         return scores
 

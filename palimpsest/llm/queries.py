@@ -111,8 +111,7 @@ def op5_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihoods of all documents under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    net = masked_lm.fit(docs)
-    found = docs.select("doc_id", masked_lm.score(F.col("text"), net, spark).alias("x")).select("doc_id", "x.n_tokens", "x.log_prob")
+    found = masked_lm.fit_scores(docs)
     return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
 
 
