@@ -5,7 +5,8 @@ one row without a shuffle. ``typeset`` makes such tables from texts, ``paged`` f
 
 Glyphs take a hundred times the room of their text. Where pages are met with findings, ``pages`` may therefore hold what a
 page is made from (a ``sheet``, a path) and ``read`` turn such rows into ``mapped_pages``: sources are shuffled, and glyphs
-exist only while a page's row is worked on.
+exist only while a page's row is worked on. Where only texts are asked for, and every glyph is one character, the strings of a
+page's lines will do (``lined_pages``): no step then runs once a glyph.
 """
 
 from __future__ import annotations
@@ -79,8 +80,38 @@ def mapped_pages(pages: DataFrame) -> DataFrame:
     return texted.withColumns({"text": F.replace("_final", F.lit(_GONE), F.lit("")), "glyph_of": F.when(F.size("_u") > 0, map_).otherwise(F.array().cast("array<int>"))}).drop("_u", "_at", "_i", "_final", "_refs")
 
 
+#: Characters that compose alike side by side and one by one, as none joins the one before it, and no white space but the blank.
+_APART = r"\x1f-\x7e\u00a1-\u02ff\u0370-\u0482\u2010-\u2027\u4e00-\u9fff\ufb00-\ufb06"
+
+
+def lined_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``text``, ``n_glyphs`` and ``raw`` as ``page_facts`` of ``mapped_pages`` has them, and ``n_mapped``, the characters of ``text`` that stem from a glyph.
+
+    ``lines`` holds a page's glyphs, one character each, as a string for each line; an empty line counts as none. All steps are passes
+    over the whole string of a page.
+    """
+    own = F.filter(F.coalesce("lines", F.array().cast("array<string>")), lambda x: x != "")
+    held = F.array_join("_own", "").rlike(r"[\x00\x1c-\x1f]")
+    chars = F.when(held, F.transform("_own", lambda x: F.regexp_replace(x, r"[\x00\x1c-\x1f]", " "))).otherwise(F.col("_own"))
+
+    def composed(text: Column) -> Column:
+        return F.regexp_replace(nfkc(F.regexp_replace(text, r"(?U)\s", " ")), r"(?U)\s", " ")
+
+    given = pages.withColumn("_own", own).withColumns({"raw": F.array_join("_own", "\n"), "_s": F.array_join(chars, _BETWEEN)})
+    # glyphs compose by themselves: a stand-in behind each keeps them from their neighbours, where there may be any to keep from
+    lone = F.replace(composed(F.regexp_replace("_s", r"(?s)(.)", "$1\x1e")), F.lit("\x1e"), F.lit(""))
+    units = F.when(F.col("_s").rlike(r"^[ -~\x1f]*\z"), F.col("_s")).when(F.col("_s").rlike(rf"^[{_APART}]*\z"), nfkc(F.col("_s"))).otherwise(lone)
+    joined = F.regexp_replace(F.replace(units, F.lit(_BETWEEN), F.lit(_LINE)), r"-\n(?= *[\p{L}\p{N}])", "")
+    single = F.regexp_replace(F.regexp_replace(joined, r"([ \n])[ \n]+", "$1"), r"^[ \n]|[ \n]\z", "")
+    texted = given.withColumn("_t", single).withColumns({"text": F.replace("_t", F.lit(_LINE), F.lit(" ")), "n_mapped": F.length(F.replace("_t", F.lit(_LINE), F.lit(""))).cast("long")})
+    return texted.withColumn("n_glyphs", F.length(F.array_join("_own", "")).cast("long")).drop("_own", "_s", "_t")
+
+
 Read = Callable[[DataFrame], DataFrame]
 
+#: Columns of ``page_facts``.
+FACTS = ("doc_id", "page", "text", "n_glyphs", "raw")
+
 
 def page_facts(mapped: DataFrame) -> DataFrame:
     """What is asked of every page later on, without its glyphs: (``doc_id``, ``page``, ``text``, ``n_glyphs``, ``raw``)."""
@@ -277,7 +308,8 @@ def uncovered(pages: DataFrame, rects: DataFrame, read: Read | None = None, how:
     def under(g: Column) -> Column:
         return F.exists("_r", lambda r: (g["x0"] < r["x1"]) & (r["x0"] < g["x1"]) & (g["y0"] < r["y1"]) & (r["y0"] < g["y1"]))
 
-    left = F.array_sort(F.concat(F.filter("glyphs", lambda g: ~under(g)), F.filter("_r", lambda r: r["c"] != "")))
+    # no null is among them; array_sort would compare by a lambda
+    left = F.sort_array(F.concat(F.filter("glyphs", lambda g: ~under(g)), F.filter("_r", lambda r: r["c"] != "")))
     return joined.select("doc_id", "page", F.when(F.size("_r") > 0, left).otherwise(F.col("glyphs")).alias("glyphs"))
 
 

@@ -13,7 +13,7 @@ from palimpsest.plans.process import find
 from palimpsest.plans.shared import written
 
 
-def process_pages(pages: DataFrame, policy: Policy = DEFAULT, mode: str = "label", read: glyphs.Read | None = None) -> tuple[DataFrame, DataFrame]:
+def process_pages(pages: DataFrame, policy: Policy = DEFAULT, mode: str = "label", read: glyphs.Read | None = None, facts: glyphs.Read | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, redacted pages) of page tables (``doc_id``, ``page``, ``glyphs``), or of what ``read`` turns into ``mapped_pages``.
 
     A document's row holds its ``text``, ``planned`` replacements, the ``output`` text read from its redacted pages, the columns of
@@ -22,13 +22,13 @@ def process_pages(pages: DataFrame, policy: Policy = DEFAULT, mode: str = "label
     never count as released. Others are ``completed`` if verification passes, all pages are there and no replaced value can be read,
     else quarantined. A document without glyphs is scanned. Pages of documents that are not completed are returned too, so
     ``route`` must be asked before pages are handed on. Texts of pages before and after, plans and the glyphs of findings are written once each to
-    the shared folder; pages themselves are read where they are needed, and again only if they have findings.
+    the shared folder (``facts``: what gives the texts before redaction, if it takes less than ``read``); pages themselves are read where they are needed, and again only if they have findings.
     """
     if mode not in glyphs.MODES:
         raise ValueError(f"mode must be one of {', '.join(glyphs.MODES)}")
     read = glyphs.mapped_pages if read is None else read
     # each of these is met several times below
-    facts = written(glyphs.page_facts(read(pages)), "pages")
+    facts = written(glyphs.page_facts(read(pages)) if facts is None else facts(pages).select(*glyphs.FACTS), "pages")
     planned = written(sanitize(find(glyphs.document_text(facts), policy), policy), "planned")
     parts = written(glyphs.mapped_findings(planned, pages, "planned", read), "findings")
     unsafe = glyphs.finding_confidence(planned, None, "planned", parts).groupBy("doc_id").agg(F.count_if("unsafe").alias("findings_unmapped"))

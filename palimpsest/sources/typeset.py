@@ -33,7 +33,7 @@ def typeset(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", columns
 def sheets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", columns: int = 60, lines: int = 40) -> DataFrame:
     """(``doc_id``, ``page``, ``sheet``): the characters of each page of ``typeset`` and the one behind them. A sheet takes a hundredth of its glyphs."""
     plain = F.replace(F.regexp_replace(F.col(text), r"(?U)\s", " "), F.lit("fi"), F.lit("ﬁ"))
-    set_ = docs.select(F.col(doc_id).cast("long").alias("doc_id"), plain.alias("t")).where(F.length("t") > 0)
+    set_ = docs.where(F.length(text) > 0).select(F.col(doc_id).cast("long").alias("doc_id"), plain.alias("t"))
     per_page = columns * lines
     starts = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / per_page).cast("int"))
     # one character more, to see whether a word goes on
@@ -69,3 +69,13 @@ def set_sheets(pages: DataFrame, columns: int = 60, lines: int = 40, fields: tup
     set_ = pages.withColumn("_c", F.array_remove(F.split("sheet", "", -1), "")).withColumn("_l", F.when(F.size("_c") > 0, F.transform(numbers, row)).otherwise(F.array().cast("array<array<string>>")))
     parts = [n for n in FIELDS if n in fields]
     return set_.withColumns({f"_g_{n}": known[n]() for n in parts}).withColumn("glyphs", F.arrays_zip(*[F.col(f"_g_{n}").alias(n) for n in parts])).drop("_c", "_l", *[f"_g_{n}" for n in parts])
+
+
+def set_lines(pages: DataFrame, columns: int = 60, lines: int = 40) -> DataFrame:
+    """``pages`` of ``sheets`` with ``lines``: the characters of each line that ``set_sheets`` sets, as a string."""
+    cut = F.regexp_extract_all(F.substring("sheet", 1, columns * lines), F.lit(f"(?s).{{1,{columns}}}"), F.lit(0))
+
+    def row(line: Column, then: Column) -> Column:
+        return F.when(F.concat(F.right(line, F.lit(1)), F.left(then, F.lit(1))).rlike(r"^\p{L}\p{L}$"), F.concat(line, F.lit("-"))).otherwise(line)
+
+    return pages.withColumn("_cut", cut).withColumn("lines", F.zip_with("_cut", F.slice("_cut", F.lit(2), F.size("_cut")), row)).drop("_cut")
